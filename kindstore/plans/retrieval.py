@@ -59,7 +59,7 @@ def continual_mixtures(
     since = F.split_part("store", F.lit("@"), F.lit(2)).cast("int")
     kind = F.split_part("store", F.lit("@"), F.lit(1))
     later = F.explode(F.filter(wanted, lambda s: s >= since)).alias("stage")
-    repeated = near.select("query_id", "entry_id", "dist", "token", kind.alias("store"), later)
+    repeated = near.select("query_id", "entry_id", "dist", "token", "store", later).withColumn("store", kind)
     nearest = Window.partitionBy("query_id", "store", "stage").orderBy("dist", "entry_id")
     limit = F.when(F.col("store") == stores[0], k).otherwise(other_k or k)
     best = repeated.withColumn("_rank", F.row_number().over(nearest)).where(F.col("_rank") <= limit)

@@ -4,22 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from kindstore.schemas import DATASTORE
 from kindstore.operators.prefix import dense_ids
 
-_FULL = DATASTORE.add("store", "string").add("stage", "int")
+PARTITIONS = ("store", "stage", "batch")
+_FULL = T.StructType(
+    [*DATASTORE.fields, T.StructField("store", T.StringType()), T.StructField("stage", T.IntegerType()), T.StructField("batch", T.LongType())]
+)
 
 
 def write_datastore(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Persist ``store, stage, entry_id, key, token``; only the given partitions are replaced."""
-    rows = df if "stage" in df.columns else df.withColumn("stage", F.lit(0))
+    """Persist ``store, stage, batch, entry_id, key, token``; only given partitions are replaced."""
+    for name in ("stage", "batch"):
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(0))
     (
-        rows.select("entry_id", F.col("key").cast("array<float>").alias("key"), "token", "store", "stage")
+        df.select("entry_id", F.col("key").cast("array<float>").alias("key"), "token", *PARTITIONS)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("store", "stage")
+        .partitionBy(*PARTITIONS)
         .parquet(path)
     )
 
@@ -44,28 +50,32 @@ def datastore_size(spark: SparkSession, path: str, store: str | None = None) ->
 
 
 def next_entry(spark: SparkSession, path: str, store: str, before: int) -> int:
-    """First free id behind all earlier stages: the largest id so far plus one."""
+    """First free id behind all earlier batches: the largest id so far plus one."""
     try:
-        earlier = read_datastore(spark, path, store).where(F.col("stage") < before)
-        return earlier.agg(F.coalesce(F.max("entry_id") + 1, F.lit(0)).alias("n")).first()["n"]
+        earlier = read_datastore(spark, path, store).where(F.col("batch") < before)
     except AnalysisException:
         return 0
+    return earlier.agg(F.coalesce(F.max("entry_id") + 1, F.lit(0)).alias("n")).first()["n"]
 
 
-def append_datastore(batch: DataFrame, path: str, store: str, stage: int, order: str | None = None) -> None:
-    """Add ``key, token`` rows behind the existing ones as a new stage.
+def append_datastore(rows: DataFrame, path: str, store: str, stage: int | str, batch: int, order: str) -> None:
+    """Add ``key, token`` rows behind the existing ones of a store, as batch ``batch``.
 
-    Old rows are untouched. Writing the same stage again replaces it with the
-    same ids, so a repeated batch does no harm. With ``order`` (a unique bigint)
-    rows are numbered here, otherwise their ``entry_id`` counts from 0.
+    Rows are numbered by the unique bigint ``order``. ``stage`` is a number or
+    the name of a column. Old rows are untouched, and writing the same batch
+    again replaces it with the same ids, so a repeat does no harm.
     """
-    spark = batch.sparkSession
-    if order is not None:
-        batch = dense_ids(batch.drop("entry_id") if order != "entry_id" else batch, order, "_place")
-    else:
-        batch = batch.withColumnRenamed("entry_id", "_place")
-    start = next_entry(spark, path, store, stage)
-    rows = batch.select(
-        (F.col("_place") + start).alias("entry_id"), "key", "token", F.lit(store).alias("store"), F.lit(stage).alias("stage")
+    start = next_entry(rows.sparkSession, path, store, batch)
+    numbered = dense_ids(rows, order, "_place")
+    which = F.col(stage) if isinstance(stage, str) else F.lit(stage)
+    write_datastore(
+        numbered.select(
+            (F.col("_place") + start).alias("entry_id"),
+            "key",
+            "token",
+            F.lit(store).alias("store"),
+            which.cast("int").alias("stage"),
+            F.lit(batch).cast("bigint").alias("batch"),
+        ),
+        path,
     )
-    write_datastore(rows, path)

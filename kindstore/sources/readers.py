@@ -45,11 +45,14 @@ def read_scores(spark: SparkSession, path: str, flat: bool = False) -> DataFrame
 FORMATS = ("csv", "json", "txt")
 
 
-def read_corpus(spark: SparkSession, path: str, fmt: str | None = None, keep_linebreaks: bool = True) -> DataFrame:
+def read_corpus(
+    spark: SparkSession, path: str, fmt: str | None = None, keep_linebreaks: bool = True, multi_line: bool = False
+) -> DataFrame:
     """A text corpus by file extension; the column is ``text`` or else the first one.
 
-    ``keep_linebreaks`` leaves each text line's end in place. JSON may be a list
-    of records or one record per line.
+    ``keep_linebreaks`` leaves each text line's end in place. JSON holds one
+    record per line, or a list of records on one line; ``multi_line`` reads
+    records spread over lines.
     """
     fmt = fmt or path.rsplit(".", 1)[-1]
     if fmt not in FORMATS:
@@ -60,7 +63,7 @@ def read_corpus(spark: SparkSession, path: str, fmt: str | None = None, keep_lin
     if fmt == "csv":
         df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
         return df if "text" in df.columns else df.withColumnRenamed(df.columns[0], "text")
-    return spark.read.schema(schemas.CORPUS).option("multiLine", True).json(path)
+    return spark.read.schema(schemas.CORPUS).option("multiLine", multi_line).json(path)
 
 
 def read_annotations(spark: SparkSession, path: str, schema: T.StructType = schemas.ANNOTATIONS) -> DataFrame:

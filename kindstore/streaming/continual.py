@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from kindstore.operators.corpus import resume_pending
 from kindstore.operators.plugins import Scorer, score_texts
 from kindstore.schemas import SCORES
-from kindstore.sources.datastore import append_datastore, read_datastore
+from kindstore.sources.datastore import append_datastore
+
+WITH_BATCH = T.StructType([*SCORES.fields, T.StructField("batch", T.LongType())])
 
 
 def stream_files(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
@@ -20,38 +23,27 @@ def stream_files(spark: SparkSession, path: str, schema: str, files_per_batch: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def finished_stages(spark: SparkSession, path: str) -> DataFrame:
-    """(domain rank, store) pairs already in the datastore."""
-    try:
-        return read_datastore(spark, path).select("store", "stage").distinct()
-    except AnalysisException:
-        return spark.createDataFrame([], "store string, stage int")
-
-
 def continual_ingest(
     stream: DataFrame,
     path: str,
     checkpoint: str,
     encode: Callable[[DataFrame], DataFrame] = lambda df: df,
     order: str = "vec_id",
+    stores: Sequence[str] = ("toxic", "nontoxic"),
 ) -> StreamingQuery:
-    """Append each arriving (stage, store) to the datastore at ``path``.
+    """Append every arriving batch to the datastore at ``path``, store by store.
 
-    Rows carry ``stage, store, key, token`` and the unique ``order`` column. A
-    batch is a rewrite of its own partitions, so a rerun after a failure leaves
-    the same table, and pairs done by an earlier run are skipped. A store
-    without a file for some stage simply keeps its earlier entries.
+    Rows carry ``stage, store, key, token`` (after ``encode``) and the unique
+    ``order`` column. The checkpoint lists the files that are done, so a rerun
+    skips finished domains; a batch repeated after a failure rewrites its own
+    partitions with the same ids. A store without a file for some stage keeps
+    its earlier entries.
     """
 
-    def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        done = {(r["store"], r["stage"]) for r in finished_stages(spark, path).collect()}  # one row per partition
-        pairs = sorted((r["stage"], r["store"]) for r in batch.select("stage", "store").distinct().collect())
-        for stage, store in pairs:
-            if (store, stage) in done:
-                continue
-            mine = batch.where((F.col("stage") == stage) & (F.col("store") == store))
-            append_datastore(encode(mine), path, store, stage, order)
+    def add(batch: DataFrame, number: int) -> None:
+        encoded = encode(batch)
+        for store in stores:
+            append_datastore(encoded.where(F.col("store") == store), path, store, "stage", number, order)
 
     return (
         stream.writeStream.foreachBatch(add)
@@ -79,7 +71,7 @@ def score_stream(
     def score(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         try:
-            done = spark.read.schema(SCORES.add("batch", "bigint")).json(out).where(F.col("batch") != number)
+            done = spark.read.schema(WITH_BATCH).json(out).where(F.col("batch") != number)
             pending = resume_pending(batch.dropDuplicates(["request_id"]), done)
         except AnalysisException:
             pending = batch.dropDuplicates(["request_id"])
