@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindstore.catalog.registry import part, u
-from kindstore.functions.scalars import hash24, uniform
+from kindstore.functions.scalars import hash24, uniform, whole_div
 from kindstore.schemas import ATTRIBUTES, DOMAINS
+from kindstore.sources.readers import read_table
 
 PER_PROMPT = 25
 VOCABULARY = 10
@@ -25,11 +26,11 @@ class Tables:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return read_table(self.spark, f"{self.folder}/{name}.parquet")
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self("documents").select("doc_id", "text")
+        return read_table(self.spark, f"{self.folder}/documents.parquet", "doc_id", "text", spread="doc_id")
 
     # -- prompts, generations, scores
 
@@ -38,7 +39,7 @@ class Tables:
         """One prompt per 25 documents; its text is the next benchmark item in turn."""
         bench = self("benchmark")
         n = bench.agg(F.count("*").alias("n")).scalar()
-        idx = self("documents").select(F.floor(F.col("doc_id") / PER_PROMPT).cast("bigint").alias("prompt_idx")).distinct()
+        idx = self("documents").select(whole_div(F.col("doc_id"), PER_PROMPT).alias("prompt_idx")).distinct()
         missing = F.col("prompt_idx") % 13 == 12
         record = F.struct(
             "text",
@@ -52,7 +53,7 @@ class Tables:
 
     @property
     def generations(self) -> DataFrame:
-        idx = F.floor(F.col("doc_id") / PER_PROMPT).cast("bigint")
+        idx = whole_div(F.col("doc_id"), PER_PROMPT)
         return self.documents.select(
             F.concat(F.lit("generation-"), F.col("doc_id").cast("string")).alias("request_id"),
             idx.alias("prompt_idx"),
@@ -68,7 +69,7 @@ class Tables:
 
     @property
     def scores(self) -> DataFrame:
-        docs = self("documents").select("doc_id", "n_chars")
+        docs = read_table(self.spark, f"{self.folder}/documents.parquet", "doc_id", "n_chars", spread="doc_id")
         half = (F.col("n_chars") / 2).cast("int")
 
         def value(x):
@@ -154,7 +155,7 @@ class Tables:
         """Logits over the ten tokens for every query, in batches of 100 queries."""
         rows = self("embeddings").select(
             F.col("vec_id").alias("query_id"),
-            F.floor(F.col("vec_id") / 100).cast("bigint").alias("batch_id"),
+            whole_div(F.col("vec_id"), 100).alias("batch_id"),
             F.explode(F.sequence(F.lit(0), F.lit(VOCABULARY - 1))).alias("token"),
         )
         draw = uniform(F.lit(f"{tag}:"), F.col("query_id"), F.lit(":"), F.col("token"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kindstore.catalog.fixtures import STAGES
 from kindstore.catalog.registry import part, query, r6, rounded
 from kindstore.catalog.vectors import K, OTHER_K
+from kindstore.functions.scalars import whole_div
 from kindstore.operators import mixing
 from kindstore.operators.results import grid, sweep_grid
 from kindstore.operators.vectors import two_store_retrieve
@@ -77,7 +78,7 @@ SELECT query_id, store, token, {r6("CASE WHEN logp <= -50 THEN low ELSE logp END
   SELECT *, min(logp) FILTER (logp > -50) OVER (PARTITION BY query_id // 100, store) AS low FROM knn_cold)""",
 )
 def patch_floor(t):
-    cold = knn(t, 0.01).withColumn("batch_id", F.floor(F.col("query_id") / 100).cast("bigint"))
+    cold = knn(t, 0.01).withColumn("batch_id", whole_div(F.col("query_id"), 100))
     return rounded(mixing.patch_floor(cold).select("query_id", "store", "token", "logp"))
 
 

@@ -8,6 +8,7 @@ from kindstore.catalog.registry import part, query
 from kindstore.functions.scalars import hash24
 from kindstore.operators import windows
 from kindstore.operators.vectors import neighbour_context
+from kindstore.session import materialize
 
 BLOCK, STRIDE, BATCH = 1024, 512, 100
 
@@ -45,8 +46,12 @@ FROM window_places GROUP BY batch_id, window_idx""",
 )
 
 
+def vocabulary(t):
+    return materialize(windows.build_vocab(t.documents), "vocab")
+
+
 def tokens(t):
-    return windows.tokenize(t.documents, windows.build_vocab(t.documents))
+    return windows.tokenize(t.documents, vocabulary(t))
 
 
 def sliding(t):
@@ -112,7 +117,7 @@ SELECT batch_id, window_idx, count(*) AS n, min(entry_id) AS first_entry, max(en
 FROM pairs GROUP BY batch_id, window_idx""",
 )
 def next_token_pairs(t):
-    pairs = windows.next_token_pairs(sliding(t))
+    pairs = windows.next_token_pairs(materialize(sliding(t), "windows"))
     line = F.concat_ws(":", "entry_id", "pos", "token")
     # A window has at most BLOCK pairs, so the digest list is short.
     return pairs.groupBy("batch_id", "window_idx").agg(
@@ -130,7 +135,7 @@ SELECT o // {BLOCK} AS block_idx, md5(string_agg(token, ',' ORDER BY o)) AS dige
 FROM (SELECT token, row_number() OVER (ORDER BY doc_id, pos) - 1 AS o FROM token_places) GROUP BY 1 HAVING count(*) = {BLOCK}""",
 )
 def fixed_blocks(t):
-    return windows.fixed_blocks(tokens(t), BLOCK).select("block_idx", _joined("input_ids").alias("digest"))
+    return windows.fixed_blocks(materialize(tokens(t), "tokens"), BLOCK).select("block_idx", _joined("input_ids").alias("digest"))
 
 
 part(
@@ -150,7 +155,7 @@ SELECT doc_id, CAST(line AS INTEGER) AS line, md5(string_agg(coalesce(token, -1)
 FROM line_words LEFT JOIN vocab USING (word) GROUP BY doc_id, line""",
 )
 def line_blocks(t):
-    blocks = windows.line_blocks(t.documents, windows.build_vocab(t.documents), 32)
+    blocks = windows.line_blocks(t.documents, vocabulary(t), 32)
     return blocks.select("doc_id", "line", _joined("input_ids").alias("digest"))
 
 
@@ -194,7 +199,7 @@ def build_datastore(t):
     "SELECT token, count(*) AS n, max(entry_id) AS last_entry FROM pairs WHERE entry_id < 50000 GROUP BY token",
 )
 def truncate_datastore(t):
-    store = windows.next_token_pairs(sliding(t)).select("entry_id", "token")
+    store = windows.next_token_pairs(materialize(sliding(t), "windows")).select("entry_id", "token")
     return windows.truncate_datastore(store, 50000).groupBy("token").agg(
         F.count("*").alias("n"), F.max("entry_id").alias("last_entry")
     )
@@ -216,7 +221,8 @@ SELECT n.query_id, n.rank, n.entry_id, p.token AS next_token,
 FROM some_neighbours n JOIN pairs p USING (entry_id)""",
 )
 def _neighbour_context(t):
-    store = windows.next_token_pairs(sliding(t)).select(F.lit("all").alias("store"), "entry_id", "token")
+    pairs = windows.next_token_pairs(materialize(sliding(t), "windows"))
+    store = materialize(pairs.select(F.lit("all").alias("store"), "entry_id", "token"), "tokens")
     size = store.agg(F.count("*").alias("n")).scalar()
 
 

@@ -74,3 +74,8 @@ def nan_to_null(value: Column) -> Column:
 
 def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def whole_div(a: Column, b: int) -> Column:
+    """Integer division; exact for large ids, unlike a floored quotient of doubles."""
+    return F.call_function("div", a, F.lit(b)).cast("bigint")

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindstore.functions.scalars import whole_div
 from kindstore.operators.texts import unpack_scores
 from kindstore.schemas import ATTRIBUTES
 
 
 def best_scores(unpacked: DataFrame) -> DataFrame:
-    """One row per request; a repeated request keeps its filled-in answer."""
-    return (
-        unpacked.groupBy("request_id")
-        .agg(F.max(F.struct(*ATTRIBUTES)).alias("_best"))
-        .select("request_id", "_best.*")
-    )
+    """One row per request; a repeated request keeps its filled-in answer.
+
+    Per-attribute maxima hash-aggregate, and unused attributes are pruned.
+    """
+    return unpacked.groupBy("request_id").agg(*[F.max(a).alias(a) for a in ATTRIBUTES])
 
 
 def collate_flat(generations: DataFrame, scores: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def collate(
     record = F.struct("pos", "text", *ATTRIBUTES)
     nested = (
         collate_flat(generations, scores)
-        .groupBy("prompt_idx", F.floor(F.col("pos") / rows_per_part).cast("int").alias("part"))
+        .groupBy("prompt_idx", whole_div(F.col("pos"), rows_per_part).cast("int").alias("part"))
         .agg(F.sort_array(F.collect_list(record)).alias("_rows"))
         .select(
             "prompt_idx",

@@ -71,16 +71,23 @@ def toxicity_by_group(
     return _metrics_by_mode(per_prompt, [group], threshold).where("n > 0").drop("n")
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All n-grams of a word array, joined by ``_``."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    return F.when(
-        F.size(tokens) >= n, F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), "_"))
-    ).otherwise(F.array().cast("array<string>"))
+def ngrams(texts: DataFrame, keys: list[str], orders: tuple[int, ...]) -> DataFrame:
+    """Rows ``keys, n, gram`` for every n-gram of every text, joined by ``_``.
 
+    Words are exploded with their position and the following words are picked
+    from the word array, which stays inside generated code; higher-order
+    functions over the array are several times slower.
+    """
+    placed = texts.select(*keys, words(F.col("text")).alias("_w")).select(
+        *keys, "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - 1)).alias("_i")
+    )
+
+    def gram(n: int) -> Column:
+        parts = [F.get("_w", F.col("_i") + k) for k in range(n)]
+        joined = [x for p in parts for x in (F.lit("_"), p)][1:]
+        return F.struct(F.lit(n).alias("n"), F.concat(*joined).alias("gram"))
 
-def _tagged_ngrams(tokens: Column, n: int) -> Column:
-    return F.transform(ngrams(tokens, n), lambda gram: F.struct(F.lit(n).alias("n"), gram.alias("gram")))
+    return placed.select(*keys, F.inline(F.array(*[gram(n) for n in orders]))).where("gram is not null")
 
 
 def distinctness_by_prompt(generations: DataFrame, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -90,9 +97,7 @@ def distinctness_by_prompt(generations: DataFrame, orders: tuple[int, ...] = (1,
     shuffle and spreads one prompt over all tasks. The 1-gram counts give the
     number of words, so one pass over the text is enough.
     """
-    split = generations.select("prompt_idx", words(F.col("text")).alias("_w"))
-    per_order = [_tagged_ngrams(F.col("_w"), n) for n in sorted({1, *orders})]
-    grams = split.select("prompt_idx", F.inline(F.flatten(F.array(*per_order))))
+    grams = ngrams(generations, ["prompt_idx"], tuple(sorted({1, *orders})))
     counted = grams.groupBy("prompt_idx", "n", "gram").agg(F.count("*").alias("c"))
     total = F.sum(F.when(F.col("n") == 1, F.col("c")))
     return counted.groupBy("prompt_idx").agg(

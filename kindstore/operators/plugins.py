@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kindstore.functions.scalars import words
 from kindstore.operators.skew import lookup_join
 from kindstore.schemas import SCORES
+from kindstore.session import materialize
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -61,7 +62,7 @@ def lexicon(labelled: DataFrame, smoothing: float = 1.0) -> DataFrame:
 
 def lexicon_scores(texts: DataFrame, labels: DataFrame, ident: str = "doc_id") -> DataFrame:
     """Default scorer: logistic of the mean word weight; unseen words weigh nothing."""
-    weights = lexicon(texts.join(labels.select(ident, "toxic"), ident))
+    weights = materialize(lexicon(texts.join(labels.select(ident, "toxic"), ident)), "lexicon")
     counted = texts.select(ident, F.explode(words(F.col("text"))).alias("word"))
     found = lookup_join(counted, weights, ["word"], "n", "left")
     mean = F.sum(F.coalesce("weight", F.lit(0.0))) / F.count("*")
@@ -80,10 +81,9 @@ def bigram_model(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _bigrams(texts: DataFrame, keys: list[str]) -> DataFrame:
-    w = F.col("_w")
-    previous = F.concat(F.array(F.lit(None).cast("string")), F.slice(w, 1, F.size(w) - 1))
-    pairs = F.zip_with(previous, w, lambda p, x: F.struct(p.alias("prev"), x.alias("word")))
-    return texts.select(*keys, words(F.col("text")).alias("_w")).select(*keys, F.inline(pairs))
+    """Every word with the one before it (NULL for the first), in generated code."""
+    placed = texts.select(*keys, words(F.col("text")).alias("_w")).select(*keys, "_w", F.posexplode("_w").alias("_i", "word"))
+    return placed.select(*keys, F.when(F.col("_i") > 0, F.get("_w", F.col("_i") - 1)).alias("prev"), "word")
 
 
 def ngram_logprobs(texts: DataFrame, corpus: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,6 +103,8 @@ def ngram_logprobs(texts: DataFrame, corpus: DataFrame, keys: list[str]) -> Data
         .join(unigrams, "prev", "left")
         .select("prev", "word", "uses", logp.alias("logp"))
     )
-    followed = lookup_join(tokens.where("prev is not null"), scored, ["prev", "word"], "uses")
+    followed = lookup_join(
+        tokens.where("prev is not null"), materialize(scored, "bigrams"), ["prev", "word"], "uses"
+    )
     first = tokens.where("prev is null").withColumn("logp", F.lit(None).cast("double"))
     return followed.unionByName(first).select(*keys, "prev", "word", "logp")

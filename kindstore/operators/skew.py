@@ -6,17 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HEAVY_ROWS = 2048
+SMALL_ROWS = 1_000_000
+SMALL_CHARS = 64_000_000
+
+
+def is_small(lookup: DataFrame, rows: int | None = None, chars: int | None = None) -> bool:
+    """Whether a table is proven small enough to broadcast: rows and text are counted."""
+    rows, chars = SMALL_ROWS if rows is None else rows, SMALL_CHARS if chars is None else chars
+    if lookup.limit(rows + 1).count() > rows:
+        return False
+    texts = [F.coalesce(F.sum(F.length(c)), F.lit(0)) for c, t in lookup.dtypes if t == "string"]
+    return not texts or lookup.agg(sum(texts[1:], texts[0]).alias("chars")).first()["chars"] <= chars
 
 
 def lookup_join(left: DataFrame, lookup: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
     """``left`` joined with ``lookup`` (one row per key), safe for hot keys.
 
-    The ``HEAVY_ROWS`` keys with the largest ``weight`` (their use in ``left``)
-    are broadcast, a fixed number of rows. Any other key then holds at most
-    1 / HEAVY_ROWS of the rows, so the shuffled join of the rest is even.
+    ``lookup`` should be a written table, as it is counted first. A small one is
+    broadcast. Of a large one only the ``HEAVY_ROWS`` keys with the largest
+    ``weight`` (their use in ``left``) are broadcast. Any other key then holds
+    at most 1 / HEAVY_ROWS of the rows, so the shuffled join of the rest is even.
     """
-    heavy = lookup.orderBy(F.desc(weight), *on).limit(HEAVY_ROWS)
     payload = [c for c in lookup.columns if c not in (*on, weight)]
+    if is_small(lookup):
+        return left.join(F.broadcast(lookup.select(*on, *payload)), on, how)
+    heavy = lookup.orderBy(F.desc(weight), *on).limit(HEAVY_ROWS)
     hot = left.join(F.broadcast(heavy.select(*on, *payload)), on)
     rest = left.join(F.broadcast(heavy.select(*on)), on, "left_anti")
     cold = rest.join(lookup.select(*on, *payload), on, how)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindstore.functions.scalars import strip_whitespace, words
+from kindstore.functions.scalars import strip_whitespace, whole_div, words
 from kindstore.operators.prefix import exclusive_prefix
 from kindstore.operators.skew import lookup_join
+from kindstore.session import materialize
 
 MASK = -100  # Fixed value: label of a token that is not predicted.
 
@@ -52,7 +57,7 @@ def _to_tokens(split: DataFrame, vocab: DataFrame, keys: list[str], unknown: int
 
 
 def tokenize(texts: DataFrame, vocab: DataFrame, ident: str = "doc_id", column: str = "text", unknown: int = -1) -> DataFrame:
-    """``ident, input_ids`` with the word vocabulary; unseen words get ``unknown``."""
+    """``ident, input_ids`` with a (written) word vocabulary; unseen words get ``unknown``."""
     split = texts.select(ident, words(F.col(column)).alias("_words"))
     return _to_tokens(split, vocab, [ident], unknown)
 
@@ -67,10 +72,6 @@ def _pieces(df: DataFrame, low: Column, high: Column, begin: Column, end: Column
     )
 
 
-def _div(a, b: int) -> Column:
-    return F.floor(a / b).cast("bigint")
-
-
 def sliding_windows(
     tokens: DataFrame,
     block: int = 1024,
@@ -88,7 +89,7 @@ def sliding_windows(
     """
     if stride > block:
         raise ValueError("stride must not exceed the block size")
-    batch = tokens.withColumn("batch_id", _div(F.col(ident), batch_size)).withColumn(
+    batch = tokens.withColumn("batch_id", whole_div(F.col(ident), batch_size)).withColumn(
         "_n", F.size("input_ids").cast("bigint")
     )
     in_order = Window.partitionBy("batch_id").orderBy(ident)
@@ -102,8 +103,8 @@ def sliding_windows(
     )
     i = F.col("window_idx") * stride
     begin, end = F.greatest(i + (stride - block), F.lit(0)), F.least(i + stride, F.col("_all"))
-    last = F.least(_div(F.col("_to") + (block - 1), stride) - 1, _div(F.col("_all") - 1, stride))
-    cut = _pieces(placed, _div(F.col("_from"), stride), last, begin, end, "window_idx")
+    last = F.least(whole_div(F.col("_to") + (block - 1), stride) - 1, whole_div(F.col("_all") - 1, stride))
+    cut = _pieces(placed, whole_div(F.col("_from"), stride), last, begin, end, "window_idx")
     joined = (
         cut.groupBy("batch_id", "window_idx")
         .agg(F.sort_array(F.collect_list(F.struct("_start", "_piece"))).alias("_parts"))
@@ -131,7 +132,7 @@ def fixed_blocks(tokens: DataFrame, block: int, ident: str = "doc_id") -> DataFr
     placed = tokens.join(starts, ident).withColumn("_to", F.col("_from") + F.size("input_ids")).where("_to > _from")
     begin = F.col("block_idx") * block
     cut = _pieces(
-        placed, _div(F.col("_from"), block), _div(F.col("_to") - 1, block), begin, begin + block, "block_idx"
+        placed, whole_div(F.col("_from"), block), whole_div(F.col("_to") - 1, block), begin, begin + block, "block_idx"
     )
     return (
         cut.groupBy("block_idx")
@@ -165,81 +166,105 @@ def token_counts(windows: DataFrame, by: str | None = None) -> DataFrame:
     return grouped.agg(F.sum(n).cast("bigint").alias("n_tokens"), F.count("*").alias("n_windows"))
 
 
-def next_token_pairs(windows: DataFrame, size: int | None = None) -> DataFrame:
-    """(context position, next token) with gap-free ids in window order.
+def number_windows(windows: DataFrame) -> DataFrame:
+    """Add ``pairs`` (position, next token) and the id of each window's first pair.
 
-    Every window is shifted by one and masked labels go. ``size`` keeps the
-    first entries only.
+    Every window is shifted by one and masked labels go. Ids are gap-free in
+    window order: offsets within a batch, plus the offset of the batch.
+    ``windows`` should be a written table, as it is read twice.
     """
     shifted = F.zip_with(
         _shifted_labels(),
         F.sequence(F.lit(0), F.size("labels") - 2),
         lambda token, pos: F.struct(pos.alias("pos"), token.alias("token")),
     )
-    pairs = windows.withColumn("_pairs", F.filter(shifted, lambda p: p["token"] != MASK)).withColumn(
-        "_n", F.size("_pairs").cast("bigint")
+    counted = windows.select(
+        "batch_id", "window_idx", F.size(F.filter(_shifted_labels(), lambda x: x != MASK)).cast("bigint").alias("_n")
     )
-    totals = pairs.groupBy("batch_id").agg(F.sum("_n").alias("_n"))
+    totals = counted.groupBy("batch_id").agg(F.sum("_n").alias("_n"))
     starts = exclusive_prefix(totals, "batch_id", "_n", "_batch_start").select("batch_id", "_batch_start")
     before = Window.partitionBy("batch_id").orderBy("window_idx").rowsBetween(Window.unboundedPreceding, -1)
-    out = (
-        pairs.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    firsts = (
+        counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .join(starts, "batch_id")
+        .select("batch_id", "window_idx", (F.col("_batch_start") + F.col("_before")).cast("bigint").alias("first_entry"))
+    )
+    return windows.join(firsts, ["batch_id", "window_idx"]).withColumn(
+        "pairs", F.filter(shifted, lambda p: p["token"] != MASK)
+    )
+
+
+def next_token_pairs(windows: DataFrame, size: int | None = None) -> DataFrame:
+    """(context position, next token) rows with gap-free ids; ``size`` keeps the first ones."""
+    out = (
+        number_windows(windows)
+        .select("batch_id", "window_idx", "first_entry", F.posexplode("pairs").alias("_k", "_pair"))
         .select(
-            "batch_id",
-            "window_idx",
-            "input_ids",
-            (F.col("_batch_start") + F.col("_first")).alias("_first"),
-            F.posexplode("_pairs").alias("_k", "_pair"),
-        )
-        .select(
-            (F.col("_first") + F.col("_k")).cast("bigint").alias("entry_id"),
+            (F.col("first_entry") + F.col("_k")).alias("entry_id"),
             "batch_id",
             "window_idx",
             F.col("_pair.pos").alias("pos"),
-            "input_ids",
             F.col("_pair.token").alias("token"),
         )
     )
     return out if size is None else out.where(F.col("entry_id") < size)
 
 
-def context_keys(pairs: DataFrame, dim: int = 16, context: int = 4) -> DataFrame:
+def context_keys(numbered: DataFrame, dim: int = 16, context: int = 4) -> DataFrame:
     """The default encoder: a hashed bag of the last context tokens.
 
-    Token t places back adds 2**-t to dimension ``token mod dim``. A real
-    encoder is plugged in through ``plugins.encode``.
+    The token t places back adds 2**-t to dimension ``token mod dim``. It takes
+    numbered windows, one row each, and returns ``entry_id, key, token``; a real
+    encoder does the same with a model's hidden states.
     """
-    recent = F.reverse(
-        F.slice("input_ids", F.greatest(F.col("pos") - (context - 2), F.lit(1)), F.least(F.col("pos") + 1, F.lit(context)))
-    )
-    weights = F.array(*[F.lit(2.0**-t) for t in range(context)])
-    key = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda d: F.aggregate(
-            F.zip_with(recent, weights, lambda t, w: F.when(F.pmod(t, F.lit(dim)) == d, w).otherwise(F.lit(0.0))),
-            F.lit(0.0),
-            lambda acc, x: acc + x,
-        ).cast("float"),
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if not row["pairs"]:
+                    continue
+                ids = np.asarray(row["input_ids"])
+                pos = np.array([p["pos"] for p in row["pairs"]])
+                key = np.zeros((len(pos), dim), dtype=np.float32)
+                for t in range(context):
+                    known = np.nonzero(pos >= t)[0]
+                    np.add.at(key, (known, ids[pos[known] - t] % dim), np.float32(2.0**-t))
+                offsets = pa.array(np.arange(0, key.size + 1, dim), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(row["first_entry"] + np.arange(len(pos)), pa.int64()),
+                        pa.ListArray.from_arrays(offsets, pa.array(key.ravel())),
+                        pa.array([p["token"] for p in row["pairs"]], pa.int32()),
+                    ],
+                    names=["entry_id", "key", "token"],
+                )
+
+    return numbered.select("first_entry", "input_ids", "pairs").mapInArrow(
+        run, "entry_id bigint, key array<float>, token int"
     )
-    return pairs.select("entry_id", key.alias("key"), "token")
 
 
 def build_datastore(
     texts: DataFrame,
     vocab: DataFrame | None = None,
-    encoder=None,
+    encoder: Callable[[DataFrame], DataFrame] = context_keys,
     block: int = 1024,
     stride: int = 512,
     batch_size: int = 1000,
     size: int | None = None,
     ident: str = "doc_id",
 ) -> DataFrame:
-    """Corpus -> tokens -> windows -> pairs -> ``entry_id, key, token``."""
-    vocab = build_vocab(texts) if vocab is None else vocab
-    windows = sliding_windows(tokenize(texts, vocab, ident), block, stride, batch_size, ident=ident)
-    pairs = next_token_pairs(windows, size)
-    return (encoder or context_keys)(pairs)
+    """Corpus -> tokens -> windows -> pairs -> ``entry_id, key, token``.
+
+    The vocabulary and the windows are written on the way, as both are read
+    more than once.
+    """
+    vocab = materialize(build_vocab(texts), "vocab") if vocab is None else vocab
+    windows = materialize(
+        sliding_windows(tokenize(texts, vocab, ident), block, stride, batch_size, ident=ident), "windows"
+    )
+    store = encoder(number_windows(windows))
+    return store if size is None else store.where(F.col("entry_id") < size)
 
 
 def truncate_datastore(keys: DataFrame, n: int) -> DataFrame:

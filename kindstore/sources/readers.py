@@ -11,6 +11,20 @@ from kindstore.functions.scalars import nan_to_null
 from kindstore.operators.texts import normalize_texts
 
 
+def read_table(spark: SparkSession, path: str, *columns: str, spread: str | None = None) -> DataFrame:
+    """Parquet columns; a table of few splits is spread over the cores by a key.
+
+    A single small row group is one split, hence one task for whatever follows.
+    Tables with a split for every core are read where they lie, unshuffled.
+    """
+    df = spark.read.parquet(path)
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    if spread is not None and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, spread)
+    return df
+
+
 def read_prompts(spark: SparkSession, path: str, schema: T.StructType = schemas.PROMPTS, flatten: bool = True) -> DataFrame:
     """JSON lines of prompts; a ``prompt`` record is flattened, other files stay as they are."""
     df = spark.read.schema(schema).json(path)
