@@ -327,7 +327,8 @@ def pq_train(
 
     def fit(table: pa.Table) -> pa.Table:
         points = matrix(table.sort_by([("_order", "ascending"), ("entry_id", "ascending")]).column("codeword"))
-        centres = points[:codes].copy()
+        _, firsts = np.unique(points, axis=0, return_index=True)
+        centres = points[np.resize(np.sort(firsts), min(codes, len(points)))].copy()
         for _ in range(rounds):
             gaps = (points**2).sum(1)[:, None] - 2 * points @ centres.T + (centres**2).sum(1)[None]
             owner = gaps.argmin(1)
