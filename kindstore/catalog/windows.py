@@ -162,8 +162,9 @@ def line_blocks(t):
 part(
     "recent",
     """
-SELECT c.entry_id, c.token, c.o - 1 - p.o AS back, p.token AS context
-FROM pairs c JOIN window_places p ON p.batch_id = c.batch_id AND p.window_idx = c.window_idx AND p.o BETWEEN c.o - 4 AND c.o - 1""",
+SELECT c.entry_id, c.token, b.back - 1 AS back, p.token AS context
+FROM pairs c CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS back) b
+JOIN window_places p ON p.batch_id = c.batch_id AND p.window_idx = c.window_idx AND p.o = c.o - b.back""",
 )
 part(
     "encoded",

@@ -44,16 +44,18 @@ def _emit(query_ids, store, top: TopK) -> pa.RecordBatch:
 
 def _search(tops: dict, query_rows: np.ndarray, k: Amount, metric: str, batch) -> None:
     """Feed one Arrow batch of keys to the running top-k of each store."""
-    stores = np.array(batch.column("store").to_pylist(), dtype=object)
+    column = batch.column("store")
+    column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).dictionary_encode()
+    names, places = column.dictionary.to_pylist(), np.asarray(column.indices)
     keys = matrix(batch.column("key")) if metric != "pq" else matrix(batch.column("key")).astype(np.int64)
     ids, tokens = np.asarray(batch.column("entry_id")), np.asarray(batch.column("token"))
-    for store in sorted(set(stores)):
+    for number, store in enumerate(names):
         wanted = _per_store(k, store)
         if wanted < 1:
             continue
         if store not in tops:
             tops[store] = TopK(query_rows, wanted, metric)
-        rows = stores == store
+        rows = places == number
         tops[store].add(keys[rows], ids[rows], tokens[rows])
 
 
@@ -373,7 +375,8 @@ def pq_encode(keys: DataFrame, codebooks: DataFrame) -> DataFrame:
                 top = TopK(parts[:, s, :], 1)
                 top.add(book, numbers, numbers)
                 codes[:, s] = top.ids
-            yield batch.append_column("codes", pa.array(codes.tolist(), pa.list_(pa.int32())))
+            offsets = pa.array(np.arange(0, codes.size + 1, len(books)), pa.int32())
+            yield batch.append_column("codes", pa.ListArray.from_arrays(offsets, pa.array(codes.ravel())))
 
     return keys.mapInArrow(run, schema)
 

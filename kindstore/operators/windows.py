@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,6 +211,35 @@ def next_token_pairs(windows: DataFrame, size: int | None = None) -> DataFrame:
     return out if size is None else out.where(F.col("entry_id") < size)
 
 
+WINDOWS_PER_CHUNK = 256
+
+
+def _hashed_context(part: pa.RecordBatch, dim: int, context: int) -> pa.RecordBatch:
+    """Keys of all pairs of a few windows at once."""
+    windows, pairs = part.column("input_ids"), part.column("pairs")
+    flat = windows.flatten().to_numpy()
+    width = np.asarray(pc.list_value_length(windows))
+    starts = np.concatenate([[0], np.cumsum(width)[:-1]])
+    n = np.asarray(pc.list_value_length(pairs))
+    row = np.repeat(np.arange(part.num_rows), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    fields = pairs.flatten()
+    pos = fields.field("pos").to_numpy()
+    key = np.zeros((len(row), dim), dtype=np.float32)
+    for t in range(context):
+        known = np.nonzero(pos >= t)[0]
+        tokens = flat[starts[row[known]] + pos[known] - t]
+        key[known, tokens % dim] += np.float32(2.0**-t)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(part.column("first_entry").to_numpy()[row] + place, pa.int64()),
+            pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, dim), pa.int32()), pa.array(key.ravel())),
+            fields.field("token"),
+        ],
+        names=["entry_id", "key", "token"],
+    )
+
+
 def context_keys(numbered: DataFrame, dim: int = 16, context: int = 4) -> DataFrame:
     """The default encoder: a hashed bag of the last context tokens.
 
@@ -220,24 +250,9 @@ def context_keys(numbered: DataFrame, dim: int = 16, context: int = 4) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                if not row["pairs"]:
-                    continue
-                ids = np.asarray(row["input_ids"])
-                pos = np.array([p["pos"] for p in row["pairs"]])
-                key = np.zeros((len(pos), dim), dtype=np.float32)
-                for t in range(context):
-                    known = np.nonzero(pos >= t)[0]
-                    np.add.at(key, (known, ids[pos[known] - t] % dim), np.float32(2.0**-t))
-                offsets = pa.array(np.arange(0, key.size + 1, dim), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["first_entry"] + np.arange(len(pos)), pa.int64()),
-                        pa.ListArray.from_arrays(offsets, pa.array(key.ravel())),
-                        pa.array([p["token"] for p in row["pairs"]], pa.int32()),
-                    ],
-                    names=["entry_id", "key", "token"],
-                )
+            for start in range(0, batch.num_rows, WINDOWS_PER_CHUNK):
+                part = batch.slice(start, WINDOWS_PER_CHUNK)
+                yield _hashed_context(part, dim, context)
 
     return numbered.select("first_entry", "input_ids", "pairs").mapInArrow(
         run, "entry_id bigint, key array<float>, token int"
