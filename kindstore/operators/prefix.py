@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Ids per group at each level: few where rows carry texts, a million where they are two numbers.
+WIDE, NARROW = (12, 20), (20,)
+
 
 def exclusive_prefix(
-    counts: DataFrame, ident: str, amount: str, out: str = "offset", bits: tuple[int, ...] = (12, 20)
+    counts: DataFrame, ident: str, amount: str, out: str = "offset", bits: tuple[int, ...] = WIDE
 ) -> DataFrame:
     """Add the sum of ``amount`` over all rows with a smaller ``ident``.
 

@@ -13,10 +13,9 @@ SMALL_CHARS = 64_000_000
 def is_small(lookup: DataFrame, rows: int | None = None, chars: int | None = None) -> bool:
     """Whether a table is proven small enough to broadcast: rows and text are counted."""
     rows, chars = SMALL_ROWS if rows is None else rows, SMALL_CHARS if chars is None else chars
-    if lookup.limit(rows + 1).count() > rows:
-        return False
     texts = [F.coalesce(F.sum(F.length(c)), F.lit(0)) for c, t in lookup.dtypes if t == "string"]
-    return not texts or lookup.agg(sum(texts[1:], texts[0]).alias("chars")).first()["chars"] <= chars
+    size = lookup.agg(F.count("*").alias("rows"), sum(texts, F.lit(0)).alias("chars")).first()
+    return size["rows"] <= rows and size["chars"] <= chars
 
 
 def lookup_join(left: DataFrame, lookup: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindstore.functions.scalars import strip_whitespace
-from kindstore.operators.prefix import exclusive_prefix
+from kindstore.operators.prefix import NARROW, exclusive_prefix
 from kindstore.schemas import ATTRIBUTES
 
 
@@ -43,7 +43,7 @@ def flatten_generations(df: DataFrame, column: str = "generations", n: int | Non
     texts = normalize_texts(df, column)
     if n is None:
         sizes = texts.select("prompt_idx", F.size(column).cast("bigint").alias("_n"))
-        starts = exclusive_prefix(sizes, "prompt_idx", "_n", "_start").select("prompt_idx", "_start")
+        starts = exclusive_prefix(sizes, "prompt_idx", "_n", "_start", NARROW).select("prompt_idx", "_start")
         texts = texts.join(starts, "prompt_idx")
     else:
         texts = texts.withColumn("_start", F.col("prompt_idx") * n)
