@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from kindstore.llm.bpe import round_trip
 from kindstore.llm.exact import exact_groups
+from kindstore.llm.lengths import length_histogram, suffix_sums
 from kindstore.llm.registry import ORACLES, QUERIES, query, table
+from kindstore.session import materialize
 
 __all__ = ["ORACLES", "QUERIES"]
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+@query("op4_byte_bpe")
+def op4(spark, folder):
+    path = public_tokenizers.path(RANKS)
+    return round_trip(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
 
 @query(
     "op8_exact_dedup",
@@ -22,3 +35,10 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 )
 def op8(spark, folder):
     return exact_groups(table(spark, folder, "documents"))
+
+
+@query("op9_token_counts")
+def op9(spark, folder):
+    path = public_tokenizers.path(RANKS)
+    histogram = length_histogram(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    return suffix_sums(materialize(histogram, "length-histogram"))
