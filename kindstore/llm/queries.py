@@ -8,6 +8,7 @@ from kindstore.llm.bpe import round_trip
 from kindstore.llm.exact import exact_groups
 from kindstore.llm.lengths import length_histogram, suffix_sums
 from kindstore.llm.registry import ORACLES, QUERIES, query, table
+from kindstore.llm.simhash import near_groups
 from kindstore.session import materialize
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -42,3 +43,8 @@ def op9(spark, folder):
     path = public_tokenizers.path(RANKS)
     histogram = length_histogram(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
     return suffix_sums(materialize(histogram, "length-histogram"))
+
+
+@query("op5_simhash")
+def op5(spark, folder):
+    return near_groups(table(spark, folder, "documents"))
