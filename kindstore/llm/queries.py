@@ -7,6 +7,7 @@ import public_tokenizers
 from kindstore.llm.bpe import round_trip
 from kindstore.llm.exact import exact_groups
 from kindstore.llm.lengths import length_histogram, suffix_sums
+from kindstore.llm.mixing import mix_sources
 from kindstore.llm.registry import ORACLES, QUERIES, query, table
 from kindstore.llm.simhash import near_groups
 from kindstore.session import materialize
@@ -48,3 +49,48 @@ def op9(spark, folder):
 @query("op5_simhash")
 def op5(spark, folder):
     return near_groups(table(spark, folder, "documents"))
+
+
+@query(
+    "op2_mix_sources",
+    r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('11:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS o
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS n,
+         1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 AS w
+  FROM d GROUP BY source
+), f AS (
+  SELECT source, n, w, 3 * n AS cap,
+         sum(n) OVER () - coalesce(sum(3 * n) OVER before, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS weight
+  FROM s WINDOW before AS (ORDER BY 3.0::DOUBLE * n / w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT rest, weight FROM f WHERE rest * w <= cap * weight ORDER BY weight DESC LIMIT 1
+), t AS (
+  SELECT source, n, CASE WHEN f.rest * w > cap * f.weight THEN CAST(cap AS DOUBLE)
+         ELSE CAST(l.rest * w AS DOUBLE) / CAST(l.weight AS DOUBLE) END AS target
+  FROM f LEFT JOIN l ON true
+), q AS (
+  SELECT source, n, target, CAST(floor(target + 0.5) AS BIGINT) AS words FROM t
+), r AS (
+  SELECT d.*, q.n, q.target, CASE WHEN n > 0 THEN words // n ELSE 0 END AS times, CASE WHEN n > 0 THEN words % n ELSE 0 END AS rest
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+), c AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY o, doc_id) AS upto FROM r WHERE size > 0
+), g AS (
+  SELECT source, max(rest) - coalesce(max(upto) FILTER (upto <= rest), 0) AS gap FROM c GROUP BY source
+), x AS (
+  SELECT c.source, min(struct_pack(gap := abs(c.size - g.gap), o := c.o)) AS best
+  FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source
+  WHERE c.upto > c.rest AND abs(c.size - g.gap) < g.gap GROUP BY c.source
+)
+SELECT r.doc_id, r.size, r.n AS source_size, r.target,
+       CAST(r.size * (r.times + CASE WHEN c.upto <= c.rest OR c.o = x.best.o THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r LEFT JOIN c ON r.doc_id = c.doc_id LEFT JOIN x ON r.source IS NOT DISTINCT FROM x.source
+""",
+)
+def op2(spark, folder):
+    mixed = mix_sources(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
