@@ -9,6 +9,7 @@ from kindstore.llm.exact import exact_groups
 from kindstore.llm.lengths import length_histogram, suffix_sums
 from kindstore.llm.mixing import mix_sources
 from kindstore.llm.registry import ORACLES, QUERIES, query, table
+from kindstore.llm.secrets import digest_spans, scan_secrets, secrets_sql
 from kindstore.llm.simhash import near_groups
 from kindstore.session import materialize
 
@@ -94,3 +95,8 @@ FROM r LEFT JOIN c ON r.doc_id = c.doc_id LEFT JOIN x ON r.source IS NOT DISTINC
 def op2(spark, folder):
     mixed = mix_sources(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_secret_scan", secrets_sql())
+def op10(spark, folder):
+    return digest_spans(scan_secrets(table(spark, folder, "documents")))
