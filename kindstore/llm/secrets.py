@@ -235,6 +235,6 @@ f AS (SELECT * FROM b UNION ALL SELECT * FROM e1),
 e2 AS (SELECT * FROM e0 WHERE kind = 4 AND NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = e0.doc_id AND f.s < e0.e AND e0.s < f.e)),
 u AS (SELECT * FROM f UNION ALL SELECT * FROM e2)
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
-       sha256(coalesce({listed} FILTER (kind < {len(BASE)}), '')) AS base_sha256, coalesce({listed}, '') AS spans
+       sha256(coalesce({listed} FILTER (kind < {len(BASE)}), '')) AS base_sha256, coalesce({listed} FILTER (kind >= 0), '') AS spans
 FROM d LEFT JOIN u ON d.doc_id = u.doc_id GROUP BY d.doc_id
 """
