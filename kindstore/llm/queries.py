@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from kindstore.llm.bpe import round_trip
 from kindstore.llm.exact import exact_groups
+from kindstore.llm.language import fit_language, held_out, predict_language
 from kindstore.llm.lengths import length_histogram, suffix_sums
 from kindstore.llm.mixing import mix_sources
+from kindstore.llm.quality import fit_quality, quality_rules
 from kindstore.llm.registry import ORACLES, QUERIES, query, table
 from kindstore.llm.secrets import digest_spans, scan_secrets, secrets_sql
 from kindstore.llm.simhash import near_groups
@@ -100,3 +103,16 @@ def op2(spark, folder):
 @query("op10_secret_scan", secrets_sql())
 def op10(spark, folder):
     return digest_spans(scan_secrets(table(spark, folder, "documents")))
+
+
+@query("op6_language")
+def op6(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = predict_language(docs.select("doc_id", "text"), fit_language(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op1_quality_rules")
+def op1(spark, folder):
+    docs = table(spark, folder, "documents")
+    return quality_rules(docs, fit_quality(docs, table(spark, folder, "labels")))
