@@ -14,6 +14,8 @@ from kindstore.llm.quality import fit_quality, quality_rules
 from kindstore.llm.registry import ORACLES, QUERIES, query, table
 from kindstore.llm.secrets import digest_spans, scan_secrets, secrets_sql
 from kindstore.llm.simhash import near_groups
+from kindstore.llm.toxicity import fit_toxicity, score_toxicity
+from kindstore.llm.toxicity import held_out as toxicity_held_out
 from kindstore.session import materialize
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -116,3 +118,16 @@ def op6(spark, folder):
 def op1(spark, folder):
     docs = table(spark, folder, "documents")
     return quality_rules(docs, fit_quality(docs, table(spark, folder, "labels")))
+
+
+@query("op7_toxicity")
+def op7(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = score_toxicity(docs, fit_toxicity(docs, table(spark, folder, "labels")))
+    return found.select(
+        "doc_id",
+        toxicity_held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
