@@ -16,6 +16,11 @@ WORDS = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 21
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The same rows with columns named by position, so that no name clashes."""
+    return df.toDF(*[f"_column{i}" for i in range(len(df.columns))])
+
+
 def narrow(df: DataFrame, **wanted: str) -> DataFrame:
     """The wanted columns under private names: ``narrow(df, _id="doc_id")``.
 
@@ -23,7 +28,7 @@ def narrow(df: DataFrame, **wanted: str) -> DataFrame:
     with the same name in another case, dots or repeated names do no harm.
     """
     names = df.columns
-    plain = df.toDF(*[f"_column{i}" for i in range(len(names))])
+    plain = numbered(df)
 
     def place(name: str) -> int:
         for found in (names, [n.lower() for n in names]):
@@ -37,7 +42,7 @@ def narrow(df: DataFrame, **wanted: str) -> DataFrame:
 def keep_where(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
     """The rows of ``df``, all columns, whose key is in ``wanted`` (null keys match null)."""
     names = df.columns
-    plain = df.toDF(*[f"_column{i}" for i in range(len(names))])
+    plain = numbered(df)
     left = F.col(f"_column{names.index(key)}")
     right = wanted.select(F.col(wanted_key).alias("_wanted"))
     return plain.join(right, left.eqNullSafe(F.col("_wanted")), "left_semi").toDF(*names)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from kindstore.llm.base import id_checksum, large_strings, text_chunks
+from kindstore.llm.base import id_checksum, large_strings, numbered, text_chunks
 from kindstore.llm.linear import (
     Grams,
     bounded_sample,
@@ -135,17 +135,10 @@ def fit_language(
     return LanguageModel(labels, found, np.arange(len(keys)) % 5)
 
 
-def predict_language(df: DataFrame, model: LanguageModel | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """All columns of ``df`` with the predicted language and a score in 0 to 1.
-
-    Whole texts are scored in Arrow batches, lower-cased, as means of the weights
-    of their byte n-grams; nothing is shuffled. A text that is null or has no
-    letter, and every text if the model is None, is ``und`` with score 0. Existing
-    columns named like the new ones are replaced.
-    """
-    names = [c for c in df.columns if c.lower() not in (lang_out.lower(), score_out.lower())]
-    place = names.index(text_col)
-    plain = df.select(*[F.col(f"`{c}`").alias(f"_column{i}") for i, c in enumerate(names)])
+def _predicted(df: DataFrame, model: LanguageModel | None, text_col: str) -> DataFrame:
+    """The numbered columns of ``df``, then ``_lang`` and ``_score``."""
+    place = df.columns.index(text_col)
+    plain = numbered(df)
     schema = StructType([*plain.schema.fields]).add("_lang", "string").add("_score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,4 +156,27 @@ def predict_language(df: DataFrame, model: LanguageModel | None, text_col: str =
                 columns = [*part.columns, pa.array(lang.tolist(), pa.string()), pa.array(np.where(known, score, 0.0))]
                 yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "_lang", "_score"])
 
-    return plain.mapInArrow(run, schema).toDF(*names, lang_out, score_out)
+    return plain.mapInArrow(run, schema)
+
+
+def predict_language(
+    df: DataFrame, model: LanguageModel | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score"
+) -> DataFrame:
+    """All columns of ``df`` with the predicted language and a score in 0 to 1.
+
+    Whole texts are scored in Arrow batches, lower-cased, as means of the weights
+    of their byte n-grams; nothing is shuffled. Defined cases: a text that is null
+    or has no letter, and every text if the model is None, is ``und`` with score 0;
+    null ids and repeated rows are predicted each; columns named like the new ones
+    are replaced; no rows give none.
+    """
+    found = _predicted(df, model, text_col)
+    kept = [i for i, c in enumerate(df.columns) if c.lower() not in (lang_out.lower(), score_out.lower())]
+    columns = [*[F.col(f"_column{i}") for i in kept], F.col("_lang"), F.col("_score")]
+    return found.select(*columns).toDF(*[df.columns[i] for i in kept], lang_out, score_out)
+
+
+def with_language(df: DataFrame, model: LanguageModel | None, text_col: str = "text", least_score: float = 0.0) -> DataFrame:
+    """The rows whose text has a language, with a score of ``least_score`` at least; columns unchanged."""
+    found = _predicted(df, model, text_col).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least_score))
+    return found.drop("_lang", "_score").toDF(*df.columns)

@@ -9,6 +9,7 @@ from kindstore.llm.bpe import round_trip
 from kindstore.llm.exact import exact_groups
 from kindstore.llm.language import fit_language, held_out, predict_language
 from kindstore.llm.lengths import length_histogram, suffix_sums
+from kindstore.llm.linededup import dedup_lines
 from kindstore.llm.mixing import mix_sources
 from kindstore.llm.quality import fit_quality, quality_rules
 from kindstore.llm.registry import ORACLES, QUERIES, query, table
@@ -131,3 +132,16 @@ def op7(spark, folder):
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.size("passages").alias("n_passages"),
     )
+
+
+@query("op3_line_dedup")
+def op3(spark, folder):
+    found = dedup_lines(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        "n_lines",
+        F.size("deleted_lines").cast("bigint").alias("n_deleted"),
+        F.array_join("deleted_lines", ",").alias("deleted_lines"),
+        "copied_from",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
