@@ -2,22 +2,61 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-
-from kindstore.llm.base import keep_where
+from kindstore.llm.base import keep_where, numbered
+from kindstore.llm.bpe import round_trip
 from kindstore.llm.exact import exact_groups
+from kindstore.llm.language import fit_language, with_language
+from kindstore.llm.mixing import mix_sources
 from kindstore.llm.registry import table
+from kindstore.llm.simhash import near_groups
 from kindstore.session import materialize
 
+LEAST_SCORE = 0.2
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: those without a letter, or with a hopeless score, go."""
+    return with_language(docs, fit_language(docs), least_score=LEAST_SCORE)
+
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, the one with the smallest id."""
     return keep_where(docs, "doc_id", exact_groups(docs).where("kept"), "doc_id")
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies, the one with the smallest id."""
+    groups = near_groups(docs)
+    return keep_where(docs, "doc_id", groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), "doc_id")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once, or repeated."""
+    taken = mix_sources(docs).where("taken > 0")
+    times = taken.select(F.col("doc_id").alias("_taken_id"), F.expr("int(taken div size)").alias("_times"))
+    plain = numbered(docs)
+    ident = F.col(f"_column{docs.columns.index('doc_id')}")
+    joined = plain.join(times.dropDuplicates(["_taken_id"]), ident.eqNullSafe(F.col("_taken_id")))
+    copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times")))
+    return copies.select(*plain.columns).toDF(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and of what they decode to, as digests."""
+    return round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 STAGES = [
+    ("language", language),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mix", mix),
+    ("encode", encode),
 ]
 
 # Language models and byte-pair merges are not SQL; tests/llm compares with a brute-force version.
