@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, islice
 
 import numpy as np
@@ -175,6 +175,11 @@ def encode_documents(
     return rows.mapInArrow(run, f"_id {kind}, ids binary").select(F.col("_id").alias(id_col), "ids")
 
 
+def decode(ids: bytes, token: Callable[[int], bytes]) -> bytes:
+    """The bytes of packed ids, by the inverse mapping."""
+    return b"".join(map(token, np.frombuffer(ids, "<u4").tolist()))
+
+
 def decode_documents(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """The bytes of encoded documents, by the inverse mapping: ``id_col`` and ``decoded`` (binary).
 
@@ -190,9 +195,7 @@ def decode_documents(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                decoded = [
-                    b"".join(map(token, np.frombuffer(ids.as_py() or b"", "<u4").tolist())) for ids in part.column(1)
-                ]
+                decoded = [decode(ids.as_py() or b"", token) for ids in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(decoded, pa.binary())], ["_id", "decoded"])
 
     return rows.mapInArrow(run, f"_id {kind}, decoded binary").select(F.col("_id").alias(id_col), "decoded")
@@ -201,18 +204,29 @@ def decode_documents(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids
 def round_trip(
     df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Encode, decode and digest: ``id_col``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``."""
-    encoded = encode_documents(df, ranks_path, pattern, id_col, text_col).select(
-        F.struct(
-            F.col(id_col).alias("id"),
-            F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"),
-            F.sha2("ids", 256).alias("ids_sha256"),
-        ).alias("_row"),
-        "ids",
-    )
-    return decode_documents(encoded, ranks_path, "_row", "ids").select(
-        F.col("_row.id").alias(id_col),
-        "_row.n_tokens",
-        "_row.ids_sha256",
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+    """Encode, decode the ids and digest both: ``id_col``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
+
+    The same as ``encode_documents`` and ``decode_documents`` one after the other, in
+    one Python worker instead of two. Defined cases as there.
+    """
+    ranks = read_ranks(ranks_path)
+    model = model_bytes(ranks)
+    rows = narrow(df, _id=id_col, _text=text_col)
+    kind = rows.schema["_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(ranks, model, pattern)
+        token = {rank: raw for raw, rank in ranks.items()}.__getitem__
+        for batch in batches:
+            for begin, texts in _groups(batch.column(1)):
+                ids = encoder.encode(texts)
+                decoded = [decode(x, token) for x in ids]
+                columns = [batch.column(0).slice(begin, len(texts)), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "_ids", "_decoded"])
+
+    return rows.mapInArrow(run, f"_id {kind}, _ids binary, _decoded binary").select(
+        F.col("_id").alias(id_col),
+        F.expr("octet_length(_ids) div 4").cast("bigint").alias("n_tokens"),
+        F.sha2("_ids", 256).alias("ids_sha256"),
+        F.sha2("_decoded", 256).alias("decoded_sha256"),
     )
