@@ -140,7 +140,9 @@ def copied_lines(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     posts = materialize(posts, "line-postings")
     doc = F.struct(*_DOC)
     firsts = posts.groupBy("_line").agg(F.min(doc).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    pairs = posts.join(firsts.select("_line", "_first"), "_line").where(doc > F.col("_first"))
+    # Written, so that both sides of the join are plain shuffles, of which Spark can split a hot line.
+    firsts = materialize(firsts.select("_line", "_first"), "line-firsts")
+    pairs = posts.join(firsts, "_line").where(doc > F.col("_first"))
     pairs = pairs.groupBy(*_DOC, "_first").agg(F.sum("_count").alias("_shared")).where(F.col("_shared") >= least_words)
     pairs = materialize(pairs.select(*_DOC, "_first"), "line-pairs")
     texts = rows.dropDuplicates(list(_DOC))
