@@ -237,12 +237,12 @@ def conditional_perplexity(t):
 SELECT mode, {r6("avg(ppl)", "perplexity")} FROM (
   SELECT mode, prompt_idx FROM (
     SELECT mode, prompt_idx, row_number() OVER (PARTITION BY mode ORDER BY md5('42:'||prompt_idx), prompt_idx) AS r FROM by_mode)
-  WHERE r <= 20 AND mode IN (
+  WHERE mode IN (
     SELECT a.mode FROM mode_sizes a WHERE NOT EXISTS (SELECT 1 FROM mode_sizes b WHERE b.place < a.place AND b.n = a.n)))
 LEFT JOIN (SELECT * FROM generation_ppl WHERE ppl < 10000) USING (prompt_idx) GROUP BY mode""",
 )
 def perplexity_by_mode(t):
-    return rounded(metrics.perplexity_by_mode(_logprobs(t), t.prompts, sample=20))
+    return rounded(metrics.perplexity_by_mode(_logprobs(t), t.prompts))
 
 
 @query("corpus_perplexity", f"SELECT {r6('exp(-avg(logp))', 'perplexity')} FROM token_logprobs")

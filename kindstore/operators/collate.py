@@ -11,11 +11,13 @@ from kindstore.schemas import ATTRIBUTES
 
 
 def best_scores(unpacked: DataFrame) -> DataFrame:
-    """One row per request; a repeated request keeps its filled-in answer.
+    """One row per request; of repeated answers the fullest one is kept whole.
 
-    Per-attribute maxima hash-aggregate, and unused attributes are pruned.
+    Among equally full answers the largest by attribute order is taken.
     """
-    return unpacked.groupBy("request_id").agg(*[F.max(a).alias(a) for a in ATTRIBUTES])
+    filled = sum((F.col(a).isNotNull().cast("int") for a in ATTRIBUTES), F.lit(0))
+    best = F.max(F.struct(filled.alias("_filled"), *ATTRIBUTES)).alias("_best")
+    return unpacked.groupBy("request_id").agg(best).select("request_id", *[F.col(f"_best.{a}").alias(a) for a in ATTRIBUTES])
 
 
 def collate_flat(generations: DataFrame, scores: DataFrame) -> DataFrame:

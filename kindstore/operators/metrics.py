@@ -138,12 +138,12 @@ def conditional_perplexity(token_logprobs: DataFrame, cap: float = 1e4) -> DataF
 def perplexity_by_mode(
     token_logprobs: DataFrame,
     prompts: DataFrame,
-    sample: int = 1000,
+    sample: int | None = None,
     seed: int = 42,
     threshold: float = 0.5,
     cap: float = 1e4,
 ) -> DataFrame:
-    """Mean perplexity per mode over at most ``sample`` prompts of the mode.
+    """Mean perplexity per mode over its prompts, or at most ``sample`` of them.
 
     A mode with as many prompts as an earlier one is skipped, and a mode
     without prompts gives no row.
@@ -159,14 +159,11 @@ def perplexity_by_mode(
         keep.append(F.when(fresh & (F.col(mode) > 0), F.lit(mode)))
     wanted = sizes.select(F.explode(F.array_compact(F.array(*keep))).alias("mode"))
 
-    order = Window.partitionBy("mode").orderBy(seed_order(seed, F.col("prompt_idx")), "prompt_idx")
-    chosen = (
-        prompt_modes(prompts, threshold=threshold)
-        .select("prompt_idx", "mode")
-        .withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= sample)
-        .join(F.broadcast(wanted), "mode", "left_semi")
-    )
+    chosen = prompt_modes(prompts, threshold=threshold).select("prompt_idx", "mode")
+    if sample is not None:
+        order = Window.partitionBy("mode").orderBy(seed_order(seed, F.col("prompt_idx")), "prompt_idx")
+        chosen = chosen.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample).drop("_rank")
+    chosen = chosen.join(F.broadcast(wanted), "mode", "left_semi")
     scores = generation_perplexity(token_logprobs).where(F.col("perplexity") < cap)
     per_mode = chosen.join(scores, "prompt_idx", "left").groupBy("mode")
     return per_mode.agg(F.avg("perplexity").alias("perplexity"))

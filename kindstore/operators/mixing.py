@@ -80,7 +80,9 @@ def patch_floor(df: DataFrame, floor: float = FLOOR, scope: str = "batch") -> Da
 
 
 def interpolate(lm: DataFrame, knn: DataFrame, lmbda: float = 0.25) -> DataFrame:
-    """ln((1 - l) p_lm + l p_knn)."""
+    """ln((1 - l) p_lm + l p_knn); with l = 0 or 1 one side alone."""
+    if lmbda in (0, 1):
+        return (knn if lmbda else lm).select("query_id", "token", "logp")
     a = lm.select("query_id", "token", (F.col("logp") + math.log(1 - lmbda)).alias("_a"))
     b = knn.select("query_id", "token", (F.col("logp") + math.log(lmbda)).alias("_b"))
     return a.join(b, ["query_id", "token"], "full").select(

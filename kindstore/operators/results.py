@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -165,7 +166,8 @@ def grid(*, k: Sequence[int], other_k: Sequence[int] | int, alpha: tuple[float,
     if len(others) != len(k):
         raise ValueError("both lists of k need the same length")
     low, high, step = alpha
-    alphas = [low + i * step for i in range(int(round((high - low) / step)) + 1)]
+    # Up to the end, and one step past it where the step does not divide the range.
+    alphas = [low + i * step for i in range(math.ceil((high - low) / step - 1e-9) + 1)]
     return [(a, b, float(x)) for a, b in zip(k, others) for x in alphas]
 
 

@@ -208,9 +208,9 @@ def neighbour_context(neighbours: DataFrame, store: DataFrame, tokens: int = 30,
 
 
 def ivf_train(
-    keys: DataFrame, cells: int = 4096, sample: int = 1_000_000, seed: int = 1, method: str = "kmeans"
+    keys: DataFrame, cells: int = 4096, fraction: float | None = None, seed: int = 1, method: str = "kmeans"
 ) -> DataFrame:
-    """``cell, centroid`` from a seeded sample of the keys.
+    """``cell, centroid`` of all keys, or of a seeded ``fraction`` of them if one is given.
 
     ``kmeans`` runs Spark's distributed k-means; ``sample`` takes the first
     keys in seeded order as centroids, which SQL can repeat.
@@ -227,11 +227,10 @@ def ivf_train(
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    total = keys.count()
     rows = keys.select("entry_id", "key")
-    if total > sample:
+    if fraction is not None:
         # Rows whose hash lies below the wanted share: no sort of the store.
-        share = int(min(1.0, sample / total) * (1 << 24))
+        share = int(fraction * (1 << 24))
         rows = rows.where(F.conv(F.substring(order, 1, 6), 16, 10).cast("bigint") < share)
     vectors = rows.select(array_to_vector(F.col("key").cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=20).fit(vectors)
@@ -288,26 +287,28 @@ def ivf_search(
 
 MAX_CODES = 256
 
+START_KEYS = 16
+
 
 def pq_train(
     keys: DataFrame,
     subspaces: int = 64,
     codes: int = 256,
-    sample: int = 100_000,
     seed: int = 1,
     method: str = "kmeans",
     rounds: int = 15,
 ) -> DataFrame:
-    """Codebooks ``subspace, code, codeword`` from a bounded seeded sample.
+    """Codebooks ``subspace, code, codeword`` of all keys.
 
-    One task per subspace sees at most ``sample`` short vectors, whatever the
-    size of the store.
+    ``sample`` takes the first ``codes`` keys in seeded order. ``kmeans`` begins with
+    such keys and runs ``rounds`` of Lloyd's algorithm over every key: each task assigns its keys to the broadcast codebooks and
+    returns one sum a code, and Spark adds the sums of the tasks. The driver holds
+    codebooks only.
     """
     if codes > MAX_CODES:
         raise ValueError(f"at most {MAX_CODES} codes")
     order = seed_order(seed, F.col("entry_id"))
-    wanted = codes if method == "sample" else sample
-    chosen = keys.orderBy(order, "entry_id").limit(wanted).select(
+    chosen = keys.orderBy(order, "entry_id").limit(codes).select(
         "entry_id", order.alias("_order"), F.col("key").cast("array<double>").alias("_key")
     )
     width = F.floor(F.size("_key") / subspaces).cast("int")
@@ -321,33 +322,54 @@ def pq_train(
             )
         ).alias("subspace", "codeword"),
     )
+    rank = F.row_number().over(Window.partitionBy("subspace").orderBy("_order", "entry_id")) - 1
+    first = parts.select("subspace", rank.cast("int").alias("code"), "codeword")
     if method == "sample":
-        rank = F.row_number().over(Window.partitionBy("subspace").orderBy("_order", "entry_id")) - 1
-        return parts.select("subspace", rank.cast("int").alias("code"), "codeword")
+        return first
     if method != "kmeans":
         raise ValueError("method is kmeans or sample")
-
-    def fit(table: pa.Table) -> pa.Table:
-        points = matrix(table.sort_by([("_order", "ascending"), ("entry_id", "ascending")]).column("codeword"))
-        _, firsts = np.unique(points, axis=0, return_index=True)
-        centres = points[np.resize(np.sort(firsts), min(codes, len(points)))].copy()
-        for _ in range(rounds):
-            gaps = (points**2).sum(1)[:, None] - 2 * points @ centres.T + (centres**2).sum(1)[None]
-            owner = gaps.argmin(1)
-            sizes = np.bincount(owner, minlength=len(centres))
-            sums = np.zeros_like(centres)
-            np.add.at(sums, owner, points)
-            centres[sizes > 0] = sums[sizes > 0] / sizes[sizes > 0, None]
-        subspace = table.column("subspace")[0].as_py()
-        return pa.table(
-            {
-                "subspace": pa.array([subspace] * len(centres), pa.int32()),
-                "code": pa.array(range(len(centres)), pa.int32()),
-                "codeword": pa.array(centres.tolist(), pa.list_(pa.float64())),
-            }
-        )
-
-    return parts.groupBy("subspace").applyInArrow(fit, "subspace int, code int, codeword array<double>")
+    spark = keys.sparkSession
+    # Where to begin: the first different codewords among a few keys a code. Every round reads all keys.
+    begin = keys.orderBy(order, "entry_id").limit(START_KEYS * codes).select(F.col("key").cast("array<double>").alias("key"))
+    points = matrix(begin.toArrow().column("key")).astype(np.float64)
+    if not len(points):
+        return first
+    count, width = min(codes, len(points)), points.shape[1] // subspaces
+    centres = np.zeros((subspaces, count, width))
+    for s in range(subspaces):
+        part = points[:, s * width : (s + 1) * width]
+        _, firsts = np.unique(part, axis=0, return_index=True)
+        centres[s] = part[np.resize(np.sort(firsts), count)]
+    places = [(s, c) for s in range(subspaces) for c in range(count)]
+    names = ["subspace", "code", "n", "total"]
+    kinds = "subspace int, code int, n bigint, total array<double>"
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(centres)
+
+        def assign(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            books = shared.value
+            sizes, sums = np.zeros(books.shape[:2], np.int64), np.zeros(books.shape)
+            for batch in batches:
+                points = matrix(batch.column(0)).astype(np.float64)
+                for s, book in enumerate(books):
+                    part = points[:, s * book.shape[1] : (s + 1) * book.shape[1]]
+                    owner = ((book**2).sum(1)[None] - 2 * part @ book.T).argmin(1)
+                    sizes[s] += np.bincount(owner, minlength=len(book))
+                    np.add.at(sums[s], owner, part)
+            s, c = np.nonzero(sizes)
+            totals = pa.array(sums[s, c].tolist(), pa.list_(pa.float64()))
+            columns = [pa.array(s.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(sizes[s, c]), totals]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+        partial = keys.select("key").mapInArrow(assign, kinds)
+        # Sums of each number of a codeword over the tasks, put together again by place.
+        numbers = partial.select("subspace", "code", "n", F.posexplode("total").alias("place", "x"))
+        numbers = numbers.groupBy("subspace", "code", "place").agg((F.sum("x") / F.sum("n")).alias("x"))
+        for row in numbers.collect():
+            centres[row["subspace"], row["code"], row["place"]] = row["x"]
+        shared.unpersist()
+    data = [(s, c, centres[s, c].tolist()) for s, c in places]
+    return spark.createDataFrame(data, "subspace int, code int, codeword array<double>")
 
 
 def _codebook_array(codebooks: DataFrame):

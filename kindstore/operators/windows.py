@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindstore.functions.scalars import strip_whitespace, whole_div, words
-from kindstore.operators.prefix import NARROW, exclusive_prefix
+from kindstore.operators.prefix import NARROW, dense_ids, exclusive_prefix
 from kindstore.operators.skew import lookup_join
 from kindstore.session import materialize
 
@@ -92,8 +92,13 @@ def sliding_windows(
     """
     if stride > block:
         raise ValueError("stride must not exceed the block size")
-    batch = tokens.withColumn("batch_id", whole_div(F.col(ident), batch_size)).withColumn(
-        "_n", F.size("input_ids").cast("bigint")
+    # Batches go by position, so ids may have gaps; only ids are numbered.
+    places = dense_ids(tokens.select(F.col(ident).alias("_ident")), "_ident", "_place")
+    batch = (
+        tokens.join(places, F.col(ident) == F.col("_ident"))
+        .withColumn("batch_id", whole_div(F.col("_place"), batch_size))
+        .withColumn("_n", F.size("input_ids").cast("bigint"))
+        .drop("_ident", "_place")
     )
     in_order = Window.partitionBy("batch_id").orderBy(ident)
     total = F.sum("_n").over(Window.partitionBy("batch_id"))
@@ -285,9 +290,10 @@ def build_datastore(
 
 
 def truncate_datastore(keys: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` entries; asking for more than there are raises."""
-    available = keys.agg(F.count("*").alias("n")).scalar()
-    enough = F.when(available >= n, F.col("entry_id") < n).otherwise(
-        F.raise_error(F.lit(f"datastore has fewer than {n} entries")).cast("boolean")
-    )
-    return keys.where(enough)
+    """The first ``n`` entries; asking for more than there are raises at once.
+
+    Counting a written store reads footers only, and the filter reaches the scan.
+    """
+    if keys.count() < n:
+        raise ValueError(f"datastore has fewer than {n} entries")
+    return keys.where(F.col("entry_id") < n)

@@ -52,7 +52,7 @@ def continual_mixtures(
     stages, never keys.
     """
     last, wanted = max(stages), F.array(*[F.lit(i) for i in stages])
-    pairs = [(s, i, n) for i in range(last + 1) for s, n in zip(stores, (k, other_k or k))]
+    pairs = [(s, i, n) for i in range(last + 1) for s, n in zip(stores, (k, k if other_k is None else other_k))]
     label = F.concat_ws("@", "store", F.col("stage").cast("string"))
     staged = keys.where((F.col("stage") <= last) & F.col("store").isin(*stores)).withColumn("store", label)
     near = knn_exact(queries, staged, {f"{s}@{i}": n for s, i, n in pairs})
@@ -61,7 +61,7 @@ def continual_mixtures(
     later = F.explode(F.filter(wanted, lambda s: s >= since)).alias("stage")
     repeated = near.select("query_id", "entry_id", "dist", "token", "store", later).withColumn("store", kind)
     nearest = Window.partitionBy("query_id", "store", "stage").orderBy("dist", "entry_id")
-    limit = F.when(F.col("store") == stores[0], k).otherwise(other_k or k)
+    limit = F.when(F.col("store") == stores[0], k).otherwise(k if other_k is None else other_k)
     best = repeated.withColumn("_rank", F.row_number().over(nearest)).where(F.col("_rank") <= limit)
 
     key = F.struct("stage", F.col("query_id").alias("q")).alias("query_id")

@@ -66,7 +66,8 @@ def read_corpus(
 
     ``keep_linebreaks`` leaves each text line's end in place. JSON holds one
     record per line, or a list of records on one line; ``multi_line`` reads
-    records spread over lines.
+    records spread over lines. Malformed JSON raises, and without a ``text``
+    field the first one by name is the text.
     """
     fmt = fmt or path.rsplit(".", 1)[-1]
     if fmt not in FORMATS:
@@ -77,7 +78,8 @@ def read_corpus(
     if fmt == "csv":
         df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
         return df if "text" in df.columns else df.withColumnRenamed(df.columns[0], "text")
-    return spark.read.schema(schemas.CORPUS).option("multiLine", multi_line).json(path)
+    df = spark.read.option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
+    return df.select(F.col("text" if "text" in df.columns else df.columns[0]).cast("string").alias("text"))
 
 
 def read_annotations(spark: SparkSession, path: str, schema: T.StructType = schemas.ANNOTATIONS) -> DataFrame:

@@ -156,3 +156,21 @@ def test_published_relative_differences(spark):
     df = spark.createDataFrame(rows, "model string, base string, emt double")
     got = {r["kind"]: r["emt"] for r in relative_to_base(df, ["emt"]).collect()}
     assert got["base"] == 0 and got["mitigated"] == pytest.approx((0.22 - 0.39) / 0.39)
+
+
+def test_windows_do_not_depend_on_gaps(spark):
+    rows = [(i, list(range(i, i + 40))) for i in range(10)]
+    dense = spark.createDataFrame(rows, "doc_id bigint, input_ids array<int>")
+    spaced = dense.withColumn("doc_id", F.col("doc_id") * 5000)
+    a, b = (windows.sliding_windows(d, block=64, stride=32).select("batch_id", "window_idx", "input_ids") for d in (dense, spaced))
+    assert a.count() == 12 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_repeated_answers_are_not_blended(spark):
+    from kindstore.operators.collate import best_scores
+    from kindstore.schemas import ATTRIBUTES
+
+    kinds = ", ".join(f"{a} double" for a in ATTRIBUTES)
+    answers = [("r", *[0.9, *[0.1] * 7]), ("r", *[0.2, *[0.8] * 7]), ("r", *[None] * 8)]
+    got = best_scores(spark.createDataFrame(answers, f"request_id string, {kinds}")).first()
+    assert tuple(got) in {answers[0], answers[1]}
