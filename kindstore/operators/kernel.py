@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PAIR_CHUNK = 1 << 16
-KEY_CHUNK = 2048
+# Numbers of the pairs recomputed at a time (they should stay in the cache), and the sides of a block of scores.
+PAIR_NUMBERS = 1 << 18
+KEY_CHUNK = 1 << 14
+QUERY_CHUNK = 256
 
 
 def matrix(column) -> np.ndarray:
@@ -18,20 +20,31 @@ def matrix(column) -> np.ndarray:
 
 
 def _exact(queries, keys, qi, ki, metric):
+    """Distances of pairs, computed one by one: equal keys get equal distances."""
     out = np.empty(len(qi))
-    for s in range(0, len(qi), PAIR_CHUNK):
-        a, b = queries[qi[s : s + PAIR_CHUNK]], keys[ki[s : s + PAIR_CHUNK]]
-        out[s : s + PAIR_CHUNK] = ((a - b) ** 2).sum(1) if metric == "l2" else -(a * b).sum(1)
-    return out
+    step = max(1, PAIR_NUMBERS // max(1, queries.shape[1]))
+    for s in range(0, len(qi), step):
+        pair = keys[ki[s : s + step]]
+        other = queries[qi[s : s + step]]
+        if metric == "l2":
+            pair -= other
+            other = pair
+        pair *= other
+        out[s : s + step] = pair.sum(1)
+    return out if metric == "l2" else -out
 
 
 def _rough(queries, keys, metric):
     """All scores of a chunk by matrix product, and a bound of their error."""
-    dots = queries @ keys.T
+    scores = queries @ keys.T
+    q2, k2 = (np.einsum("ij,ij->i", x, x) for x in (queries, keys))
+    slack = 1e-9 * (1.0 + q2.max(initial=0.0) + k2.max(initial=0.0))
     if metric == "dot":
-        return -dots, 1e-9 * (1.0 + np.abs(dots).max(initial=0.0))
-    q2, k2 = (queries**2).sum(1), (keys**2).sum(1)
-    return q2[:, None] - 2.0 * dots + k2[None, :], 1e-9 * (1.0 + q2.max(initial=0.0) + k2.max(initial=0.0))
+        return np.negative(scores, out=scores), slack
+    scores *= -2.0
+    scores += q2[:, None]
+    scores += k2[None, :]
+    return scores, slack
 
 
 def _lookup(tables, codes):
@@ -45,50 +58,89 @@ def _lookup(tables, codes):
 class TopK:
     """Running k best keys of every query of a block, ties by smaller id.
 
-    Distances come from a matrix product first. Only pairs that can still be
-    among the k best are computed again exactly, so equal keys have equal
-    distances wherever they sit.
+    Scores of a block of queries and keys come from a matrix product. The k-th
+    smallest score so far limits which pairs can still be among the k best, and
+    only those that are left after all keys of a call are computed again exactly,
+    so equal keys have equal distances wherever they sit. ``limit`` may give, for
+    each query, a distance beyond which nothing is wanted.
     """
 
-    def __init__(self, queries: np.ndarray, k: int, metric: str = "l2"):
+    def __init__(self, queries: np.ndarray, k: int, metric: str = "l2", limit: np.ndarray | None = None):
         self.queries, self.k, self.metric = queries, k, metric
-        self.limit = np.full(len(queries), np.inf)
-        self.qi = np.empty(0, dtype=np.int64)
-        self.ids = np.empty(0, dtype=np.int64)
-        self.dist = np.empty(0)
-        self.token = np.empty(0, dtype=np.int64)
+        self.limit = np.full(len(queries), np.inf) if limit is None else np.array(limit, dtype=float)
+        empty = np.empty(0, dtype=np.int64)
+        self._found = [(empty, empty, np.empty(0), empty) for _ in range(0, len(queries), QUERY_CHUNK)]
 
     def add(self, keys: np.ndarray, ids: np.ndarray, tokens: np.ndarray) -> None:
+        if len(keys):
+            for place in range(len(self._found)):
+                self._add(place, keys, ids, tokens)
+
+    def _add(self, place, keys, ids, tokens):
+        start = place * QUERY_CHUNK
+        queries = self.queries[start : start + QUERY_CHUNK]
+        limit = self.limit[start : start + QUERY_CHUNK]
+        # The k smallest scores of this call, in no order.
+        least, reach, candidates = np.empty((len(queries), 0)), limit, []
         for s in range(0, len(keys), KEY_CHUNK):
-            part = slice(s, s + KEY_CHUNK)
-            self._add(keys[part], ids[part], tokens[part])
-
-    def _add(self, keys, ids, tokens):
-        if self.metric == "pq":
-            rough, slack = _lookup(self.queries, keys), 0.0
-        else:
-            rough, slack = _rough(self.queries, keys, self.metric)
-        limit = self.limit
-        if rough.shape[1] > self.k:
-            kth = np.partition(rough, self.k - 1, axis=1)[:, self.k - 1] + slack
-            limit = np.minimum(limit, kth)
-        qi, ki = np.nonzero(rough <= (limit + slack)[:, None])
-        dist = rough[qi, ki] if self.metric == "pq" else _exact(self.queries, keys, qi, ki, self.metric)
-        qi = np.concatenate([self.qi, qi])
-        ids = np.concatenate([self.ids, ids[ki]])
-        dist = np.concatenate([self.dist, dist])
-        tokens = np.concatenate([self.token, tokens[ki]])
-        order = np.lexsort((ids, dist, qi))
+            part = keys[s : s + KEY_CHUNK]
+            if self.metric == "pq":
+                rough, slack = _lookup(queries, part), 0.0
+            else:
+                rough, slack = _rough(queries, part, self.metric)
+            if least.shape[1] + rough.shape[1] > self.k and self.k < len(keys):
+                both = np.concatenate([least, rough], axis=1) if least.shape[1] else rough.copy()
+                both.partition(self.k - 1, axis=1)
+                least = both[:, : self.k].copy()
+                reach = np.minimum(reach, least[:, -1] + slack)
+            elif self.k < len(keys):
+                least = np.concatenate([least, rough], axis=1)
+            qi, ki = np.nonzero(rough <= (reach + slack)[:, None])
+            candidates.append((qi, ki + s, rough[qi, ki] - slack))
+        qi, ki, rough = (np.concatenate(x) for x in zip(*candidates, strict=True))
+        still = rough <= reach[qi]
+        qi, ki, rough = qi[still], ki[still], rough[still]
+        if not len(qi):
+            return
+        dist = rough if self.metric == "pq" else _exact(queries, keys, qi, ki, self.metric)
+        wanted = dist <= limit[qi]
+        qi, ki, dist = qi[wanted], ki[wanted], dist[wanted]
+        old = self._found[place]
+        qi, new_ids, dist, new_tokens = (
+            np.concatenate(x) for x in zip(old, (qi, ids[ki], dist, tokens[ki]), strict=True)
+        )
+        order = np.lexsort((new_ids, dist, qi))
         qi = qi[order]
-        first = np.searchsorted(qi, np.arange(len(self.queries)))
-        rank = np.arange(len(qi)) - first[qi]
-        keep = rank < self.k
-        chosen = order[keep]
-        self.qi, self.ids, self.dist, self.token = qi[keep], ids[chosen], dist[chosen], tokens[chosen]
-        full = np.bincount(self.qi, minlength=len(self.queries)) >= self.k
-        last = np.full(len(self.queries), np.inf)
-        last[self.qi] = self.dist  # rows are sorted, so the last write is the worst kept
-        self.limit = np.where(full, last, np.inf)
+        first = np.searchsorted(qi, np.arange(len(queries)))
+        keep = np.arange(len(qi)) - first[qi] < self.k
+        chosen, qi = order[keep], qi[keep]
+        self._found[place] = (qi, new_ids[chosen], dist[chosen], new_tokens[chosen])
+        full = np.bincount(qi, minlength=len(queries)) >= self.k
+        last = limit.copy()
+        last[qi] = dist[chosen]  # rows are sorted, so the last write is the worst kept
+        self.limit[start : start + QUERY_CHUNK] = np.where(full, last, limit)
+
+    def _column(self, number: int) -> np.ndarray:
+        parts = [found[number] for found in self._found]
+        return np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
+
+    @property
+    def qi(self) -> np.ndarray:
+        """Query places, rising; within a query the rows go from near to far."""
+        parts = [found[0] + place * QUERY_CHUNK for place, found in enumerate(self._found)]
+        return np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
+
+    @property
+    def ids(self) -> np.ndarray:
+        return self._column(1)
+
+    @property
+    def dist(self) -> np.ndarray:
+        return self._column(2)
+
+    @property
+    def token(self) -> np.ndarray:
+        return self._column(3)
 
 
 def lookup_tables(queries: np.ndarray, codebooks: np.ndarray) -> np.ndarray:

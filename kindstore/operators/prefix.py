@@ -5,37 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Ids per group at each level: few where rows carry texts, a million where they are two numbers.
-WIDE, NARROW = (12, 20), (20,)
+from kindstore.session import materialize
 
 
-def exclusive_prefix(
-    counts: DataFrame, ident: str, amount: str, out: str = "offset", bits: tuple[int, ...] = WIDE
-) -> DataFrame:
-    """Add the sum of ``amount`` over all rows with a smaller ``ident``.
+def running_sum(df: DataFrame, order: str, amount: str, out: str) -> DataFrame:
+    """The sum over smaller ``order`` in one task, for tables with few rows by their nature."""
+    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(out, F.coalesce(F.sum(amount).over(before), F.lit(0)).cast("bigint"))
 
-    ``ident`` is a unique bigint. Rows are grouped by its high bits, so a group
-    never holds more than ``2 ** bits[0]`` rows whatever the distribution of
-    ids; the group totals are treated the same way with the next entry of
-    ``bits``. The last, single-task step sees one row per ``2 ** sum(bits)``
-    ids (a million rows for 2**52 ids).
+
+def exclusive_prefix(counts: DataFrame, ident: str, amount: str, out: str = "offset") -> DataFrame:
+    """``ident``, ``amount`` and the sum of ``amount`` over all rows with a smaller ``ident``.
+
+    ``ident`` is unique and may be of any orderable type: ids can be dense, spread
+    over all 64 bits, or negative. The two columns are range-partitioned by it and
+    written once (so this runs a job), since the partition numbers must be the same
+    for both readers. Each partition is then summed on its own, and the only
+    single-task step sees one row per partition.
     """
-    if not bits:
-        before = Window.orderBy(ident).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.withColumn(out, F.coalesce(F.sum(amount).over(before), F.lit(0)).cast("bigint"))
-    high, start, local = (f"_{part}_{len(bits)}" for part in ("high", "start", "local"))
-    grouped = counts.withColumn(high, F.shiftright(F.col(ident), bits[0]))
-    totals = grouped.groupBy(high).agg(F.sum(amount).alias("_amount"))
-    starts = exclusive_prefix(totals, high, "_amount", start, bits[1:]).select(high, start)
-    within = Window.partitionBy(high).orderBy(ident).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = counts.select(ident, amount).repartitionByRange(ident).withColumn("_part", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
+    totals = ranged.groupBy("_part").agg(F.sum(amount).alias("_total"))
+    starts = running_sum(totals, "_part", "_total", "_start").select("_part", "_start")
+    within = Window.partitionBy("_part").orderBy(ident).rowsBetween(Window.unboundedPreceding, -1)
+    local = F.coalesce(F.sum(amount).over(within), F.lit(0))
+    # `starts` has a row per partition, so it is always small.
     return (
-        grouped.withColumn(local, F.coalesce(F.sum(amount).over(within), F.lit(0)))
-        .join(starts, high)
-        .withColumn(out, (F.col(start) + F.col(local)).cast("bigint"))
-        .drop(high, local, start)
+        ranged.withColumn("_local", local)
+        .join(F.broadcast(starts), "_part")
+        .select(ident, amount, (F.col("_start") + F.col("_local")).cast("bigint").alias(out))
     )
 
 
 def dense_ids(df: DataFrame, order: str, out: str = "entry_id") -> DataFrame:
-    """Number the rows 0, 1, 2, ... in the order of a unique bigint column."""
-    return exclusive_prefix(df.withColumn("_one", F.lit(1)), order, "_one", out).drop("_one")
+    """Number the rows 0, 1, 2, ... in the order of a unique column; only that column is numbered."""
+    places = exclusive_prefix(df.select(order, F.lit(1).alias("_one")), order, "_one", out).drop("_one")
+    return df.join(places, order).select(*df.columns, out)

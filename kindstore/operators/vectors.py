@@ -15,9 +15,15 @@ from pyspark.sql import functions as F
 
 from kindstore.functions.scalars import seed_order, squared_l2
 from kindstore.operators.kernel import TopK, lookup_tables, matrix
+from kindstore.session import materialize
 
 QUERY_BLOCK = 4096
 KEY_BLOCK = 65536
+# Keys of the first pass of an exact search, and how many times more the passes have seen after each further one.
+FIRST_KEYS = 1 << 20
+GROWTH = 16
+# Rows of a stream of keys that are searched together.
+STREAM_ROWS = 1 << 15
 MAX_CENTROIDS = 65536
 _FOUND = "query_id bigint, store string, entry_id bigint, dist double, token int"
 
@@ -42,7 +48,13 @@ def _emit(query_ids, store, top: TopK) -> pa.RecordBatch:
     )
 
 
-def _search(tops: dict, query_rows: np.ndarray, k: Amount, metric: str, batch) -> None:
+def _limits(column, store: str) -> np.ndarray | None:
+    """Per query, the distance of its k-th neighbour so far in a store; infinite where there is none."""
+    known = [dict(row) if row else {} for row in column.to_pylist()]
+    return np.array([row.get(store, np.inf) for row in known])
+
+
+def _search(tops: dict, query_rows: np.ndarray, limits, k: Amount, metric: str, batch) -> None:
     """Feed one Arrow batch of keys to the running top-k of each store."""
     column = batch.column("store")
     column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).dictionary_encode()
@@ -54,7 +66,7 @@ def _search(tops: dict, query_rows: np.ndarray, k: Amount, metric: str, batch) -
         if wanted < 1:
             continue
         if store not in tops:
-            tops[store] = TopK(query_rows, wanted, metric)
+            tops[store] = TopK(query_rows, wanted, metric, None if limits is None else _limits(limits, store))
         rows = places == number
         tops[store].add(keys[rows], ids[rows], tokens[rows])
 
@@ -75,14 +87,25 @@ def _best(found: DataFrame, k: Amount, metric: str) -> DataFrame:
 def _by_broadcast(queries: pa.Table, keys: DataFrame, k: Amount, metric: str) -> DataFrame:
     """At most QUERY_BLOCK queries go to every task; keys are read where they lie."""
     query_ids = np.asarray(queries.column("query_id").combine_chunks())
-    shared = keys.sparkSession.sparkContext.broadcast((query_ids, matrix(queries.column("embedding"))))
+    limits = queries.column("limits").combine_chunks() if "limits" in queries.column_names else None
+    shared = keys.sparkSession.sparkContext.broadcast((query_ids, matrix(queries.column("embedding")), limits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows = shared.value
+        ids, rows, limits = shared.value
         tops: dict = {}
+        held: list[pa.RecordBatch] = []
+
+        def search() -> None:
+            if held:
+                _search(tops, rows, limits, k, metric, pa.Table.from_batches(held).combine_chunks())
+                held.clear()
+
         for batch in batches:
             if batch.num_rows:
-                _search(tops, rows, k, metric, batch)
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= STREAM_ROWS:
+                search()
+        search()
         for store, top in tops.items():
             yield _emit(ids, store, top)
 
@@ -108,7 +131,8 @@ def _by_blocks(queries: DataFrame, keys: DataFrame, k: Amount, metric: str, code
         return joined.withColumn(f"{own}_no", mine).withColumn(f"{other}_no", copies).drop(own, other)
 
     left = spread(keys.select("cell", "store", "entry_id", "key", "token"), "entry_id", "_kb", "_qb")
-    right = spread(queries.select("cell", "query_id", "embedding"), "query_id", "_qb", "_kb")
+    known = ["limits"] if "limits" in queries.columns else []
+    right = spread(queries.select("cell", "query_id", "embedding", *known), "query_id", "_qb", "_kb")
 
     def run(key_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
         found = []
@@ -117,8 +141,9 @@ def _by_blocks(queries: DataFrame, keys: DataFrame, k: Amount, metric: str, code
             rows = matrix(query_rows.column("embedding"))
             if metric == "pq":
                 rows = lookup_tables(rows, codebooks.value)
+            limits = query_rows.column("limits").combine_chunks() if known else None
             tops: dict = {}
-            _search(tops, rows, k, metric, key_rows.combine_chunks())
+            _search(tops, rows, limits, k, metric, key_rows.combine_chunks())
             found = [_emit(query_ids, store, top) for store, top in tops.items()]
         names = pa.schema(
             [("query_id", pa.int64()), ("store", pa.string()), ("entry_id", pa.int64()), ("dist", pa.float64()), ("token", pa.int32())]
@@ -129,24 +154,63 @@ def _by_blocks(queries: DataFrame, keys: DataFrame, k: Amount, metric: str, code
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, _FOUND)
 
 
-def _exact(queries: DataFrame, keys: DataFrame, k: Amount, block: int, metric: str) -> DataFrame:
-    if "store" not in keys.columns:
-        keys = keys.withColumn("store", F.lit("all"))
-    queries = queries.select("query_id", "embedding")
+def _pass(queries: DataFrame, keys: DataFrame, k: Amount, block: int, metric: str) -> DataFrame:
+    """The k best of each task or block, by the path that suits the number of queries."""
     probe = queries.limit(block + 1).toArrow()
     if probe.num_rows == 0:
-        return _best(keys.sparkSession.createDataFrame([], _FOUND), k, metric)
+        return keys.sparkSession.createDataFrame([], _FOUND)
     if probe.num_rows <= block:
-        return _best(_by_broadcast(probe, keys, k, metric), k, metric)
+        return _by_broadcast(probe, keys, k, metric)
     one = F.lit(0)
-    return _best(_by_blocks(queries.withColumn("cell", one), keys.withColumn("cell", one), k, metric), k, metric)
+    return _by_blocks(queries.withColumn("cell", one), keys.withColumn("cell", one), k, metric)
+
+
+def _exact(queries: DataFrame, keys: DataFrame, k: Amount, block: int, metric: str) -> DataFrame:
+    """Exact search in passes over growing shares of the keys.
+
+    The first pass sees about FIRST_KEYS keys, each further one brings what was
+    seen to GROWTH times as many. A pass returns only pairs within the distance
+    that the k-th neighbour has so far, which keeps all of the true k best. So a
+    query returns about GROWTH * k rows a pass instead of k for each block of keys,
+    and the passes grow with the logarithm of the keys. Up to FIRST_KEYS keys there
+    is one pass and nothing is written.
+    """
+    if "store" not in keys.columns:
+        keys = keys.withColumn("store", F.lit("all"))
+    queries = queries.select("query_id", "embedding")
+    total, seen = keys.count(), FIRST_KEYS
+    if total <= seen:
+        return _best(_pass(queries, keys, k, block, metric), k, metric)
+    # A hash puts each key into exactly one pass.
+    place = F.pmod(F.xxhash64("entry_id", "store"), F.lit(1 << 30))
+    low, best = 0, None
+    while low < 1 << 30:
+        high = min(1 << 30, max(low + 1, (seen << 30) // total))
+        found = _pass(queries, keys.where((place >= low) & (place < high)), k, block, metric)
+        if best is not None:
+            found = found.unionByName(best.drop("rank"))
+        best = _best(found, k, metric)
+        low, seen = high, seen * GROWTH
+        if low < 1 << 30:
+            best = materialize(best, "nearest")
+            queries = queries.select("query_id", "embedding").join(_reach(best, k, metric), "query_id", "left")
+    return best
+
+
+def _reach(best: DataFrame, k: Amount, metric: str) -> DataFrame:
+    """``query_id, limits``: the distance of the k-th neighbour in each store that has k."""
+    wanted = F.lit(k) if isinstance(k, int) else F.create_map(*[F.lit(x) for pair in k.items() for x in pair])[F.col("store")]
+    dist = -F.col("dist") if metric == "dot" else F.col("dist")
+    last = best.where(F.col("rank") == wanted)
+    return last.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("store", dist))).alias("limits"))
 
 
 def knn_exact(queries: DataFrame, keys: DataFrame, k: Amount = 1024, block: int = QUERY_BLOCK) -> DataFrame:
     """The k nearest keys per query and store by squared L2; ties by entry id.
 
     The query side is counted (up to ``block``). A small one is sent to the key
-    partitions, which need no shuffle; a larger one takes the block grid.
+    partitions, which need no shuffle; a larger one takes the block grid. Beyond a
+    million keys the search goes in passes (``_exact``), each a job.
     """
     return _exact(queries, keys, k, block, "l2")
 

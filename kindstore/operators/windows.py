@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindstore.functions.scalars import strip_whitespace, whole_div, words
-from kindstore.operators.prefix import NARROW, dense_ids, exclusive_prefix
+from kindstore.operators.prefix import dense_ids, exclusive_prefix, running_sum
 from kindstore.operators.skew import lookup_join
 from kindstore.session import materialize
 
@@ -33,7 +33,7 @@ def build_vocab(texts: DataFrame, column: str = "text") -> DataFrame:
     classes = sizes.groupBy("n").agg(F.sum("_size").alias("_size")).withColumn("_order", -F.col("n"))
     # d different frequencies need at least d (d + 1) / 2 words of text, so 10**14 words have fewer
     # than 15 million classes: narrow rows that one task can order.
-    class_start = exclusive_prefix(classes, "_order", "_size", "_class_start", bits=()).select("n", "_class_start")
+    class_start = running_sum(classes, "_order", "_size", "_class_start").select("n", "_class_start")
     before = Window.partitionBy("n").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         sizes.withColumn("_bucket_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
@@ -136,7 +136,7 @@ def sliding_windows(
 def fixed_blocks(tokens: DataFrame, block: int, ident: str = "doc_id") -> DataFrame:
     """Non-overlapping blocks over the whole token stream; the short rest goes."""
     sized = tokens.withColumn("_n", F.size("input_ids").cast("bigint"))
-    starts = exclusive_prefix(sized.select(ident, "_n"), ident, "_n", "_from", NARROW).select(ident, "_from")
+    starts = exclusive_prefix(sized.select(ident, "_n"), ident, "_n", "_from").select(ident, "_from")
     placed = tokens.join(starts, ident).withColumn("_to", F.col("_from") + F.size("input_ids")).where("_to > _from")
     begin = F.col("block_idx") * block
     cut = _pieces(
@@ -190,7 +190,7 @@ def number_windows(windows: DataFrame) -> DataFrame:
         "batch_id", "window_idx", F.size(F.filter(_shifted_labels(), lambda x: x != MASK)).cast("bigint").alias("_n")
     )
     totals = counted.groupBy("batch_id").agg(F.sum("_n").alias("_n"))
-    starts = exclusive_prefix(totals, "batch_id", "_n", "_batch_start", NARROW).select("batch_id", "_batch_start")
+    starts = exclusive_prefix(totals, "batch_id", "_n", "_batch_start").select("batch_id", "_batch_start")
     before = Window.partitionBy("batch_id").orderBy("window_idx").rowsBetween(Window.unboundedPreceding, -1)
     firsts = (
         counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))

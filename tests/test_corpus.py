@@ -1,13 +1,14 @@
 """Corpus operators, windows, offsets, datastores."""
 
 import random
+from unittest import mock
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindstore.operators import corpus, skew, texts, windows
-from kindstore.operators.prefix import exclusive_prefix
+from kindstore.operators import corpus, prefix, skew, texts, windows
+from kindstore.operators.prefix import exclusive_prefix, running_sum
 from kindstore.operators.results import exact_quantiles, grid, relative_to_base
 from kindstore.session import work_folder
 from kindstore.sources import datastore
@@ -16,15 +17,30 @@ from kindstore.sources import datastore
 def test_prefix_over_sparse_ids(spark):
     rng = random.Random(0)
     ids = sorted(rng.sample(range(-5000, 10**9), 200)) + [2**40, 2**40 + 1]
+    ids = [-(2**63), -(2**50)] + ids + [2**63 - 1]
     rows = [(i, rng.randrange(5)) for i in ids]
-    df = spark.createDataFrame(rows, "id bigint, n bigint")
-    got = {r["id"]: r["offset"] for r in exclusive_prefix(df, "id", "n", bits=(4, 8, 20)).collect()}
+    df = spark.createDataFrame(rows, "id bigint, n bigint").repartition(5)
+    got = {r["id"]: r["offset"] for r in exclusive_prefix(df, "id", "n").collect()}
     total = 0
     for i, n in rows:
         assert got[i] == total
         total += n
 
 
+def test_prefix_sends_one_row_per_partition_to_one_task(spark):
+    df = spark.range(20_000).select(F.xxhash64("id").alias("id"), F.lit(1).alias("n"))
+    parts = []
+
+    def spy(rows, *names):
+        parts.append(rows.count())
+        return running_sum(rows, *names)
+
+    with mock.patch.object(prefix, "running_sum", spy):
+        got = exclusive_prefix(df, "id", "n")
+    assert parts[0] <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(r["offset"] for r in got.collect()) == list(range(20_000))
+
+
 def test_boundaries_differ_for_scores_and_labels(spark):
     df = spark.createDataFrame([(x,) for x in (0.05, 0.1, 0.3, 0.5, 0.51)], "toxicity double")
     scored = {r["toxicity"]: r["store"] for r in corpus.split_by_toxicity(df).collect()}

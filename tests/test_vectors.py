@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from kindstore.operators import vectors
+from kindstore.operators import kernel, vectors
 from kindstore.operators.kernel import TopK
 
 
@@ -52,6 +52,33 @@ def test_both_paths_agree_with_brute_force(tables, monkeypatch):
     assert found(vectors.knn_exact(q, k, {"hot": 9, "cold": 4}, block=11)) == direct
 
 
+@pytest.mark.parametrize("search", [vectors.knn_exact, vectors.knn_dot])
+@pytest.mark.parametrize("block", [11, 4096])
+def test_passes_agree_with_one_pass(tables, monkeypatch, search, block):
+    _, _, q, k = tables
+    amount = {"hot": 9, "cold": 4}
+    direct = search(q, k, amount).collect()
+    monkeypatch.setattr(vectors, "FIRST_KEYS", 40)
+    monkeypatch.setattr(vectors, "GROWTH", 3)
+    monkeypatch.setattr(vectors, "KEY_BLOCK", 17)
+    assert sorted(search(q, k, amount, block=block).collect()) == sorted(direct)
+
+
+def test_kernel_at_large_k_over_several_chunks(monkeypatch):
+    monkeypatch.setattr(kernel, "KEY_CHUNK", 300)
+    monkeypatch.setattr(kernel, "QUERY_CHUNK", 3)
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 3, (2500, 5)).astype(float)
+    queries, ids = rng.normal(size=(8, 5)), rng.permutation(2500)
+    top, limited = TopK(queries, 1024), TopK(queries, 1024, limit=np.full(8, 5.0))
+    for t in (top, limited):
+        t.add(keys, ids, ids)
+    want = brute(queries, keys, ids, 1024)
+    for q in range(8):
+        assert list(top.ids[top.qi == q]) == want[q]
+        assert list(limited.ids[limited.qi == q]) == [i for i, d in zip(want[q], top.dist[top.qi == q]) if d <= 5.0]
+
+
 def test_probing_every_cell_is_exact(tables, monkeypatch):
     _, _, q, k = tables
     monkeypatch.setattr(vectors, "KEY_BLOCK", 20)  # hot cells are cut into blocks
