@@ -10,8 +10,7 @@ from kindstore.catalog.vectors import K, OTHER_K
 from kindstore.functions.scalars import whole_div
 from kindstore.operators import mixing
 from kindstore.operators.results import grid, sweep_grid
-from kindstore.operators.vectors import two_store_retrieve
-from kindstore.plans.retrieval import continual_mixtures, retrieve_and_ensemble
+from kindstore.plans.retrieval import continual_mixtures, retrieve, retrieve_and_ensemble, retrieve_and_mix
 
 T, ALPHA, P = 0.5, 2.0, 0.9
 OUT = f"query_id, token, {r6('logp', 'logp')}"
@@ -53,7 +52,7 @@ def lm(t):
 
 
 def knn(t, temperature=T):
-    return mixing.knn_distribution(two_store_retrieve(t.queries, t.keys, K, OTHER_K), temperature)
+    return mixing.knn_distribution(retrieve(t.queries, t.keys, K, OTHER_K), temperature)
 
 
 @query("log_softmax", f"SELECT {OUT} FROM lm_full")
@@ -85,22 +84,28 @@ def patch_floor(t):
 part("toxic", "SELECT query_id, token, logp FROM knn WHERE store = 'toxic'")
 
 
-@query(
-    "interpolate",
+part(
+    "interpolated",
     f"""
 SELECT query_id, token, {r6("ln(coalesce(0.75 * exp(a.logp), 0) + coalesce(0.25 * exp(b.logp), 0))", "logp")}
 FROM lm a FULL JOIN toxic b USING (query_id, token)""",
 )
+
+
+@query("interpolate", "SELECT * FROM interpolated")
 def interpolate(t):
     return rounded(mixing.interpolate(lm(t), knn(t).where("store = 'toxic'")))
 
 
-@query(
-    "interpolate_discourage",
+part(
+    "discouraged",
     f"""
 SELECT query_id, token, {r6("ln(p)", "logp")} FROM (
   SELECT query_id, token, 1.25 * exp(a.logp) - 0.25 * coalesce(exp(b.logp), 0) AS p FROM lm a LEFT JOIN toxic b USING (query_id, token)) WHERE p > 0""",
 )
+
+
+@query("interpolate_discourage", "SELECT * FROM discouraged")
 def interpolate_discourage(t):
     return rounded(mixing.interpolate_discourage(lm(t), knn(t).where("store = 'toxic'")))
 
@@ -159,6 +164,33 @@ def ensemble_single(t):
     return rounded(out)
 
 
+def _mixed_by(t, method, stores=("toxic",), order=("subtract", "add"), recompute=False):
+    logits = t.model_logits("lm")
+    return retrieve_and_mix(
+        t.queries, logits, t.keys, method, K, OTHER_K, T, ALPHA, 0.25, P, stores, order, recompute
+    ).select("query_id", "token", "logp")
+
+
+@query("retrieve_interpolate", "SELECT * FROM interpolated")
+def retrieve_interpolate(t):
+    """One store end to end, its distances computed again from the vectors."""
+    return rounded(_mixed_by(t, "interpolate", recompute=True))
+
+
+@query("retrieve_discourage", "SELECT * FROM discouraged")
+def retrieve_discourage(t):
+    return rounded(_mixed_by(t, "interpolate_discourage"))
+
+
+@query("retrieve_single", f"SELECT ordering, {OUT} FROM single_mixed")
+def retrieve_single(t):
+    """One store and the model itself, in both orders."""
+    one, other = (
+        _mixed_by(t, "ensemble", order=order).withColumn("ordering", F.lit(",".join(order))) for order in mixing.METHOD_ORDERS
+    )
+    return rounded(one.unionByName(other))
+
+
 part(
     "expert_scores",
     f"SELECT query_id, token, l.logp + {ALPHA} * (e.logp - a.logp) AS score FROM lm l JOIN expert_full e USING (query_id, token) JOIN anti_full a USING (query_id, token)",
@@ -222,7 +254,7 @@ part("swept", softmax("swept_scores", "score", "s, query_id", "s, query_id, toke
     f"SELECT CAST(k AS INTEGER) AS k, CAST(other_k AS INTEGER) AS other_k, alpha, {OUT} FROM swept JOIN settings USING (s)",
 )
 def _sweep_grid(t):
-    near = two_store_retrieve(t.queries, t.keys, K, OTHER_K)
+    near = retrieve(t.queries, t.keys, K, OTHER_K)
     return rounded(sweep_grid(near, lm(t), SETTINGS, T))
 
 

@@ -115,7 +115,7 @@ def _patched(lm: DataFrame, store: DataFrame, name: str, floor: float, by: list[
     return (
         lm.join(present, ["query_id", "token"], "left")
         .join(lows, by, "left")
-        .withColumn(f"_{name}", F.coalesce(f"_{name}", f"_{name}_low"))
+        .withColumn(f"_{name}", F.coalesce(f"_{name}", f"_{name}_low", "logp"))
         .drop(f"_{name}_low")
     )
 
@@ -144,8 +144,9 @@ def ensemble(
 
     A token missing from a store is far below the floor, so it takes the
     store's smallest value above the floor within the batch. Tokens that the
-    language model cut stay cut, hence only its own rows are needed. ``alpha``
-    may be a column of ``lm``.
+    language model cut stay cut, hence only its own rows are needed. For a store
+    without a usable token in the batch the language model stands in, as in
+    ``ensemble_single``. ``alpha`` may be a column of ``lm``.
     """
     lm = _with_batch(lm)
     both = _patched(_patched(lm, sub, "sub", floor, _scope(scope)), add, "add", floor, _scope(scope))

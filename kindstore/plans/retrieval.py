@@ -7,8 +7,74 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindstore.operators import mixing
 from kindstore.operators.mixing import ensemble, knn_distribution, log_softmax, nucleus_filter
-from kindstore.operators.vectors import knn_exact, two_store_retrieve
+from kindstore.operators.vectors import knn_exact, recompute_dists, two_store_retrieve
+from kindstore.session import materialize
+
+METHODS = ("ensemble", "interpolate", "interpolate_discourage")
+
+
+def retrieve(
+    queries: DataFrame,
+    keys: DataFrame,
+    k: int = 1024,
+    other_k: int | None = None,
+    stores: Sequence[str] = ("toxic", "nontoxic"),
+) -> DataFrame:
+    """Neighbours of one or two stores, searched once and written.
+
+    What follows reads them several times (distributions, floors, sweeps); from
+    files that costs no second search.
+    """
+    if len(stores) == 1:
+        near = knn_exact(queries, keys.where(F.col("store") == stores[0]), k)
+    else:
+        near = two_store_retrieve(queries, keys.where(F.col("store").isin(*stores)), k, other_k, tuple(stores))
+    return materialize(near, "neighbours")
+
+
+def retrieve_and_mix(
+    queries: DataFrame,
+    lm: DataFrame,
+    keys: DataFrame,
+    method: str = "ensemble",
+    k: int = 1024,
+    other_k: int | None = None,
+    temperature: float = 100.0,
+    alpha: float = 2.0,
+    lmbda: float = 0.25,
+    p: float = 0.9,
+    stores: Sequence[str] = ("toxic", "nontoxic"),
+    order: tuple[str, str] = ("subtract", "add"),
+    recompute: bool = False,
+) -> DataFrame:
+    """Any mixing method, end to end, with one or two stores.
+
+    Two stores are for the ensemble only. ``order`` says what the first store does:
+    with ("subtract", "add") its tokens become rarer and the second store's (or the
+    model's own, if there is one store) more frequent. ``recompute`` takes exact
+    distances of the neighbours before they are weighted, for approximate ones. The neighbours
+    are written once, so this runs a job.
+    """
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
+    if tuple(order) not in mixing.METHOD_ORDERS:
+        raise ValueError(f"order must be one of {mixing.METHOD_ORDERS}")
+    if len(stores) not in (1, 2) or (len(stores) == 2 and method != "ensemble"):
+        raise ValueError("one store, or two for the ensemble")
+    near = retrieve(queries, keys, k, other_k, stores)
+    if recompute:
+        near = recompute_dists(near, queries, keys)
+    dist = knn_distribution(near, temperature)
+    full = log_softmax(lm)
+    if len(stores) == 2:
+        named = dict(zip(order, stores, strict=True))
+        sides = (dist.where(F.col("store") == named[side]) for side in ("subtract", "add"))
+        return ensemble(nucleus_filter(full, p), *sides, alpha)
+    if method == "ensemble":
+        return mixing.ensemble_single(nucleus_filter(full, p, mark=True), dist, alpha, order)
+    return getattr(mixing, method)(nucleus_filter(full, p), dist, lmbda)
 
 
 def retrieve_and_ensemble(
@@ -26,11 +92,7 @@ def retrieve_and_ensemble(
 
     ``lm`` holds logits or log-probabilities over the vocabulary per query.
     """
-    base = nucleus_filter(log_softmax(lm), p)
-    dist = knn_distribution(two_store_retrieve(queries, keys, k, other_k, stores), temperature)
-    return ensemble(
-        base, dist.where(F.col("store") == stores[0]), dist.where(F.col("store") == stores[1]), alpha
-    )
+    return retrieve_and_mix(queries, lm, keys, "ensemble", k, other_k, temperature, alpha, p=p, stores=stores)
 
 
 def continual_mixtures(
@@ -55,7 +117,7 @@ def continual_mixtures(
     pairs = [(s, i, n) for i in range(last + 1) for s, n in zip(stores, (k, k if other_k is None else other_k))]
     label = F.concat_ws("@", "store", F.col("stage").cast("string"))
     staged = keys.where((F.col("stage") <= last) & F.col("store").isin(*stores)).withColumn("store", label)
-    near = knn_exact(queries, staged, {f"{s}@{i}": n for s, i, n in pairs})
+    near = materialize(knn_exact(queries, staged, {f"{s}@{i}": n for s, i, n in pairs}), "neighbours")
     since = F.split_part("store", F.lit("@"), F.lit(2)).cast("int")
     kind = F.split_part("store", F.lit("@"), F.lit(1))
     later = F.explode(F.filter(wanted, lambda s: s >= since)).alias("stage")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from kindstore.schemas import DATASTORE
 from kindstore.operators.prefix import dense_ids
+from kindstore.session import exists
 
 PARTITIONS = ("store", "stage", "batch")
 _FULL = T.StructType(
@@ -40,10 +40,9 @@ def read_datastore(spark: SparkSession, path: str, store: str | None = None, upt
 
 def datastore_size(spark: SparkSession, path: str, store: str | None = None) -> DataFrame:
     """Entries per store (from Parquet footers); NULL for a store that is not there."""
-    try:
-        df = read_datastore(spark, path, store)
-    except AnalysisException:
+    if not exists(spark, path):
         return spark.createDataFrame([(store, None)], "store string, n bigint")
+    df = read_datastore(spark, path, store)
     if store is None:
         return df.groupBy("store").agg(F.count("*").alias("n"))
     return df.agg(F.lit(store).alias("store"), F.nullif(F.count("*"), F.lit(0)).alias("n"))
@@ -51,10 +50,9 @@ def datastore_size(spark: SparkSession, path: str, store: str | None = None) ->
 
 def next_entry(spark: SparkSession, path: str, store: str, before: int) -> int:
     """First free id behind all earlier batches: the largest id so far plus one."""
-    try:
-        earlier = read_datastore(spark, path, store).where(F.col("batch") < before)
-    except AnalysisException:
+    if not exists(spark, path):
         return 0
+    earlier = read_datastore(spark, path, store).where(F.col("batch") < before)
     return earlier.agg(F.coalesce(F.max("entry_id") + 1, F.lit(0)).alias("n")).first()["n"]
 
 

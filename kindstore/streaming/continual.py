@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from kindstore.operators.corpus import resume_pending
 from kindstore.operators.plugins import Scorer, score_texts
 from kindstore.schemas import SCORES
+from kindstore.session import exists, materialize
 from kindstore.sources.datastore import append_datastore
 
 WITH_BATCH = T.StructType([*SCORES.fields, T.StructField("batch", T.LongType())])
@@ -41,7 +41,8 @@ def continual_ingest(
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        encoded = encode(batch)
+        # Written once: every store reads it, and numbers its rows apart from carrying them.
+        encoded = materialize(encode(batch), "encoded")
         for store in stores:
             append_datastore(encoded.where(F.col("store") == store), path, store, "stage", number, order)
 
@@ -70,11 +71,10 @@ def score_stream(
 
     def score(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
+        pending = batch.dropDuplicates(["request_id"])
+        if exists(spark, out):
             done = spark.read.schema(WITH_BATCH).json(out).where(F.col("batch") != number)
-            pending = resume_pending(batch.dropDuplicates(["request_id"]), done)
-        except AnalysisException:
-            pending = batch.dropDuplicates(["request_id"])
+            pending = resume_pending(pending, done)
         answers = score_texts(pending, scorer, rate, partitions, interval)
         answers.write.mode("overwrite").option("ignoreNullFields", False).json(f"{out}/batch={number}")
 
