@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from kindstore.catalog.registry import part, query, r6, rounded
 from kindstore.operators import vectors
+from kindstore.session import work_folder
+from kindstore.sources import index
 
 K, OTHER_K, CELLS, PROBES = 16, 32, 16, 4
 SUBSPACES, CODES = 8, 32
@@ -36,6 +38,15 @@ def knn_exact_blocks(t):
     return rounded(vectors.knn_exact(t.queries, t.keys, K, block=128))
 
 
+DEEP = 1024
+
+
+@query("knn_exact_deep", f"SELECT {FOUND} FROM near_all WHERE rank <= {DEEP}")
+def knn_exact_deep(t):
+    """The default number of neighbours."""
+    return rounded(vectors.knn_exact(t.queries, t.keys, DEEP))
+
+
 part("dot_pairs", "SELECT query_id, store, entry_id, token, list_inner_product(embedding, key) AS dist FROM queries CROSS JOIN store_keys")
 part("near_dot", ranked("dot_pairs", "dist DESC, entry_id"))
 
@@ -117,6 +128,33 @@ def ivf_search(t):
     return rounded(vectors.ivf_search(t.queries, assigned(t), centroids(t), K, PROBES))
 
 
+def _index(t, keys):
+    path = work_folder(t.spark, "index")
+    index.write_index(keys, centroids(t), path, CELLS // 4)
+    return path
+
+
+@query("write_index", f"SELECT {FOUND} FROM near_ivf WHERE rank <= {K}")
+def write_index(t):
+    """The same search from a stored index, in folders of cells."""
+    return rounded(index.search_index(t.queries, _index(t, t.keys), K, PROBES, t.keys))
+
+
+@query("append_invalidates_index", "SELECT store, count(*) AS n, count(*) = count(*) FILTER (stage = 0) AS is_current FROM store_keys GROUP BY store")
+def append_invalidates_index(t):
+    """An index of the first stage fits each store only until later stages are added."""
+    first = t.keys.where("stage = 0")
+    path = _index(t, first)
+    sizes = t.spark.read.parquet(f"{path}/sizes").select("store", F.col("n").alias("_indexed"))
+    now = t.keys.groupBy("store").agg(F.count("*").alias("n"))
+    fits = index.index_is_current(t.spark, path, first) and not index.index_is_current(t.spark, path, t.keys)
+    if not fits:
+        raise ValueError("the index must fit its own stage only")
+    return now.join(sizes, "store", "left").select(
+        "store", "n", (F.coalesce("_indexed", F.lit(0)) == F.col("n")).alias("is_current")
+    )
+
+
 part(
     "subspaces",
     f"SELECT unnest(range({SUBSPACES})) AS subspace",

@@ -64,7 +64,7 @@ def lexicon_scores(texts: DataFrame, labels: DataFrame, ident: str = "doc_id") -
     """Default scorer: logistic of the mean word weight; unseen words weigh nothing."""
     weights = materialize(lexicon(texts.join(labels.select(ident, "toxic"), ident)), "lexicon")
     counted = texts.select(ident, F.explode(words(F.col("text"))).alias("word"))
-    found = lookup_join(counted, weights, ["word"], "n", "left")
+    found = lookup_join(counted, weights.select("word", "weight"), ["word"], how="left")
     mean = F.sum(F.coalesce("weight", F.lit(0.0))) / F.count("*")
     return found.groupBy(ident).agg((1 / (1 + F.exp(-mean))).alias("toxicity"))
 
@@ -98,10 +98,10 @@ def ngram_logprobs(texts: DataFrame, corpus: DataFrame, keys: list[str]) -> Data
     tokens = _bigrams(texts, keys)
     used = tokens.where("prev is not null").groupBy("prev", "word").agg(F.count("*").alias("uses"))
     logp = F.ln((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("n_prev", F.lit(0)) + size))
-    scored = (
-        used.join(bigrams, ["prev", "word"], "left")
-        .join(unigrams, "prev", "left")
-        .select("prev", "word", "uses", logp.alias("logp"))
+    # A frequent previous word stands in one row for each word that follows it.
+    known = used.join(bigrams, ["prev", "word"], "left")
+    scored = lookup_join(known, materialize(unigrams, "unigrams"), ["prev"], how="left").select(
+        "prev", "word", "uses", logp.alias("logp")
     )
     followed = lookup_join(
         tokens.where("prev is not null"), materialize(scored, "bigrams"), ["prev", "word"], "uses"

@@ -333,17 +333,27 @@ def ivf_assign(keys: DataFrame, centroids: DataFrame) -> DataFrame:
     return _nearest_cells(keys, "key", centroids, 1)
 
 
+def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
+    """``query_id, embedding, cell`` for the ``nprobe`` nearest cells of each query."""
+    return _nearest_cells(queries.select("query_id", "embedding"), "embedding", centroids, nprobe)
+
+
 def ivf_search(
-    queries: DataFrame, keys: DataFrame, centroids: DataFrame, k: Amount = 1024, nprobe: int = 32
+    queries: DataFrame,
+    keys: DataFrame,
+    centroids: DataFrame,
+    k: Amount = 1024,
+    nprobe: int = 32,
+    probes: DataFrame | None = None,
 ) -> DataFrame:
     """Exact distances within the ``nprobe`` nearest cells of each query.
 
-    ``keys`` carries its ``cell`` (``ivf_assign``); a store written by cell is
-    pruned to the probed ones.
+    ``keys`` carries its ``cell`` (``ivf_assign``); ``sources.index`` keeps keys by
+    cell in files, so that they are assigned once and the cells not probed are not read.
     """
     if "store" not in keys.columns:
         keys = keys.withColumn("store", F.lit("all"))
-    probes = _nearest_cells(queries.select("query_id", "embedding"), "embedding", centroids, nprobe)
+    probes = probe_cells(queries, centroids, nprobe) if probes is None else probes
     return _best(_by_blocks(probes, keys, k, "l2"), k, "l2")
 
 
@@ -483,7 +493,7 @@ def pq_search(
     if "store" not in codes.columns:
         codes = codes.withColumn("store", F.lit("all"))
     shared = _codebook_array(codebooks)
-    probes = _nearest_cells(queries.select("query_id", "embedding"), "embedding", centroids, nprobe)
+    probes = probe_cells(queries, centroids, nprobe)
     coded = codes.select("cell", "store", "entry_id", F.col("codes").alias("key"), "token")
     return _best(_by_blocks(probes, coded, k, "pq", shared), k, "pq")
 

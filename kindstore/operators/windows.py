@@ -50,7 +50,7 @@ def build_vocab(texts: DataFrame, column: str = "text") -> DataFrame:
 
 def _to_tokens(split: DataFrame, vocab: DataFrame, keys: list[str], unknown: int) -> DataFrame:
     placed = split.select(*keys, F.posexplode("_words").alias("pos", "word"))
-    found = lookup_join(placed, vocab, ["word"], "n", "left")
+    found = lookup_join(placed, vocab.select("word", "token"), ["word"], how="left")
     entry = F.struct("pos", F.coalesce("token", F.lit(unknown)).alias("token"))
     return (
         found.groupBy(*keys)

@@ -129,6 +129,11 @@ def test_large_lookup_path_equals_broadcast(spark, monkeypatch):
     monkeypatch.setattr(skew, "HEAVY_ROWS", 2)
     big = sorted(skew.lookup_join(left, lookup, ["word"], "n", "left").select("word", "id", "token").collect())
     assert [tuple(r) for r in big] == [tuple(r) for r in small] and len(big) == 71
+    # Ranked by use on the left side, where a key the table does not know may be the most common one.
+    left = left.unionByName(spark.range(200).select(F.col("id").cast("int").alias("id"), F.lit("strange").alias("word")))
+    counted = skew.lookup_join(left, lookup.drop("n"), ["word"], how="left")
+    assert counted.count() == 271 and counted.where("token is null").count() == 201
+    assert skew.lookup_join(left, lookup.drop("n"), ["word"]).count() == 70
 
 
 def test_append_keeps_old_rows(spark):

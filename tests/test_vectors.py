@@ -2,9 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kindstore.operators import kernel, vectors
 from kindstore.operators.kernel import TopK
+from kindstore.session import work_folder
+from kindstore.sources import index
 
 
 def brute(queries, keys, ids, k):
@@ -127,3 +130,18 @@ def test_context_is_null_near_the_start(spark):
     got = {r["rank"]: r for r in vectors.neighbour_context(near, store).collect()}
     assert got[1]["context"] == [i * 2 for i in range(5, 35)] and got[1]["next_token"] == 70
     assert got[2]["context"] is None
+
+
+def test_stored_index_reads_probed_folders_and_refuses_growth(tables, spark):
+    _, _, q, k = tables
+    centroids, path = vectors.ivf_train(k, 6, method="sample"), work_folder(spark, "index")
+    index.write_index(k, centroids, path, bucket_cells=2)
+    near = index.search_index(q, path, 5, nprobe=1, keys=k)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert found(near) == found(vectors.ivf_search(q, vectors.ivf_assign(k, centroids), centroids, 5, nprobe=1))
+    more = k.unionByName(k.limit(1).withColumn("entry_id", F.lit(10**6).cast("bigint")))
+    with pytest.raises(index.StaleIndex):
+        index.search_index(q, path, 5, keys=more)
+    with pytest.raises(index.StaleIndex):
+        index.search_index(q, path + "-absent", 5, keys=k)
