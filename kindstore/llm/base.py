@@ -126,14 +126,19 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
-    """A 64-bit hash of each byte span, wherever it stands: one running sum over all bytes."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes[data] * _powers(BASE, len(data)), out=sums[1:])
-    at_start = _powers(BASE_INVERSE, len(data) + 1)[starts]
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of values, wherever it stands: one running sum over all values."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(BASE, len(values)), out=sums[1:])
+    at_start = _powers(BASE_INVERSE, len(values) + 1)[starts]
     return mixed((sums[ends] - sums[starts]) * at_start + (ends - starts).astype(np.uint64))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
+    """A 64-bit hash of each byte span."""
+    return run_hashes(codes[data], starts, ends)
+
+
 def between(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Sums of ``values[first:last]``, for many ranges at once."""
     kind = np.float64 if values.dtype.kind == "f" else np.int64

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,31 +10,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindstore.llm.base import narrow, span_hashes, text_chunks, word_spans
+from kindstore.llm.base import narrow, run_hashes, span_hashes, text_chunks, word_spans
 from kindstore.session import materialize
 
 LEAST_WORDS = 20
 _DOC = ("_id", "_mark")
 
 
-def text_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A hash and the number of words of each line of each text: ``_id``, ``_mark``, ``_lines``, ``_words``.
+def text_lines(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS
+) -> DataFrame:
+    """Lines of each text and their shortest runs: ``_id``, ``_mark``, ``_lines``, ``_words``, ``_runs``.
 
-    Lines end at a line feed. A line without a word has hash 0. ``_mark`` (a hash
-    of the text) tells apart rows that share an id.
+    Lines end at a line feed; ``_lines`` are their hashes and ``_words`` their
+    numbers of words. A line without a word has hash 0. ``_runs`` are hashes of
+    runs of lines, see ``shortest_runs``. ``_mark`` (a hash of the text) tells
+    apart rows that share an id.
     """
     rows = narrow(df, _id=id_col, _text=text_col).select("_id", F.xxhash64("_text").alias("_mark"), "_text")
     kind = rows.schema["_id"].dataType.simpleString()
 
+    def lists(bounds: np.ndarray, values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end, data, offsets in text_chunks(batch.column(2)):
                 hashes, words, bounds = line_hashes(data, offsets)
-                lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x)) for x in (hashes, words)]
+                runs, edges = shortest_runs(hashes, words, bounds, least_words)
                 columns = [c.slice(begin, end - begin) for c in batch.columns[:2]]
-                yield pa.RecordBatch.from_arrays([*columns, *lists], [*_DOC, "_lines", "_words"])
+                columns += [lists(bounds, hashes), lists(bounds, words), lists(edges, runs)]
+                yield pa.RecordBatch.from_arrays(columns, [*_DOC, "_lines", "_words", "_runs"])
+
+    return rows.mapInArrow(
+        run, f"_id {kind}, _mark bigint, _lines array<bigint>, _words array<bigint>, _runs array<bigint>"
+    )
 
-    return rows.mapInArrow(run, f"_id {kind}, _mark bigint, _lines array<bigint>, _words array<bigint>")
+
+def shortest_runs(
+    hashes: np.ndarray, words: np.ndarray, bounds: np.ndarray, least_words: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shortest runs of lines with ``least_words`` words from and up to each line, and each text's first.
+
+    Two texts with a common block of so many words share such a run, and the shared
+    runs of a block cover all its lines with words: a line from which no run fits
+    into the block lies in the one that ends with it.
+    """
+    upto = np.concatenate([[0], np.cumsum(words)])
+    at = np.flatnonzero(words > 0)
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[at]
+    last = np.searchsorted(upto[1:], upto[at] + least_words)
+    first = np.searchsorted(upto, upto[at + 1] - least_words, side="right") - 1
+    starts = np.concatenate([at, first])
+    stops = np.concatenate([last, at]) + 1
+    text = np.concatenate([text, text])
+    inside = (starts >= bounds[text]) & (stops <= bounds[text + 1])
+    starts, stops, text = starts[inside], stops[inside], text[inside]
+    keys = run_hashes(hashes.view(np.uint64), starts, stops).view(np.int64)
+    order = np.lexsort((keys, text))
+    keys, text = keys[order], text[order]
+    once = np.ones(len(keys), bool)
+    once[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+    return keys[once], np.searchsorted(text[once], np.arange(len(bounds)))
 
 
 def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,7 +94,12 @@ def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned lines of two texts: equal ends, then lines unique in both in their longest common order, then between."""
+    """Aligned lines of two texts: equal ends, then lines unique in both in their longest common order, then between.
+
+    Where lines are common but none is unique in both, the first of a line meets
+    the first, the second the second, and so on. Lines without a word (0) are
+    aligned as neighbours only.
+    """
     out = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -69,7 +112,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             out.append((ahi, bhi))
         if alo == ahi or blo == bhi:
             continue
-        anchors = _in_order(_unique_pairs(a, alo, ahi, b, blo, bhi))
+        anchors = _in_order(_unique_pairs(a, alo, ahi, b, blo, bhi) or _nth_pairs(a, alo, ahi, b, blo, bhi))
         if anchors:
             edges = [(alo - 1, blo - 1), *anchors, (ahi, bhi)]
             out += anchors
@@ -85,7 +128,14 @@ def _unique_pairs(a, alo, ahi, b, blo, bhi) -> list[tuple[int, int]]:
         return seen
 
     mine, theirs = once(a, alo, ahi), once(b, blo, bhi)
-    return [(i, theirs[line]) for line, i in mine.items() if i >= 0 and theirs.get(line, -1) >= 0]
+    return [(i, theirs[line]) for line, i in mine.items() if line and i >= 0 and theirs.get(line, -1) >= 0]
+
+
+def _nth_pairs(a, alo, ahi, b, blo, bhi) -> list[tuple[int, int]]:
+    places: dict[int, deque[int]] = {}
+    for j in range(blo, bhi):
+        places.setdefault(b[j], deque()).append(j)
+    return [(i, places[a[i]].popleft()) for i in range(alo, ahi) if a[i] and places.get(a[i])]
 
 
 def _in_order(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -109,12 +159,11 @@ def _in_order(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def common_lines(earlier: list[int], later: list[int], words: list[int], least_words: int) -> list[int]:
-    """Lines of the later text in aligned common blocks of at least ``least_words`` words."""
-    out, block, held, before = [], [], 0, None
+def _blocks(earlier: list, later: list, words: list[int], least_words: int) -> set[int]:
+    out, block, held, before = set(), [], 0, None
     for i, j in [*patience(earlier, later), (-2, -2)]:
         if before != (i - 1, j - 1):
-            out += block if held >= least_words else []
+            out.update(block if held >= least_words else ())
             block, held = [], 0
         if j >= 0:
             block.append(j)
@@ -123,29 +172,44 @@ def common_lines(earlier: list[int], later: list[int], words: list[int], least_w
     return out
 
 
+def common_lines(earlier: list[int], later: list[int], words: list[int], least_words: int) -> list[int]:
+    """Lines of the later text in aligned common blocks of at least ``least_words`` words.
+
+    An alignment keeps the order, so what it leaves of the later text is aligned
+    again until nothing more is found: blocks that stand elsewhere go too. The
+    earlier text is then repeated up to the length of the later one, for blocks
+    that the later one has several times.
+    """
+    found: set[int] = set()
+    new = _blocks(earlier, later, words, least_words)
+    again = earlier * max(1, -(-len(later) // max(1, len(earlier))))
+    while new:
+        found |= new
+        # None is equal to no line.
+        left = [None if at in found else line for at, line in enumerate(later)]
+        new = _blocks(again, left, words, least_words)
+    return sorted(found)
+
+
 def copied_lines(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """The lines to delete of each document: ``_id``, ``_mark``, ``_delete``, ``_from`` (ids of earlier documents).
 
-    Every line points from each document that has it to the earliest that has it,
-    so a line of n documents gives n - 1 pairs, not n * (n - 1) / 2, whether it is
-    rare or common. Pairs whose shared lines hold fewer than ``least_words`` words
-    can have no block of that size and are dropped before anything is aligned; so
-    pairs that only share frequent short lines go, and rare lines decide.
+    Documents meet by ``_runs``, made with the same ``least_words``: a hash of
+    lines that hold together as many words as a block needs, so frequent short
+    lines bring no one together unless their neighbours agree too. Each run points
+    from every document that has it to the earliest that has it: a run of n
+    documents gives n - 1 pairs, not n * (n - 1) / 2, whether it is rare or common,
+    and each line of a common block is in a run whose earliest holder is aligned.
     """
     rows = lines.where("_id IS NOT NULL")
-    posts = rows.select(*_DOC, F.explode(F.arrays_zip("_lines", "_words")).alias("_l"))
-    posts = posts.where("_l._words > 0").groupBy(*_DOC, F.col("_l._lines").alias("_line")).agg(
-        F.sum("_l._words").alias("_count")
-    )
-    posts = materialize(posts, "line-postings")
+    posts = materialize(rows.select(*_DOC, F.explode("_runs").alias("_run")), "line-postings")
     doc = F.struct(*_DOC)
-    firsts = posts.groupBy("_line").agg(F.min(doc).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    # Written, so that both sides of the join are plain shuffles, of which Spark can split a hot line.
-    firsts = materialize(firsts.select("_line", "_first"), "line-firsts")
-    pairs = posts.join(firsts, "_line").where(doc > F.col("_first"))
-    pairs = pairs.groupBy(*_DOC, "_first").agg(F.sum("_count").alias("_shared")).where(F.col("_shared") >= least_words)
-    pairs = materialize(pairs.select(*_DOC, "_first"), "line-pairs")
-    texts = rows.dropDuplicates(list(_DOC))
+    firsts = posts.groupBy("_run").agg(F.min(doc).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    # Written, so that both sides of the join are plain shuffles, of which Spark can split a hot run.
+    firsts = materialize(firsts.select("_run", "_first"), "line-firsts")
+    pairs = posts.join(firsts, "_run").where(doc > F.col("_first")).select(*_DOC, "_first").distinct()
+    pairs = materialize(pairs, "line-pairs")
+    texts = rows.drop("_runs").dropDuplicates(list(_DOC))
     earlier = texts.select(F.struct(*_DOC).alias("_first"), F.col("_lines").alias("_earlier"))
     both = pairs.join(earlier, "_first").join(texts, list(_DOC))
     both = both.select(*_DOC, F.col("_first._id").alias("_from"), "_earlier", "_lines", "_words")
@@ -174,9 +238,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """Delete from each document the blocks of lines that an earlier document has.
 
     Documents are ordered by id. A document is aligned by patience diff with the
-    earliest document of each of its lines; aligned lines that follow each other in
-    both are a block, and blocks of ``least_words`` words or more are deleted from
-    the later document. What is deleted stays in an earlier one.
+    earliest document of each of its runs of ``least_words`` words; aligned lines
+    that follow each other in both are a block, and blocks of so many words or more
+    are deleted from the later document. What is deleted stays in an earlier one.
 
     Returns one row per input row: ``id_col``, ``n_lines``, ``deleted_lines`` (places
     from 0), ``copied_from`` (ids) and ``text`` (what is left; null stays null).
@@ -186,7 +250,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     document and lose the same lines; rows that share an id but not the text are
     ordered by a hash of the text; further columns are ignored; no rows give none.
     """
-    lines = materialize(text_lines(df, id_col, text_col), "text-lines")
+    lines = materialize(text_lines(df, id_col, text_col, least_words), "text-lines")
     copies = copied_lines(lines, least_words)
     rows = narrow(df, _id=id_col, _text=text_col).withColumn("_mark", F.xxhash64("_text"))
     rows = rows.join(copies, list(_DOC), "left")

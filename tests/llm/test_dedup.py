@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 from kindstore.llm.components import connected
 from kindstore.llm.exact import exact_groups
-from kindstore.llm.linededup import LEAST_WORDS, common_lines, dedup_lines, patience
+from kindstore.llm.linededup import LEAST_WORDS, dedup_lines, patience
 from kindstore.llm.simhash import near_groups, near_links
 
 
@@ -110,24 +110,41 @@ def test_patience_is_a_common_order():
     assert patience([1, 2, 3, 4], [9, 2, 3, 8]) == [(1, 1), (2, 2)]
 
 
+def _runs(lines, words):
+    """Every run of lines with words at both ends that holds LEAST_WORDS words and no line more than it needs on one side."""
+    for i, n in enumerate(words):
+        total = 0
+        for j in range(i, len(lines)):
+            total += words[j]
+            if n and words[j] and total >= LEAST_WORDS:
+                yield i, j + 1
+                if total - words[i] >= LEAST_WORDS:
+                    break
+
+
 def test_line_dedup_brute_force(docs):
     texts = {r.doc_id: r.text.split("\n") for r in docs.collect()}
-    count = lambda line: len(line.replace("\t", " ").split())
-    first = {}
+    # A passage cut into short lines, of which each has an earlier holder of its own; and one that moved and repeats.
+    short = [" ".join(f"p{i}{j}" for j in range(8)) for i in range(7)]
+    block = [" ".join(f"q{i}{j}" for j in range(30)) for i in range(4)]
+    top = max(texts)
+    for i, line in enumerate(short):
+        texts[top + 1 + i] = [f"own {i}", line]
+    texts |= {top + 20: ["x", *short, "y"], top + 21: ["z", *short], top + 22: block}
+    texts |= {top + 23: [*block[2:], "", *block[:2], "own", *block, "own", *block]}
+    spark = docs.sparkSession
+    found = dedup_lines(spark.createDataFrame([(i, "\n".join(x)) for i, x in texts.items()], "doc_id bigint, text string"))
+    got = {r.doc_id: (set(r.deleted_lines), r.text) for r in found.collect()}
+    seen = set()
     for i in sorted(texts):
-        for line in texts[i]:
-            if count(line):
-                first.setdefault(line, i)
-    want = {}
-    for i, lines in texts.items():
-        drop, words = set(), [count(x) for x in lines]
-        code = {line: n for n, line in enumerate(dict.fromkeys(x if count(x) else "" for j in texts for x in texts[j]))}
-        key = lambda rows: [code[x if count(x) else ""] for x in rows]  # noqa: B023, E731
-        for j in {first[x] for x in lines if count(x)} - {i}:
-            drop |= set(common_lines(key(texts[j]), key(lines), words, LEAST_WORDS))
-        want[i] = (sorted(drop), "\n".join(x for n, x in enumerate(lines) if n not in drop))
-    got = {r.doc_id: (list(r.deleted_lines), r.text) for r in dedup_lines(docs).collect()}
-    assert got == want and any(d for d, _ in want.values())
+        words = [len(line.replace("\t", " ").split()) for line in texts[i]]
+        plain = [line if n else "" for line, n in zip(texts[i], words)]
+        runs = [(a, b, tuple(plain[a:b])) for a, b in _runs(plain, words)]
+        want = {k for a, b, run in runs if run in seen for k in range(a, b) if words[k]}
+        assert {k for k in got[i][0] if words[k]} == want, i
+        assert got[i][1] == "\n".join(line for k, line in enumerate(texts[i]) if k not in got[i][0])
+        seen |= {run for _, _, run in runs}
+    assert len(got[top + 21][0]) == 7 and got[top + 23][1].split() == ["own", "own"]
 
 
 def test_line_dedup_passages_and_edges(spark, edge):
