@@ -176,6 +176,28 @@ def scan_results(t):
     )
 
 
+part("grouped_metrics", f'SELECT mode, domain AS "group", {METRICS} FROM by_mode GROUP BY mode, domain')
+
+
+@query(
+    "scan_results_grouped",
+    """
+SELECT 'domain=0-news' AS run, 'big' AS model, rtp, metric, mode, "group", value FROM (
+  SELECT 'Expected Maximum Toxicity' AS metric, mode, "group", avg_max AS value FROM grouped_metrics
+  UNION ALL SELECT 'Toxicity Probability', mode, "group", toxicity_probability FROM grouped_metrics), (SELECT unnest([true, false]) AS rtp)""",
+)
+def scan_results_grouped(t):
+    root = work_folder(t.spark, "experiments")
+    table = rounded(evaluate_toxicity(t.generations, t.scores, t.prompts, "domain"))
+    long = unpivot_metrics(table, ["mode", "domain"], drop=())
+    for folder in ("model=big/domain=0-news", "model=big/domain=0-news/RTP"):
+        writers.write_metrics(long, f"{root}/{folder}/run_toxicity_groupby.csv", "domain")
+        writers.write_metrics(long, f"{root}/{folder}/run_toxicity.csv", wide=False)
+    return results.scan_grouped_results(t.spark, root).select(
+        "run", F.col("parameters")["model"].alias("model"), "rtp", "metric", "mode", "group", "value"
+    )
+
+
 part(
     "store_summary",
     """

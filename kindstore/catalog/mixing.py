@@ -10,7 +10,7 @@ from kindstore.catalog.vectors import K, OTHER_K
 from kindstore.functions.scalars import whole_div
 from kindstore.operators import mixing
 from kindstore.operators.results import grid, sweep_grid
-from kindstore.plans.retrieval import continual_mixtures, retrieve, retrieve_and_ensemble, retrieve_and_mix
+from kindstore.plans.retrieval import continual_mixtures, retrieve, retrieve_and_ensemble, retrieve_and_mix, sweep_sizes
 
 T, ALPHA, P = 0.5, 2.0, 0.9
 OUT = f"query_id, token, {r6('logp', 'logp')}"
@@ -32,7 +32,7 @@ FROM lm_full""",
 part("lm", "SELECT query_id, batch_id, token, logp FROM lm_marked WHERE kept")
 
 
-def distribution(source: str, temperature: float, by: str = "query_id, store") -> str:
+def distribution(source: str, temperature: float | str, by: str = "query_id, store") -> str:
     return f"""
 SELECT {by}, token, ln(sum(w) / any_value(total)) AS logp FROM (
   SELECT *, sum(w) OVER (PARTITION BY {by}) AS total FROM (
@@ -235,15 +235,15 @@ def sample_tokens(t):
 
 # -- sweeps: one retrieval, many settings
 
-SETTINGS = grid(k=[4, 8, 16], other_k=[8, 16, 32], alpha=(1.0, 2.0, 0.5))
+SETTINGS = grid(k=[4, 8, 16], other_k=[8, 16, 32], alpha=(1.0, 2.0, 0.5), temperature=(T, 2.0))
 part(
     "settings",
     "SELECT * FROM (VALUES "
-    + ", ".join(f"({i}, {a}, {b}, CAST({x} AS DOUBLE))" for i, (a, b, x) in enumerate(SETTINGS))
-    + ") v(s, k, other_k, alpha)",
+    + ", ".join(f"({i}, {a}, {b}, CAST({x} AS DOUBLE), CAST({h} AS DOUBLE))" for i, (a, b, x, h) in enumerate(SETTINGS))
+    + ") v(s, k, other_k, alpha, temperature)",
 )
-part("swept_near", "SELECT s.s, n.* FROM near n JOIN settings s ON n.rank <= CASE n.store WHEN 'toxic' THEN s.k ELSE s.other_k END")
-part("swept_knn", distribution("swept_near", T, "s, query_id, store"))
+part("swept_near", "SELECT s.s, s.temperature, n.* FROM near n JOIN settings s ON n.rank <= CASE n.store WHEN 'toxic' THEN s.k ELSE s.other_k END")
+part("swept_knn", distribution("swept_near", "temperature", "s, query_id, store"))
 part("swept_lm", "SELECT s, alpha, lm.* FROM lm CROSS JOIN settings")
 part("swept_scores", ensembled("swept_lm", "swept_knn", "s, query_id").replace(f"+ {ALPHA} *", "+ alpha *"))
 part("swept", softmax("swept_scores", "score", "s, query_id", "s, query_id, token"))
@@ -251,11 +251,43 @@ part("swept", softmax("swept_scores", "score", "s, query_id", "s, query_id, toke
 
 @query(
     "sweep_grid",
-    f"SELECT CAST(k AS INTEGER) AS k, CAST(other_k AS INTEGER) AS other_k, alpha, {OUT} FROM swept JOIN settings USING (s)",
+    f"SELECT CAST(k AS INTEGER) AS k, CAST(other_k AS INTEGER) AS other_k, alpha, temperature, {OUT} FROM swept JOIN settings USING (s)",
 )
 def _sweep_grid(t):
     near = retrieve(t.queries, t.keys, K, OTHER_K)
-    return rounded(sweep_grid(near, lm(t), SETTINGS, T))
+    return rounded(sweep_grid(near, lm(t), SETTINGS))
+
+
+# -- store sizes: each part of a store searched once
+
+SIZES = [(40, None), (120, 60), (None, 120), (None, None)]
+part(
+    "sizes",
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"({i}, {a or 'NULL'}, {b or 'NULL'})" for i, (a, b) in enumerate(SIZES))
+    + ") v(i, size, other_size)",
+)
+part(
+    "sized_near",
+    f"""
+SELECT * FROM (
+  SELECT s.i, p.query_id, p.store, p.token, p.dist,
+         row_number() OVER (PARTITION BY s.i, query_id, store ORDER BY dist, entry_id) AS rank
+  FROM key_pairs p JOIN sizes s ON p.entry_id < coalesce(CASE p.store WHEN 'toxic' THEN s.size ELSE s.other_size END, 9223372036854775807))
+WHERE rank <= CASE store WHEN 'toxic' THEN {K} ELSE {OTHER_K} END""",
+)
+part("sized_knn", distribution("sized_near", T, "i, query_id, store"))
+part("sized_lm", "SELECT i, lm.* FROM lm CROSS JOIN sizes")
+part("sized_scores", ensembled("sized_lm", "sized_knn", "i, query_id"))
+part("sized_mixed", softmax("sized_scores", "score", "i, query_id", "i, query_id, token"))
+
+
+@query(
+    "sweep_sizes",
+    f"SELECT CAST(size AS BIGINT) AS size, CAST(other_size AS BIGINT) AS other_size, {OUT} FROM sized_mixed JOIN sizes USING (i)",
+)
+def _sweep_sizes(t):
+    return rounded(sweep_sizes(t.queries, t.model_logits("lm"), t.keys, SIZES, K, OTHER_K, T, ALPHA, P))
 
 
 # -- the mixture after each continual stage

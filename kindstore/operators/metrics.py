@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindstore.functions.scalars import nan_to_null, ratio, seed_order, words
+from kindstore.session import materialize
 
 MODES = ("toxic", "nontoxic", "full")
 
@@ -115,15 +116,16 @@ def generation_perplexity(token_logprobs: DataFrame) -> DataFrame:
 
     Input rows: ``prompt_idx, gen_id, part, logp`` with ``part`` = ``prompt``
     (``gen_id`` NULL) or ``full`` (prompt and generation together). The first
-    token of a text has no prediction (``logp`` NULL) but counts as a token.
+    token of a text has no prediction (``logp`` NULL) but counts as a token. The
+    sums of both parts come from one pass and are written, a row per text.
     """
-    measures = [(-F.sum("logp")).alias("nll"), F.count("*").alias("n")]
-    full = token_logprobs.where("part = 'full'").groupBy("prompt_idx", "gen_id").agg(*measures)
+    sums = token_logprobs.groupBy("part", "prompt_idx", "gen_id").agg((-F.sum("logp")).alias("nll"), F.count("*").alias("n"))
+    sums = materialize(sums, "text-losses")
+    full = sums.where("part = 'full'")
     prompt = (
-        token_logprobs.where("part = 'prompt'")
+        sums.where("part = 'prompt'")
         .groupBy("prompt_idx")
-        .agg(*measures)
-        .select("prompt_idx", F.coalesce("nll", F.lit(0.0)).alias("prompt_nll"), F.col("n").alias("prompt_n"))
+        .agg(F.coalesce(F.sum("nll"), F.lit(0.0)).alias("prompt_nll"), F.sum("n").alias("prompt_n"))
     )
     loss = ratio(F.col("nll") - F.col("prompt_nll"), F.col("n") - F.col("prompt_n"))
     return full.join(prompt, "prompt_idx").select("prompt_idx", "gen_id", F.exp(loss).alias("perplexity"))

@@ -43,11 +43,11 @@ def nucleus_filter(df: DataFrame, p: float = 0.9, mark: bool = False) -> DataFra
     return ranked.where(kept).drop("_before")
 
 
-def knn_distribution(neighbours: DataFrame, temperature: float = 100.0) -> DataFrame:
-    """softmax(-dist / T) over a query's neighbours, summed by token."""
+def knn_distribution(neighbours: DataFrame, temperature: float | Column = 100.0) -> DataFrame:
+    """softmax(-dist / T) over a query's neighbours, summed by token; T may be a column."""
     group = Window.partitionBy("query_id", "store")
     nearest = F.min("dist").over(group)
-    weight = neighbours.withColumn("_w", F.exp((nearest - F.col("dist")) / float(temperature)))
+    weight = neighbours.withColumn("_w", F.exp((nearest - F.col("dist")) / temperature))
     share = weight.withColumn("_p", F.col("_w") / F.sum("_w").over(group))
     return (
         share.groupBy("query_id", "store", "token")

@@ -75,9 +75,12 @@ def encode(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
 
 
 def bigram_model(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts ``prev, word, n`` and ``prev, n_prev`` of a corpus."""
-    bigrams = _bigrams(corpus, []).where("prev is not null").groupBy("prev", "word").agg(F.count("*").alias("n"))
-    return bigrams, bigrams.groupBy("prev").agg(F.sum("n").alias("n_prev"))
+    """Counts ``prev, word, n`` and ``prev, n_prev`` of a corpus, from one written count.
+
+    First words stand with a NULL ``prev``, so the first table has every word.
+    """
+    bigrams = materialize(_bigrams(corpus, []).groupBy("prev", "word").agg(F.count("*").alias("n")), "bigram-counts")
+    return bigrams, bigrams.where("prev is not null").groupBy("prev").agg(F.sum("n").alias("n_prev"))
 
 
 def _bigrams(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -90,11 +93,11 @@ def ngram_logprobs(texts: DataFrame, corpus: DataFrame, keys: list[str]) -> Data
     """Default language model: add-one bigram log-probability of every token.
 
     ``texts`` has ``keys`` and ``text``; the first token of a text has a NULL
-    ``logp``. Distinct bigrams are scored once, and the tokens then join those
-    scores with hot bigrams handled apart.
+    ``logp``. The corpus is read once. Distinct bigrams are scored once, and the
+    tokens then join those scores with hot bigrams handled apart.
     """
     bigrams, unigrams = bigram_model(corpus)
-    size = corpus.select(F.explode(words(F.col("text"))).alias("word")).agg(F.count_distinct("word").alias("v")).scalar()
+    size = bigrams.agg(F.count_distinct("word").alias("v")).scalar()
     tokens = _bigrams(texts, keys)
     used = tokens.where("prev is not null").groupBy("prev", "word").agg(F.count("*").alias("uses"))
     logp = F.ln((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("n_prev", F.lit(0)) + size))
@@ -103,8 +106,6 @@ def ngram_logprobs(texts: DataFrame, corpus: DataFrame, keys: list[str]) -> Data
     scored = lookup_join(known, materialize(unigrams, "unigrams"), ["prev"], how="left").select(
         "prev", "word", "uses", logp.alias("logp")
     )
-    followed = lookup_join(
-        tokens.where("prev is not null"), materialize(scored, "bigrams"), ["prev", "word"], "uses"
-    )
-    first = tokens.where("prev is null").withColumn("logp", F.lit(None).cast("double"))
-    return followed.unionByName(first).select(*keys, "prev", "word", "logp")
+    # A first token has no previous word and finds no score.
+    found = lookup_join(tokens, materialize(scored, "bigrams"), ["prev", "word"], "uses", how="left")
+    return found.select(*keys, "prev", "word", "logp")

@@ -160,38 +160,50 @@ def timing_stats(df: DataFrame, by: str, column: str, order: str | None = None)
     )
 
 
-def grid(*, k: Sequence[int], other_k: Sequence[int] | int, alpha: tuple[float, float, float]) -> list[tuple]:
-    """Settings of a sweep: zipped k pairs, a single value going with every k."""
+def grid(
+    *,
+    k: Sequence[int],
+    other_k: Sequence[int] | int,
+    alpha: tuple[float, float, float],
+    temperature: Sequence[float] = (100.0,),
+) -> list[tuple]:
+    """Settings of a sweep: zipped k pairs, a single value going with every k, each with all alphas and temperatures."""
     others = [other_k] * len(k) if isinstance(other_k, int) else list(other_k)
     if len(others) != len(k):
         raise ValueError("both lists of k need the same length")
     low, high, step = alpha
     # Up to the end, and one step past it where the step does not divide the range.
     alphas = [low + i * step for i in range(math.ceil((high - low) / step - 1e-9) + 1)]
-    return [(a, b, float(x)) for a, b in zip(k, others) for x in alphas]
+    return [(a, b, float(x), float(t)) for a, b in zip(k, others) for x in alphas for t in temperature]
 
 
 def sweep_grid(
     neighbours: DataFrame,
     lm: DataFrame,
-    settings: Sequence[tuple[int, int, float]],
-    temperature: float = 100.0,
+    settings: Sequence[tuple[int, int, float, float]],
     stores: tuple[str, str] = ("toxic", "nontoxic"),
 ) -> DataFrame:
-    """The ensemble for every (k, other k, alpha), from one retrieval at the largest k.
+    """The ensemble for every (k, other k, alpha, temperature), from one retrieval at the largest k.
 
     Neighbours and language-model rows are repeated per setting and filtered by
     rank; all settings run as one plan under a combined query key.
     """
     records = [
-        F.struct(F.lit(i).alias("s"), F.lit(a).alias("k"), F.lit(b).alias("other_k"), F.lit(float(x)).alias("alpha"))
-        for i, (a, b, x) in enumerate(settings)
+        F.struct(
+            F.lit(i).alias("s"),
+            F.lit(a).alias("k"),
+            F.lit(b).alias("other_k"),
+            F.lit(float(x)).alias("alpha"),
+            F.lit(float(t)).alias("temperature"),
+        )
+        for i, (a, b, x, t) in enumerate(settings)
     ]
     every = F.explode(F.array(*records)).alias("_p")
     key = F.struct(F.col("_p.s").alias("s"), F.col("query_id").alias("q"))
     limit = F.when(F.col("store") == stores[0], F.col("_p.k")).otherwise(F.col("_p.other_k"))
     near = neighbours.select("*", every).where(F.col("rank") <= limit)
-    dist = knn_distribution(near.select(key.alias("query_id"), "store", "dist", "token"), temperature)
+    heat = F.col("_p.temperature").alias("temperature")
+    dist = knn_distribution(near.select(key.alias("query_id"), "store", "dist", "token", heat), F.col("temperature"))
     about = F.create_map(*[c for i, r in enumerate(records) for c in (F.lit(i), r)])
     base = lm if "batch_id" in lm.columns else lm.withColumn("batch_id", F.lit(0).cast("bigint"))
     base = base.select("*", every).select(
@@ -204,5 +216,5 @@ def sweep_grid(
         about[F.col("query_id.s")]["alpha"],
     )
     return mixed.select("*", about[F.col("query_id.s")].alias("_p")).select(
-        "_p.k", "_p.other_k", "_p.alpha", F.col("query_id.q").alias("query_id"), "token", "logp"
+        "_p.k", "_p.other_k", "_p.alpha", "_p.temperature", F.col("query_id.q").alias("query_id"), "token", "logp"
     )

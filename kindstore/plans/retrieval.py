@@ -107,34 +107,86 @@ def continual_mixtures(
     p: float = 0.9,
     stores: tuple[str, str] = ("toxic", "nontoxic"),
 ) -> DataFrame:
-    """The mixture after every stage, over the entries of that stage and before.
+    """The mixture after every stage, over the entries of that stage and before."""
+    staged = keys.where(F.col("stage") <= max(stages)).withColumn("part", F.col("stage"))
+    limits = dict(zip(stores, (k, k if other_k is None else other_k), strict=True))
+    reach = {store: list(stages) for store in stores}
+    mixed = _mixtures_of_parts(queries, lm, staged, limits, reach, temperature, alpha, p)
+    stage = F.get(F.array(*[F.lit(s) for s in stages]), F.col("setting"))
+    return mixed.select(stage.alias("stage"), "query_id", "token", "logp")
 
-    Each stage's own entries are searched once. The k best of stages 0..s are
-    among the k best of each of them, so only neighbours are repeated for later
-    stages, never keys.
+
+def sweep_sizes(
+    queries: DataFrame,
+    lm: DataFrame,
+    keys: DataFrame,
+    sizes: Sequence[tuple[int | None, int | None]],
+    k: int = 1024,
+    other_k: int | None = None,
+    temperature: float = 100.0,
+    alpha: float = 2.0,
+    p: float = 0.9,
+    stores: tuple[str, str] = ("toxic", "nontoxic"),
+) -> DataFrame:
+    """The mixture for every pair of store sizes: entries with an id below the size, None for all.
+
+    Sizes cut each store into parts, and each part is searched once however many
+    pairs include it. Returns ``size``, ``other_size``, ``query_id, token, logp``.
+    """
+    limits = dict(zip(stores, (k, k if other_k is None else other_k), strict=True))
+    part, reach = F.lit(None).cast("int"), {}
+    for store, wanted in zip(stores, zip(*sizes, strict=True), strict=True):
+        cuts = sorted({n for n in wanted if n is not None})
+        place = F.lit(None).cast("int") if None not in wanted else F.lit(len(cuts))
+        for i in reversed(range(len(cuts))):
+            place = F.when(F.col("entry_id") < cuts[i], i).otherwise(place)
+        part = F.when(F.col("store") == store, place).otherwise(part)
+        reach[store] = [len(cuts) if n is None else cuts.index(n) for n in wanted]
+    parted = keys.withColumn("part", part).where(F.col("part").isNotNull())
+    mixed = _mixtures_of_parts(queries, lm, parted, limits, reach, temperature, alpha, p)
+    named = [
+        F.get(F.array(*[F.lit(pair[i]).cast("bigint") for pair in sizes]), F.col("setting")).alias(name)
+        for i, name in enumerate(("size", "other_size"))
+    ]
+    return mixed.select(*named, "query_id", "token", "logp")
+
+
+def _mixtures_of_parts(
+    queries: DataFrame,
+    lm: DataFrame,
+    keys: DataFrame,
+    limits: dict[str, int],
+    reach: dict[str, list[int]],
+    temperature: float,
+    alpha: float,
+    p: float,
+) -> DataFrame:
+    """Mixtures of several settings, each over the keys whose ``part`` is at most the setting's ``reach``.
+
+    Each part is searched once. The k best of parts 0..n are among the k best of
+    each of them, so only neighbours are repeated for later settings, never keys.
+    ``limits`` holds the k of the two stores. Returns ``setting`` (the place in
+    ``reach``), ``query_id, token, logp``.
     """
-    last, wanted = max(stages), F.array(*[F.lit(i) for i in stages])
-    pairs = [(s, i, n) for i in range(last + 1) for s, n in zip(stores, (k, k if other_k is None else other_k))]
-    label = F.concat_ws("@", "store", F.col("stage").cast("string"))
-    staged = keys.where((F.col("stage") <= last) & F.col("store").isin(*stores)).withColumn("store", label)
-    near = materialize(knn_exact(queries, staged, {f"{s}@{i}": n for s, i, n in pairs}), "neighbours")
-    since = F.split_part("store", F.lit("@"), F.lit(2)).cast("int")
+    first, second = limits
+    label = F.concat_ws("@", "store", F.col("part").cast("string"))
+    parted = keys.where(F.col("store").isin(*limits)).withColumn("store", label)
+    wanted = {f"{store}@{i}": n for store, n in limits.items() for i in range(max(reach[store]) + 1)}
+    near = materialize(knn_exact(queries, parted, wanted), "neighbours")
+    part = F.split_part("store", F.lit("@"), F.lit(2)).cast("int")
     kind = F.split_part("store", F.lit("@"), F.lit(1))
-    later = F.explode(F.filter(wanted, lambda s: s >= since)).alias("stage")
-    repeated = near.select("query_id", "entry_id", "dist", "token", "store", later).withColumn("store", kind)
-    nearest = Window.partitionBy("query_id", "store", "stage").orderBy("dist", "entry_id")
-    limit = F.when(F.col("store") == stores[0], k).otherwise(k if other_k is None else other_k)
-    best = repeated.withColumn("_rank", F.row_number().over(nearest)).where(F.col("_rank") <= limit)
+    ends = F.when(kind == first, F.array(*map(F.lit, reach[first]))).otherwise(F.array(*map(F.lit, reach[second])))
+    near = near.select("query_id", "entry_id", "dist", "token", kind.alias("store"), part.alias("part"), F.posexplode(ends).alias("setting", "_end"))
+    nearest = Window.partitionBy("query_id", "store", "setting").orderBy("dist", "entry_id")
+    limit = F.when(F.col("store") == first, limits[first]).otherwise(limits[second])
+    best = near.where("part <= _end").withColumn("_rank", F.row_number().over(nearest)).where(F.col("_rank") <= limit)
 
-    key = F.struct("stage", F.col("query_id").alias("q")).alias("query_id")
+    key = F.struct("setting", F.col("query_id").alias("q")).alias("query_id")
     dist = knn_distribution(best.select(key, "store", "dist", "token"), temperature)
     base = nucleus_filter(log_softmax(lm), p)
     if "batch_id" not in base.columns:
         base = base.withColumn("batch_id", F.lit(0).cast("bigint"))
-    base = base.select("*", F.explode(wanted).alias("stage")).select(
-        key, F.struct("stage", "batch_id").alias("batch_id"), "token", "logp"
-    )
-    mixed = ensemble(
-        base, dist.where(F.col("store") == stores[0]), dist.where(F.col("store") == stores[1]), alpha
-    )
-    return mixed.select("query_id.stage", F.col("query_id.q").alias("query_id"), "token", "logp")
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(reach[first]) - 1))).alias("setting")
+    base = base.select("*", every).select(key, F.struct("setting", "batch_id").alias("batch_id"), "token", "logp")
+    mixed = ensemble(base, dist.where(F.col("store") == first), dist.where(F.col("store") == second), alpha)
+    return mixed.select("query_id.setting", F.col("query_id.q").alias("query_id"), "token", "logp")

@@ -129,3 +129,33 @@ def test_failed_batches_become_error_rows(spark):
     got = {r["request_id"]: r for r in score_texts(df, scorer, rate=1, interval=0.0).collect()}
     assert got["1"]["error"] == "no answer" and got["1"]["response"] is None
     assert got["2"]["error"] is None and got["2"]["response"] is not None
+
+
+def test_result_folders(spark, tmp_path):
+    from kindstore.sources import results, writers
+
+    rows = [(m, g, k, v) for m in ("toxic", "full") for g in ('a, "b"', None) for k, v in (("avg_max", 0.5), ("std_max", 0.1))]
+    long = spark.createDataFrame(rows, "mode string, domain string, metric string, value double")
+    root = tmp_path / "temperature_100" / "lambda" / "both" / "lambda_-2.5"
+    writers.write_metrics(long, f"{root}/RTP/x_toxicity_groupby.csv", "domain")
+    (root / "x_perplexity.csv").write_text("toxic,nontoxic,full\n1.5,2.5,\n")
+    (root / "y_toxicity_groupby.csv").write_text(",full\n,news\navg_max,\n")
+    found = results.scan_grouped_results(spark, str(tmp_path)).collect()
+    got = {(r.run, r.rtp, r["mode"], r["group"], r.metric, r.value) for r in found}
+    name = "Expected Maximum Toxicity"
+    want = {("lambda_-2.5", True, m, g, name, 0.5) for m in ("toxic", "full") for g in ('a, "b"', "")}
+    assert got == want | {("lambda_-2.5", False, "full", "news", name, None)}
+    assert {str(r.parameters) for r in found} == {str({"temperature": "100", "lambda": "-2.5"})}
+    plain = results.scan_results(spark, str(tmp_path), "perplexity").collect()
+    assert {(r["mode"], r.value, r.rtp) for r in plain} == {("toxic", 1.5, False), ("nontoxic", 2.5, False), ("full", None, False)}
+    assert plain[0].parameters == {"temperature": "100", "lambda": "-2.5"}
+
+
+def test_folder_parameters(spark):
+    from pyspark.sql import functions as F
+
+    from kindstore.sources.results import folder_parameters
+
+    df = spark.createDataFrame([("toxic=1_nontoxic=None",), ("lambda_2.0",), ("both",), ("a=1_a=2",)], "f string")
+    got = [r[0] for r in df.select(folder_parameters(F.col("f"))).collect()]
+    assert got == [{"toxic": "1", "nontoxic": "None"}, {"lambda": "2.0"}, {}, {"a": "2"}]
