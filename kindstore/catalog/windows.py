@@ -141,7 +141,7 @@ def fixed_blocks(t):
 part(
     "line_words",
     """
-SELECT doc_id, line, unnest(string_split(l, ' ')[1:32]) AS word, generate_subscripts(string_split(l, ' ')[1:32], 1) AS pos FROM (
+SELECT doc_id, line, unnest(string_split(l, ' ')[1:1024]) AS word, generate_subscripts(string_split(l, ' ')[1:1024], 1) AS pos FROM (
   SELECT doc_id, unnest(lines) AS l, generate_subscripts(lines, 1) - 1 AS line FROM (
     SELECT doc_id, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS lines FROM documents))
 WHERE trim(l, ' ' || chr(9)) <> ''""",
@@ -155,7 +155,7 @@ SELECT doc_id, CAST(line AS INTEGER) AS line, md5(string_agg(coalesce(token, -1)
 FROM line_words LEFT JOIN vocab USING (word) GROUP BY doc_id, line""",
 )
 def line_blocks(t):
-    blocks = windows.line_blocks(t.documents, vocabulary(t), 32)
+    blocks = windows.line_blocks(t.documents, vocabulary(t), BLOCK)
     return blocks.select("doc_id", "line", _joined("input_ids").alias("digest"))
 
 

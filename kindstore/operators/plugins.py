@@ -17,19 +17,24 @@ from kindstore.session import materialize
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def score_texts(df: DataFrame, scorer: Scorer, rate: int = 25, partitions: int = 1, interval: float = 1.0) -> DataFrame:
-    """Send ``request_id, text`` to a scorer in batches of ``rate`` per interval.
+def score_texts(
+    df: DataFrame, scorer: Scorer, rate: int = 25, partitions: int | None = None, interval: float = 1.0
+) -> DataFrame:
+    """Send ``request_id, text`` to a scorer, ``rate`` texts per interval in all.
 
     ``scorer`` gets a pandas frame and returns ``request_id, response, error``.
-    An exception turns the batch into error rows. The overall rate is ``rate``
-    times ``partitions``, each partition waiting between its batches.
+    An exception turns the batch into error rows. The rate is shared by the
+    ``partitions`` (the session's parallelism if None, and never more than the
+    rate), each waiting between its batches.
     """
+    partitions = min(partitions or df.sparkSession.sparkContext.defaultParallelism, rate)
+    share = rate // partitions
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
         for frame in batches:
-            for start in range(0, len(frame), rate):
-                part = frame.iloc[start : start + rate]
+            for start in range(0, len(frame), share):
+                part = frame.iloc[start : start + share]
                 if last is not None:
                     time.sleep(max(0.0, interval - (time.monotonic() - last)))
                 last = time.monotonic()

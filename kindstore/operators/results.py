@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kindstore.functions.scalars import ratio
 from kindstore.operators.mixing import ensemble, knn_distribution
 from kindstore.operators.texts import remap_values
+from kindstore.session import materialize
 
 # Readable names of the toxicity metrics.
 METRIC_NAMES = {"avg_max": "Expected Maximum Toxicity", "toxicity_probability": "Toxicity Probability"}
@@ -36,47 +37,58 @@ def flag_sums(df: DataFrame, by: Sequence[str], flags: Sequence[str]) -> DataFra
 
 
 def exact_quantiles(
-    df: DataFrame, by: str, column: str, shares: Sequence[float], bins: int = 4096
+    df: DataFrame, by: str, column: str, shares: Sequence[float], bins: int = 4096, few: int = 100_000
 ) -> DataFrame:
     """Quantiles per group with linear interpolation: ``by, share, quantile``.
 
-    Values are counted in ``bins`` ranges per group, and only the ranges that
-    hold a wanted rank are sorted. Equal values are counted, not repeated, so
-    no task holds a whole group.
+    Values are counted once and written. Each wanted rank then narrows the range
+    that holds it: values are counted in ``bins`` ranges between the smallest and
+    largest, and the one with the rank is cut again by its own extremes, until no
+    range holds more than ``few`` distinct values. So an outlier costs one round
+    more, and no task sorts a whole group. Runs jobs when called.
     """
     rows = df.where(F.col(column).isNotNull()).groupBy(by, F.col(column).cast("double").alias("_v")).agg(
         F.count("*").alias("_n")
     )
-    about = rows.groupBy(by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_all"))
-    place = F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins)
-    bin_no = F.when(F.col("_high") > F.col("_low"), F.least(place, F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-    binned = rows.join(about.select(by, "_low", "_high"), by).select(by, "_v", "_n", bin_no.alias("_bin"))
-    upto = Window.partitionBy(by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = (
-        binned.groupBy(by, "_bin")
-        .agg(F.sum("_n").alias("_size"))
-        .withColumn("_end", F.sum("_size").over(upto))
-        .withColumn("_start", F.col("_end") - F.col("_size"))
-    )
+    rows = materialize(rows, "value-counts")
+    extent = [F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_values")]
+    about = rows.groupBy(by).agg(F.sum("_n").alias("_all"), *extent)
     exact = F.col("share") * (F.col("_all") - 1)
     ranks = (
-        about.select(by, "_all", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
+        about.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
         .withColumn("_exact", exact)
         .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_exact"), F.ceil("_exact")))))
+        .withColumn("_start", F.lit(0).cast("bigint"))
     )
-    wanted = ranks.join(sizes, by).where("_rank >= _start and _rank < _end").select(
-        by, "share", "_exact", "_rank", "_bin", "_start"
-    )
-    inside = Window.partitionBy(by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    needed = binned.join(wanted.select(by, "_bin").distinct(), [by, "_bin"], "left_semi").withColumn(
-        "_upto", F.sum("_n").over(inside)
-    )
-    hit = wanted.join(needed, [by, "_bin"]).where(
-        "_rank - _start < _upto and _rank - _start >= _upto - _n"
-    )
-    weight = F.when(F.col("_rank") == F.floor("_exact"), 1 - (F.col("_exact") - F.floor("_exact"))).otherwise(
-        F.col("_exact") - F.floor("_exact")
-    )
+    while True:
+        ranks = materialize(ranks.select(by, "share", "_exact", "_rank", "_start", "_low", "_high", "_values"), "ranks")
+        ranges = ranks.select(by, "_start", "_low", "_high").distinct()
+        inside = rows.join(ranges, by).where(F.col("_v").between(F.col("_low"), F.col("_high")))
+        if (ranks.agg(F.max("_values")).first()[0] or 0) <= few:
+            break
+        # Halves, as the width of a range may overflow; of an endless range only the ends are split off.
+        width = F.col("_high") / 2 - F.col("_low") / 2
+        place = F.least(F.floor((F.col("_v") / 2 - F.col("_low") / 2) / width * bins), F.lit(bins - 1))
+        ends = F.when(F.col("_v") == F.col("_low"), 0).when(F.col("_v") == F.col("_high"), bins - 1).otherwise(1)
+        bin_no = F.when(width < float("inf"), place).otherwise(ends)
+        upto = Window.partitionBy(by, "_start").orderBy("_bin")
+        sizes = (
+            inside.where("_high > _low")
+            .withColumn("_bin", bin_no.cast("int"))
+            .groupBy(by, "_start", "_bin")
+            .agg(F.sum("_n").alias("_size"), *extent)
+            .withColumn("_end", F.col("_start") + F.sum("_size").over(upto))
+        )
+        fixed = ranks.where("_values = 1")
+        sizes = sizes.withColumn("_begin", F.col("_end") - F.col("_size"))
+        open_ranks = ranks.where("_values > 1").drop("_low", "_high", "_values")
+        narrowed = open_ranks.join(sizes, [by, "_start"]).where("_rank >= _begin and _rank < _end")
+        ranks = narrowed.withColumn("_start", F.col("_begin")).select(*fixed.columns).unionByName(fixed)
+    within = Window.partitionBy(by, "_start").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = inside.select(by, "_start", "_v", "_n", (F.col("_start") + F.sum("_n").over(within)).alias("_upto"))
+    hit = ranks.join(placed, [by, "_start"]).where("_rank < _upto and _rank >= _upto - _n")
+    over = F.col("_exact") - F.floor("_exact")
+    weight = F.when(F.col("_rank") == F.floor("_exact"), 1 - over).otherwise(over)
     return hit.groupBy(by, "share").agg(F.sum(F.col("_v") * weight).alias("quantile"))
 
 

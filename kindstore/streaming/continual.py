@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from kindstore.operators.corpus import resume_pending
@@ -15,7 +14,8 @@ from kindstore.schemas import SCORES
 from kindstore.session import exists, materialize
 from kindstore.sources.datastore import append_datastore
 
-WITH_BATCH = T.StructType([*SCORES.fields, T.StructField("batch", T.LongType())])
+BUCKETS = 64
+ANSWERED = "request_id string, batch bigint, bucket int"
 
 
 def stream_files(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
@@ -60,23 +60,31 @@ def score_stream(
     out: str,
     checkpoint: str,
     rate: int = 25,
-    partitions: int = 1,
+    partitions: int | None = None,
     interval: float = 1.0,
 ) -> StreamingQuery:
     """Score arriving ``request_id, text`` rows once, appending the responses.
 
     Each micro-batch writes its own folder, so that a repeated batch replaces
-    itself, and leaves out requests that any other batch has answered.
+    itself, and leaves out requests that any other batch has answered. Their ids
+    are kept beside ``out`` (``<out>-answered``), in buckets, so a batch reads the
+    ids of its own buckets and no response.
     """
+    answered = f"{out.rstrip('/')}-answered"
+    bucket = F.pmod(F.xxhash64("request_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
 
     def score(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         pending = batch.dropDuplicates(["request_id"])
-        if exists(spark, out):
-            done = spark.read.schema(WITH_BATCH).json(out).where(F.col("batch") != number)
-            pending = resume_pending(pending, done)
+        if exists(spark, answered):
+            wanted = [r[0] for r in pending.select(bucket).distinct().collect()]  # BUCKETS numbers at most
+            done = spark.read.schema(ANSWERED).parquet(answered).where(F.col("batch") != number)
+            pending = resume_pending(pending, done.where(F.col("bucket").isin(wanted)))
         answers = score_texts(pending, scorer, rate, partitions, interval)
-        answers.write.mode("overwrite").option("ignoreNullFields", False).json(f"{out}/batch={number}")
+        folder = f"{out}/batch={number}"
+        answers.write.mode("overwrite").option("ignoreNullFields", False).json(folder)
+        ids = spark.read.schema(SCORES).json(folder).select("request_id", bucket)
+        ids.write.mode("overwrite").partitionBy("bucket").parquet(f"{answered}/batch={number}")
 
     return (
         stream.writeStream.foreachBatch(score)

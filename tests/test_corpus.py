@@ -162,12 +162,12 @@ def test_quantiles_match_numpy(spark):
     values = {"a": rng.normal(size=200), "b": np.repeat([1.0, 2.0], [150, 3]), "c": np.array([4.0])}
     rows = [(g, float(x)) for g, xs in values.items() for x in xs]
     df = spark.createDataFrame(rows, "g string, x double")
-    for r in exact_quantiles(df, "g", "x", (0.0, 0.25, 0.5, 0.9, 1.0), bins=7).collect():
+    for r in exact_quantiles(df, "g", "x", (0.0, 0.25, 0.5, 0.9, 1.0), bins=7, few=3).collect():
         assert r["quantile"] == pytest.approx(np.quantile(values[r["g"]], r["share"]))
 
 
 def test_sweep_grid_settings():
-    assert grid(k=[1, 2], other_k=4, alpha=(0.5, 1.0, 0.5)) == [(1, 4, 0.5), (1, 4, 1.0), (2, 4, 0.5), (2, 4, 1.0)]
+    assert grid(k=[1, 2], other_k=4, alpha=(0.5, 1.0, 0.5)) == [(k, 4, a, 100.0) for k in (1, 2) for a in (0.5, 1.0)]
     with pytest.raises(ValueError):
         grid(k=[1, 2], other_k=[1], alpha=(1, 1, 1))
 
@@ -195,3 +195,21 @@ def test_repeated_answers_are_not_blended(spark):
     answers = [("r", *[0.9, *[0.1] * 7]), ("r", *[0.2, *[0.8] * 7]), ("r", *[None] * 8)]
     got = best_scores(spark.createDataFrame(answers, f"request_id string, {kinds}")).first()
     assert tuple(got) in {answers[0], answers[1]}
+
+
+def test_quantiles_narrow_around_outliers(spark):
+    rng = np.random.default_rng(3)
+    groups = {
+        "outlier": [*rng.normal(size=400).tolist(), 1e300, -1e300],
+        "endless": [*rng.integers(0, 50, 200).astype(float).tolist(), float("inf"), float("-inf")],
+        "equal": [2.0] * 30,
+        "spread": (10.0 ** rng.uniform(-8, 8, 300)).tolist(),
+        "one": [5.0],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, x double")
+    shares = (0.1, 0.25, 0.5, 0.75)
+    for few in (3, 100_000):
+        got = {(r.g, r.share): r.quantile for r in exact_quantiles(df, "g", "x", shares, bins=256, few=few).collect()}
+        assert len(got) == len(groups) * len(shares)
+        for (g, share), value in got.items():
+            assert np.isclose(value, np.quantile(groups[g], share)), (few, g, share)
