@@ -15,6 +15,12 @@ WEIGHTS = (1, 2, 3)
 REPEATS = 3
 SEED = 11
 LEVELS = 2
+# Tables with a row for each membership pattern are broadcast up to so many patterns, and shuffled beyond.
+BROADCAST_PATTERNS = 100_000
+
+
+def _small(df: DataFrame, patterns: int) -> DataFrame:
+    return F.broadcast(df) if patterns <= BROADCAST_PATTERNS else df
 
 
 def word_count(text: Column) -> Column:
@@ -97,9 +103,9 @@ def mix_sources(
         whole, target = sources[names[0]] if names else (0, 0.0)
         table.append((key, whole, target, words // size if size else 0, words % size if size else 0))
     schema = "_pattern string, _source_size bigint, _target double, _times bigint, _rest bigint"
-    plan = F.broadcast(spark.createDataFrame(table, schema))
+    plan = _small(spark.createDataFrame(table, schema), len(table))
     rows = rows.join(plan, "_pattern")
-    cuts = F.broadcast(_cuts(rows.where("_rest > 0 AND _size > 0"), table, levels))
+    cuts = _small(_cuts(rows.where("_rest > 0 AND _size > 0"), table, levels), len(table))
     cut = rows.join(cuts, "_pattern", "left")
     before = (F.col("_order") < F.col("_cut._order")) | (
         (F.col("_order") == F.col("_cut._order")) & F.coalesce(F.col("_id") <= F.col("_cut._id"), F.isnull("_cut._id"))
@@ -108,7 +114,7 @@ def mix_sources(
     off = F.abs(F.col("_size") - F.col("_gap"))
     fits = cut.where(~inside & (F.col("_size") > 0) & (off < F.col("_gap")))
     fill = fits.groupBy("_pattern").agg(F.min(F.struct(off.alias("off"), "_order")).alias("_fill"))
-    cut = cut.withColumn("_inside", inside).join(F.broadcast(fill), "_pattern", "left")
+    cut = cut.withColumn("_inside", inside).join(_small(fill, len(table)), "_pattern", "left")
     filling = F.coalesce((F.col("_order") == F.col("_fill._order")) & (F.col("_size") > 0) & ~F.col("_inside"), F.lit(False))
     return cut.select(
         F.col("_id").alias(id_col),
@@ -131,18 +137,18 @@ def _cuts(rows: DataFrame, table: list[tuple], levels: int) -> DataFrame:
     rows = rows.select("_pattern", "_id", "_size", "_order")
     for level in range(1, levels + 1):
         digits = F.substring("_order", 1, 2 * level)
-        inside = rows.join(F.broadcast(state), "_pattern").where(F.col("_order").startswith(F.col("_prefix")))
+        inside = rows.join(_small(state, len(table)), "_pattern").where(F.col("_order").startswith(F.col("_prefix")))
         sums = inside.groupBy("_pattern", "_left", digits.alias("_digits")).agg(F.sum("_size").alias("_sum"))
         upto = F.sum("_sum").over(Window.partitionBy("_pattern").orderBy("_digits"))
         crossing = sums.withColumn("_upto", upto).where("_upto > _left").groupBy("_pattern")
         state = crossing.agg(F.min(F.struct("_digits", (F.col("_left") - F.col("_upto") + F.col("_sum")).alias("left"))).alias("_s"))
         state = state.select("_pattern", F.col("_s._digits").alias("_prefix"), F.col("_s.left").alias("_left"))
         state = materialize(state, "mix-cut")
-    last = rows.join(F.broadcast(state), "_pattern").where(F.col("_order").startswith(F.col("_prefix")))
+    last = rows.join(_small(state, len(table)), "_pattern").where(F.col("_order").startswith(F.col("_prefix")))
     upto = F.sum("_size").over(Window.partitionBy("_pattern").orderBy("_order", "_id"))
     fitting = last.withColumn("_upto", upto).where("_upto <= _left").groupBy("_pattern")
     fitting = fitting.agg(F.max(F.struct("_order", "_id", "_upto")).alias("_last"))
-    return state.join(F.broadcast(fitting), "_pattern", "left").select(
+    return state.join(_small(fitting, len(table)), "_pattern", "left").select(
         "_pattern",
         F.when(F.col("_last").isNull(), F.struct(F.col("_prefix").alias("_order"), F.lit(None).alias("_id")))
         .otherwise(F.struct(F.col("_last._order").alias("_order"), F.col("_last._id").alias("_id")))
