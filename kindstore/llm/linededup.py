@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -172,22 +173,62 @@ def _blocks(earlier: list, later: list, words: list[int], least_words: int) -> s
     return out
 
 
+def _shared_runs(earlier: list[int], later: list[int], words: list[int], least_words: int) -> set[int]:
+    """Lines of the later text in any run of at least ``least_words`` words that the earlier text has too, wherever.
+
+    A suffix automaton of the earlier text gives for each line of the later one the
+    longest run ending there that both have, in time linear in the lines.
+    """
+    lengths, links, nexts, last = [0], [-1], [{}], 0
+    for line in earlier:
+        state, new = last, len(lengths)
+        lengths.append(lengths[last] + 1)
+        links.append(0)
+        nexts.append({})
+        while state >= 0 and line not in nexts[state]:
+            nexts[state][line] = new
+            state = links[state]
+        if state >= 0:
+            target = nexts[state][line]
+            if lengths[target] > lengths[state] + 1:  # only its shorter runs end here too
+                split = len(lengths)
+                lengths.append(lengths[state] + 1)
+                links.append(links[target])
+                nexts.append(nexts[target].copy())
+                while state >= 0 and nexts[state].get(line) == target:
+                    nexts[state][line] = split
+                    state = links[state]
+                links[target] = target = split
+            links[new] = target
+        last = new
+    upto = [0, *accumulate(words)]
+    out: set[int] = set()
+    state = held = begun = 0  # lines before ``begun`` are seen to
+    for at, line in enumerate(later):
+        while state and line not in nexts[state]:
+            state = links[state]
+            held = lengths[state]
+        state = nexts[state].get(line, 0)
+        held = held + 1 if state else 0
+        if upto[at + 1] - upto[at + 1 - held] >= least_words:
+            # Runs begin ever later, so each line is added once.
+            out.update(range(max(begun, at + 1 - held), at + 1))
+            begun = at + 1
+    return out
+
+
 def common_lines(earlier: list[int], later: list[int], words: list[int], least_words: int) -> list[int]:
-    """Lines of the later text in aligned common blocks of at least ``least_words`` words.
+    """Lines of the later text in common blocks of at least ``least_words`` words.
 
-    An alignment keeps the order, so what it leaves of the later text is aligned
-    again until nothing more is found: blocks that stand elsewhere go too. The
-    earlier text is then repeated up to the length of the later one, for blocks
-    that the later one has several times.
+    An alignment keeps one order, and short common lines may outvote a block that
+    stands elsewhere. If it leaves a line that the earlier text has too, all runs
+    that both texts have are looked up: moved and repeated blocks go whatever the
+    alignment chose.
     """
-    found: set[int] = set()
-    new = _blocks(earlier, later, words, least_words)
-    again = earlier * max(1, -(-len(later) // max(1, len(earlier))))
-    while new:
-        found |= new
-        # None is equal to no line.
-        left = [None if at in found else line for at, line in enumerate(later)]
-        new = _blocks(again, left, words, least_words)
+    found = _blocks(earlier, later, words, least_words)
+    known = set(earlier)
+    if any(n and at not in found and later[at] in known for at, n in enumerate(words)):
+        found |= _shared_runs(earlier, later, words, least_words)
     return sorted(found)
 
 
@@ -240,7 +281,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     Documents are ordered by id. A document is aligned by patience diff with the
     earliest document of each of its runs of ``least_words`` words; aligned lines
     that follow each other in both are a block, and blocks of so many words or more
-    are deleted from the later document. What is deleted stays in an earlier one.
+    are deleted from the later document, as are common blocks out of the alignment's
+    order. What is deleted stays in an earlier one.
 
     Returns one row per input row: ``id_col``, ``n_lines``, ``deleted_lines`` (places
     from 0), ``copied_from`` (ids) and ``text`` (what is left; null stays null).

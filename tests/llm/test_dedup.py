@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 from kindstore.llm.components import connected
 from kindstore.llm.exact import exact_groups
-from kindstore.llm.linededup import LEAST_WORDS, dedup_lines, patience
+from kindstore.llm.linededup import LEAST_WORDS, common_lines, dedup_lines, patience
 from kindstore.llm.simhash import near_groups, near_links
 
 
@@ -154,3 +154,29 @@ def test_line_dedup_passages_and_edges(spark, edge):
     assert got[1].text == rows[1][1] and got[2].text == "own two\nend" and got[None].text == passage
     assert got[3].text == "own three\nend" and got[3].copied_from == [1] and got[4].text == ""
     assert dedup_lines(edge).count() == 10 and dedup_lines(edge.limit(0)).count() == 0
+
+
+def test_line_dedup_passages_outvoted_by_short_lines(spark):
+    passage = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, f"n1\nx\nn2\n{passage}"), (2, f"{passage}\nn1\ny\nn2")]
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1].deleted_lines == [] and got[2].deleted_lines == [0] and got[2].text == "n1\ny\nn2"
+
+
+def test_common_lines_brute_force():
+    random.seed(6)
+    sizes = {line: random.choice([1, 2, 8, 12, 25]) if line else 0 for line in range(14)}
+    for _ in range(3000):
+        a = [random.randint(0, 13) for _ in range(random.randint(0, 16))]
+        b = [random.randint(0, 13) for _ in range(random.randint(0, 16))]
+        for _ in range(random.randint(0, 2)):
+            i, j = random.randint(0, len(a)), random.randint(0, len(b))
+            b[j:j] = a[i : i + random.randint(1, 5)]
+        words = [sizes[line] for line in b]
+        parts = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
+        want = set()
+        for i in range(len(b)):
+            for j in range(i + 1, len(b) + 1):
+                if sum(words[i:j]) >= LEAST_WORDS and tuple(b[i:j]) in parts:
+                    want.update(k for k in range(i, j) if words[k])
+        assert {k for k in common_lines(a, b, words, LEAST_WORDS) if words[k]} == want, (a, b)
