@@ -64,6 +64,7 @@ def mix_sources(
     repeats: int = REPEATS,
     seed: int = SEED,
     levels: int = LEVELS,
+    rounds: int | None = None,
 ) -> DataFrame:
     """How many words of each document a mix of the sources takes.
 
@@ -72,10 +73,12 @@ def mix_sources(
     routes each pattern's words, repeated up to ``repeats`` times at rising cost,
     to the sources' quotas (see ``flow``). The driver holds one row per pattern
     and per source, never per document. Of a pattern, all documents are taken as
-    often as the flow holds its size, and of the rest as many in the order of a
-    seeded hash as fit, then the one further document nearest to what is left.
-    The place where that order stops is found digit by digit of the hash, so the
-    last sort sees 1 / 256 ** ``levels`` of a pattern.
+    often as the flow holds its size, and of the rest each in the order of a seeded
+    hash that still fits, then the one further document nearest to what is left.
+    That goes in rounds: one ends at the first document that does not fit, and the
+    next goes on after it with those no larger than what is left, until none is.
+    ``rounds=1`` stops at the first document that does not fit. Each stop is found
+    digit by digit of the hash, so the last sort sees 1 / 256 ** ``levels`` of a pattern.
 
     Returns one row per input row: ``id_col``, ``size``, ``pattern`` (JSON array),
     ``source_size`` and ``target`` (of the first source of the pattern), ``taken``
@@ -97,24 +100,31 @@ def mix_sources(
     sums = [(r["_pattern"], r["n"]) for r in rows.groupBy("_pattern").agg(F.sum("_size").alias("n")).collect()]
     sources, taken = plan_mix(sorted(sums), weights, repeats)
     spark = df.sparkSession
+    rests = {key: words % size for key, size, words in taken if size and words % size}
+    held = _small(spark.createDataFrame([(key,) for key in rests], "_pattern string"), len(taken))
+    # Rows that repeat an id are one unit of the order.
+    units = rows.where("_size > 0").join(held, "_pattern").groupBy("_pattern", "_order")
+    units = materialize(units.agg(F.sum("_size").alias("_size"), F.count("*").alias("_n")), "mix-units")
+    stops, gaps = _fill_up(units, rests, levels, rounds)
     table = []
     for key, size, words in taken:
         names = sorted(json.loads(key), key=_code_points)
         whole, target = sources[names[0]] if names else (0, 0.0)
-        table.append((key, whole, target, words // size if size else 0, words % size if size else 0))
-    schema = "_pattern string, _source_size bigint, _target double, _times bigint, _rest bigint"
-    plan = _small(spark.createDataFrame(table, schema), len(table))
-    rows = rows.join(plan, "_pattern")
-    cuts = _small(_cuts(rows.where("_rest > 0 AND _size > 0"), table, levels), len(table))
-    cut = rows.join(cuts, "_pattern", "left")
-    before = (F.col("_order") < F.col("_cut._order")) | (
-        (F.col("_order") == F.col("_cut._order")) & F.coalesce(F.col("_id") <= F.col("_cut._id"), F.isnull("_cut._id"))
+        table.append((key, whole, target, words // size if size else 0, stops.get(key, []), gaps.get(key, 0)))
+    schema = (
+        "_pattern string, _source_size bigint, _target double, _times bigint,"
+        " _stops array<struct<order: string, most: bigint>>, _gap bigint"
     )
-    inside = F.coalesce(before & F.col("_cut._order").isNotNull(), F.lit(False)) & (F.col("_size") > 0)
-    off = F.abs(F.col("_size") - F.col("_gap"))
-    fits = cut.where(~inside & (F.col("_size") > 0) & (off < F.col("_gap")))
+    plan = _small(spark.createDataFrame(table, schema), len(table))
+    # What a later round may take gets smaller, so a unit that an earlier one left out stays out.
+    inside = F.exists("_stops", lambda s: (F.col("_order") <= s["order"]) & (F.col("_unit") <= s["most"]))
+    off = F.abs(F.col("_unit") - F.col("_gap"))
+    fits = units.withColumnRenamed("_size", "_unit").join(plan, "_pattern").where(~inside & (off < F.col("_gap")))
     fill = fits.groupBy("_pattern").agg(F.min(F.struct(off.alias("off"), "_order")).alias("_fill"))
-    cut = cut.withColumn("_inside", inside).join(_small(fill, len(table)), "_pattern", "left")
+    repeated = units.where("_n > 1").select("_pattern", "_order", F.col("_size").alias("_whole"))
+    cut = rows.join(plan, "_pattern").join(repeated, ["_pattern", "_order"], "left")
+    cut = cut.withColumn("_unit", F.coalesce("_whole", "_size")).withColumn("_inside", inside & (F.col("_size") > 0))
+    cut = cut.join(_small(fill, len(table)), "_pattern", "left")
     filling = F.coalesce((F.col("_order") == F.col("_fill._order")) & (F.col("_size") > 0) & ~F.col("_inside"), F.lit(False))
     return cut.select(
         F.col("_id").alias(id_col),
@@ -126,32 +136,55 @@ def mix_sources(
     )
 
 
-def _cuts(rows: DataFrame, table: list[tuple], levels: int) -> DataFrame:
-    """For each pattern, the last document in hash order that still fits, and the words left after it.
-
-    ``_pattern``, ``_cut`` (``_order``, ``_id``) and ``_gap``. Without a document
-    that fits, the cut is the digits of the hash before the first.
+def _fill_up(units: DataFrame, rests: dict[str, int], levels: int, rounds: int | None) -> tuple[dict, dict]:
+    """Where each round stops in each pattern, with the largest size it may take, and the words left at the end."""
+    spark = units.sparkSession
+    stops, gaps = {key: [] for key in rests}, dict(rests)
+    most, open_, number = dict.fromkeys(rests, (1 << 63) - 1), set(rests), 0
+    while open_ and number != rounds:
+        if number:
+            state = [(key, stops[key][-1][0], most[key]) for key in open_]
+            state = _small(spark.createDataFrame(state, "_pattern string, _after string, _most bigint"), len(state))
+            units = units.join(state, "_pattern").where((F.col("_order") > F.col("_after")) & (F.col("_size") <= F.col("_most")))
+            units = materialize(units.select("_pattern", "_order", "_size"), "mix-units")
+        sums = {r["_pattern"]: r["n"] for r in units.groupBy("_pattern").agg(F.sum("_size").alias("n")).collect()}
+        open_ &= sums.keys()
+        crossing = {key: gaps[key] for key in open_ if sums[key] > gaps[key]}
+        for key in open_ - crossing.keys():  # all that is left fits; no digit comes after g
+            stops[key].append(("g", most[key]))
+            gaps[key] -= sums[key]
+        for r in _cuts(units, crossing, levels).collect() if crossing else ():
+            stops[r["_pattern"]].append((r["_stop"], most[r["_pattern"]]))
+            gaps[r["_pattern"]] = most[r["_pattern"]] = r["_gap"]
+        open_ = {key for key in crossing if gaps[key]}
+        number += 1
+    return stops, gaps
+
+
+def _cuts(units: DataFrame, rests: dict[str, int], levels: int) -> DataFrame:
+    """For each pattern, the last unit in hash order that still fits, and the words left after it.
+
+    ``_pattern``, ``_stop`` and ``_gap``. Without a unit that fits, the stop is the
+    digits of the hash before the first.
     """
-    spark = rows.sparkSession
-    state = spark.createDataFrame([(t[0], "", t[4]) for t in table if t[4]], "_pattern string, _prefix string, _left bigint")
-    rows = rows.select("_pattern", "_id", "_size", "_order")
+    spark = units.sparkSession
+    state = spark.createDataFrame([(key, "", left) for key, left in rests.items()], "_pattern string, _prefix string, _left bigint")
+    rows = units.select("_pattern", "_order", "_size")
     for level in range(1, levels + 1):
         digits = F.substring("_order", 1, 2 * level)
-        inside = rows.join(_small(state, len(table)), "_pattern").where(F.col("_order").startswith(F.col("_prefix")))
+        inside = rows.join(_small(state, len(rests)), "_pattern").where(F.col("_order").startswith(F.col("_prefix")))
         sums = inside.groupBy("_pattern", "_left", digits.alias("_digits")).agg(F.sum("_size").alias("_sum"))
         upto = F.sum("_sum").over(Window.partitionBy("_pattern").orderBy("_digits"))
         crossing = sums.withColumn("_upto", upto).where("_upto > _left").groupBy("_pattern")
         state = crossing.agg(F.min(F.struct("_digits", (F.col("_left") - F.col("_upto") + F.col("_sum")).alias("left"))).alias("_s"))
         state = state.select("_pattern", F.col("_s._digits").alias("_prefix"), F.col("_s.left").alias("_left"))
         state = materialize(state, "mix-cut")
-    last = rows.join(_small(state, len(table)), "_pattern").where(F.col("_order").startswith(F.col("_prefix")))
-    upto = F.sum("_size").over(Window.partitionBy("_pattern").orderBy("_order", "_id"))
+    last = rows.join(_small(state, len(rests)), "_pattern").where(F.col("_order").startswith(F.col("_prefix")))
+    upto = F.sum("_size").over(Window.partitionBy("_pattern").orderBy("_order"))
     fitting = last.withColumn("_upto", upto).where("_upto <= _left").groupBy("_pattern")
-    fitting = fitting.agg(F.max(F.struct("_order", "_id", "_upto")).alias("_last"))
-    return state.join(_small(fitting, len(table)), "_pattern", "left").select(
+    fitting = fitting.agg(F.max(F.struct("_order", "_upto")).alias("_last"))
+    return state.join(_small(fitting, len(rests)), "_pattern", "left").select(
         "_pattern",
-        F.when(F.col("_last").isNull(), F.struct(F.col("_prefix").alias("_order"), F.lit(None).alias("_id")))
-        .otherwise(F.struct(F.col("_last._order").alias("_order"), F.col("_last._id").alias("_id")))
-        .alias("_cut"),
+        F.coalesce("_last._order", "_prefix").alias("_stop"),
         (F.col("_left") - F.coalesce(F.col("_last._upto"), F.lit(0))).alias("_gap"),
     )

@@ -69,6 +69,39 @@ def test_mix_edges(spark, edge, docs):
     assert mixed.exceptAll(mix_sources(both)).count() == 0
 
 
+def test_mix_goes_on_after_a_document_that_does_not_fit(spark):
+    def order(i):
+        return hashlib.md5(f"11:{i}".encode()).hexdigest()
+
+    long = min(range(1000, 1400), key=order)  # before nearly all others in hash order
+    rows = [(i, "w " * 10, "aaabb"[i % 5]) for i in range(600)]
+    # The rows of the long one are taken or left together: 3600 words for a target of 3200.
+    rows += [(long, "w " * 1800, "a"), (long, "w " * 1800, "a")]
+    found = mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    for source in "ab":
+        mine = [r for r in found if r.pattern == f'["{source}"]']
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 5.5
+    assert not any(r.taken for r in found if r.doc_id == long)
+
+
+def test_mix_is_the_first_fit_in_hash_order(spark):
+    random.seed(7)
+    sizes = {i: random.choice([1, 3, 20, 100, 700]) for i in range(200)}
+    rows = [(i, "w " * n, "ab"[i % 2]) for i, n in sizes.items()]
+    found = mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    for source in (0, 1):
+        mine = sorted((r for r in found if r.doc_id % 2 == source), key=lambda r: hashlib.md5(f"11:{r.doc_id}".encode()).hexdigest())
+        left = int(mine[0].target + 0.5) % mine[0].source_size
+        times, extra = int(mine[0].target + 0.5) // mine[0].source_size, set()
+        for r in mine:
+            if r["size"] <= left:
+                extra.add(r.doc_id)
+                left -= r["size"]
+        near = [(abs(r["size"] - left), at) for at, r in enumerate(mine) if r.doc_id not in extra and abs(r["size"] - left) < left]
+        extra |= {mine[at].doc_id for _, at in sorted(near)[:1]}
+        assert {r.doc_id: r.taken for r in mine} == {r.doc_id: r["size"] * (times + (r.doc_id in extra)) for r in mine}
+
+
 def test_queries_match_sql(spark):
     con = oracle.connect(FOLDER)
     for name, sql in queries.ORACLES.items():
