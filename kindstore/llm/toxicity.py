@@ -151,7 +151,7 @@ def fit_toxicity(
     Held-out rows (see ``held_out``) are not learned from. Numbers of documents with a
     token, equal texts once, are summed in Spark; the driver gets the tokens of the sample that occur ``LEAST_COUNT``
     times, and two numbers a document for the calibration, which weighs the classes
-    as they occur among all labels. None without rows of both classes.
+    as they occur among all labels but the held-out. None without rows of both classes.
     """
     sample = labelled_rows(
         docs, labels, label_col, rows_per_class, seed, id_col, text_col, where=lambda ident: ~held_out(ident)
@@ -209,7 +209,8 @@ def fit_toxicity(
     plain = ~label & (words > 0)
     if plain.any():  # a Gumbel variable has mean ln(K n) + Euler's constant, in units of the rate
         model.scale = float(np.exp(np.mean(model.rate * best[plain] - np.log(words[plain])) - EULER))
-    whole = {r["_l"]: r["count"] for r in narrow(labels, _l=label_col).withColumn("_l", (F.col("_l") > 0)).groupBy("_l").count().collect()}
+    learned = narrow(labels, _i=id_col, _l=label_col).where(~held_out(F.col("_i")))
+    whole = {r["_l"]: r["count"] for r in learned.groupBy((F.col("_l") > 0).alias("_l")).count().collect()}
     weigh = np.where(label, whole.get(True, 1) / label.sum(), whole.get(False, 1) / (~label).sum())
     model.weights = _calibrate(model.evidence(words, segments), label, weigh)
     return model

@@ -166,3 +166,10 @@ def test_secrets(spark, edge):
     assert got == {i: _spans(t) for i, t in enumerate(texts)}
     assert digest_spans(scan_secrets(edge)).count() == 10 and scan_secrets(edge.limit(0)).count() == 0
     assert plogp(8) == round(UNIT * 8 * math.log2(8))
+
+
+def test_toxicity_learns_nothing_from_held_out_labels(docs, labels):
+    out = toxicity.held_out(F.col("doc_id"))
+    turned = labels.withColumn("toxic", F.when(out, 1).otherwise(F.col("toxic")))
+    want, got = (toxicity.fit_toxicity(docs, known) for known in (labels.where(~out), turned))
+    assert np.allclose(got.weights, want.weights, rtol=1e-6)
