@@ -6,9 +6,12 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from kindstore.llm.bpe import round_trip
+from kindstore.llm.conversations import repair_damaged
 from kindstore.llm.exact import exact_groups
+from kindstore.llm.hnsw import nearest_vectors
 from kindstore.llm.language import fit_language, held_out, predict_language
 from kindstore.llm.lengths import length_histogram, suffix_sums
+from kindstore.llm.lexical import rank_documents
 from kindstore.llm.linededup import dedup_lines
 from kindstore.llm.mixing import mix_sources
 from kindstore.llm.quality import fit_quality, quality_rules
@@ -146,3 +149,53 @@ def op3(spark, folder):
         "copied_from",
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
     )
+
+
+@query("op11_conversation_repair")
+def op11(spark, folder):
+    return repair_damaged(table(spark, folder, "conversations"))
+
+
+@query("op12_nearest_vectors")
+def op12(spark, folder):
+    return nearest_vectors(table(spark, folder, "embeddings"))
+
+
+@query(
+    "op13_lexical_search",
+    r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL
+), g AS (
+  SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS words FROM d WHERE len(terms) > 0
+), i AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT DISTINCT item_id, text FROM benchmark))
+  GROUP BY item_id, term
+), f AS (
+  SELECT r, term, count(*) AS tf
+  FROM (SELECT r, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY r, term
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight
+  FROM f, g GROUP BY term, docs
+), p AS (
+  SELECT f.r, d.doc_id, f.term,
+         w.weight * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (25 + (75 * len(d.terms) * g.docs) // g.words))) AS impact
+  FROM f JOIN d USING (r) JOIN w USING (term), g
+), s AS (
+  SELECT i.item_id, p.r, p.doc_id, CAST(sum(i.times * p.impact) AS BIGINT) AS score
+  FROM p JOIN i USING (term) GROUP BY i.item_id, p.r, p.doc_id
+), k AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+  FROM s WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
+""",
+)
+def op13(spark, folder):
+    return rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
