@@ -1,12 +1,14 @@
 """Exact, near and line deduplication against brute force."""
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
 import xxhash
 from kindstore.llm.components import connected
 from kindstore.llm.exact import exact_groups
+from kindstore.llm import linededup
 from kindstore.llm.linededup import LEAST_WORDS, common_lines, dedup_lines, patience
 from kindstore.llm.simhash import near_groups, near_links
 
@@ -180,3 +182,34 @@ def test_common_lines_brute_force():
                 if sum(words[i:j]) >= LEAST_WORDS and tuple(b[i:j]) in parts:
                     want.update(k for k in range(i, j) if words[k])
         assert {k for k in common_lines(a, b, words, LEAST_WORDS) if words[k]} == want, (a, b)
+
+
+def _thue_morse(n):
+    return [bin(i).count("1") % 2 for i in range(n)]
+
+
+def test_lines_with_colliding_polynomials_differ(spark):
+    """The Thue-Morse word and its complement have one polynomial hash modulo 2 ** 64; lines go by their bytes."""
+    bits = _thue_morse(2048)
+    lines = [" ".join("xy"[b] for b in bits), " ".join("yx"[b] for b in bits)]
+    rows = [(1, lines[0]), (2, lines[1]), (3, "\n".join([*lines, "own", lines[0]]))]
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1].deleted_lines == got[2].deleted_lines == [] and got[2].copied_from == []
+    assert got[3].deleted_lines == [0, 1, 3] and got[3].text == "own" and got[3].copied_from == [1, 2]
+
+
+def test_only_aligned_blocks_go(monkeypatch):
+    """Without alignment nothing is deleted."""
+    a, b = [1, 2, 3, 4], [9, 2, 3, 8]
+    assert common_lines(a, b, [10] * 4, LEAST_WORDS) == [1, 2]
+    monkeypatch.setattr(linededup, "patience", lambda a, b: [])
+    assert common_lines(a, b, [10] * 4, LEAST_WORDS) == []
+
+
+def test_long_texts_align_in_about_linear_time():
+    a = [i // 2 + 1 for i in range(200_000)]  # every line doubled
+    b = [*a[100_000:], 0, *a[:100_000]]  # halves exchanged
+    start = time.perf_counter()
+    assert len(common_lines(a, a, [3] * len(a), LEAST_WORDS)) == len(a)
+    found = common_lines(a, b, [3 if line else 0 for line in b], LEAST_WORDS)
+    assert len(found) == len(a) and time.perf_counter() - start < 60
