@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 def text_stats(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The counts of ``STATS`` for each text, a column each.
 
-    Lines and windows are compared by 64-bit hashes of their bytes and words.
+    Lines and words that agree in a hash are compared by their bytes, windows by their words.
     """
     starts, ends, first = word_spans(data, offsets)
     docs = len(offsets) - 1
@@ -57,24 +58,24 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     line_end = stops[np.searchsorted(stops, line_start, side="right")] if len(line_start) else line_start
     worded = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
     line_start, line_end, line_doc = line_start[worded], line_end[worded], line_doc[worded]
-    key = _with_doc(span_hashes(data, line_start, line_end), line_doc)
-    _, once = np.unique(key, return_index=True)
-    lines = np.bincount(line_doc, minlength=docs) - np.bincount(line_doc[once], minlength=docs)
+    lines = line_doc[first_equal(data, line_start, line_end, line_doc) != np.arange(len(line_doc))]
+    lines = np.bincount(lines, minlength=docs)
 
-    words = span_hashes(data, starts, ends)
+    # Words by number: equal numbers are equal words.
+    words = first_equal(data, starts, ends, np.zeros(len(starts), np.int64))
     repeated = np.zeros(docs, np.int64)
     if len(words) >= WINDOW:
-        window = words[: len(words) - WINDOW + 1].copy()
-        for step in range(1, WINDOW):
-            window = window * np.uint64(0xD6E8FEB86659FD93) + words[step : len(words) - WINDOW + 1 + step]
-        whole = doc[: len(window)] == doc[WINDOW - 1 :]
-        place = np.flatnonzero(whole)
-        key = _with_doc(mixed(window[place]), doc[place])
-        order = np.argsort(key, kind="stable")
-        equal = key[order][1:] == key[order][:-1]
-        twice = np.zeros(len(place), bool)
-        twice[order[1:][equal]] = True
-        twice[order[:-1][equal]] = True
+        place = np.flatnonzero(doc[: len(doc) - WINDOW + 1] == doc[WINDOW - 1 :])
+        rows = np.stack([words[place + step] for step in range(WINDOW)])
+        key = doc[place].astype(np.uint64)
+        for row in rows:
+            key = mixed(key * np.uint64(0xD6E8FEB86659FD93) + row.astype(np.uint64))
+        _, once, back, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        head, twice = once[back], count[back] > 1
+        if not ((rows == rows[:, head]).all() and (doc[place] == doc[place[head]]).all()):  # two windows under one hash
+            own = list(zip(doc[place].tolist(), *rows.tolist(), strict=True))
+            often = Counter(own)
+            twice = np.array([often[window] > 1 for window in own])
         cover = np.zeros(len(words) + 1, np.int64)
         found = place[twice]
         np.add.at(cover, found, 1)
@@ -83,8 +84,25 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([np.diff(first), chars, symbols, lines, repeated], axis=1).astype(np.int64)
 
 
-def _with_doc(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return mixed(keys + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def first_equal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each span of bytes the first span of its document that is equal to it.
+
+    Spans are brought together by a hash, and the bytes of those that agree are compared.
+    """
+    key = mixed(span_hashes(data, starts, ends) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, once, back = np.unique(key, return_index=True, return_inverse=True)
+    first = once[back]
+    again = np.flatnonzero(first != np.arange(len(first)))
+    head, size = first[again], (ends - starts)[again]
+    same = bool(((ends - starts)[head] == size).all() and (doc[head] == doc[again]).all())
+    if same and len(again):
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        same = bool((data[np.repeat(starts[again], size) + within] == data[np.repeat(starts[head], size) + within]).all())
+    if not same:  # different spans under one hash
+        raw, seen = data.tobytes(), {}
+        spans = zip(doc.tolist(), starts.tolist(), ends.tolist(), strict=True)
+        first = np.array([seen.setdefault((d, raw[a:b]), i) for i, (d, a, b) in enumerate(spans)], np.int64)
+    return first
 
 
 def base_failed(stats: np.ndarray) -> np.ndarray:

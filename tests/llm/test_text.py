@@ -74,6 +74,15 @@ def _stats(text):
     return [len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(cover)]
 
 
+def test_quality_counts_compare_bytes():
+    """Lines and windows whose words spell the Thue-Morse word and its complement have one polynomial hash, but differ."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    texts = ["\n".join(" ".join(pair[b] for b in bits) for pair in ("xy", "yx")), "\n".join("".join(pair[b] for b in bits) for pair in ("xy", "yx", "xy"))]
+    table = pa.array(texts, pa.large_string())
+    got = np.concatenate([text_stats(data, offsets) for _, _, data, offsets in text_chunks(table)])
+    assert got.tolist() == [_stats(t) for t in texts] and got[0][3] == 0 and got[1][3] == 1
+
+
 def test_quality_counts():
     random.seed(1)
     texts = ["".join(random.choice(["a", "b", " ", "\n", "\t", "é", "#", "\x0b", " a b"]) for _ in range(random.randint(0, 150))) for _ in range(800)]
@@ -126,6 +135,14 @@ def test_maximal_segments():
         assert got == _best_first(v.tolist())
 
 
+def test_toxic_tokens_lose_all_punctuation():
+    words = ["idiot", "idiot" + "!" * 7, "(" * 9 + "IDIOT" + "." * 50, "!" * 30, "!", "a-b", "--é--"]
+    same = [0, 0, 0, 3, 3, 5, 6]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    found, first = toxicity.tokens(data, np.array([0, len(data)]))
+    assert found.tolist() == [found[i] for i in same] and len(set(found.tolist())) == 4 and first.tolist() == [0, 7]
+
+
 def test_toxicity(spark, edge):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit_toxicity(docs, labels)
@@ -139,7 +156,7 @@ def test_toxicity(spark, edge):
 
 
 def _spans(text):
-    base = sorted((m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(BASE) for m in re.finditer(p, text) if len(m.group(g)) >= n)
+    base = sorted((m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(BASE) for m in re.finditer(p, text, re.ASCII) if len(m.group(g)) >= n)
     spans = list(base)
     for k, (_, alphabet, shortest, window, bits) in enumerate(CLASSES, len(BASE)):
         new = []
@@ -161,6 +178,8 @@ def test_secrets(spark, edge):
     texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 120))) for _ in range(800)]
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     texts += ["x " + "".join(random.choice(letters) for _ in range(random.randint(20, 60))) + " y" for _ in range(100)]
+    # Letters beyond ASCII that some engines fold to s and k.
+    texts += ["\u017fecret=abcdefghijkl12", "to\u212aen: abcdefghijkl12", "SeCrEt=abcdefghijkl12"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
     got = {r.doc_id: tuple(r)[1:] for r in digest_spans(scan_secrets(df)).collect()}
     assert got == {i: _spans(t) for i, t in enumerate(texts)}
