@@ -27,7 +27,6 @@ EULER = 0.5772156649015329
 # Punctuation (ASCII, neither letter, digit nor white space) is stripped from tokens.
 MARK = np.zeros(256, bool)
 MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
-STRIPPED = 6
 
 
 def held_out(ident: Column) -> Column:
@@ -36,12 +35,16 @@ def held_out(ident: Column) -> Column:
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, punctuation at its ends stripped, and the first word of each text."""
+    """Hash of every word, all punctuation at its ends stripped, and the first word of each text."""
     starts, ends, first = word_spans(data, offsets)
-    begin, end = starts.copy(), ends.copy()
-    for _ in range(STRIPPED):
-        end = end - ((end - begin > 1) & MARK[data[end - 1]])
-        begin = begin + ((end - begin > 1) & MARK[data[begin]])
+    if not len(starts):
+        return np.zeros(0, np.uint64), first
+    # The first and last byte of a word that is no punctuation; without one, its first mark stands for it.
+    plain = np.append(np.flatnonzero(~MARK[data]), len(data))
+    begin = plain[np.searchsorted(plain, starts)]
+    end = plain[np.searchsorted(plain, ends) - 1] + 1
+    marks = begin >= ends
+    begin, end = np.where(marks, starts, begin), np.where(marks, starts + 1, end)
     return span_hashes(data, begin, end, FOLDED_CODES), first
 
 
@@ -145,12 +148,13 @@ def fit_toxicity(
     label_col: str = "toxic",
     rows_per_class: int = ROWS_PER_CLASS,
     seed: int = SEED,
+    least_count: int = LEAST_COUNT,
 ) -> ToxicityModel | None:
     """Fit on a bounded sample of labelled rows, about ``rows_per_class`` of each class.
 
     Held-out rows (see ``held_out``) are not learned from. Numbers of documents with a
-    token, equal texts once, are summed in Spark; the driver gets the tokens of the sample that occur ``LEAST_COUNT``
-    times, and two numbers a document for the calibration, which weighs the classes
+    token, equal texts once, are summed in Spark; the driver gets the tokens of the sample that occur in ``least_count``
+    documents (rarer ones score like unseen ones), and two numbers a document for the calibration, which weighs the classes
     as they occur among all labels but the held-out. None without rows of both classes.
     """
     sample = labelled_rows(
@@ -181,7 +185,7 @@ def fit_toxicity(
     )
     counts = materialize(counts, "toxicity-tokens")
     totals = counts.agg(F.sum("toxic").alias("all_toxic"), F.sum("clean").alias("all_clean"))
-    frequent = counts.where(F.col("toxic") + F.col("clean") >= LEAST_COUNT).join(F.broadcast(totals)).toArrow()
+    frequent = counts.where(F.col("toxic") + F.col("clean") >= least_count).join(F.broadcast(totals)).toArrow()
     if not len(frequent):
         return None
     model = ToxicityModel(*_token_scores(frequent))
