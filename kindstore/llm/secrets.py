@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,11 +190,17 @@ def digest_spans(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+def _either_case(pattern: str) -> str:
+    """A pattern whose letters in either case are spelled out: some engines also fold letters beyond ASCII."""
+    spelled = lambda m: "(?:" + "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in m[1]) + ")"
+    return re.sub(r"\(\?i:([^)]*)\)", spelled, pattern)
+
+
 def secrets_sql() -> str:
     """The same scan in SQL, with each window counted anew."""
     parts, runs = [], []
     for kind, (_, pattern, group, least) in enumerate(BASE):
-        p = pattern.replace("'", "''")
+        p = _either_case(pattern).replace("'", "''")
         parts.append(
             f"SELECT doc_id, {kind} AS kind, {least} AS least, regexp_extract_all(t, '{p}') AS w,"
             f" regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS g FROM d"
