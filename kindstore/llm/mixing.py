@@ -17,6 +17,8 @@ SEED = 11
 LEVELS = 2
 # Tables with a row for each membership pattern are broadcast up to so many patterns, and shuffled beyond.
 BROADCAST_PATTERNS = 100_000
+# The flow runs on the driver over a row for each pattern; it holds so many.
+MOST_PATTERNS = 1_000_000
 
 
 def _small(df: DataFrame, patterns: int) -> DataFrame:
@@ -27,6 +29,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("bigint")
 
 
+def membership(sources: Column) -> Column:
+    """The membership pattern of an array of sources: a sorted JSON array."""
+    return F.to_json(F.array_sort(F.array_distinct(F.coalesce(sources, F.array(F.lit(None).cast("string"))))))
+
+
 def _code_points(name: str | None) -> tuple:
     return (name is None, [ord(c) for c in name or ""])
 
@@ -64,7 +71,7 @@ def mix_sources(
     repeats: int = REPEATS,
     seed: int = SEED,
     levels: int = LEVELS,
-    rounds: int | None = None,
+    most_patterns: int = MOST_PATTERNS,
 ) -> DataFrame:
     """How many words of each document a mix of the sources takes.
 
@@ -72,13 +79,14 @@ def mix_sources(
     several). Documents are summed by membership pattern; a minimum-cost flow
     routes each pattern's words, repeated up to ``repeats`` times at rising cost,
     to the sources' quotas (see ``flow``). The driver holds one row per pattern
-    and per source, never per document. Of a pattern, all documents are taken as
+    and per source, never per document; more than ``most_patterns`` patterns raise. Of a pattern, all documents are taken as
     often as the flow holds its size, and of the rest each in the order of a seeded
     hash that still fits, then the one further document nearest to what is left.
     That goes in rounds: one ends at the first document that does not fit, and the
-    next goes on after it with those no larger than what is left, until none is.
-    ``rounds=1`` stops at the first document that does not fit. Each stop is found
-    digit by digit of the hash, so the last sort sees 1 / 256 ** ``levels`` of a pattern.
+    next goes on after it with those no larger than what is left, until none is. What
+    is left falls below the size that did not fit, so there are no more rounds than
+    different sizes; in the hash's random order they grow with the logarithm of the documents.
+    Each stop is found digit by digit of the hash, so the last sort sees 1 / 256 ** ``levels`` of a pattern.
 
     Returns one row per input row: ``id_col``, ``size``, ``pattern`` (JSON array),
     ``source_size`` and ``target`` (of the first source of the pattern), ``taken``
@@ -94,10 +102,12 @@ def mix_sources(
     if rows.schema["_source"].dataType.typeName() != "array":
         source = F.array(source)
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit("null"))))
-    pattern = F.to_json(F.array_sort(F.array_distinct(F.coalesce(source, F.array(F.lit(None).cast("string"))))))
-    rows = rows.select("_id", pattern.alias("_pattern"), word_count(F.col("_text")).alias("_size"), order.alias("_order"))
+    rows = rows.select("_id", membership(source).alias("_pattern"), word_count(F.col("_text")).alias("_size"), order.alias("_order"))
     rows = materialize(rows, "mix-sizes")
-    sums = [(r["_pattern"], r["n"]) for r in rows.groupBy("_pattern").agg(F.sum("_size").alias("n")).collect()]
+    sums = rows.groupBy("_pattern").agg(F.sum("_size").alias("n")).limit(most_patterns + 1).collect()
+    if len(sums) > most_patterns:
+        raise ValueError(f"more than {most_patterns} membership patterns: give documents fewer, larger sources")
+    sums = [(r["_pattern"], r["n"]) for r in sums]
     sources, taken = plan_mix(sorted(sums), weights, repeats)
     spark = df.sparkSession
     rests = {key: words % size for key, size, words in taken if size and words % size}
@@ -105,7 +115,7 @@ def mix_sources(
     # Rows that repeat an id are one unit of the order.
     units = rows.where("_size > 0").join(held, "_pattern").groupBy("_pattern", "_order")
     units = materialize(units.agg(F.sum("_size").alias("_size"), F.count("*").alias("_n")), "mix-units")
-    stops, gaps = _fill_up(units, rests, levels, rounds)
+    stops, gaps = _fill_up(units, rests, levels)
     table = []
     for key, size, words in taken:
         names = sorted(json.loads(key), key=_code_points)
@@ -136,13 +146,13 @@ def mix_sources(
     )
 
 
-def _fill_up(units: DataFrame, rests: dict[str, int], levels: int, rounds: int | None) -> tuple[dict, dict]:
+def _fill_up(units: DataFrame, rests: dict[str, int], levels: int) -> tuple[dict, dict]:
     """Where each round stops in each pattern, with the largest size it may take, and the words left at the end."""
     spark = units.sparkSession
     stops, gaps = {key: [] for key in rests}, dict(rests)
-    most, open_, number = dict.fromkeys(rests, (1 << 63) - 1), set(rests), 0
-    while open_ and number != rounds:
-        if number:
+    most, open_, first = dict.fromkeys(rests, (1 << 63) - 1), set(rests), True
+    while open_:
+        if not first:
             state = [(key, stops[key][-1][0], most[key]) for key in open_]
             state = _small(spark.createDataFrame(state, "_pattern string, _after string, _most bigint"), len(state))
             units = units.join(state, "_pattern").where((F.col("_order") > F.col("_after")) & (F.col("_size") <= F.col("_most")))
@@ -157,7 +167,7 @@ def _fill_up(units: DataFrame, rests: dict[str, int], levels: int, rounds: int |
             stops[r["_pattern"]].append((r["_stop"], most[r["_pattern"]]))
             gaps[r["_pattern"]] = most[r["_pattern"]] = r["_gap"]
         open_ = {key for key in crossing if gaps[key]}
-        number += 1
+        first = False
     return stops, gaps
 
 

@@ -87,23 +87,27 @@ WITH d AS (
 ), r AS (
   SELECT d.*, q.n, q.target, CASE WHEN n > 0 THEN words // n ELSE 0 END AS times, CASE WHEN n > 0 THEN words % n ELSE 0 END AS rest
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
-), c AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY o, doc_id) AS upto FROM r WHERE size > 0
-), g AS (
-  SELECT source, max(rest) - coalesce(max(upto) FILTER (upto <= rest), 0) AS gap FROM c GROUP BY source
+), u AS (
+  SELECT source, o, CAST(sum(size) AS BIGINT) AS size, max(rest) AS rest FROM r WHERE size > 0 GROUP BY source, o
+), e AS (
+  SELECT source, list_reduce(
+    list_prepend({'gap': max(rest), 'size': CAST(0 AS BIGINT), 'took': CAST([] AS VARCHAR[])},
+                 list({'gap': CAST(0 AS BIGINT), 'size': size, 'took': [o]} ORDER BY o)),
+    lambda a, x: CASE WHEN x.size <= a.gap
+                      THEN {'gap': a.gap - x.size, 'size': CAST(0 AS BIGINT), 'took': list_concat(a.took, x.took)} ELSE a END) AS s
+  FROM u GROUP BY source
 ), x AS (
-  SELECT c.source, min(struct_pack(gap := abs(c.size - g.gap), o := c.o)) AS best
-  FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source
-  WHERE c.upto > c.rest AND abs(c.size - g.gap) < g.gap GROUP BY c.source
+  SELECT u.source, min(struct_pack(off := abs(u.size - e.s.gap), o := u.o)) AS best
+  FROM u JOIN e ON u.source IS NOT DISTINCT FROM e.source
+  WHERE NOT list_contains(e.s.took, u.o) AND abs(u.size - e.s.gap) < e.s.gap GROUP BY u.source
 )
 SELECT r.doc_id, r.size, r.n AS source_size, r.target,
-       CAST(r.size * (r.times + CASE WHEN c.upto <= c.rest OR c.o = x.best.o THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM r LEFT JOIN c ON r.doc_id = c.doc_id LEFT JOIN x ON r.source IS NOT DISTINCT FROM x.source
+       CAST(r.size * (r.times + CASE WHEN list_contains(e.s.took, r.o) OR r.o = x.best.o THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r LEFT JOIN e ON r.source IS NOT DISTINCT FROM e.source LEFT JOIN x ON r.source IS NOT DISTINCT FROM x.source
 """,
 )
 def op2(spark, folder):
-    # The SQL twin stops at the first document that does not fit.
-    mixed = mix_sources(table(spark, folder, "documents"), rounds=1)
+    mixed = mix_sources(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from kindstore.llm import queries
 from kindstore.llm.bpe import read_ranks
@@ -67,6 +68,8 @@ def test_mix_edges(spark, edge, docs):
     mixed = mix_sources(both)
     assert mixed.count() == docs.count() and mixed.where("taken > 3 * size").count() == 0
     assert mixed.exceptAll(mix_sources(both)).count() == 0
+    with pytest.raises(ValueError):
+        mix_sources(docs, most_patterns=1)
 
 
 def test_mix_goes_on_after_a_document_that_does_not_fit(spark):
@@ -141,3 +144,33 @@ def test_pipeline_edges(spark, edge):
             step = stage(spark, step, FOLDER)
             assert name == "encode" or step.columns == rows.columns
         assert step.count() <= 10
+
+
+def test_pipeline_stages_keep_rows(spark):
+    """Repeated ids, rows and texts, nulls and ties: which rows each stage keeps."""
+    names = "doc_id bigint, text string, lang string, source string, n_chars int"
+    long = " ".join(f"word{i}" for i in range(300))
+    rows = [(1, "a b", "en", "s", 3), (1, "a  b", "en", "s", 3), (1, "a b", "en", "s", 3), (1, "a b", "en", "r", 3)]
+    rows += [(5, "x", None, "s", 1), (5, "y", None, "s", 1), (3, "y", None, "s", 1), (None, "y", None, "s", 1)]
+    rows += [(7, None, None, None, None), (6, "", None, None, 0), (None, "z", None, None, 1), (None, "z", "en", None, 1)]
+    rows += [(9, long, "en", "s", 1), (8, long + " more", "en", "s", 1), (9, long + " more", "en", "s", 1)]
+    df = spark.createDataFrame(rows, names)
+
+    def kept(stage, df=df):
+        return Counter((r.doc_id, r.text, r.source) for r in stage(spark, df, FOLDER).collect())
+
+    exact = {(1, "a b", "r"), (5, "x", "s"), (3, "y", "s"), (6, "", None), (None, "z", None), (9, long, "s"), (8, long + " more", "s")}
+    # Of the rows of id 1 the one stays whose text has the smaller digest.
+    digests = {t: hashlib.sha256(t.encode()).digest() for t in ("a b", "a  b")}
+    if digests["a  b"] < digests["a b"]:
+        exact = exact - {(1, "a b", "r")} | {(1, "a  b", "s")}
+    assert kept(corpus_pipeline.exact_dedup) == Counter(exact)
+    near = {r for r in exact if r[0] != 9}
+    assert kept(corpus_pipeline.near_dedup) == Counter(near)
+    assert kept(corpus_pipeline.exact_dedup, df.limit(0)) == kept(corpus_pipeline.near_dedup, df.limit(0)) == Counter()
+    # Two sources under one id are taken each by its own multiple.
+    mixed = [(1, "w " * 10, "en", "a", 1), (1, "w " * 10, "en", "b", 1), (2, "v " * 10, "en", "b", 1), (2, None, "en", "b", 1), (3, "", "en", "a", 1)]
+    df = spark.createDataFrame(mixed, names)
+    times = {(r.doc_id, r.pattern): r.taken // 10 for r in mix_sources(df).collect() if r.taken}
+    want = Counter({(i, t, s): times[i, f'["{s}"]'] for i, t, _, s, _ in mixed if t and (i, f'["{s}"]') in times})
+    assert kept(corpus_pipeline.mix, df) == want and sum(want.values()) >= 3
