@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from kindstore.catalog.registry import part, query, r6, rounded, u
 from kindstore.functions.scalars import uniform
 from kindstore.operators import metrics
 from kindstore.operators.collate import collate, collate_flat
-from kindstore.operators.plugins import lexicon_scores, ngram_logprobs
+from kindstore.operators.plugins import encode, lexicon_scores, ngram_logprobs, text_losses
 from kindstore.operators.texts import unpack_scores, unpack_spans
 from kindstore.plans.evaluation import continual_eval, evaluate_toxicity, evaluation_table
 from kindstore.schemas import ATTRIBUTES
@@ -210,8 +211,15 @@ def _texts(t):
     return alone.unionByName(full)
 
 
-def _logprobs(t):
-    return ngram_logprobs(_texts(t), t.documents, ["prompt_idx", "gen_id", "part"])
+KEYS = ["prompt_idx", "gen_id", "part"]
+
+
+def _losses(t, chosen=None):
+    """Losses of all texts, or of those of chosen prompts only."""
+    texts = _texts(t)
+    if chosen is not None:
+        texts = texts.join(chosen, "prompt_idx", "left_semi")
+    return text_losses(texts, t.documents, KEYS)
 
 
 @query(
@@ -220,15 +228,23 @@ def _logprobs(t):
 )
 def _ngram_logprobs(t):
     return rounded(
-        _logprobs(t)
-        .groupBy("prompt_idx", "gen_id", "part")
+        ngram_logprobs(_texts(t), t.documents, KEYS)
+        .groupBy(*KEYS)
         .agg(F.count("*").alias("n_tokens"), F.count("logp").alias("n_scored"), F.sum("logp").alias("logp"))
     )
 
 
 @query("conditional_perplexity", f"SELECT {r6('avg(ppl)', 'perplexity')} FROM generation_ppl WHERE ppl < 10000")
 def conditional_perplexity(t):
-    return rounded(metrics.conditional_perplexity(_logprobs(t)))
+    return rounded(metrics.conditional_perplexity(_losses(t)))
+
+
+@query(
+    "text_losses",
+    f"SELECT prompt_idx, gen_id, part, count(*) AS n, count(logp) AS n_scored, {r6('-sum(logp)', 'nll')} FROM token_logprobs GROUP BY ALL",
+)
+def _text_losses(t):
+    return rounded(_losses(t))
 
 
 @query(
@@ -242,12 +258,12 @@ SELECT mode, {r6("avg(ppl)", "perplexity")} FROM (
 LEFT JOIN (SELECT * FROM generation_ppl WHERE ppl < 10000) USING (prompt_idx) GROUP BY mode""",
 )
 def perplexity_by_mode(t):
-    return rounded(metrics.perplexity_by_mode(_logprobs(t), t.prompts))
+    return rounded(metrics.perplexity_by_mode(lambda chosen: _losses(t, chosen), t.prompts))
 
 
 @query("corpus_perplexity", f"SELECT {r6('exp(-avg(logp))', 'perplexity')} FROM token_logprobs")
 def corpus_perplexity(t):
-    return rounded(metrics.corpus_perplexity(_logprobs(t)))
+    return rounded(metrics.corpus_perplexity(_losses(t)))
 
 
 # -- default scorer
@@ -271,6 +287,28 @@ def _lexicon_scores(t):
     return rounded(lexicon_scores(t.documents, t("labels")))
 
 
+# -- an encoder of a user's own
+
+
+def letter_counts(frames):
+    """A stand-in encoder: length of a text, its blanks, and its small letters e and n."""
+    for frame in frames:
+        text = frame["text"]
+        key = [[float(len(x)), *(float(x.count(c)) for c in " en")] for x in text]
+        yield pd.DataFrame({"doc_id": frame["doc_id"], "key": key})
+
+
+@query(
+    "encode",
+    "SELECT doc_id, concat_ws(',', length(text), "
+    + ", ".join(f"length(text) - length(replace(text, '{c}', ''))" for c in " en")
+    + ") AS key FROM documents",
+)
+def _encode(t):
+    found = encode(t.documents.select("doc_id", "text"), letter_counts, "doc_id bigint, key array<float>")
+    return found.select("doc_id", F.array_join(F.transform("key", lambda x: x.cast("bigint")), ",").alias("key"))
+
+
 # -- continual evaluation: one score per (stage, generation)
 
 part(

@@ -264,6 +264,30 @@ def append_datastore(t):
     return rounded(_summary(datastore.read_datastore(t.spark, path)), 3)
 
 
+part("store_sizes", "SELECT store, count(*) // 2 AS half FROM store_keys GROUP BY store")
+
+
+@query(
+    "read_first",
+    """
+SELECT store, stage, count(*) AS n, min(entry_id) AS first_entry, max(entry_id) AS last_entry, CAST(sum(token) AS BIGINT) AS tokens,
+       round(sum(list_sum(key)), 3) + 0.0 AS total
+FROM renumbered JOIN store_sizes USING (store) WHERE entry_id < half GROUP BY store, stage""",
+)
+def read_first(t):
+    """The first half of each store, written in batches: later batches are not read."""
+    path, out = work_folder(t.spark, "datastore"), None
+    for stage in range(STAGES):
+        for store in ("toxic", "nontoxic"):
+            rows = t.keys.where((F.col("store") == store) & (F.col("stage") == stage))
+            datastore.append_datastore(rows.withColumnRenamed("entry_id", "vec_id"), path, store, stage, stage, "vec_id")
+    sizes = datastore.entry_ranges(t.spark, path).groupBy("store").agg(F.sum("n").alias("n"))
+    for row in sizes.collect():
+        one = datastore.read_first(t.spark, path, row["store"], row["n"] // 2)
+        out = one if out is None else out.unionByName(one)
+    return rounded(_summary(out), 3)
+
+
 @query("continual_ingest", RENUMBERED)
 def _continual_ingest(t):
     """The same through a file stream, one arriving stage per micro-batch."""

@@ -19,6 +19,7 @@ from kindstore.sources.readers import read_table
 PER_PROMPT = 25
 VOCABULARY = 10
 STAGES = 5
+WIDE_VOCABULARY = 50_000
 
 
 class Tables:
@@ -161,6 +162,27 @@ class Tables:
         draw = uniform(F.lit(f"{tag}:"), F.col("query_id"), F.lit(":"), F.col("token"))
         return rows.withColumn("logp", F.lit(4.0) * draw)
 
+    @property
+    def wide_logits(self) -> DataFrame:
+        """Logits over 50,000 tokens for every prompt, most of them small."""
+        rows = (
+            self("documents")
+            .select(whole_div(F.col("doc_id"), PER_PROMPT).alias("query_id"))
+            .distinct()
+            .select("query_id", F.explode(F.sequence(F.lit(0), F.lit(WIDE_VOCABULARY - 1))).alias("token"))
+        )
+        token = F.col("token").cast("bigint")
+        draw = (F.col("query_id") * 7919 + token * 104729 + (token * token) % 65537) % 65536
+        return rows.withColumn("logp", F.lit(14.0) * F.pow(draw / F.lit(65535.0), F.lit(4.0)))
+
+    @property
+    def vector_prompts(self) -> DataFrame:
+        """A prompt for every vector."""
+        ident = F.col("vec_id")
+        record = F.struct(F.lit("").alias("text"), uniform(F.lit("prompt:"), ident).alias("toxicity"))
+        domain = F.concat(F.lit("d"), (ident % 5).cast("string"))
+        return self("embeddings").select(ident.alias("prompt_idx"), record.alias("prompt"), domain.alias("domain"))
+
 
 # -- the same in SQL
 
@@ -228,3 +250,15 @@ FROM (SELECT vec_id, unnest(range({VOCABULARY})) AS token FROM embeddings)"""
 
 for _name, _tag in (("lm_logits", "lm"), ("expert_logits", "exp"), ("anti_logits", "anti")):
     part(_name, _logits(_tag))
+
+part(
+    "wide_logits",
+    f"""
+SELECT query_id, CAST(token AS INTEGER) AS token, 14 * pow(h / 65535.0::DOUBLE, 4) AS logit FROM (
+  SELECT query_id, token, (query_id * 7919 + token * 104729 + (token * token) % 65537) % 65536 AS h
+  FROM (SELECT DISTINCT doc_id // {PER_PROMPT} AS query_id FROM documents), (SELECT unnest(range({WIDE_VOCABULARY})) AS token))""",
+)
+part(
+    "vector_prompts",
+    f"SELECT vec_id AS prompt_idx, {u("'prompt:'||vec_id")} AS prompt_toxicity, 'd'||(vec_id % 5) AS domain FROM embeddings",
+)

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kindstore.catalog.evaluation import METRICS
 from kindstore.catalog.fixtures import STAGES
-from kindstore.catalog.registry import part, query, r6, rounded
+from kindstore.catalog.registry import part, query, r6, rounded, u
 from kindstore.catalog.vectors import K, OTHER_K
-from kindstore.functions.scalars import whole_div
+from kindstore.functions.scalars import uniform, whole_div
 from kindstore.operators import mixing
 from kindstore.operators.results import grid, sweep_grid
+from kindstore.plans.continual import continual_run
 from kindstore.plans.retrieval import continual_mixtures, retrieve, retrieve_and_ensemble, retrieve_and_mix, sweep_sizes
+from kindstore.session import work_folder
 
 T, ALPHA, P = 0.5, 2.0, 0.9
 OUT = f"query_id, token, {r6('logp', 'logp')}"
@@ -204,35 +207,46 @@ def ensemble_experts(t):
     return rounded(mixing.ensemble_experts(lm(t), expert, anti, ALPHA))
 
 
-part(
-    "sampling",
-    f"""
-SELECT query_id, token, logp - ln(sum(exp(logp)) OVER (PARTITION BY query_id)) AS logp FROM (
-  SELECT *, coalesce(sum(exp(logp)) OVER (PARTITION BY query_id ORDER BY logp DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM mixed)
+def sampled(name: str, source: str, by: str = "query_id") -> str:
+    """Parts for ``name``: draws of each query from the nucleus of ``source``; returns the SELECT of the draws."""
+    part(
+        f"{name}_kept",
+        f"""
+SELECT {by}, token, logp - ln(sum(exp(logp)) OVER (PARTITION BY {by})) AS logp FROM (
+  SELECT *, coalesce(sum(exp(logp)) OVER (PARTITION BY {by} ORDER BY logp DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {source})
 WHERE before <= {P}""",
-)
-part(
-    "intervals",
-    """
-SELECT query_id, token, sum(exp(logp)) OVER w AS high, sum(exp(logp)) OVER w - exp(logp) AS low,
-       row_number() OVER (PARTITION BY query_id ORDER BY logp, token DESC) AS from_end
-FROM sampling WINDOW w AS (PARTITION BY query_id ORDER BY logp DESC, token ROWS UNBOUNDED PRECEDING)""",
-)
+    )
+    part(
+        f"{name}_intervals",
+        f"""
+SELECT {by}, token, sum(exp(logp)) OVER w AS high, sum(exp(logp)) OVER w - exp(logp) AS low,
+       row_number() OVER (PARTITION BY {by} ORDER BY logp, token DESC) AS from_end
+FROM {name}_kept WINDOW w AS (PARTITION BY {by} ORDER BY logp DESC, token ROWS UNBOUNDED PRECEDING)""",
+    )
+    part(
+        f"{name}_draws",
+        f"""
+SELECT {by}, draw, CAST('0x'||substr(md5('42:'||query_id||':'||draw),1,6) AS BIGINT) / 16777216.0 AS x
+FROM (SELECT DISTINCT {by} FROM {name}_kept), (SELECT CAST(unnest(range(1, 26)) AS INTEGER) AS draw)""",
+    )
+    return f"SELECT {by}, d.draw, i.token FROM {name}_intervals i JOIN {name}_draws d USING ({by}) WHERE d.x >= i.low AND (d.x < i.high OR i.from_end = 1)"
 
 
-@query(
-    "sample_tokens",
-    """
-SELECT i.query_id, d.draw, i.token FROM intervals i JOIN (
-  SELECT query_id, draw, CAST('0x'||substr(md5('42:'||query_id||':'||draw),1,6) AS BIGINT) / 16777216.0 AS x
-  FROM (SELECT DISTINCT query_id FROM sampling), (SELECT CAST(unnest(range(1, 26)) AS INTEGER) AS draw)) d
-ON d.query_id = i.query_id AND d.x >= i.low AND (d.x < i.high OR i.from_end = 1)""",
-)
+@query("sample_tokens", sampled("sampling", "mixed"))
 def sample_tokens(t):
     mixed = retrieve_and_ensemble(t.queries, t.model_logits("lm"), t.keys, K, OTHER_K, T, ALPHA, P)
     return mixing.sample_tokens(mixed, 25, P)
 
 
+part("wide_full", softmax("wide_logits", "logit"))
+
+
+@query("sample_tokens_wide", sampled("wide", "wide_full"))
+def sample_tokens_wide(t):
+    """25 draws of each prompt from a distribution over 50,000 tokens."""
+    return mixing.sample_tokens(mixing.log_softmax(t.wide_logits), 25, P)
+
+
 # -- sweeps: one retrieval, many settings
 
 SETTINGS = grid(k=[4, 8, 16], other_k=[8, 16, 32], alpha=(1.0, 2.0, 0.5), temperature=(T, 2.0))
@@ -314,3 +328,44 @@ def _continual_mixtures(t):
     )
 
 
+
+# -- append, retrieve, mix, sample, score, metrics after each stage
+
+_staged_draws = sampled("staged_sampling", "staged_mixed", "at_stage, query_id")
+part(
+    "run_worst",
+    f"""
+SELECT at_stage AS stage, query_id AS prompt_idx, prompt_toxicity, domain, max({u("'toxic:'||token")}) AS worst
+FROM ({_staged_draws}) JOIN vector_prompts ON prompt_idx = query_id GROUP BY ALL""",
+)
+part(
+    "run_modes",
+    """
+SELECT 'toxic' AS mode, * FROM run_worst WHERE prompt_toxicity > 0.5
+UNION ALL SELECT 'nontoxic', * FROM run_worst WHERE prompt_toxicity <= 0.5
+UNION ALL SELECT 'full', * FROM run_worst WHERE prompt_toxicity <= 1.0""",
+)
+
+
+def token_scores(samples):
+    """A stand-in scorer: a number from the md5 of the token."""
+    return samples.withColumn("toxicity", uniform(F.lit("toxic:"), F.col("token")))
+
+
+@query(
+    "continual_run",
+    f"""
+SELECT CAST(stage AS INTEGER) AS stage, mode, 'Overall' AS domain, {METRICS} FROM run_modes GROUP BY stage, mode
+UNION ALL SELECT CAST(stage AS INTEGER), mode, domain, {METRICS} FROM run_modes GROUP BY stage, mode, domain""",
+)
+def _continual_run(t):
+    """Stores that grow stage by stage; only a stage's own keys are searched."""
+    keys = t.keys.select("store", "stage", F.col("entry_id").alias("vec_id"), "key", "token")
+    arrivals = [keys.where(F.col("stage") == stage) for stage in range(STAGES)]
+    path = work_folder(t.spark, "continual")
+    return rounded(
+        continual_run(
+            t.queries, t.model_logits("lm"), t.vector_prompts, arrivals, token_scores, path, "vec_id",
+            K, OTHER_K, T, ALPHA, P,
+        )
+    )

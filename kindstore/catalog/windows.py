@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from kindstore.catalog.registry import part, query
+from kindstore.catalog.registry import part, query, r6, rounded
 from kindstore.functions.scalars import hash24
 from kindstore.operators import windows
+from kindstore.operators.metrics import corpus_perplexity
+from kindstore.operators.plugins import BigramModel
 from kindstore.operators.vectors import neighbour_context
 from kindstore.session import materialize
 
@@ -58,6 +61,11 @@ def sliding(t):
     return windows.sliding_windows(tokens(t), BLOCK, STRIDE, BATCH)
 
 
+def spans(t):
+    """The same windows without padding, written."""
+    return materialize(windows.window_spans(tokens(t), BLOCK, STRIDE, BATCH), "windows")
+
+
 def _joined(column: str):
     return F.md5(F.array_join(column, ","))
 
@@ -117,7 +125,7 @@ SELECT batch_id, window_idx, count(*) AS n, min(entry_id) AS first_entry, max(en
 FROM pairs GROUP BY batch_id, window_idx""",
 )
 def next_token_pairs(t):
-    pairs = windows.next_token_pairs(materialize(sliding(t), "windows"))
+    pairs = windows.next_token_pairs(spans(t))
     line = F.concat_ws(":", "entry_id", "pos", "token")
     # A window has at most BLOCK pairs, so the digest list is short.
     return pairs.groupBy("batch_id", "window_idx").agg(
@@ -200,7 +208,7 @@ def build_datastore(t):
     "SELECT token, count(*) AS n, max(entry_id) AS last_entry FROM pairs WHERE entry_id < 50000 GROUP BY token",
 )
 def truncate_datastore(t):
-    store = windows.next_token_pairs(materialize(sliding(t), "windows")).select("entry_id", "token")
+    store = windows.next_token_pairs(spans(t)).select("entry_id", "token")
     return windows.truncate_datastore(store, 50000).groupBy("token").agg(
         F.count("*").alias("n"), F.max("entry_id").alias("last_entry")
     )
@@ -222,7 +230,7 @@ SELECT n.query_id, n.rank, n.entry_id, p.token AS next_token,
 FROM some_neighbours n JOIN pairs p USING (entry_id)""",
 )
 def _neighbour_context(t):
-    pairs = windows.next_token_pairs(materialize(sliding(t), "windows"))
+    pairs = windows.next_token_pairs(spans(t))
     store = materialize(pairs.select(F.lit("all").alias("store"), "entry_id", "token"), "tokens")
     size = store.agg(F.count("*").alias("n")).scalar()
 
@@ -238,3 +246,78 @@ def _neighbour_context(t):
     return neighbour_context(found, store).select(
         "query_id", "rank", "entry_id", "next_token", F.array_join("context", " ").alias("context")
     )
+
+
+def byte_tokenizer():
+    """A tokenizer of the plug-in kind: the bytes of a text."""
+
+    def encode(texts):
+        raw = texts.cast(pa.binary())
+        return pa.array([list(x) for x in raw.to_pylist()], pa.list_(pa.int32()))
+
+    return encode
+
+
+@query("tokenize_with", "SELECT doc_id, CAST(octet_length(encode(text)) AS INTEGER) AS n, md5(hex(encode(text))) AS digest FROM documents")
+def tokenize_with(t):
+    """Any tokenizer of Arrow batches; here one token a byte."""
+    found = windows.tokenize_with(t.documents, byte_tokenizer)
+    digits = F.transform("input_ids", lambda x: F.lpad(F.hex(x), 2, "0"))
+    return found.select("doc_id", F.size("input_ids").alias("n"), F.md5(F.array_join(digits, "")).alias("digest"))
+
+
+part(
+    "byte_places",
+    """
+SELECT doc_id, p AS pos, CAST('0x' || substr(h, 2 * p + 1, 2) AS INTEGER) AS token FROM (
+  SELECT doc_id, h, unnest(range(len(h) // 2)) AS p FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents))""",
+)
+part(
+    "byte_batches",
+    f"""
+SELECT batch_id, o, token, CASE WHEN total >= {BLOCK} THEN total - total % {BLOCK} ELSE total END AS total FROM (
+  SELECT doc_id // {BATCH} AS batch_id, token, row_number() OVER (PARTITION BY doc_id // {BATCH} ORDER BY doc_id, pos) - 1 AS o,
+         count(*) OVER (PARTITION BY doc_id // {BATCH}) AS total FROM byte_places)""",
+)
+
+
+@query(
+    "build_datastore_bytes",
+    "SELECT token, count(*) AS n FROM byte_batches WHERE o BETWEEN 1 AND total - 1 GROUP BY token",
+)
+def build_datastore_bytes(t):
+    """A datastore over the tokens of a plug-in tokenizer: how often each is predicted."""
+    store = windows.build_datastore(t.documents, block=BLOCK, stride=STRIDE, batch_size=BATCH, tokenizer=byte_tokenizer)
+    return store.groupBy("token").agg(F.count("*").alias("n"))
+
+
+part(
+    "pair_counts",
+    """
+SELECT prev, token, count(*) AS n FROM (SELECT token, lag(token) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM token_places)
+WHERE prev IS NOT NULL GROUP BY prev, token""",
+)
+part("prev_counts", "SELECT prev, sum(n) AS n_prev FROM pair_counts GROUP BY prev")
+part(
+    "stream_logprobs",
+    """
+SELECT batch_id, o, ln((coalesce(n, 0) + 1) / (coalesce(n_prev, 0) + (SELECT count(*) FROM vocab))) AS logp
+FROM (SELECT batch_id, o, token, lag(token) OVER (PARTITION BY batch_id ORDER BY o) AS prev FROM batch_places WHERE o < total)
+LEFT JOIN pair_counts USING (prev, token) LEFT JOIN prev_counts USING (prev) WHERE o > 0""",
+)
+
+
+@query("window_perplexity", f"SELECT {r6('exp(-avg(logp))', 'perplexity')} FROM stream_logprobs")
+def window_perplexity(t):
+    """Perplexity over windows by a model of Arrow batches; the context that windows repeat counts once."""
+    model = BigramModel(t.documents, vocab=vocabulary(t))
+    words = windows.tokenize(t.documents, model.vocab)
+    found = windows.window_spans(words, BLOCK, STRIDE, BATCH)
+    return rounded(corpus_perplexity(windows.window_losses(found, model.over_windows())))
+
+
+@query("window_losses", f"SELECT batch_id, {r6('-sum(logp)', 'nll')}, count(*) AS n_scored FROM stream_logprobs GROUP BY batch_id")
+def window_losses(t):
+    model = BigramModel(t.documents, vocab=vocabulary(t))
+    losses = windows.window_losses(sliding(t), model.over_windows())
+    return rounded(losses.groupBy("batch_id").agg(F.sum("nll").alias("nll"), F.sum("n_scored").alias("n_scored")))

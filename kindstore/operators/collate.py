@@ -26,18 +26,20 @@ def collate_flat(generations: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def collate(
-    generations: DataFrame, scores: DataFrame, prompts: DataFrame, rows_per_part: int = 10_000
+    generations: DataFrame, scores: DataFrame, prompts: DataFrame, rows_per_part: int | None = None
 ) -> DataFrame:
     """One row per prompt with its scored generations in order.
 
-    A prompt with more than ``rows_per_part`` generations continues in further
-    rows ``part = 1, 2, ...``, so no array (and no task) grows without bound.
+    With ``rows_per_part`` a prompt has a row for each so many positions, numbered by
+    ``part``, so that no array grows beyond it; without, its generations stand in
+    one row, ``part = 0``, whatever their number.
     Prompts without generations are dropped, as is an old ``generations`` column.
     """
     record = F.struct("pos", "text", *ATTRIBUTES)
+    part = F.lit(0) if rows_per_part is None else whole_div(F.col("pos"), rows_per_part).cast("int")
     nested = (
         collate_flat(generations, scores)
-        .groupBy("prompt_idx", whole_div(F.col("pos"), rows_per_part).cast("int").alias("part"))
+        .groupBy("prompt_idx", part.alias("part"))
         .agg(F.sort_array(F.collect_list(record)).alias("_rows"))
         .select(
             "prompt_idx",

@@ -43,11 +43,22 @@ def identity_filter(df: DataFrame, by: str = "split") -> DataFrame:
 
 
 def limit_prompts(df: DataFrame, n: int, done: DataFrame | None = None, order: str = "prompt_idx") -> DataFrame:
-    """The first ``n`` prompts in order, less those already done."""
-    first = df.orderBy(order).limit(n)
+    """The first ``n`` prompts in order (unique values), less those already done.
+
+    Only the column of the order is ranked; whole rows are then picked where they lie.
+    """
+    first = _picked(df, df.select(order).orderBy(order).limit(n), order, n)
     return first if done is None else first.join(done.select(order).distinct(), order, "left_anti")
 
 
+# Ids that are sent to the rows they pick.
+BROADCAST_IDS = 1_000_000
+
+
+def _picked(df: DataFrame, ids: DataFrame, ident: str, n: int) -> DataFrame:
+    return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, ident, "left_semi")
+
+
 def holdout_split(df: DataFrame, order: str, percent: float = 5) -> DataFrame:
     """First ``percent`` of the rows are the validation split, the rest trains."""
     cut = df.agg(F.round(F.count("*") * percent / 100).cast("bigint").alias("cut")).scalar()
@@ -87,8 +98,9 @@ def stratified_sample(df: DataFrame, by: str, n: int = 100, seed: int = 42, iden
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int = 42, ident: str = "id") -> DataFrame:
-    """At most ``n`` rows; the same ones on every run."""
-    return df.orderBy(seed_order(seed, F.col(ident)), ident).limit(n)
+    """At most ``n`` rows by unique ids; the same ones on every run. Only ids are ranked."""
+    ids = df.select(ident).orderBy(seed_order(seed, F.col(ident)), ident).limit(n)
+    return _picked(df, ids, ident, n)
 
 
 def cumulative_counts(df: DataFrame, by: str) -> DataFrame:

@@ -19,6 +19,16 @@ def matrix(column) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), -1)
 
 
+def code_matrix(column) -> np.ndarray:
+    """Codes of keys, a row each: from lists of numbers, or from a byte a code."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        packed = b"".join(column.to_pylist())
+        return np.frombuffer(packed, np.uint8).reshape(len(column), -1).astype(np.int64)
+    return matrix(column).astype(np.int64)
+
+
 def _exact(queries, keys, qi, ki, metric):
     """Distances of pairs, computed one by one: equal keys get equal distances."""
     out = np.empty(len(qi))

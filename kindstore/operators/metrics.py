@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,11 +117,14 @@ def generation_perplexity(token_logprobs: DataFrame) -> DataFrame:
     """Perplexity of every generation given its prompt.
 
     Input rows: ``prompt_idx, gen_id, part, logp`` with ``part`` = ``prompt``
-    (``gen_id`` NULL) or ``full`` (prompt and generation together). The first
+    (``gen_id`` NULL) or ``full`` (prompt and generation together), or their sums
+    ``prompt_idx, gen_id, part, nll, n`` (``plugins.text_losses``). The first
     token of a text has no prediction (``logp`` NULL) but counts as a token. The
     sums of both parts come from one pass and are written, a row per text.
     """
-    sums = token_logprobs.groupBy("part", "prompt_idx", "gen_id").agg((-F.sum("logp")).alias("nll"), F.count("*").alias("n"))
+    sums = token_logprobs
+    if "nll" not in sums.columns:
+        sums = sums.groupBy("part", "prompt_idx", "gen_id").agg((-F.sum("logp")).alias("nll"), F.count("*").alias("n"))
     sums = materialize(sums, "text-losses")
     full = sums.where("part = 'full'")
     prompt = (
@@ -138,7 +143,7 @@ def conditional_perplexity(token_logprobs: DataFrame, cap: float = 1e4) -> DataF
 
 
 def perplexity_by_mode(
-    token_logprobs: DataFrame,
+    token_logprobs: DataFrame | Callable[[DataFrame], DataFrame],
     prompts: DataFrame,
     sample: int | None = None,
     seed: int = 42,
@@ -147,8 +152,9 @@ def perplexity_by_mode(
 ) -> DataFrame:
     """Mean perplexity per mode over its prompts, or at most ``sample`` of them.
 
-    A mode with as many prompts as an earlier one is skipped, and a mode
-    without prompts gives no row.
+    ``token_logprobs`` may be a function that gets the chosen prompts (``prompt_idx``) and
+    scores their texts: then no other text is scored. A mode with as many prompts as
+    an earlier one is skipped, and a mode without prompts gives no row.
     """
     toxicity = F.col("prompt.toxicity")
     hits = _conditions(toxicity, threshold)
@@ -165,12 +171,17 @@ def perplexity_by_mode(
     if sample is not None:
         order = Window.partitionBy("mode").orderBy(seed_order(seed, F.col("prompt_idx")), "prompt_idx")
         chosen = chosen.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample).drop("_rank")
-    chosen = chosen.join(F.broadcast(wanted), "mode", "left_semi")
+    chosen = materialize(chosen.join(F.broadcast(wanted), "mode", "left_semi"), "chosen-prompts")
+    if callable(token_logprobs):
+        token_logprobs = token_logprobs(chosen.select("prompt_idx").distinct())
     scores = generation_perplexity(token_logprobs).where(F.col("perplexity") < cap)
     per_mode = chosen.join(scores, "prompt_idx", "left").groupBy("mode")
     return per_mode.agg(F.avg("perplexity").alias("perplexity"))
 
 
 def corpus_perplexity(token_logprobs: DataFrame) -> DataFrame:
-    """exp of the mean loss; overflows to infinity."""
+    """exp of the mean loss; overflows to infinity. Takes a row a token, or losses of texts or windows."""
+    if "nll" in token_logprobs.columns:
+        mean = ratio(F.sum("nll"), F.sum("n_scored"))
+        return token_logprobs.agg(F.exp(mean).alias("perplexity"))
     return token_logprobs.agg(F.exp(-F.avg("logp")).alias("perplexity"))

@@ -195,21 +195,31 @@ def ensemble_experts(
 def sample_tokens(dist: DataFrame, n: int, p: float = 0.9, seed: int = 42) -> DataFrame:
     """``n`` reproducible draws per query from the nucleus of the distribution.
 
-    Every token owns an interval of [0, 1) and keeps the draws that fall in it.
+    Every token owns an interval of [0, 1) and keeps the draws that fall in it. A
+    query's draws are made once, put among the ends of the intervals in order, and each takes the last
+    token that begins before it: one hash a draw, and one pass over the tokens.
     """
     kept = log_softmax(nucleus_filter(dist, p)).withColumn("_p", F.exp("logp"))
     order = Window.partitionBy("query_id").orderBy(F.desc("logp"), "token")
-    last = F.lead("token").over(order).isNull()
-    placed = kept.withColumn("_high", F.sum("_p").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "_low", F.coalesce(F.lag("_high").over(order), F.lit(0.0))
-    ).withColumn("_high", F.when(last, F.lit(1.0)).otherwise(F.col("_high")))
+    placed = kept.select(
+        "query_id",
+        "token",
+        F.coalesce(F.sum("_p").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_low"),
+        F.row_number().over(order).alias("_place"),
+    )
 
     def position(draw: Column) -> Column:
         digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("query_id").cast("string"), F.lit(":"), draw.cast("string")))
         return F.conv(F.substring(digest, 1, 6), 16, 10).cast("double") / F.lit(16777216.0)
 
-    mine = F.filter(
-        F.sequence(F.lit(1), F.lit(n)),
-        lambda d: (position(d) >= F.col("_low")) & (position(d) < F.col("_high")),
-    )
-    return placed.select("query_id", F.explode(mine).alias("draw"), "token")
+    def event(at: Column, place: Column, token: Column, draw: Column) -> Column:
+        return F.struct(at.alias("at"), place.alias("place"), token.alias("token"), draw.alias("draw"))
+
+    nothing, behind = F.lit(None).cast("int"), F.lit((1 << 31) - 1)
+    begin = F.array(event(F.col("_low"), F.col("_place"), F.col("token"), nothing))
+    draws = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda d: event(position(d), behind, nothing.cast(kept.schema["token"].dataType), d))
+    events = placed.select("query_id", F.explode(F.when(F.col("_place") == 1, F.concat(begin, draws)).otherwise(begin)).alias("_e"))
+    # A draw stands behind all tokens that begin where it falls.
+    upto = Window.partitionBy("query_id").orderBy("_e.at", "_e.place").rowsBetween(Window.unboundedPreceding, 0)
+    taken = events.select("query_id", F.col("_e.draw").alias("draw"), F.last("_e.token", ignorenulls=True).over(upto).alias("token"))
+    return taken.where("draw IS NOT NULL").select("query_id", "draw", "token")

@@ -5,12 +5,16 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindstore.functions.scalars import words
-from kindstore.operators.skew import lookup_join
+from kindstore.operators.skew import is_small, lookup_join
+from kindstore.operators.windows import build_vocab, tokenize, vocabulary_tokenizer
 from kindstore.schemas import SCORES
 from kindstore.session import materialize
 
@@ -79,38 +83,135 @@ def encode(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
     return df.mapInPandas(fn, schema)
 
 
-def bigram_model(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts ``prev, word, n`` and ``prev, n_prev`` of a corpus, from one written count.
+# Different bigrams of a model that is broadcast: two 64-bit numbers each.
+BROADCAST_BIGRAMS = 4_000_000
+_SHIFT = 32
 
-    First words stand with a NULL ``prev``, so the first table has every word.
-    """
-    bigrams = materialize(_bigrams(corpus, []).groupBy("prev", "word").agg(F.count("*").alias("n")), "bigram-counts")
-    return bigrams, bigrams.where("prev is not null").groupBy("prev").agg(F.sum("n").alias("n_prev"))
 
+class BigramScorer:
+    """Add-one bigram log-probabilities of word ids, from sorted arrays; unknown words have id -1."""
+
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray, size: int):
+        order = np.argsort(pairs)
+        self.pairs, self.counts, self.size = pairs[order], counts[order], size
+        self.before = np.bincount(pairs >> _SHIFT, counts, max(size, 1)).astype(np.int64) if len(pairs) else np.zeros(max(size, 1), np.int64)
 
-def _bigrams(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Every word with the one before it (NULL for the first), in generated code."""
-    placed = texts.select(*keys, words(F.col("text")).alias("_w")).select(*keys, "_w", F.posexplode("_w").alias("_i", "word"))
-    return placed.select(*keys, F.when(F.col("_i") > 0, F.get("_w", F.col("_i") - 1)).alias("prev"), "word")
+    def __call__(self, prev: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The log-probability of each word after the one before it."""
+        known = (prev >= 0) & (word >= 0)
+        pair = np.where(known, (prev.astype(np.int64) << _SHIFT) | word, -1)
+        n, n_prev = np.zeros(len(pair)), np.where(prev >= 0, self.before[np.maximum(prev, 0)], 0)
+        if len(self.pairs):
+            place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            n = np.where(self.pairs[place] == pair, self.counts[place], 0)
+        return np.log((n + 1.0) / (n_prev + self.size))
 
+    def of_lists(self, lists: pa.Array) -> np.ndarray:
+        """Log-probabilities of all ids of a list array, one after another; NaN for the first of a list."""
+        ids, offsets = np.asarray(lists.flatten()), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        out = np.full(len(ids), np.nan)
+        if len(ids) > 1:
+            out[1:] = self(ids[:-1], ids[1:])
+        out[offsets[:-1][np.diff(offsets) > 0]] = np.nan
+        return out
 
-def ngram_logprobs(texts: DataFrame, corpus: DataFrame, keys: list[str]) -> DataFrame:
-    """Default language model: add-one bigram log-probability of every token.
 
-    ``texts`` has ``keys`` and ``text``; the first token of a text has a NULL
-    ``logp``. The corpus is read once. Distinct bigrams are scored once, and the
-    tokens then join those scores with hot bigrams handled apart.
+class BigramModel:
+    """Counts of a corpus by word ids: ``vocab`` (word, n, token) and ``pairs`` (pair, n), both written tables.
+
+    A pair is the id of the word before, shifted by 32 bits, and the id of the word.
     """
-    bigrams, unigrams = bigram_model(corpus)
-    size = bigrams.agg(F.count_distinct("word").alias("v")).scalar()
-    tokens = _bigrams(texts, keys)
-    used = tokens.where("prev is not null").groupBy("prev", "word").agg(F.count("*").alias("uses"))
-    logp = F.ln((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("n_prev", F.lit(0)) + size))
-    # A frequent previous word stands in one row for each word that follows it.
-    known = used.join(bigrams, ["prev", "word"], "left")
-    scored = lookup_join(known, materialize(unigrams, "unigrams"), ["prev"], how="left").select(
-        "prev", "word", "uses", logp.alias("logp")
-    )
-    # A first token has no previous word and finds no score.
-    found = lookup_join(tokens, materialize(scored, "bigrams"), ["prev", "word"], "uses", how="left")
-    return found.select(*keys, "prev", "word", "logp")
+
+    def __init__(self, corpus: DataFrame, column: str = "text", vocab: DataFrame | None = None):
+        self.vocab = materialize(build_vocab(corpus, column), "vocab") if vocab is None else vocab
+        self.size = self.vocab.count()
+        texts = corpus.select(F.monotonically_increasing_id().alias("_row"), F.col(column).alias("text"))
+        tokens = tokenize(texts, self.vocab, "_row")
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column(0)
+                ids, offsets = np.asarray(lists.flatten()).astype(np.int64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+                inside = np.ones(max(len(ids) - 1, 0), bool)
+                edges = offsets[1:-1]
+                inside[edges[(edges > 0) & (edges < len(ids))] - 1] = False
+                pair, n = np.unique((ids[:-1] << _SHIFT | ids[1:])[inside], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+
+        # Counted in each batch first, so a frequent pair is a row a batch.
+        counted = tokens.select("input_ids").mapInArrow(count, "pair bigint, n bigint")
+        self.pairs = materialize(counted.groupBy("pair").agg(F.sum("n").alias("n")), "bigrams")
+
+    def is_small(self) -> bool:
+        return is_small(self.vocab.select("word", "token")) and self.pairs.count() <= BROADCAST_BIGRAMS
+
+    def scorer(self):
+        """A broadcast ``BigramScorer``, for models small enough."""
+        table = self.pairs.toArrow()
+        arrays = (np.asarray(table.column(c)).astype(np.int64) for c in ("pair", "n"))
+        return self.pairs.sparkSession.sparkContext.broadcast(BigramScorer(*arrays, self.size))
+
+    def over_windows(self):
+        """The model as ``windows.window_losses`` takes it."""
+        if not self.is_small():
+            raise ValueError("the model is too large to broadcast")
+        shared = self.scorer()
+        return lambda: shared.value.of_lists
+
+
+def _scored_tokens(texts: DataFrame, model: BigramModel, keys: list[str]) -> DataFrame:
+    """``keys, pos, token, logp`` by joins, for models of any size; the first token of a text has no ``logp``."""
+    # Texts are told apart by their keys; NULL keys too.
+    ident = F.struct(*keys)
+    tokens = tokenize(texts.select(ident.alias("_key"), "text"), model.vocab, "_key")
+    placed = tokens.select("_key", "input_ids", F.posexplode("input_ids").alias("pos", "token"))
+    prev = F.when(F.col("pos") > 0, F.get("input_ids", F.col("pos") - 1))
+    pair = F.when((prev >= 0) & (F.col("token") >= 0), F.shiftleft(prev.cast("bigint"), _SHIFT).bitwiseOR(F.col("token").cast("bigint")))
+    placed = placed.select("_key", "pos", "token", prev.alias("prev"), pair.alias("pair"))
+    before = model.pairs.groupBy(F.shiftright("pair", _SHIFT).cast("int").alias("prev")).agg(F.sum("n").alias("n_prev"))
+    known = lookup_join(placed, model.pairs, ["pair"], how="left")
+    known = lookup_join(known, materialize(before, "unigrams"), ["prev"], how="left")
+    logp = F.when(F.col("prev").isNotNull(), F.ln((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("n_prev", F.lit(0)) + model.size)))
+    return known.select("_key.*", "pos", "token", logp.alias("logp"))
+
+
+def text_losses(texts: DataFrame, corpus: DataFrame | BigramModel, keys: list[str]) -> DataFrame:
+    """``keys, nll, n, n_scored``: loss, tokens and scored tokens of each text under the bigram model of a corpus.
+
+    ``texts`` has ``keys`` and ``text``. A model small enough is broadcast and texts are
+    scored where they lie; a larger one is joined.
+    """
+    model = corpus if isinstance(corpus, BigramModel) else BigramModel(corpus)
+    if not model.is_small():
+        return _scored_tokens(texts, model, keys).groupBy(*keys).agg(
+            (-F.sum("logp")).alias("nll"), F.count("*").alias("n"), F.count("logp").alias("n_scored")
+        )
+    shared, make = model.scorer(), vocabulary_tokenizer(model.vocab)
+    rows = texts.where(F.col("text").isNotNull()).select(*keys, "text")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, score = make(), shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = encode(batch.column("text"))
+            n = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+            logp = score.of_lists(lists)
+            row, scored = np.repeat(np.arange(len(n)), n), ~np.isnan(logp)
+            nll, count = np.bincount(row[scored], -logp[scored], len(n)), np.bincount(row[scored], minlength=len(n))
+            # Without a scored token there is no loss.
+            columns = [pa.array(nll, mask=count == 0), pa.array(n), pa.array(count)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*keys, "nll", "n", "n_scored"])
+
+    return rows.mapInArrow(run, f"{kinds}, nll double, n bigint, n_scored bigint")
+
+
+def ngram_logprobs(texts: DataFrame, corpus: DataFrame | BigramModel, keys: list[str]) -> DataFrame:
+    """Default language model: add-one bigram log-probability of every token: ``keys, pos, token, logp``.
+
+    ``texts`` has ``keys`` and ``text``; words are ids of the corpus' vocabulary, -1 if it has none. The
+    first token of a text has a NULL ``logp``. ``text_losses`` gives their sums without a row a token.
+    """
+    model = corpus if isinstance(corpus, BigramModel) else BigramModel(corpus)
+    return _scored_tokens(texts, model, keys)

@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindstore.functions.scalars import seed_order, squared_l2
-from kindstore.operators.kernel import TopK, lookup_tables, matrix
-from kindstore.session import materialize
+from kindstore.functions.scalars import seed_order, whole_div
+from kindstore.operators.kernel import TopK, code_matrix, lookup_tables, matrix
+from kindstore.session import materialize, work_folder
 
 QUERY_BLOCK = 4096
 KEY_BLOCK = 65536
@@ -59,7 +59,7 @@ def _search(tops: dict, query_rows: np.ndarray, limits, k: Amount, metric: str,
     column = batch.column("store")
     column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).dictionary_encode()
     names, places = column.dictionary.to_pylist(), np.asarray(column.indices)
-    keys = matrix(batch.column("key")) if metric != "pq" else matrix(batch.column("key")).astype(np.int64)
+    keys = code_matrix(batch.column("key")) if metric == "pq" else matrix(batch.column("key"))
     ids, tokens = np.asarray(batch.column("entry_id")), np.asarray(batch.column("token"))
     for number, store in enumerate(names):
         wanted = _per_store(k, store)
@@ -161,8 +161,25 @@ def _pass(queries: DataFrame, keys: DataFrame, k: Amount, block: int, metric: st
         return keys.sparkSession.createDataFrame([], _FOUND)
     if probe.num_rows <= block:
         return _by_broadcast(probe, keys, k, metric)
-    one = F.lit(0)
-    return _by_blocks(queries.withColumn("cell", one), keys.withColumn("cell", one), k, metric)
+    return _by_rounds(queries, keys, k, block, metric)
+
+
+def _by_rounds(queries: DataFrame, keys: DataFrame, k: Amount, block: int, metric: str) -> DataFrame:
+    """Blocks of queries one after another, each sent to the keys where they lie.
+
+    A block is about ``block`` queries by hash; its k best of each task are
+    written before the next one is sent. The keys are read once a block and never shuffled.
+    """
+    spark = keys.sparkSession
+    rounds = -(-queries.count() // block)
+    turn = F.pmod(F.xxhash64("query_id"), F.lit(rounds))
+    queries = materialize(queries.withColumn("_turn", turn.cast("int")).repartition("_turn"), "query-blocks")
+    path = work_folder(spark, "found-by-block")
+    for number in range(rounds):
+        probe = queries.where(F.col("_turn") == number).drop("_turn").toArrow()
+        if probe.num_rows:
+            _by_broadcast(probe, keys, k, metric).write.parquet(f"{path}/turn={number}")
+    return spark.read.schema(_FOUND).parquet(path).drop("turn")
 
 
 def _exact(queries: DataFrame, keys: DataFrame, k: Amount, block: int, metric: str) -> DataFrame:
@@ -209,8 +226,8 @@ def knn_exact(queries: DataFrame, keys: DataFrame, k: Amount = 1024, block: int
     """The k nearest keys per query and store by squared L2; ties by entry id.
 
     The query side is counted (up to ``block``). A small one is sent to the key
-    partitions, which need no shuffle; a larger one takes the block grid. Beyond a
-    million keys the search goes in passes (``_exact``), each a job.
+    partitions, a larger one in blocks, one after another, each a job; the keys are
+    not shuffled. Beyond a million keys the search goes in passes (``_exact``), each a job.
     """
     return _exact(queries, keys, k, block, "l2")
 
@@ -220,6 +237,21 @@ def knn_dot(queries: DataFrame, keys: DataFrame, k: Amount = 1024, block: int =
     return _exact(queries, keys, k, block, "dot")
 
 
+def update_neighbours(
+    queries: DataFrame, best: DataFrame | None, added: DataFrame, k: Amount = 1024, block: int = QUERY_BLOCK
+) -> DataFrame:
+    """The k nearest keys of a store that has grown, from those before and the added keys alone.
+
+    ``best`` is the (written) result for the entries before, None at the beginning. Its k-th distances limit
+    the search of the ``added`` keys, so few pairs come back; keys that were there before are not read.
+    """
+    if best is None:
+        return knn_exact(queries, added, k, block)
+    limited = queries.select("query_id", "embedding").join(_reach(best, k, "l2"), "query_id", "left")
+    found = _pass(limited, added, k, block, "l2")
+    return _best(found.unionByName(best.drop("rank")), k, "l2")
+
+
 def two_store_retrieve(
     queries: DataFrame,
     keys: DataFrame,
@@ -231,37 +263,102 @@ def two_store_retrieve(
     return knn_exact(queries, keys, {stores[0]: k, stores[1]: k if other_k is None else other_k})
 
 
+# Wanted ids that are broadcast to the keys, and neighbours measured together.
+BROADCAST_IDS = 1_000_000
+PAIRS = 1 << 15
+
+
 def recompute_dists(neighbours: DataFrame, queries: DataFrame, keys: DataFrame) -> DataFrame:
-    """Exact distances for retrieved ids; their order stays as it was."""
+    """Exact distances for retrieved ids; their order stays as it was.
+
+    Only keys that are someone's neighbour move (up to ``BROADCAST_IDS`` of them are
+    picked where they lie), and a query's vector goes once to the block of queries that it
+    is measured in, not once a neighbour. ``neighbours`` is read twice. Runs a job.
+    """
     by = ["store", "entry_id"] if "store" in keys.columns else ["entry_id"]
-    return (
-        neighbours.drop("dist")
-        .join(keys.select(*by, "key"), by)
-        .join(queries.select("query_id", "embedding"), "query_id")
-        .withColumn("dist", squared_l2(F.col("embedding"), F.col("key")))
-        .select("query_id", "store", "rank", "entry_id", "dist", "token")
+    wanted = neighbours.select(*by).distinct()
+    counts = neighbours.agg(F.count("*").alias("pairs"), F.count_distinct(*by).alias("ids")).first()
+    wanted = F.broadcast(wanted) if counts["ids"] <= BROADCAST_IDS else wanted
+    blocks = max(1, -(-counts["pairs"] // PAIRS))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_block")
+    own = keys.select(*by, "key").join(wanted, by, "left_semi")
+    left = neighbours.select("query_id", "store", "rank", "entry_id", "token").join(own, by)
+    right = queries.select("query_id", "embedding").join(neighbours.select("query_id").distinct(), "query_id", "left_semi")
+    names = ["query_id", "store", "rank", "entry_id", "dist", "token"]
+
+    def run(pairs: pa.Table, rows: pa.Table) -> pa.Table:
+        pairs, rows = pairs.combine_chunks(), rows.combine_chunks()
+        dist = np.empty(0)
+        ids = np.asarray(rows.column("query_id")) if rows.num_rows else np.empty(0, np.int64)
+        pairs = pairs.filter(pa.array(np.isin(np.asarray(pairs.column("query_id")), ids)))
+        if pairs.num_rows:
+            order = np.argsort(ids)
+            place = order[np.searchsorted(ids[order], np.asarray(pairs.column("query_id")))]
+            gaps = matrix(pairs.column("key")) - matrix(rows.column("embedding"))[place]
+            dist = (gaps * gaps).sum(1)
+        return pairs.append_column("dist", pa.array(dist)).select(names)
+
+    kinds = "query_id bigint, store string, rank int, entry_id bigint, dist double, token int"
+    return left.select("*", block).groupBy("_block").cogroup(right.select("*", block).groupBy("_block")).applyInArrow(run, kinds)
+
+
+# Entries of one row of a packed token stream.
+PACK = 4096
+
+
+def pack_tokens(store: DataFrame, pack: int = PACK) -> DataFrame:
+    """The token stream of each store in blocks: ``store, block, ids, tokens``, in order of the entry id.
+
+    A block has the entries ``block * pack`` up to the next one's. Written once, it serves any
+    number of ``neighbour_context`` calls.
+    """
+    rows = store.select("store", "entry_id", "token", whole_div(F.col("entry_id"), pack).alias("block"))
+    entries = F.sort_array(F.collect_list(F.struct("entry_id", "token")))  # at most ``pack`` of them
+    packed = rows.groupBy("store", "block").agg(entries.alias("_e"))
+    return packed.select(
+        "store",
+        "block",
+        F.transform("_e", lambda e: e["entry_id"]).alias("ids"),
+        F.transform("_e", lambda e: e["token"]).alias("tokens"),
     )
 
 
-def neighbour_context(neighbours: DataFrame, store: DataFrame, tokens: int = 30, top: int = 3) -> DataFrame:
+def neighbour_context(neighbours: DataFrame, store: DataFrame, tokens: int = 30, top: int = 3, pack: int = PACK) -> DataFrame:
     """The tokens before each of the first neighbours, and its next token.
 
-    Every wanted position becomes a row, so this is an equi-join on the entry
-    id. The context is NULL for entries too close to the start of the store.
+    ``store`` has a row an entry, or is packed (``pack_tokens`` with the same ``pack``). A context is
+    a slice of one block or of two neighbouring ones, so a neighbour asks for two
+    rows at most, found by block number. The context is NULL for entries too close to the start of the
+    store.
     """
+    if tokens > pack:
+        raise ValueError("a context may not be longer than a block")
+    packed = store if "tokens" in store.columns else pack_tokens(store, pack)
     first = neighbours.where(F.col("rank") <= top)
+    low, high = F.col("entry_id") - tokens, F.col("entry_id") - 1
     wanted = first.where(F.col("entry_id") >= tokens).select(
         "query_id",
         "store",
         "rank",
-        F.explode(F.sequence(F.col("entry_id") - tokens, F.col("entry_id") - 1)).alias("entry_id"),
+        low.alias("_low"),
+        high.alias("_high"),
+        F.explode(F.array_distinct(F.array(whole_div(low, pack), whole_div(high, pack)))).alias("block"),
+    )
+    begin, end = F.greatest("_low", F.get("ids", F.lit(0))), F.least("_high", F.element_at("ids", -1))
+    # Ids without gaps are places; with gaps the block is searched.
+    gapless = F.element_at("ids", -1) - F.get("ids", F.lit(0)) + 1 == F.size("ids")
+    sliced = F.slice("tokens", (begin - F.get("ids", F.lit(0)) + 1).cast("int"), F.greatest(end - begin + 1, F.lit(0)).cast("int"))
+    searched = F.transform(
+        F.filter(F.arrays_zip("ids", "tokens"), lambda e: (e["ids"] >= F.col("_low")) & (e["ids"] <= F.col("_high"))),
+        lambda e: e["tokens"],
     )
-    place = F.struct("entry_id", F.col("token").alias("t"))
+    piece = F.when(gapless & (end < begin), F.array().cast("array<int>")).when(gapless, sliced).otherwise(searched)
+    pieces = wanted.join(packed, ["store", "block"]).select("query_id", "store", "rank", "block", piece.alias("_piece"))
     contexts = (
-        wanted.join(store.select("store", "entry_id", "token"), ["store", "entry_id"])
-        .groupBy("query_id", "store", "rank")
-        .agg(F.sort_array(F.collect_list(place)).alias("_c"))
-        .select("query_id", "store", "rank", F.transform("_c", lambda c: c["t"]).alias("context"))
+        pieces.groupBy("query_id", "store", "rank")
+        .agg(F.sort_array(F.collect_list(F.struct("block", "_piece"))).alias("_c"))
+        .select("query_id", "store", "rank", F.flatten(F.transform("_c", lambda c: c["_piece"])).alias("context"))
+        .where(F.size("context") > 0)
     )
     return first.join(contexts, ["query_id", "store", "rank"], "left").select(
         "query_id", "store", "rank", "entry_id", "context", F.col("token").alias("next_token")

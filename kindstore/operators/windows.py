@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindstore.functions.scalars import strip_whitespace, whole_div, words
-from kindstore.operators.prefix import dense_ids, exclusive_prefix, running_sum
-from kindstore.operators.skew import lookup_join
+from kindstore.operators.prefix import exclusive_prefix, running_sum
+from kindstore.operators.skew import is_small, lookup_join
 from kindstore.session import materialize
 
 MASK = -100  # Fixed value: label of a token that is not predicted.
@@ -59,8 +59,61 @@ def _to_tokens(split: DataFrame, vocab: DataFrame, keys: list[str], unknown: int
     )
 
 
+# A tokenizer is made once a task and then gets batches: Arrow strings in, Arrow lists of 32-bit ids out.
+Tokenizer = Callable[[], Callable[[pa.Array], pa.Array]]
+
+
+def tokenize_with(texts: DataFrame, tokenizer: Tokenizer, ident: str = "doc_id", column: str = "text") -> DataFrame:
+    """``ident, input_ids`` by any tokenizer, where the texts lie; NULL texts are left out.
+
+    ``tokenizer()`` runs once in each task and may load a model or a table; what it
+    returns is called with one batch of texts after another.
+    """
+    rows = texts.where(F.col(column).isNotNull()).select(F.col(ident), F.col(column).alias("_text"))
+    kind = rows.schema[ident].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = tokenizer()
+        for batch in batches:
+            ids = encode(batch.column(1)).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[ident, "input_ids"])
+
+    return rows.mapInArrow(run, f"{ident} {kind}, input_ids array<int>")
+
+
+def vocabulary_tokenizer(vocab: DataFrame, unknown: int = -1) -> Tokenizer:
+    """Words by single blanks and their ids, from a vocabulary that is broadcast (see ``skew.is_small``).
+
+    The words of a batch are dictionary-encoded, so each different one is looked up once.
+    """
+    if not is_small(vocab.select("word", "token")):
+        raise ValueError("the vocabulary is too large to broadcast: tokenize() joins it instead")
+    table = vocab.select("word", "token").toArrow()
+    known = dict(zip(table.column("word").to_pylist(), table.column("token").to_pylist(), strict=True))
+    shared = vocab.sparkSession.sparkContext.broadcast(known)
+
+    def tokenizer() -> Callable[[pa.Array], pa.Array]:
+        tokens = shared.value
+
+        def encode(texts: pa.Array) -> pa.Array:
+            lists = pc.split_pattern(texts, " ")
+            placed = lists.flatten().dictionary_encode()
+            ids = np.fromiter((tokens.get(w, unknown) for w in placed.dictionary.to_pylist()), np.int32, len(placed.dictionary))
+            return pa.ListArray.from_arrays(lists.offsets, pa.array(ids[np.asarray(placed.indices)], pa.int32()))
+
+        return encode
+
+    return tokenizer
+
+
 def tokenize(texts: DataFrame, vocab: DataFrame, ident: str = "doc_id", column: str = "text", unknown: int = -1) -> DataFrame:
-    """``ident, input_ids`` with a (written) word vocabulary; unseen words get ``unknown``."""
+    """``ident, input_ids`` with a (written) word vocabulary; unseen words get ``unknown``.
+
+    A vocabulary small enough to broadcast is looked up where the texts lie, without a
+    shuffle; of a larger one, words and vocabulary are joined.
+    """
+    if is_small(vocab.select("word", "token")):
+        return tokenize_with(texts, vocabulary_tokenizer(vocab, unknown), ident, column)
     split = texts.select(ident, words(F.col(column)).alias("_words"))
     return _to_tokens(split, vocab, [ident], unknown)
 
@@ -75,58 +128,72 @@ def _pieces(df: DataFrame, low: Column, high: Column, begin: Column, end: Column
     )
 
 
-def sliding_windows(
-    tokens: DataFrame,
-    block: int = 1024,
-    stride: int = 512,
-    batch_size: int = 1000,
-    pad: int = 0,
-    ident: str = "doc_id",
+def window_spans(
+    tokens: DataFrame, block: int = 1024, stride: int = 512, batch_size: int = 1000, ident: str = "doc_id"
 ) -> DataFrame:
-    """Overlapping windows over the joined tokens of every ``batch_size`` texts.
+    """Overlapping windows over the joined tokens of every ``batch_size`` texts, without padding.
 
-    The tail beyond a multiple of ``block`` is dropped when a batch has at
-    least one block. Each window predicts ``stride`` new tokens; the repeated
-    context before them is masked in ``labels``. Only per-text pieces are
-    shuffled, and no row ever holds more than one window.
+    ``batch_id, window_idx, input_ids, first``: a window predicts its tokens from place
+    ``first`` on, those before it are repeated context. The tail beyond a multiple of
+    ``block`` is dropped when a batch has at least one block. The tokens are written
+    once; offsets come from a table of ids and lengths, only per-text pieces are shuffled, and no row
+    ever holds more than one window.
     """
     if stride > block:
         raise ValueError("stride must not exceed the block size")
-    # Batches go by position, so ids may have gaps; only ids are numbered.
-    places = dense_ids(tokens.select(F.col(ident).alias("_ident")), "_ident", "_place")
-    batch = (
-        tokens.join(places, F.col(ident) == F.col("_ident"))
-        .withColumn("batch_id", whole_div(F.col("_place"), batch_size))
-        .withColumn("_n", F.size("input_ids").cast("bigint"))
-        .drop("_ident", "_place")
-    )
-    in_order = Window.partitionBy("batch_id").orderBy(ident)
-    total = F.sum("_n").over(Window.partitionBy("batch_id"))
+    tokens = materialize(tokens.select(F.col(ident).alias("_ident"), "input_ids"), "tokens")
+    sizes = tokens.select("_ident", F.size("input_ids").cast("bigint").alias("_n"), F.lit(1).alias("_one"))
+    # Batches go by position, so ids may have gaps.
+    places = exclusive_prefix(sizes, "_ident", ["_one", "_n"], ["_place", "_at"])
+    whole = Window.partitionBy("batch_id")
+    total = F.sum("_n").over(whole)
     placed = (
-        batch.withColumn("_from", F.coalesce(F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_all", total)
-        .withColumn("_all", F.when(F.col("_all") >= block, F.col("_all") - F.col("_all") % block).otherwise(F.col("_all")))
+        places.withColumn("batch_id", whole_div(F.col("_place"), batch_size))
+        .withColumn("_from", F.col("_at") - F.min("_at").over(whole))
+        .withColumn("_all", F.when(total >= block, total - total % block).otherwise(total))
         .withColumn("_to", F.least(F.col("_from") + F.col("_n"), F.col("_all")))
         .where("_to > _from")
+        .select("_ident", "batch_id", "_from", "_to", "_all")
     )
+    placed = tokens.join(placed, "_ident")
     i = F.col("window_idx") * stride
     begin, end = F.greatest(i + (stride - block), F.lit(0)), F.least(i + stride, F.col("_all"))
     last = F.least(whole_div(F.col("_to") + (block - 1), stride) - 1, whole_div(F.col("_all") - 1, stride))
     cut = _pieces(placed, whole_div(F.col("_from"), stride), last, begin, end, "window_idx")
-    joined = (
+    repeated = (i - F.greatest(i + (stride - block), F.lit(0))).cast("int")
+    return (
         cut.groupBy("batch_id", "window_idx")
         .agg(F.sort_array(F.collect_list(F.struct("_start", "_piece"))).alias("_parts"))
-        .withColumn("_ids", F.flatten(F.transform("_parts", lambda p: p["_piece"])))
+        .select(
+            "batch_id",
+            "window_idx",
+            F.flatten(F.transform("_parts", lambda p: p["_piece"])).alias("input_ids"),
+            repeated.alias("first"),
+        )
     )
-    repeated = (i - F.greatest(i + (stride - block), F.lit(0))).cast("int")
-    missing = F.lit(block) - F.size("_ids")
-    return joined.select(
+
+
+def sliding_windows(
+    tokens: DataFrame,
+    block: int = 1024,
+    stride: int = 512,
+    batch_size: int = 1000,
+    pad: int = 0,
+    ident: str = "doc_id",
+) -> DataFrame:
+    """``window_spans`` as padded arrays: ``input_ids``, ``labels`` (context masked), ``attention_mask`` (all ones).
+
+    Each window predicts ``stride`` new tokens; the repeated context before them is masked in ``labels``.
+    """
+    spans = window_spans(tokens, block, stride, batch_size, ident)
+    missing = F.lit(block) - F.size("input_ids")
+    return spans.select(
         "batch_id",
         "window_idx",
-        F.concat("_ids", F.array_repeat(F.lit(pad), missing)).alias("input_ids"),
+        F.concat("input_ids", F.array_repeat(F.lit(pad), missing)).alias("input_ids"),
         F.concat(
-            F.array_repeat(F.lit(MASK), repeated),
-            F.slice("_ids", repeated + 1, F.lit(block)),
+            F.array_repeat(F.lit(MASK), F.col("first")),
+            F.slice("input_ids", F.col("first") + 1, F.lit(block)),
             F.array_repeat(F.lit(MASK), missing),
         ).alias("labels"),
         F.array_repeat(F.lit(1), block).alias("attention_mask"),
@@ -134,7 +201,8 @@ def sliding_windows(
 
 
 def fixed_blocks(tokens: DataFrame, block: int, ident: str = "doc_id") -> DataFrame:
-    """Non-overlapping blocks over the whole token stream; the short rest goes."""
+    """Non-overlapping blocks over the whole token stream; the short rest goes. The tokens are written once."""
+    tokens = materialize(tokens.select(ident, "input_ids"), "tokens")
     sized = tokens.withColumn("_n", F.size("input_ids").cast("bigint"))
     starts = exclusive_prefix(sized.select(ident, "_n"), ident, "_n", "_from").select(ident, "_from")
     placed = tokens.join(starts, ident).withColumn("_to", F.col("_from") + F.size("input_ids")).where("_to > _from")
@@ -174,21 +242,27 @@ def token_counts(windows: DataFrame, by: str | None = None) -> DataFrame:
     return grouped.agg(F.sum(n).cast("bigint").alias("n_tokens"), F.count("*").alias("n_windows"))
 
 
+def _predicted(windows: DataFrame) -> tuple[Column, Column]:
+    """First predicted place and number of predicted tokens of each window; a window's first token has no context."""
+    if "first" in windows.columns:
+        begin = F.greatest(F.col("first"), F.lit(1))
+        return begin, F.greatest(F.size("input_ids") - begin, F.lit(0))
+    # Labels are masked before and behind one run of tokens.
+    shifted = _shifted_labels()
+    n = F.size(F.filter(shifted, lambda x: x != MASK))
+    first = F.array_position(F.transform(shifted, lambda x: x != MASK), True)
+    return F.greatest(first, F.lit(1)).cast("int"), n
+
+
 def number_windows(windows: DataFrame) -> DataFrame:
-    """Add ``pairs`` (position, next token) and the id of each window's first pair.
+    """Add the id of each window's first pair, ``first_entry``, and its pairs: (position, next token).
 
-    Every window is shifted by one and masked labels go. Ids are gap-free in
-    window order: offsets within a batch, plus the offset of the batch.
-    ``windows`` should be a written table, as it is read twice.
+    Takes ``window_spans`` or ``sliding_windows``. Ids are gap-free in window order:
+    offsets within a batch, plus the offset of the batch. ``windows`` should be a
+    written table, as it is read twice.
     """
-    shifted = F.zip_with(
-        _shifted_labels(),
-        F.sequence(F.lit(0), F.size("labels") - 2),
-        lambda token, pos: F.struct(pos.alias("pos"), token.alias("token")),
-    )
-    counted = windows.select(
-        "batch_id", "window_idx", F.size(F.filter(_shifted_labels(), lambda x: x != MASK)).cast("bigint").alias("_n")
-    )
+    begin, n = _predicted(windows)
+    counted = windows.select("batch_id", "window_idx", n.cast("bigint").alias("_n"))
     totals = counted.groupBy("batch_id").agg(F.sum("_n").alias("_n"))
     starts = exclusive_prefix(totals, "batch_id", "_n", "_batch_start").select("batch_id", "_batch_start")
     before = Window.partitionBy("batch_id").orderBy("window_idx").rowsBetween(Window.unboundedPreceding, -1)
@@ -197,27 +271,58 @@ def number_windows(windows: DataFrame) -> DataFrame:
         .join(starts, "batch_id")
         .select("batch_id", "window_idx", (F.col("_batch_start") + F.col("_before")).cast("bigint").alias("first_entry"))
     )
-    return windows.join(firsts, ["batch_id", "window_idx"]).withColumn(
-        "pairs", F.filter(shifted, lambda p: p["token"] != MASK)
-    )
+    tokens = F.slice("input_ids", begin + 1, n)
+    pairs = F.transform(tokens, lambda token, i: F.struct((begin - 1 + i).alias("pos"), token.alias("token")))
+    return windows.join(firsts, ["batch_id", "window_idx"]).withColumn("pairs", pairs)
 
 
 def next_token_pairs(windows: DataFrame, size: int | None = None) -> DataFrame:
     """(context position, next token) rows with gap-free ids; ``size`` keeps the first ones."""
+    begin, n = _predicted(windows)
     out = (
         number_windows(windows)
-        .select("batch_id", "window_idx", "first_entry", F.posexplode("pairs").alias("_k", "_pair"))
+        .select("batch_id", "window_idx", "first_entry", begin.alias("_begin"), F.posexplode(F.slice("input_ids", begin + 1, n)).alias("_k", "token"))
         .select(
             (F.col("first_entry") + F.col("_k")).alias("entry_id"),
             "batch_id",
             "window_idx",
-            F.col("_pair.pos").alias("pos"),
-            F.col("_pair.token").alias("token"),
+            (F.col("_begin") - 1 + F.col("_k")).alias("pos"),
+            "token",
         )
     )
     return out if size is None else out.where(F.col("entry_id") < size)
 
 
+def window_losses(windows: DataFrame, model: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """``batch_id, window_idx, nll, n_scored``: the loss of each window's predicted tokens.
+
+    ``model()`` is made once a task; it gets the ``input_ids`` of a batch of windows
+    (an Arrow list array) and returns the log-probability of every token given those before it in its window,
+    one after another, NaN where it gives none. The context that windows repeat is masked, so each token
+    of a batch counts once. Takes ``window_spans`` or ``sliding_windows``.
+    """
+    begin, n = _predicted(windows)
+    rows = windows.select("batch_id", "window_idx", begin.alias("_begin"), n.cast("int").alias("_n"), "input_ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = model()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("input_ids")
+            logp = np.asarray(score(lists), np.float64)
+            size = np.asarray(pc.list_value_length(lists))
+            place = np.arange(len(logp)) - np.repeat(np.cumsum(size) - size, size)
+            low, high = (np.asarray(batch.column(c)) for c in ("_begin", "_n"))
+            counts = (place >= np.repeat(low, size)) & (place < np.repeat(low + high, size)) & ~np.isnan(logp)
+            row = np.repeat(np.arange(len(size)), size)[counts]
+            nll = np.bincount(row, -logp[counts], len(size))
+            found = [pa.array(nll), pa.array(np.bincount(row, minlength=len(size)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *found], ["batch_id", "window_idx", "nll", "n_scored"])
+
+    return rows.mapInArrow(run, "batch_id bigint, window_idx bigint, nll double, n_scored bigint")
+
+
 WINDOWS_PER_CHUNK = 256
 
 
@@ -275,16 +380,20 @@ def build_datastore(
     batch_size: int = 1000,
     size: int | None = None,
     ident: str = "doc_id",
+    tokenizer: Tokenizer | None = None,
 ) -> DataFrame:
     """Corpus -> tokens -> windows -> pairs -> ``entry_id, key, token``.
 
-    The vocabulary and the windows are written on the way, as both are read
-    more than once.
+    Tokens come from ``tokenizer`` (see ``tokenize_with``), or from a word vocabulary,
+    that of the texts if none is given. Vocabulary, tokens and windows are written on the way, as
+    each is read more than once.
     """
-    vocab = materialize(build_vocab(texts), "vocab") if vocab is None else vocab
-    windows = materialize(
-        sliding_windows(tokenize(texts, vocab, ident), block, stride, batch_size, ident=ident), "windows"
-    )
+    if tokenizer is not None:
+        tokens = tokenize_with(texts, tokenizer, ident)
+    else:
+        vocab = materialize(build_vocab(texts), "vocab") if vocab is None else vocab
+        tokens = tokenize(texts, vocab, ident)
+    windows = materialize(window_spans(tokens, block, stride, batch_size, ident), "windows")
     store = encoder(number_windows(windows))
     return store if size is None else store.where(F.col("entry_id") < size)
 

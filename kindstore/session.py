@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,29 +30,48 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return builder.getOrCreate()
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="kindstore-")
+def work_root(spark: SparkSession) -> str:
+    """The folder of this application's intermediates: below ``spark.checkpoint.dir``, or else below the warehouse.
+
+    Both are shared by the driver and all executors.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/kindstore-{spark.sparkContext.applicationId}"
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
+    """A fresh path below ``work_root``."""
+    return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+
 
-    Only a local master may fall back to a temporary folder: on a cluster the
-    executors would not see it.
+def remove_work(spark: SparkSession) -> None:
+    """Remove all intermediates of this application.
+
+    DataFrames that were made with their help can't be read afterwards, so this is for the
+    end of a program, or for between two steps whose results are written.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = _local_folder()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place, system = file_system(spark, work_root(spark))
+    system.delete(place, True)
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """A path and the file system that holds it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there; any other trouble with the path raises."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    place, system = file_system(spark, path)
+    return system.exists(place)
+
+
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it is not there."""
+    place, system = file_system(spark, path)
+    if not system.exists(place):
+        return []
+    return [status.getPath().getName() for status in system.listStatus(place) if status.isDirectory()]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -16,18 +16,68 @@ _FULL = T.StructType(
 )
 
 
+RANGES = "stage int, first bigint, last bigint, n bigint, store string, batch bigint"
+
+
 def write_datastore(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Persist ``store, stage, batch, entry_id, key, token``; only given partitions are replaced."""
+    """Persist ``store, stage, batch, entry_id, key, token``; only given partitions are replaced.
+
+    Files lie in order of the entry id: a file holds one range of ids of a batch, so that a
+    filter on the id skips files and row groups. The range of each batch goes into a
+    small table beside the data (``entry_ranges``), written last.
+    """
     for name in ("stage", "batch"):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(0))
+    order = [*PARTITIONS, "entry_id"]
+    rows = df.select("entry_id", F.col("key").cast("array<float>").alias("key"), "token", *PARTITIONS)
     (
-        df.select("entry_id", F.col("key").cast("array<float>").alias("key"), "token", *PARTITIONS)
+        rows.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTITIONS)
         .parquet(path)
     )
+    batches = df.select("store", "batch").distinct()
+    _write_ranges(df.sparkSession, path, [(r["store"], r["batch"]) for r in batches.collect()])
+
+
+def _write_ranges(spark: SparkSession, path: str, batches: list[tuple[str, int]]) -> None:
+    """Note the id ranges of written batches: only their ids are read."""
+    if not batches:
+        return
+    own = F.lit(False)
+    for store, batch in batches:
+        own = own | ((F.col("store") == store) & (F.col("batch") == batch))
+    ranges = read_datastore(spark, path).where(own).groupBy("store", "batch", "stage").agg(
+        F.min("entry_id").alias("first"), F.max("entry_id").alias("last"), F.count("*").alias("n")
+    )
+    ranges.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("store", "batch").parquet(
+        f"{path}/_ranges"
+    )
+
+
+def entry_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """``store, batch, stage, first, last, n``: ids of each batch, from the small table beside the data."""
+    if not exists(spark, f"{path}/_ranges"):
+        return spark.createDataFrame([], RANGES)
+    return spark.read.schema(RANGES).parquet(f"{path}/_ranges")
+
+
+def read_first(spark: SparkSession, path: str, store: str, n: int) -> DataFrame:
+    """The first ``n`` entries of a store; asking for more than there are raises.
+
+    The ranges say which batches begin below ``n``: no other folder is listed for reading, and
+    within the last of them the order of the files lets the scan skip the rest.
+    """
+    # A row for each batch, and a store has as many batches as it has grown times.
+    mine = entry_ranges(spark, path).where(F.col("store") == store).select("batch", "stage", "first", "n").collect()
+    if sum(r["n"] for r in mine) < n:
+        raise ValueError(f"datastore has fewer than {n} entries")
+    batches = sorted({r["batch"] for r in mine if r["first"] < n})
+    kept = read_datastore(spark, path, store).where(F.col("batch").isin(batches))
+    return kept.where(F.col("entry_id") < n)
 
 
 def read_datastore(spark: SparkSession, path: str, store: str | None = None, upto: int | None = None) -> DataFrame:
@@ -49,19 +99,18 @@ def datastore_size(spark: SparkSession, path: str, store: str | None = None) ->
 
 
 def next_entry(spark: SparkSession, path: str, store: str, before: int) -> int:
-    """First free id behind all earlier batches: the largest id so far plus one."""
-    if not exists(spark, path):
-        return 0
-    earlier = read_datastore(spark, path, store).where(F.col("batch") < before)
-    return earlier.agg(F.coalesce(F.max("entry_id") + 1, F.lit(0)).alias("n")).first()["n"]
+    """First free id behind all earlier batches: the largest id so far plus one, from the ranges alone."""
+    earlier = entry_ranges(spark, path).where((F.col("store") == store) & (F.col("batch") < before))
+    return earlier.agg(F.coalesce(F.max("last") + 1, F.lit(0)).alias("n")).first()["n"]
 
 
 def append_datastore(rows: DataFrame, path: str, store: str, stage: int | str, batch: int, order: str) -> None:
     """Add ``key, token`` rows behind the existing ones of a store, as batch ``batch``.
 
     Rows are numbered by the unique bigint ``order``. ``stage`` is a number or
-    the name of a column. Old rows are untouched, and writing the same batch
-    again replaces it with the same ids, so a repeat does no harm.
+    the name of a column. Old rows are untouched and not read, and writing the same batch
+    again replaces it with the same ids, so a repeat does no harm. A batch whose range
+    is not noted yet (a write that broke off) counts as not there and is written again.
     """
     start = next_entry(rows.sparkSession, path, store, batch)
     numbered = dense_ids(rows, order, "_place")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindstore import schemas
+from kindstore.session import file_system
 from kindstore.functions.scalars import nan_to_null
 from kindstore.operators.texts import normalize_texts
 
@@ -20,11 +21,21 @@ def read_table(spark: SparkSession, path: str, *columns: str, spread: str | None
     df = spark.read.parquet(path)
     df = df.select(*columns) if columns else df
     cores = spark.sparkContext.defaultParallelism
-    if spread is not None and df.rdd.getNumPartitions() < cores:
+    if spread is not None and _splits(spark, path) < cores:
         return df.repartition(cores, spread)
     return df
 
 
+def _splits(spark: SparkSession, path: str) -> int:
+    """About how many splits a table has: one a file at least, and one for each so many bytes."""
+    place, system = file_system(spark, path)
+    size = system.getContentSummary(place)
+    most = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
+    return max(size.getFileCount(), size.getLength() // most)
+
+
 def read_prompts(spark: SparkSession, path: str, schema: T.StructType = schemas.PROMPTS, flatten: bool = True) -> DataFrame:
     """JSON lines of prompts; a ``prompt`` record is flattened, other files stay as they are."""
     df = spark.read.schema(schema).json(path)

@@ -12,11 +12,14 @@ from kindstore.operators.metrics import MODES
 
 
 def write_collated(df: DataFrame, path: str, expected: int | None = None) -> int:
-    """Append collated rows as JSON lines; warn when some prompts are missing."""
+    """Append collated rows as JSON lines; warn when some prompts are missing.
+
+    Returns the number of prompts. A prompt may have several rows (parts) of any number, so prompts
+    in parts are counted apart, by their ids alone.
+    """
     seen = Observation("collated")
-    first = F.count_if(F.col("part") == 0) if "part" in df.columns else F.count("*")
-    df.observe(seen, first.alias("n")).write.mode("append").json(path)
-    n = seen.get["n"]
+    df.observe(seen, F.count("*").alias("n")).write.mode("append").json(path)
+    n = df.select("prompt_idx").distinct().count() if "part" in df.columns else seen.get["n"]
     if expected is not None and n != expected:
         warnings.warn(f"{n} collated rows, expected {expected}", stacklevel=2)
     return n

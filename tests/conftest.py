@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from kindstore.session import local_session  # noqa: E402
+from kindstore.session import local_session, remove_work  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,4 +13,5 @@ def spark():
     session = local_session(8, shuffle_partitions=4)
     session.sparkContext.setLogLevel("OFF")
     yield session
+    remove_work(session)
     session.stop()

@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindstore.operators import kernel, vectors
+from kindstore.catalog import QUERIES
+from kindstore.operators import cells, kernel, vectors
 from kindstore.operators.kernel import TopK
-from kindstore.session import work_folder
+from kindstore.session import file_system, materialize, work_folder
 from kindstore.sources import index
 
 
@@ -90,7 +91,7 @@ def test_probing_every_cell_is_exact(tables, monkeypatch):
     assert found(vectors.ivf_search(q, cells, centroids, 5, nprobe=6)) == found(vectors.knn_exact(q, k, 5))
     few = vectors.ivf_search(q, cells, centroids, 5, nprobe=3)
     recall = {r["store"]: r["recall"] for r in vectors.recall_at_k(few, vectors.knn_exact(q, k, 5), 5).collect()}
-    assert all(0.4 < x <= 1.0 for x in recall.values())
+    assert all(0.4 < x <= 1.0 for x in recall.values())  # three of six cells: a thin search, for comparison only
 
 
 def test_k_above_store_size_and_dot_order(tables):
@@ -145,3 +146,163 @@ def test_stored_index_reads_probed_folders_and_refuses_growth(tables, spark):
         index.search_index(q, path, 5, keys=more)
     with pytest.raises(index.StaleIndex):
         index.search_index(q, path + "-absent", 5, keys=k)
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_every_index_query_finds_nine_of_ten(spark, scale):
+    rows = QUERIES["index_recall"](spark, f"/root/testdata/{scale}").collect()
+    assert {r["search"] for r in rows} == {"ivf", "append", "pq", "pq_index"} and len(rows) == 8
+    assert min(r["recall"] for r in rows) >= 0.9
+
+
+def clustered(spark, n=2000, cells=20):
+    """Keys around well separated centres."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(cells, 6)) * 50
+    keys = centres[rng.integers(0, cells, n)] + rng.normal(size=(n, 6))
+    rows = [("s" if i % 4 else "t", i, [float(x) for x in v], i % 7) for i, v in enumerate(keys)]
+    table = spark.createDataFrame(rows, "store string, entry_id bigint, key array<double>, token int")
+    near = [(i, [float(x) for x in centres[i % cells] + rng.normal(size=6)]) for i in range(40)]
+    return table, spark.createDataFrame(near, "query_id bigint, embedding array<double>")
+
+
+def test_bounded_search_is_exact_and_reads_few_cells(tables, spark, monkeypatch):
+    _, _, q, k = tables  # small whole numbers: many ties
+    for key_rows, query_rows, cells_wanted in ((k, q, 6), (*clustered(spark), 20)):
+        centroids = materialize(vectors.ivf_train(key_rows, cells_wanted, method="sample"), "centroids")
+        assigned = materialize(vectors.ivf_assign(key_rows, centroids), "assigned")
+        radii = cells.cell_radii(assigned, centroids)
+        asked = []
+        whole = vectors._by_blocks
+        monkeypatch.setattr(cells, "_by_blocks", lambda probes, *a, **b: asked.append(probes.count()) or whole(probes, *a, **b))
+        amount = {"hot": 9, "cold": 4} if key_rows is k else 7
+        got = cells.ivf_search_bounded(query_rows, assigned, centroids, radii, amount, first=1)
+        assert found(got) == found(vectors.knn_exact(query_rows, key_rows, amount))
+        if key_rows is not k:  # the sampled centres of 20 clusters share some
+            assert sum(asked) < 0.5 * 40 * cells_wanted
+        monkeypatch.undo()
+    nothing = cells.ivf_search_bounded(q.limit(0), assigned, centroids, radii, 3)
+    assert nothing.count() == 0
+
+
+def test_probes_for_recall_is_what_a_search_finds(spark):
+    k, q = clustered(spark)
+    centroids = materialize(vectors.ivf_train(k, 12, method="sample"), "centroids")
+    assigned = materialize(vectors.ivf_assign(k, centroids), "assigned")
+    exact = materialize(vectors.knn_exact(q, k, 30), "exact")
+    for target in (0.5, 0.95):
+        for r in cells.probes_for_recall(q, assigned, centroids, exact, target).collect():
+            recall = {x["store"]: x["recall"] for x in vectors.recall_at_k(vectors.ivf_search(q, assigned, centroids, 30, r["nprobe"]), exact, 30).collect()}
+            assert recall[r["store"]] == pytest.approx(r["recall"]) and r["recall"] >= target
+
+
+def test_compressed_index_holds_no_keys(tables, spark):
+    queries, keys, q, k = tables
+    centroids = materialize(vectors.ivf_train(k, 4, method="sample"), "centroids")
+    books = vectors.pq_train(cells.residuals(vectors.ivf_assign(k, centroids), centroids), 2, 200, seed=3)
+    path = work_folder(spark, "index")
+    index.write_index(k, centroids, path, 2, books)
+    near = index.search_index(q, path, 5, nprobe=4)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "code:binary" in plan and "key:array" not in plan
+    # So many codewords cover all residuals: distances are exact up to rounding.
+    exact = {(r["query_id"], r["store"], r["rank"]): r["dist"] for r in vectors.knn_exact(q, k, 5).collect()}
+    for r in near.collect():
+        assert r["dist"] == pytest.approx(exact[r["query_id"], r["store"], r["rank"]], abs=1e-6)
+    again = index.search_index(q, path, 5, nprobe=4, keys=k, shortlist=300)
+    assert found(again) == found(vectors.knn_exact(q, k, 5))
+    with pytest.raises(ValueError):
+        index.search_index_exact(q, path, 5)
+
+
+def test_index_grows_by_new_keys_and_survives_a_crash(tables, spark, monkeypatch):
+    _, _, q, k = tables
+    first, path = k.where("entry_id < 200"), work_folder(spark, "index")
+    centroids = materialize(vectors.ivf_train(first, 6, method="sample"), "centroids")
+    assert index.write_index(first, centroids, path, 2) == 1
+    before = found(index.search_index_exact(q, path, 5, keys=first))
+    # An addition that breaks off before its manifest is complete leaves the old version in force.
+    monkeypatch.setattr(index, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        index.append_index(k, path)
+    monkeypatch.undo()
+    index.read_manifest(spark, path).write.json(f"{path}/manifests/2")
+    place, system = file_system(spark, f"{path}/manifests/2/_SUCCESS")
+    system.delete(place, False)
+    assert index.index_versions(spark, path) == [1] and index.index_is_current(spark, path, first)
+    assert found(index.search_index_exact(q, path, 5)) == before
+    seen = []
+    assign = index.ivf_assign
+    monkeypatch.setattr(index, "ivf_assign", lambda keys, c: seen.append(keys.count()) or assign(keys, c))
+    assert index.append_index(k, path) == 3 and seen == [100]
+    assert index.append_index(k, path) == 3 and index.index_is_current(spark, path, k)
+    assert found(index.search_index_exact(q, path, 5, keys=k)) == found(vectors.knn_exact(q, k, 5))
+    assert found(index.search_index(q, path, 5, nprobe=6)) == found(vectors.knn_exact(q, k, 5))
+    assert found(index.search_index(q, path, 5, nprobe=6, version=1)) == before
+    with pytest.raises(index.StaleIndex):  # other entries than those indexed
+        index.append_index(k.where("entry_id <> 7"), path)
+    index.vacuum_index(spark, path)
+    assert index.index_versions(spark, path) == [3]
+    assert found(index.search_index(q, path, 5, nprobe=6)) == found(vectors.knn_exact(q, k, 5))
+
+
+def test_rebuilding_under_other_centroids_switches_at_once(tables, spark, monkeypatch):
+    _, keys, q, k = tables
+    path = work_folder(spark, "index")
+    index.write_index(k, vectors.ivf_train(k, 6, method="sample"), path, 2)
+    monkeypatch.setattr(index, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        index.write_index(k, vectors.ivf_train(k, 6, seed=9, method="sample"), path, 2)
+    monkeypatch.undo()
+    own = k.select(F.col("entry_id").alias("query_id"), F.col("key").alias("embedding")).limit(20)
+    first = index.search_index(own, path, 1, nprobe=1, keys=k).where("dist = 0")
+    assert first.select("query_id").distinct().count() == 20
+
+
+def test_keys_are_not_shuffled_for_several_query_blocks(tables, monkeypatch):
+    _, _, q, k = tables
+    plans = []
+    whole = vectors._by_broadcast
+
+    def watched(*args):
+        out = whole(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(vectors, "_by_broadcast", watched)
+    assert found(vectors.knn_exact(q, k, 7, block=17)) == found(vectors.knn_exact(q, k, 7))
+    assert len(plans) >= 3 and not any("Exchange" in plan for plan in plans)
+
+
+def test_update_neighbours_equals_a_search_of_all(tables):
+    _, _, q, k = tables
+    amount, best = {"hot": 9, "cold": 4}, None
+    for low, high in ((0, 3), (3, 150), (150, 300)):  # at first fewer keys than neighbours
+        added = k.where(f"entry_id >= {low} AND entry_id < {high}")
+        best = materialize(vectors.update_neighbours(q, best, added, amount), "nearest")
+        assert found(best) == found(vectors.knn_exact(q, k.where(f"entry_id < {high}"), amount))
+
+
+def test_recomputed_distances_move_only_neighbours(tables):
+    queries, keys, q, k = tables
+    near = vectors.knn_exact(q, k, 3).withColumn("dist", F.lit(-1.0))
+    for limit in (10**6, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(vectors, "BROADCAST_IDS", limit)
+            patch.setattr(vectors, "PAIRS", 50)
+            rows = vectors.recompute_dists(near, q, k).collect()
+        assert len(rows) == 300
+        for r in rows:
+            assert r["dist"] == pytest.approx(((queries[r["query_id"]] - keys[r["entry_id"]]) ** 2).sum())
+
+
+@pytest.mark.parametrize("pack", [30, 32, 4096])
+def test_contexts_are_slices_of_blocks(spark, pack):
+    tokens = {i: (i * 37) % 101 for i in range(200)}
+    tokens |= {i: i % 7 for i in range(300, 420, 2)}  # ids with gaps
+    store = spark.createDataFrame([("s", i, t) for i, t in tokens.items()], "store string, entry_id bigint, token int")
+    near = [(i, "s", 1, i, tokens[i]) for i in tokens]
+    df = spark.createDataFrame(near, "query_id bigint, store string, rank int, entry_id bigint, token int")
+    for given in (store, materialize(vectors.pack_tokens(store, pack), "packed")):
+        got = {r["entry_id"]: r["context"] for r in vectors.neighbour_context(df, given, pack=pack).collect()}
+        assert got == {i: [tokens[j] for j in range(i - 30, i) if j in tokens] or None if i >= 30 else None for i in tokens}
