@@ -148,11 +148,16 @@ def ensemble(
     without a usable token in the batch the language model stands in, as in
     ``ensemble_single``. ``alpha`` may be a column of ``lm``.
     """
-    lm = _with_batch(lm)
-    both = _patched(_patched(lm, sub, "sub", floor, _scope(scope)), add, "add", floor, _scope(scope))
+    both = both_sides(lm, sub, add, floor, scope)
     return _finish(both, F.col("logp") + _weight(alpha) * (F.col("_add") - F.col("_sub")))
 
 
+def both_sides(lm: DataFrame, sub: DataFrame, add: DataFrame, floor: float = FLOOR, scope: str = "batch") -> DataFrame:
+    """The model's rows with what each store says of them, patched: columns ``_sub`` and ``_add``."""
+    lm = _with_batch(lm)
+    return _patched(_patched(lm, sub, "sub", floor, _scope(scope)), add, "add", floor, _scope(scope))
+
+
 def ensemble_single(
     lm: DataFrame,
     knn: DataFrame,

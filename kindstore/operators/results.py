@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindstore.functions.scalars import ratio
-from kindstore.operators.mixing import ensemble, knn_distribution
+from kindstore.operators.mixing import both_sides, knn_distribution, log_softmax
 from kindstore.operators.texts import remap_values
 from kindstore.session import materialize
 
@@ -197,36 +197,34 @@ def sweep_grid(
 ) -> DataFrame:
     """The ensemble for every (k, other k, alpha, temperature), from one retrieval at the largest k.
 
-    Neighbours and language-model rows are repeated per setting and filtered by
-    rank; all settings run as one plan under a combined query key.
+    A store has one distribution for each of its k and temperatures, whatever else
+    varies. The model's rows meet the distributions once for each (k, other k, temperature), and the
+    values of alpha, which only weigh what was found, are applied at the end.
     """
-    records = [
-        F.struct(
-            F.lit(i).alias("s"),
-            F.lit(a).alias("k"),
-            F.lit(b).alias("other_k"),
-            F.lit(float(x)).alias("alpha"),
-            F.lit(float(t)).alias("temperature"),
-        )
-        for i, (a, b, x, t) in enumerate(settings)
-    ]
-    every = F.explode(F.array(*records)).alias("_p")
-    key = F.struct(F.col("_p.s").alias("s"), F.col("query_id").alias("q"))
-    limit = F.when(F.col("store") == stores[0], F.col("_p.k")).otherwise(F.col("_p.other_k"))
-    near = neighbours.select("*", every).where(F.col("rank") <= limit)
-    heat = F.col("_p.temperature").alias("temperature")
-    dist = knn_distribution(near.select(key.alias("query_id"), "store", "dist", "token", heat), F.col("temperature"))
-    about = F.create_map(*[c for i, r in enumerate(records) for c in (F.lit(i), r)])
+    groups = sorted({(a, b, float(t)) for a, b, _, t in settings})
+    alphas = [sorted({float(x) for a, b, x, t in settings if (a, b, float(t)) == group}) for group in groups]
+    sides = []
+    for place, store in enumerate(stores):
+        wanted = sorted({(group[place], group[2]) for group in groups})
+        every = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.lit(k).alias("k"), F.lit(t).alias("t")) for i, (k, t) in enumerate(wanted)]))
+        near = neighbours.where(F.col("store") == store).select("*", every.alias("_p")).where(F.col("rank") <= F.col("_p.k"))
+        key = F.struct(F.col("_p.c").alias("c"), F.col("query_id").alias("q")).alias("query_id")
+        dist = knn_distribution(near.select(key, "store", "dist", "token", F.col("_p.t").alias("temperature")), F.col("temperature"))
+        # Usually one group for each pair and temperature: k and other k are zipped.
+        users = [[g for g, group in enumerate(groups) if (group[place], group[2]) == pair] for pair in wanted]
+        shared = F.array(*[F.array(*[F.lit(g) for g in own]) for own in users])
+        dist = dist.select("*", F.explode(F.get(shared, F.col("query_id.c"))).alias("_g"))
+        sides.append(dist.select(F.struct(F.col("_g").alias("g"), F.col("query_id.q").alias("q")).alias("query_id"), "token", "logp"))
     base = lm if "batch_id" in lm.columns else lm.withColumn("batch_id", F.lit(0).cast("bigint"))
-    base = base.select("*", every).select(
-        key.alias("query_id"), F.struct(F.col("_p.s").alias("s"), F.col("batch_id").alias("b")).alias("batch_id"), "token", "logp"
-    )
-    mixed = ensemble(
-        base,
-        dist.where(F.col("store") == stores[0]),
-        dist.where(F.col("store") == stores[1]),
-        about[F.col("query_id.s")]["alpha"],
+    base = base.select("*", F.explode(F.array(*[F.lit(g) for g in range(len(groups))])).alias("g"))
+    base = base.select(
+        F.struct("g", F.col("query_id").alias("q")).alias("query_id"), F.struct("g", F.col("batch_id").alias("b")).alias("batch_id"), "token", "logp"
     )
-    return mixed.select("*", about[F.col("query_id.s")].alias("_p")).select(
-        "_p.k", "_p.other_k", "_p.alpha", "_p.temperature", F.col("query_id.q").alias("query_id"), "token", "logp"
+    weights = F.array(*[F.array(*[F.lit(x) for x in own]) for own in alphas])
+    both = both_sides(base, *sides).select("*", F.explode(F.get(weights, F.col("query_id.g"))).alias("alpha"))
+    key = F.struct("query_id.g", "alpha", F.col("query_id.q").alias("q")).alias("query_id")
+    mixed = log_softmax(both.select(key, "token", (F.col("logp") + F.col("alpha") * (F.col("_add") - F.col("_sub"))).alias("logp")))
+    about = F.array(*[F.struct(F.lit(a).alias("k"), F.lit(b).alias("other_k"), F.lit(t).alias("temperature")) for a, b, t in groups])
+    return mixed.select("*", F.get(about, F.col("query_id.g")).alias("_p")).select(
+        "_p.k", "_p.other_k", "query_id.alpha", "_p.temperature", F.col("query_id.q").alias("query_id"), "token", "logp"
     )
