@@ -1,17 +1,21 @@
 """Corpus operators, windows, offsets, datastores."""
 
+import math
 import random
+from collections import Counter
 from unittest import mock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kindstore.operators import corpus, prefix, skew, texts, windows
+from kindstore import session
+from kindstore.operators import corpus, metrics, plugins, prefix, skew, texts, windows
 from kindstore.operators.prefix import exclusive_prefix, running_sum
 from kindstore.operators.results import exact_quantiles, grid, relative_to_base
-from kindstore.session import work_folder
-from kindstore.sources import datastore
+from kindstore.session import materialize, work_folder
+from kindstore.sources import datastore, writers
 
 
 def test_prefix_over_sparse_ids(spark):
@@ -213,3 +217,194 @@ def test_quantiles_narrow_around_outliers(spark):
         assert len(got) == len(groups) * len(shares)
         for (g, share), value in got.items():
             assert np.isclose(value, np.quantile(groups[g], share)), (few, g, share)
+
+
+@pytest.mark.parametrize("values", [[1, 2, 2], [1, None, 2], [None]])
+def test_orders_without_places_raise(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "id bigint")
+    with pytest.raises(ValueError, match="unique"):
+        prefix.dense_ids(df, "id")
+
+
+def test_several_sums_at_once(spark):
+    df = spark.createDataFrame([(i * 7, i % 3, i) for i in range(50)], "id bigint, a bigint, b bigint").repartition(4)
+    got = exclusive_prefix(df, "id", ["a", "b"], ["_a", "_b"]).orderBy("id").collect()
+    for i, r in enumerate(got):
+        assert (r["_a"], r["_b"]) == (sum(j % 3 for j in range(i)), sum(range(i)))
+
+
+TEXTS = [(1, "the cat the dog"), (2, ""), (3, "a  b "), (4, None), (5, "strange words the"), (6, "w" * 50_000)]
+
+
+def test_tokenizing_in_place_equals_the_join(spark, monkeypatch):
+    df = spark.createDataFrame(TEXTS, "doc_id bigint, text string").repartition(3)
+    vocab = materialize(windows.build_vocab(df.where("doc_id < 5")), "vocab")
+    near = windows.tokenize(df, vocab)
+    assert "Exchange" not in windows.tokenize(materialize(df, "texts"), vocab)._jdf.queryExecution().executedPlan().toString()
+    want = sorted(near.collect())
+    monkeypatch.setattr(windows, "is_small", lambda *_: False)
+    far = sorted((r["doc_id"], list(r["input_ids"])) for r in windows.tokenize(df, vocab).collect())
+    assert [(r["doc_id"], list(r["input_ids"])) for r in want] == far
+    assert [len(ids) for _, ids in far] == [4, 1, 4, 3, 1] and dict(far)[5][:2] == [-1, -1]
+    with pytest.raises(ValueError):
+        windows.vocabulary_tokenizer(vocab)
+
+
+def test_any_tokenizer_is_made_once_a_task(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def lengths():
+        made.add(1)
+        return lambda texts: pa.array([[len(w) for w in t.split(" ")] for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    df = materialize(spark.range(100).select(F.col("id").alias("doc_id"), F.lit("ab c def").alias("text")).coalesce(2), "texts")
+    got = windows.tokenize_with(df, lengths).collect()
+    assert len(got) == 100 and all(list(r["input_ids"]) == [2, 1, 3] for r in got) and made.value <= 4
+    store = windows.build_datastore(df, block=8, stride=4, batch_size=10, tokenizer=lengths)
+    # Ten batches of 30 tokens, of which 24 make whole blocks, and the first has no context.
+    assert store.count() == 10 * 23 and {r["token"] for r in store.select("token").distinct().collect()} == {1, 2, 3}
+
+
+def test_spans_give_the_pairs_of_padded_windows(spark):
+    df = spark.createDataFrame([(i, list(range(i, i + n))) for i, n in enumerate([30, 1, 0, 7, 19])], "doc_id bigint, input_ids array<int>")
+    padded = windows.next_token_pairs(windows.sliding_windows(df, 8, 3, batch_size=2))
+    spans = windows.next_token_pairs(windows.window_spans(df, 8, 3, batch_size=2))
+    assert sorted(padded.collect()) == sorted(spans.collect()) and spans.count() > 40
+
+
+def test_windows_over_repeated_ids_raise(spark):
+    df = spark.createDataFrame([(1, [1, 2]), (1, [3])], "doc_id bigint, input_ids array<int>")
+    with pytest.raises(ValueError, match="unique"):
+        windows.window_spans(df, 4, 2)
+
+
+def _bigram_by_hand(corpus, text):
+    pairs, before = Counter(), Counter()
+    for t in corpus:
+        w = t.split(" ")
+        pairs.update(zip(w, w[1:]))
+        before.update(w[:-1])
+    size = len({w for t in corpus for w in t.split(" ")})
+    w = text.split(" ")
+    return [math.log((pairs[a, b] + 1) / (before[a] + size)) for a, b in zip(w, w[1:])]
+
+
+def test_bigram_losses_by_both_ways(spark, monkeypatch):
+    corpus_rows = [(0, "a b a b c"), (1, "b b"), (2, "c"), (3, "a  a")]
+    texts = [(10, None, "a b zz a b"), (11, 1, "zz"), (12, 2, ""), (13, 3, "b b b c  a")]
+    df = spark.createDataFrame(corpus_rows, "doc_id bigint, text string").repartition(2)
+    asked = spark.createDataFrame(texts, "id bigint, part int, text string")
+    known = plugins.BigramModel(df)
+    want = {i: _bigram_by_hand([t for _, t in corpus_rows], t) for i, _, t in texts}
+    for small in (True, False):
+        if not small:
+            monkeypatch.setattr(plugins, "BROADCAST_BIGRAMS", 0)
+        got = {r["id"]: r for r in plugins.text_losses(asked, known, ["id", "part"]).collect()}
+        for i, part, t in texts:
+            assert got[i]["n"] == len(t.split(" ")) and got[i]["n_scored"] == len(want[i]) and got[i]["part"] == part
+            assert got[i]["nll"] == (pytest.approx(-sum(want[i])) if want[i] else None)
+    rows = plugins.ngram_logprobs(asked, known, ["id", "part"]).where("id = 13").orderBy("pos").collect()
+    assert rows[0]["logp"] is None and [r["logp"] for r in rows[1:]] == pytest.approx(want[13])
+    with pytest.raises(ValueError):
+        known.over_windows()
+
+
+def test_window_perplexity_counts_each_token_once(spark):
+    """Over one text, windows of any overlap give the perplexity of the text itself."""
+    rng = random.Random(3)
+    text = " ".join(rng.choice("abcdefg") for _ in range(64))
+    df = spark.createDataFrame([(0, text)], "doc_id bigint, text string")
+    model = plugins.BigramModel(df)
+    want = metrics.corpus_perplexity(plugins.text_losses(df, model, ["doc_id"])).first()[0]
+    assert want == pytest.approx(metrics.corpus_perplexity(plugins.ngram_logprobs(df, model, ["doc_id"])).first()[0])
+    tokens = windows.tokenize(df, model.vocab)
+    for block, stride in ((8, 3), (16, 16), (64, 64), (8, 8)):
+        losses = windows.window_losses(windows.window_spans(tokens, block, stride), model.over_windows())
+        if block == stride and block < 64:  # the first token of each window has no context
+            assert losses.agg(F.sum("n_scored")).first()[0] == 64 - 64 // block
+        else:
+            assert metrics.corpus_perplexity(losses).first()[0] == pytest.approx(want)
+            padded = windows.window_losses(windows.sliding_windows(tokens, block, stride), model.over_windows())
+            assert metrics.corpus_perplexity(padded).first()[0] == pytest.approx(want)
+
+
+def _stored(spark, name, sizes):
+    path = work_folder(spark, name)
+    for batch, n in enumerate(sizes):
+        rows = spark.range(n).select(F.col("id").alias("i"), F.array(F.col("id").cast("float")).alias("key"), F.lit(batch).alias("token"))
+        datastore.append_datastore(rows, path, "s", batch % 2, batch, "i")
+    return path
+
+
+def test_first_entries_read_only_their_batches(spark):
+    path = _stored(spark, "ranges", [100, 40, 60])
+    ranges = {r["batch"]: (r["first"], r["last"], r["n"]) for r in datastore.entry_ranges(spark, path).collect()}
+    assert ranges == {0: (0, 99, 100), 1: (100, 139, 40), 2: (140, 199, 60)}
+    for n, batches in ((0, 0), (1, 1), (100, 1), (101, 2), (140, 2), (200, 3)):
+        df = datastore.read_first(spark, path, "s", n)
+        assert df.count() == n and sorted(r[0] for r in df.select("entry_id").collect()) == list(range(n))
+        assert df.select("batch").distinct().count() == batches
+    plan = datastore.read_first(spark, path, "s", 50)._jdf.queryExecution().executedPlan().toString()
+    assert "batch#" in plan.split("PartitionFilters:")[1].split("]")[0] and "LessThan(entry_id,50)" in plan
+    with pytest.raises(ValueError):
+        datastore.read_first(spark, path, "s", 201)
+    with pytest.raises(ValueError):
+        datastore.read_first(spark, path, "other", 1)
+
+
+def test_files_of_a_datastore_hold_ranges_of_ids(spark):
+    path = work_folder(spark, "clustered")
+    rows = spark.range(5000).select(
+        F.col("id").alias("entry_id"), F.array(F.lit(1.0)).alias("key"), F.lit(1).alias("token"), F.lit("s").alias("store")
+    )
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")  # a store this small would go into one file
+    try:
+        datastore.write_datastore(rows.repartition(7), path)
+    finally:
+        spark.conf.unset(merging)
+    files = datastore.read_datastore(spark, path).groupBy(F.input_file_name()).agg(F.min("entry_id").alias("a"), F.max("entry_id").alias("b"))
+    spans = sorted((r["a"], r["b"]) for r in files.collect())
+    assert len(spans) > 1 and all(b < c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
+def test_next_entry_reads_no_keys_and_ignores_a_broken_write(spark, monkeypatch):
+    path = _stored(spark, "broken", [100])
+    # A batch whose data were written but not its range does not count, and is replaced by the next try.
+    monkeypatch.setattr(datastore, "_write_ranges", lambda *_: None)
+    rows = spark.range(9).select(F.col("id").alias("i"), F.array(F.lit(0.0)).alias("key"), F.lit(7).alias("token"))
+    datastore.append_datastore(rows, path, "s", 1, 1, "i")
+    monkeypatch.undo()
+    assert datastore.next_entry(spark, path, "s", 2) == 100
+    monkeypatch.setattr(datastore, "read_datastore", lambda *_: pytest.fail("keys were read"))
+    assert datastore.next_entry(spark, path, "s", 1) == 100 and datastore.next_entry(spark, path, "new", 5) == 0
+    monkeypatch.undo()
+    datastore.append_datastore(rows, path, "s", 1, 1, "i")
+    assert datastore.next_entry(spark, path, "s", 2) == 109
+    assert datastore.read_datastore(spark, path, "s").count() == 109
+
+
+def test_first_rows_are_ranked_by_narrow_columns(spark):
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "id bigint, text string").repartition(4)
+    assert sorted(r["id"] for r in corpus.limit_prompts(df, 7, order="id").collect()) == list(range(7))
+    done = spark.createDataFrame([(2,), (2,), (99,)], "id bigint")
+    assert sorted(r["id"] for r in corpus.limit_prompts(df, 4, done, "id").collect()) == [0, 1, 3]
+    sample = sorted(corpus.seeded_sample(df, 10).collect())
+    assert len(sample) == 10 and sample == sorted(corpus.seeded_sample(df.repartition(9), 10).collect())
+    assert corpus.seeded_sample(df, 500).count() == 50
+
+
+def test_collated_parts_are_counted_by_prompt(spark):
+    rows = [(0, p, 10_000 + p, p) for p in range(3)] + [(1, 0, 5, 5)]
+    df = spark.createDataFrame(rows, "prompt_idx bigint, part int, a int, b int").withColumn("generations", F.array("a"))
+    with pytest.warns(UserWarning, match="2 collated rows, expected 3"):
+        assert writers.write_collated(df.where("part > 0 or prompt_idx = 1"), work_folder(spark, "collated"), 3) == 2
+
+
+def test_intermediates_can_be_removed(spark):
+    root = work_folder(spark, "remove")
+    with mock.patch.object(session, "work_root", lambda spark: f"{root}/own"):
+        kept = materialize(spark.range(5), "numbers")
+        assert kept.count() == 5 and session.exists(spark, f"{root}/own")
+        session.remove_work(spark)
+        assert not session.exists(spark, f"{root}/own")
