@@ -19,6 +19,7 @@ from kindstore.llm.base import (
     narrow,
     span_hashes,
     text_chunks,
+    utf8_starts,
     word_spans,
 )
 
@@ -28,15 +29,16 @@ SAMPLE_ROWS = 6400
 
 @dataclass(frozen=True)
 class Grams:
-    """Which n-grams are hashed: byte n-grams of lower-cased UTF-8, word n-grams, and buckets of each."""
+    """Which n-grams of lower-cased text are hashed: of UTF-8 bytes, of code points, of words; and buckets of each."""
 
     bytes: tuple[int, ...] = (1, 2, 3, 4)
     words: tuple[int, ...] = ()
     buckets: int = 2048
+    chars: tuple[int, ...] = ()
 
     @property
     def width(self) -> int:
-        return self.buckets * (len(self.bytes) + len(self.words))
+        return self.buckets * (len(self.bytes) + len(self.chars) + len(self.words))
 
 
 def lowered(column) -> pa.Array:
@@ -56,14 +58,32 @@ def gram_blocks(data: np.ndarray, offsets: np.ndarray, grams: Grams) -> Iterator
         spread ^= spread >> np.uint64(29)
         bucket = (spread * np.uint64(0xBF58476D1CE4E5B9)) >> bits
         yield bucket.astype(np.int32), offsets[:-1], np.maximum(offsets[1:] - n + 1, offsets[:-1])
+    if grams.chars:
+        points, first = code_points(data, offsets)
+        yield from _joined(mixed(points), first, grams.chars, bits)
     if grams.words:
         starts, ends, first = word_spans(data, offsets)
-        words = span_hashes(data, starts, ends, FOLDED_CODES)
-        for n in grams.words:
-            joined = words.copy()
-            for step in range(1, n):
-                joined[: len(words) - step] = mixed(joined[: len(words) - step] * np.uint64(31) + words[step:])
-            yield (joined >> bits).astype(np.int32), first[:-1], np.maximum(first[1:] - n + 1, first[:-1])
+        yield from _joined(span_hashes(data, starts, ends, FOLDED_CODES), first, grams.words, bits)
+
+
+def _joined(units: np.ndarray, first: np.ndarray, orders: tuple[int, ...], bits: np.uint64) -> Iterator[tuple]:
+    """Buckets of n-grams of hashed units, whose first of each text is given."""
+    for n in orders:
+        joined = units.copy()
+        for step in range(1, n):
+            joined[: len(units) - step] = mixed(joined[: len(units) - step] * np.uint64(31) + units[step:])
+        yield (joined >> bits).astype(np.int32), first[:-1], np.maximum(first[1:] - n + 1, first[:-1])
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of each code point as one number, and the first code point of each text (one more than texts)."""
+    starts = np.flatnonzero(utf8_starts(data))
+    sizes = np.diff(np.append(starts, len(data)))
+    padded = np.append(data, np.zeros(3, np.uint8)).astype(np.uint64)
+    points = padded[starts]
+    for step in range(1, 4):
+        points |= np.where(sizes > step, padded[starts + step] << np.uint64(8 * step), np.uint64(0))
+    return points, np.searchsorted(starts, offsets)
 
 
 def shares(data: np.ndarray, offsets: np.ndarray, grams: Grams) -> np.ndarray:

@@ -30,7 +30,7 @@ WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
 
-GRAMS = Grams(bytes=(1, 2, 3), words=(1, 2), buckets=1024)
+GRAMS = Grams(bytes=(), chars=(1, 2, 3), words=(1, 2), buckets=1024)
 ROWS_PER_CLASS = 2000
 THRESHOLD = 0.5
 SEED = 1
