@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from kindstore.llm.base import large_strings, narrow
 
-# Entries a task remembers before it starts afresh: bounds memory, not results.
+# Entries, and bytes of their words and ids, that a task remembers before it starts afresh: bounds memory, not results.
 CACHE_ENTRIES = 500_000
+CACHE_BYTES = 64 << 20
 GROUP_CHARS = 1 << 20
 # Byte b is written as this code point in pieces: no white space, nothing that sentencepiece treats apart.
 FIRST_CODE = 0x100
@@ -84,6 +85,7 @@ class Encoder:
         pattern = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.cut = regex.compile(pattern).findall
         self.words: dict[str, bytes | None] = {}
+        self.held = 0
 
     def _tokens(self, tokens: list[str]) -> list[bytes]:
         """Ids of pre-tokens: a whole vocabulary entry as itself, others by merges."""
@@ -110,7 +112,8 @@ class Encoder:
         ids = self._tokens(tokens)
         starts = [place for place, token in enumerate(tokens) if token[0] == " "]
         for word, begin, end in zip(inner, starts, [*starts[1:], len(tokens)], strict=True):
-            self.words[word] = ids[begin] if end == begin + 1 else b"".join(ids[begin:end])
+            self.words[word] = found = ids[begin] if end == begin + 1 else b"".join(ids[begin:end])
+            self.held += len(word) + len(found)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text.
@@ -120,8 +123,8 @@ class Encoder:
         with its blank is encoded once. A text in which a blank touches other
         white space is cut by the pattern as a whole.
         """
-        if len(self.words) > CACHE_ENTRIES:
-            self.words = {}
+        if len(self.words) > CACHE_ENTRIES or self.held > CACHE_BYTES:
+            self.words, self.held = {}, 0
         split = [text.split(" ") for text in texts]
         self._learn(set(chain.from_iterable(islice(words, 1, None) for words in split)) - self.words.keys())
         out = []

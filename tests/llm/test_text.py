@@ -11,10 +11,11 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
-from kindstore.llm import language, toxicity
+from kindstore.llm import bpe, language, toxicity
 from kindstore.llm.base import text_chunks
 from kindstore.llm.bpe import Encoder, decode_documents, encode_documents, model_bytes, read_ranks, round_trip
 from kindstore.llm.lengths import length_histogram, quantile_lengths, suffix_sums, truncated_totals
+from kindstore.llm.linear import Grams, code_points, gram_blocks
 from kindstore.llm.quality import fit_quality, quality_rules, text_stats
 from kindstore.llm.secrets import ALLOWED, BASE, CLASSES, UNIT, digest_spans, plogp, scan_secrets
 from pyspark.sql import functions as F
@@ -83,6 +84,33 @@ def test_quality_counts_compare_bytes():
     assert got.tolist() == [_stats(t) for t in texts] and got[0][3] == 0 and got[1][3] == 1
 
 
+def test_character_grams_are_code_points():
+    """Grams of one, two and three characters, whatever their bytes; none runs over the end of a text."""
+    texts = ["añ中😀añ中", "", "中", "a😀"]
+    _, _, data, offsets = next(text_chunks(pa.array(texts, pa.large_string())))
+    points, first = code_points(data, offsets)
+    assert first.tolist() == [0, 7, 7, 8, 10] and len(set(points.tolist())) == 4
+    blocks = list(gram_blocks(data, offsets, Grams(bytes=(), chars=(1, 2, 3), buckets=1 << 20)))
+    every = "".join(texts)
+    for n, (bucket, begin, end) in zip((1, 2, 3), blocks, strict=True):
+        assert (end - begin).tolist() == [max(len(t) - n + 1, 0) for t in texts]
+        grams = {}
+        for a, b in zip(begin, end):
+            for place in range(a, b):
+                assert grams.setdefault(every[place : place + n], bucket[place]) == bucket[place]
+        assert len(set(grams.values())) == len(grams)
+
+
+def test_encoder_forgets_long_words(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2000)
+    encoder = Encoder(read_ranks(PATH), model_bytes(read_ranks(PATH)), PATTERN)
+    random.seed(8)
+    for _ in range(30):
+        text = " ".join("".join(random.choices("abcXYZ09+/", k=300)) for _ in range(5))
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == reference.encode_ordinary(text)
+        assert sum(map(len, encoder.words)) <= 4000 and encoder.held <= 8000
+
+
 def test_quality_counts():
     random.seed(1)
     texts = ["".join(random.choice(["a", "b", " ", "\n", "\t", "é", "#", "\x0b", " a b"]) for _ in range(random.randint(0, 150))) for _ in range(800)]
