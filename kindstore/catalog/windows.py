@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -252,8 +253,10 @@ def byte_tokenizer():
     """A tokenizer of the plug-in kind: the bytes of a text."""
 
     def encode(texts):
-        raw = texts.cast(pa.binary())
-        return pa.array([list(x) for x in raw.to_pylist()], pa.list_(pa.int32()))
+        _, offsets, data = texts.cast(pa.large_binary()).buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        tokens = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(tokens))
 
     return encode
 

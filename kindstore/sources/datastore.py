@@ -19,12 +19,15 @@ _FULL = T.StructType(
 RANGES = "stage int, first bigint, last bigint, n bigint, store string, batch bigint"
 
 
-def write_datastore(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_datastore(
+    df: DataFrame, path: str, mode: str = "overwrite", batches: list[tuple[str, int]] | None = None
+) -> None:
     """Persist ``store, stage, batch, entry_id, key, token``; only given partitions are replaced.
 
     Files lie in order of the entry id: a file holds one range of ids of a batch, so that a
     filter on the id skips files and row groups. The range of each batch goes into a
-    small table beside the data (``entry_ranges``), written last.
+    small table beside the data (``entry_ranges``), written last. ``batches`` names the (store,
+    batch) pairs of the rows, if they are known.
     """
     for name in ("stage", "batch"):
         if name not in df.columns:
@@ -39,8 +42,9 @@ def write_datastore(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         .partitionBy(*PARTITIONS)
         .parquet(path)
     )
-    batches = df.select("store", "batch").distinct()
-    _write_ranges(df.sparkSession, path, [(r["store"], r["batch"]) for r in batches.collect()])
+    if batches is None:
+        batches = [(r["store"], r["batch"]) for r in df.select("store", "batch").distinct().collect()]
+    _write_ranges(df.sparkSession, path, batches)
 
 
 def _write_ranges(spark: SparkSession, path: str, batches: list[tuple[str, int]]) -> None:
@@ -125,4 +129,5 @@ def append_datastore(rows: DataFrame, path: str, store: str, stage: int | str, b
             F.lit(batch).cast("bigint").alias("batch"),
         ),
         path,
+        batches=[(store, batch)],
     )
