@@ -34,7 +34,8 @@ CANDIDATES, BACK_CANDIDATES = 64, 96
 BEAM = 96
 # Nodes of a beam that are expanded in one step.
 STEP = 4
-QUERY_BLOCK = 2048
+# Queries that meet a shard at a time: as many as a shard has rows, so that moving graphs and moving queries cost about the same.
+QUERY_BLOCK = 1 << 14
 # Numbers of the largest array of a step.
 NUMBERS = 1 << 23
 
