@@ -314,7 +314,7 @@ LEFT JOIN pair_counts USING (prev, token) LEFT JOIN prev_counts USING (prev) WHE
 def window_perplexity(t):
     """Perplexity over windows by a model of Arrow batches; the context that windows repeat counts once."""
     model = BigramModel(t.documents, vocab=vocabulary(t))
-    words = windows.tokenize(t.documents, model.vocab)
+    words = model.tokenize(t.documents)
     found = windows.window_spans(words, BLOCK, STRIDE, BATCH)
     return rounded(corpus_perplexity(windows.window_losses(found, model.over_windows())))
 
@@ -322,5 +322,6 @@ def window_perplexity(t):
 @query("window_losses", f"SELECT batch_id, {r6('-sum(logp)', 'nll')}, count(*) AS n_scored FROM stream_logprobs GROUP BY batch_id")
 def window_losses(t):
     model = BigramModel(t.documents, vocab=vocabulary(t))
-    losses = windows.window_losses(sliding(t), model.over_windows())
+    words = model.tokenize(t.documents)
+    losses = windows.window_losses(windows.sliding_windows(words, BLOCK, STRIDE, BATCH), model.over_windows())
     return rounded(losses.groupBy("batch_id").agg(F.sum("nll").alias("nll"), F.sum("n_scored").alias("n_scored")))

@@ -204,8 +204,12 @@ def sample_tokens(dist: DataFrame, n: int, p: float = 0.9, seed: int = 42) -> Da
     query's draws are made once, put among the ends of the intervals in order, and each takes the last
     token that begins before it: one hash a draw, and one pass over the tokens.
     """
-    kept = log_softmax(nucleus_filter(dist, p)).withColumn("_p", F.exp("logp"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("logp"), "token")
+    whole = Window.partitionBy("query_id")
+    # The order of the nucleus serves the intervals too, so tokens are sorted once.
+    order = whole.orderBy(F.desc("logp"), "token")
+    weight = F.exp(F.col("logp") - F.max("logp").over(whole))
+    kept = nucleus_filter(dist, p).withColumn("_w", weight)
+    kept = kept.withColumn("_p", F.col("_w") / F.sum("_w").over(whole))
     placed = kept.select(
         "query_id",
         "token",

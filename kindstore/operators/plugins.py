@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kindstore.functions.scalars import words
 from kindstore.operators.skew import is_small, lookup_join
-from kindstore.operators.windows import build_vocab, tokenize, vocabulary_tokenizer
+from kindstore.operators.windows import build_vocab, tokenize, tokenize_with, vocabulary_tokenizer
 from kindstore.schemas import SCORES
 from kindstore.session import materialize
 
@@ -125,8 +125,10 @@ class BigramModel:
     def __init__(self, corpus: DataFrame, column: str = "text", vocab: DataFrame | None = None):
         self.vocab = materialize(build_vocab(corpus, column), "vocab") if vocab is None else vocab
         self.size = self.vocab.count()
+        # One broadcast of the vocabulary serves the corpus and all texts scored later.
+        self.tokenizer = vocabulary_tokenizer(self.vocab) if is_small(self.vocab.select("word", "token")) else None
         texts = corpus.select(F.monotonically_increasing_id().alias("_row"), F.col(column).alias("text"))
-        tokens = tokenize(texts, self.vocab, "_row")
+        tokens = self.tokenize(texts, "_row")
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -142,8 +144,14 @@ class BigramModel:
         counted = tokens.select("input_ids").mapInArrow(count, "pair bigint, n bigint")
         self.pairs = materialize(counted.groupBy("pair").agg(F.sum("n").alias("n")), "bigrams")
 
+    def tokenize(self, texts: DataFrame, ident: str = "doc_id") -> DataFrame:
+        """``ident, input_ids`` of texts by the model's vocabulary."""
+        if self.tokenizer is None:
+            return tokenize(texts, self.vocab, ident)
+        return tokenize_with(texts, self.tokenizer, ident)
+
     def is_small(self) -> bool:
-        return is_small(self.vocab.select("word", "token")) and self.pairs.count() <= BROADCAST_BIGRAMS
+        return self.tokenizer is not None and self.pairs.count() <= BROADCAST_BIGRAMS
 
     def scorer(self):
         """A broadcast ``BigramScorer``, for models small enough."""
@@ -163,7 +171,7 @@ def _scored_tokens(texts: DataFrame, model: BigramModel, keys: list[str]) -> Dat
     """``keys, pos, token, logp`` by joins, for models of any size; the first token of a text has no ``logp``."""
     # Texts are told apart by their keys; NULL keys too.
     ident = F.struct(*keys)
-    tokens = tokenize(texts.select(ident.alias("_key"), "text"), model.vocab, "_key")
+    tokens = model.tokenize(texts.select(ident.alias("_key"), "text"), "_key")
     placed = tokens.select("_key", "input_ids", F.posexplode("input_ids").alias("pos", "token"))
     prev = F.when(F.col("pos") > 0, F.get("input_ids", F.col("pos") - 1))
     pair = F.when((prev >= 0) & (F.col("token") >= 0), F.shiftleft(prev.cast("bigint"), _SHIFT).bitwiseOR(F.col("token").cast("bigint")))
@@ -186,7 +194,7 @@ def text_losses(texts: DataFrame, corpus: DataFrame | BigramModel, keys: list[st
         return _scored_tokens(texts, model, keys).groupBy(*keys).agg(
             (-F.sum("logp")).alias("nll"), F.count("*").alias("n"), F.count("logp").alias("n_scored")
         )
-    shared, make = model.scorer(), vocabulary_tokenizer(model.vocab)
+    shared, make = model.scorer(), model.tokenizer
     rows = texts.where(F.col("text").isNotNull()).select(*keys, "text")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
 

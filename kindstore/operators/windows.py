@@ -88,12 +88,19 @@ def vocabulary_tokenizer(vocab: DataFrame, unknown: int = -1) -> Tokenizer:
     """
     if not is_small(vocab.select("word", "token")):
         raise ValueError("the vocabulary is too large to broadcast: tokenize() joins it instead")
+    return _broadcast_tokenizer(vocab, unknown)
+
+
+def _broadcast_tokenizer(vocab: DataFrame, unknown: int) -> Tokenizer:
+    sink = pa.BufferOutputStream()
     table = vocab.select("word", "token").toArrow()
-    known = dict(zip(table.column("word").to_pylist(), table.column("token").to_pylist(), strict=True))
-    shared = vocab.sparkSession.sparkContext.broadcast(known)
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    shared = vocab.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
     def tokenizer() -> Callable[[pa.Array], pa.Array]:
-        tokens = shared.value
+        known = pa.ipc.open_stream(shared.value).read_all()
+        tokens = dict(zip(known.column("word").to_pylist(), known.column("token").to_pylist(), strict=True))
 
         def encode(texts: pa.Array) -> pa.Array:
             lists = pc.split_pattern(texts, " ")
@@ -113,7 +120,7 @@ def tokenize(texts: DataFrame, vocab: DataFrame, ident: str = "doc_id", column:
     shuffle; of a larger one, words and vocabulary are joined.
     """
     if is_small(vocab.select("word", "token")):
-        return tokenize_with(texts, vocabulary_tokenizer(vocab, unknown), ident, column)
+        return tokenize_with(texts, _broadcast_tokenizer(vocab, unknown), ident, column)
     split = texts.select(ident, words(F.col(column)).alias("_words"))
     return _to_tokens(split, vocab, [ident], unknown)
 
