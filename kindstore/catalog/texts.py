@@ -156,7 +156,7 @@ def clean_texts(t):
 @query("extract_domains", "SELECT DISTINCT CAST(substr(source, 4) AS INTEGER) % 10 || 'of10_' || lang AS domain FROM documents")
 def extract_domains(t):
     number = (F.substring("source", 4, 10).cast("int") % 10).cast("string")
-    path = F.concat(F.lit("/data/wilds_single_identity_"), number, F.lit("of10_"), F.col("lang"), F.lit("_toxic.json"))
+    path = F.concat(F.lit("/corpora/identity_"), number, F.lit("of10_"), F.col("lang"), F.lit("_toxic.json"))
     return texts.extract_domains(t("documents").select(path.alias("path")))
 
 
