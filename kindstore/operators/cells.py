@@ -125,7 +125,7 @@ def ivf_search_bounded(
         low, high = high, min(len(known), high * growth)
         if probes.isEmpty():
             continue
-        found = _by_blocks(probes, keys, k, "l2")
+        found = _by_blocks(probes, keys, k, "l2").drop("rank")
         found = found if best is None else found.unionByName(best.drop("rank"))
         best = materialize(_best(found, k, "l2"), "nearest")
         asked = plain.join(_reach(best, k, "l2"), "query_id", "left")
@@ -236,13 +236,13 @@ def code_search(
 ) -> DataFrame:
     """Approximate distances from codes of residuals, within the probed cells.
 
-    A query has a lookup table in each cell that it probes: the distances of its own
-    residual's parts to the codewords. ``coded``: ``residual_codes``; no key is read.
+    In each cell that it probes, a query's own residual is measured to the codewords
+    that stand for the keys. ``coded``: ``residual_codes``; no key is read.
     """
     probes = probe_cells(queries, centroids, nprobe) if probes is None else probes
     near = _less_centroids(probes, "embedding", centroids)
     keys = coded.select("cell", "store", "entry_id", F.col("code").alias("key"), "token")
-    return _best(_by_blocks(near, keys, k, "pq", _codebook_array(codebooks)), k, "pq")
+    return _by_blocks(near, keys, k, "pq", _codebook_array(codebooks))
 
 
 def rerank(neighbours: DataFrame, queries: DataFrame, keys: DataFrame, k: Amount) -> DataFrame:

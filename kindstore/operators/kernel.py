@@ -7,8 +7,10 @@ import pyarrow as pa
 
 # Numbers of the pairs recomputed at a time (they should stay in the cache), and the sides of a block of scores.
 PAIR_NUMBERS = 1 << 18
-KEY_CHUNK = 1 << 14
+KEY_CHUNK = 1 << 11
 QUERY_CHUNK = 256
+# Squared lengths that single precision holds with room.
+SINGLE = 1e30
 
 
 def matrix(column) -> np.ndarray:
@@ -29,7 +31,7 @@ def code_matrix(column) -> np.ndarray:
     return matrix(column).astype(np.int64)
 
 
-def _exact(queries, keys, qi, ki, metric):
+def exact_distances(queries, keys, qi, ki, metric):
     """Distances of pairs, computed one by one: equal keys get equal distances."""
     out = np.empty(len(qi))
     step = max(1, PAIR_NUMBERS // max(1, queries.shape[1]))
@@ -44,34 +46,29 @@ def _exact(queries, keys, qi, ki, metric):
     return out if metric == "l2" else -out
 
 
-def _rough(queries, keys, metric):
-    """All scores of a chunk by matrix product, and a bound of their error."""
-    scores = queries @ keys.T
-    q2, k2 = (np.einsum("ij,ij->i", x, x) for x in (queries, keys))
-    slack = 1e-9 * (1.0 + q2.max(initial=0.0) + k2.max(initial=0.0))
-    if metric == "dot":
-        return np.negative(scores, out=scores), slack
-    scores *= -2.0
-    scores += q2[:, None]
-    scores += k2[None, :]
-    return scores, slack
+def first_of_each(owner: np.ndarray, dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``k`` nearest rows of each owner, ties by smaller id, and their owners, rising."""
+    order = np.lexsort((ids, dist, owner))
+    owner = owner[order]
+    heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
+    sizes = np.diff(np.r_[heads, len(owner)])
+    keep = np.arange(len(owner)) - np.repeat(heads, sizes) < k
+    return order[keep], owner[keep]
 
 
-def _lookup(tables, codes):
-    """Quantised scores: per subspace, the table entry of each key's code."""
-    total = np.zeros((tables.shape[0], len(codes)))
-    for s in range(codes.shape[1]):
-        total += tables[:, s, :][:, codes[:, s]]
-    return total
+def decoded(codes: np.ndarray, codebooks: np.ndarray) -> np.ndarray:
+    """The vectors that codes stand for: the codeword of each part, one after another."""
+    return codebooks[np.arange(len(codebooks)), codes].reshape(len(codes), -1)
 
 
 class TopK:
     """Running k best keys of every query of a block, ties by smaller id.
 
-    Scores of a block of queries and keys come from a matrix product. The k-th
-    smallest score so far limits which pairs can still be among the k best, and
-    only those that are left after all keys of a call are computed again exactly,
-    so equal keys have equal distances wherever they sit. ``limit`` may give, for
+    Scores of a block of queries and keys come from one matrix product, in which a
+    further column holds the squared length of the key, in single precision unless that leaves too many
+    pairs open. Only pairs within the k-th
+    distance so far are picked; they are computed again exactly, so equal keys have
+    equal distances wherever they sit. ``limit`` may give, for
     each query, a distance beyond which nothing is wanted.
     """
 
@@ -83,47 +80,65 @@ class TopK:
 
     def add(self, keys: np.ndarray, ids: np.ndarray, tokens: np.ndarray) -> None:
         if len(keys):
+            lengths = np.einsum("ij,ij->i", keys, keys)
+            wide = np.column_stack([keys, lengths]) if self.metric == "l2" else keys
+            # Squares beyond that do not fit single precision.
+            short = wide.astype(np.float32) if lengths.max() < SINGLE else None
             for place in range(len(self._found)):
-                self._add(place, keys, ids, tokens)
+                self._add(place, keys, wide, short, lengths.max(), ids, tokens)
 
-    def _add(self, place, keys, ids, tokens):
+    def _add(self, place, keys, wide, short, longest, ids, tokens):
         start = place * QUERY_CHUNK
         queries = self.queries[start : start + QUERY_CHUNK]
+        lengths = np.einsum("ij,ij->i", queries, queries)
+        tall, less = -queries, 0.0
+        if self.metric == "l2":
+            tall, less = np.column_stack([-2.0 * queries, np.ones(len(queries))]), lengths
+        # Both sides of the product and how far its results may be off.
+        size = lengths.max() + 2 * longest
+        exact = (tall, wide, 1e-9 * (1.0 + size))
+        rough = exact
+        if short is not None and lengths.max() < SINGLE:
+            rough = (tall.astype(np.float32), short, (queries.shape[1] + 8) * 1.2e-7 * size + 1e-30)
+        reach = self.limit[start : start + QUERY_CHUNK] - less
+        candidates, held, step = [], 0, max(KEY_CHUNK, 16 * self.k)
+        for s in range(0, len(keys), step):
+            for left, right, slack in (rough, exact):
+                scores = left @ right[s : s + step].T
+                hits = scores <= (reach + slack).astype(scores.dtype)[:, None]
+                many = np.count_nonzero(hits) > 2 * self.k * len(queries)
+                if many and scores.shape[1] > self.k:
+                    near = np.partition(scores, self.k - 1, axis=1)[:, self.k - 1]
+                    reach = np.minimum(reach, near + slack)
+                    hits = scores <= (reach + slack).astype(scores.dtype)[:, None]
+                    many = np.count_nonzero(hits) > 2 * self.k * len(queries)
+                if not many:
+                    break
+            row, column = np.divmod(np.flatnonzero(hits), scores.shape[1])
+            candidates.append((row, column + s, scores[row, column] - slack))
+            held += len(row)
+            if held > 4 * self.k * len(queries):
+                self._settle(place, queries, keys, candidates, reach, ids, tokens)
+                reach = np.minimum(reach, self.limit[start : start + QUERY_CHUNK] - less)
+                candidates, held = [], 0
+        if held:
+            self._settle(place, queries, keys, candidates, reach, ids, tokens)
+
+    def _settle(self, place, queries, keys, candidates, reach, ids, tokens):
+        """Exact distances of picked pairs, merged with what was found before."""
+        start = place * QUERY_CHUNK
         limit = self.limit[start : start + QUERY_CHUNK]
-        # The k smallest scores of this call, in no order.
-        least, reach, candidates = np.empty((len(queries), 0)), limit, []
-        for s in range(0, len(keys), KEY_CHUNK):
-            part = keys[s : s + KEY_CHUNK]
-            if self.metric == "pq":
-                rough, slack = _lookup(queries, part), 0.0
-            else:
-                rough, slack = _rough(queries, part, self.metric)
-            if least.shape[1] + rough.shape[1] > self.k and self.k < len(keys):
-                both = np.concatenate([least, rough], axis=1) if least.shape[1] else rough.copy()
-                both.partition(self.k - 1, axis=1)
-                least = both[:, : self.k].copy()
-                reach = np.minimum(reach, least[:, -1] + slack)
-            elif self.k < len(keys):
-                least = np.concatenate([least, rough], axis=1)
-            qi, ki = np.nonzero(rough <= (reach + slack)[:, None])
-            candidates.append((qi, ki + s, rough[qi, ki] - slack))
         qi, ki, rough = (np.concatenate(x) for x in zip(*candidates, strict=True))
         still = rough <= reach[qi]
-        qi, ki, rough = qi[still], ki[still], rough[still]
-        if not len(qi):
-            return
-        dist = rough if self.metric == "pq" else _exact(queries, keys, qi, ki, self.metric)
+        qi, ki = qi[still], ki[still]
+        dist = exact_distances(queries, keys, qi, ki, self.metric)
         wanted = dist <= limit[qi]
         qi, ki, dist = qi[wanted], ki[wanted], dist[wanted]
         old = self._found[place]
         qi, new_ids, dist, new_tokens = (
             np.concatenate(x) for x in zip(old, (qi, ids[ki], dist, tokens[ki]), strict=True)
         )
-        order = np.lexsort((new_ids, dist, qi))
-        qi = qi[order]
-        first = np.searchsorted(qi, np.arange(len(queries)))
-        keep = np.arange(len(qi)) - first[qi] < self.k
-        chosen, qi = order[keep], qi[keep]
+        chosen, qi = first_of_each(qi, dist, new_ids, self.k)
         self._found[place] = (qi, new_ids[chosen], dist[chosen], new_tokens[chosen])
         full = np.bincount(qi, minlength=len(queries)) >= self.k
         last = limit.copy()
@@ -151,9 +166,3 @@ class TopK:
     @property
     def token(self) -> np.ndarray:
         return self._column(3)
-
-
-def lookup_tables(queries: np.ndarray, codebooks: np.ndarray) -> np.ndarray:
-    """Squared distances of every query part to every codeword: (q, subspace, code)."""
-    parts = queries.reshape(len(queries), codebooks.shape[0], -1)
-    return ((parts[:, :, None, :] - codebooks[None]) ** 2).sum(-1)

@@ -10,15 +10,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindstore.functions.scalars import seed_order, whole_div
-from kindstore.operators.kernel import TopK, code_matrix, lookup_tables, matrix
+from kindstore.operators.kernel import TopK, code_matrix, decoded, exact_distances, first_of_each, matrix
 from kindstore.session import materialize, work_folder
 
 QUERY_BLOCK = 4096
-KEY_BLOCK = 65536
+# Keys that a task holds at a time.
+KEY_BLOCK = 1 << 14
+# Blocks of queries that are sent to the keys one after another; more queries are dealt over tasks and keys stream past them.
+ROUNDS = 4
+# Queries of one task, and the neighbours that it holds.
+TASK_QUERIES = 1 << 14
+TASK_ROWS = 1 << 22
 # Keys of the first pass of an exact search, and how many times more the passes have seen after each further one.
 FIRST_KEYS = 1 << 20
 GROWTH = 16
@@ -26,6 +33,7 @@ GROWTH = 16
 STREAM_ROWS = 1 << 15
 MAX_CENTROIDS = 65536
 _FOUND = "query_id bigint, store string, entry_id bigint, dist double, token int"
+_RANKED = "query_id bigint, store string, rank int, entry_id bigint, dist double, token int"
 
 Amount = int | dict[str, int]
 
@@ -59,7 +67,7 @@ def _search(tops: dict, query_rows: np.ndarray, limits, k: Amount, metric: str,
     column = batch.column("store")
     column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).dictionary_encode()
     names, places = column.dictionary.to_pylist(), np.asarray(column.indices)
-    keys = code_matrix(batch.column("key")) if metric == "pq" else matrix(batch.column("key"))
+    keys = matrix(batch.column("key"))
     ids, tokens = np.asarray(batch.column("entry_id")), np.asarray(batch.column("token"))
     for number, store in enumerate(names):
         wanted = _per_store(k, store)
@@ -112,46 +120,176 @@ def _by_broadcast(queries: pa.Table, keys: DataFrame, k: Amount, metric: str) ->
     return keys.select("store", "entry_id", "key", "token").mapInArrow(run, _FOUND)
 
 
+class _Block:
+    """The k best of a block of queries, from rows in order of cell: first a cell's queries, then its keys by store."""
+
+    def __init__(self, k: Amount, metric: str, codebooks: np.ndarray | None):
+        self.k, self.metric, self.codebooks = k, metric, codebooks
+        self.places: dict[int, int] = {}
+        self.best: dict[str, tuple] = {}
+        self.fresh: dict[str, list[tuple]] = {}
+        self.reach: dict[str, np.ndarray] = {}
+        self.cell, self.store = None, None
+        self.queries: list[pa.RecordBatch] = []
+        self.keys: list[pa.RecordBatch] = []
+        self.held, self.owner, self.top = 0, None, None
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        """Rows of one cell and store, or queries of one cell."""
+        cell, kind, store = rows.column("cell")[0].as_py(), rows.column("_kind")[0].as_py(), rows.column("store")[0].as_py()
+        if cell != self.cell:
+            self.close()
+            self.queries, self.owner, self.cell = [], None, cell
+        if kind == 0:
+            self.queries.append(rows)
+            return
+        if store != self.store:
+            self.close()
+            self.store = store
+        if store is not None and self.queries and _per_store(self.k, store) > 0:
+            self.keys.append(rows)
+            self.held += rows.num_rows
+            # A longer list is merged less often.
+            if self.held >= min(1 << 16, max(KEY_BLOCK, 64 * _per_store(self.k, store))):
+                self._search()
+
+    def _open(self) -> None:
+        if self.owner is None:
+            asked = pa.Table.from_batches(self.queries).combine_chunks()
+            ids = np.asarray(asked.column("query_id").combine_chunks()).tolist()
+            self.owner = np.array([self.places.setdefault(q, len(self.places)) for q in ids])
+            self.vectors = matrix(asked.column("embedding"))
+            self.limits = asked.column("limits").combine_chunks() if "limits" in asked.column_names else None
+        reach = self._reached()[self.owner]
+        if self.limits is not None:
+            reach = np.minimum(reach, _limits(self.limits, self.store))
+        self.top = TopK(self.vectors, _per_store(self.k, self.store), "l2" if self.metric == "pq" else self.metric, reach)
+
+    def _search(self) -> None:
+        if not self.keys:
+            return
+        if self.top is None:
+            self._open()
+        table = pa.Table.from_batches(self.keys).combine_chunks()
+        # The distance to a code's vector is the sum of the distances to its codewords.
+        found = decoded(code_matrix(table.column("key")), self.codebooks) if self.metric == "pq" else matrix(table.column("key"))
+        ids, tokens = (np.asarray(table.column(c).combine_chunks()) for c in ("entry_id", "token"))
+        self.top.add(found, ids, tokens)
+        self.keys, self.held = [], 0
+
+    def close(self) -> None:
+        """Keep what a cell's keys of one store gave."""
+        self._search()
+        if self.top is not None:
+            top, reach = self.top, self._reached()
+            self.fresh.setdefault(self.store, []).append((self.owner[top.qi], top.ids, top.dist, top.token))
+            np.minimum.at(reach, self.owner, top.limit)
+            self.reach[self.store] = reach
+            # Lists are merged when they have doubled.
+            if sum(len(x[0]) for x in self.fresh[self.store]) > len(self.best.get(self.store, ((),))[0]):
+                self._merge(self.store)
+        self.top, self.store = None, None
+
+    def _reached(self) -> np.ndarray:
+        """For each query a distance within which its k best of the store lie."""
+        reach = np.full(len(self.places), np.inf)
+        known = self.reach.get(self.store, reach[:0])
+        reach[: len(known)] = known
+        return reach
+
+    def _merge(self, store: str) -> None:
+        parts = [self.best[store]] if store in self.best else []
+        owner, ids, dist, token = (np.concatenate(x) for x in zip(*parts, *self.fresh.pop(store), strict=True))
+        k = _per_store(self.k, store)
+        near = dist <= self.reach[store][owner]
+        owner, ids, dist, token = owner[near], ids[near], dist[near], token[near]
+        chosen, owner = first_of_each(owner, dist, ids, k)
+        self.best[store] = (owner, ids[chosen], dist[chosen], token[chosen])
+        last = np.full(len(self.reach[store]), np.inf)
+        last[owner] = dist[chosen]  # the last write is the worst kept
+        full = np.bincount(owner, minlength=len(last)) >= k
+        self.reach[store][full] = np.minimum(self.reach[store], last)[full]
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        self.close()
+        for store in list(self.fresh):
+            self._merge(store)
+        queries = np.fromiter(self.places, np.int64, len(self.places))
+        sign = -1.0 if self.metric == "dot" else 1.0
+        for store, (owner, ids, dist, token) in self.best.items():
+            rank = np.arange(len(owner)) - np.searchsorted(owner, owner) + 1
+            for s in range(0, len(owner), KEY_BLOCK):
+                part = slice(s, s + KEY_BLOCK)
+                n = len(owner[part])
+                columns = [
+                    pa.array(queries[owner[part]], pa.int64()), pa.array([store] * n, pa.string()), pa.array(rank[part], pa.int32()),
+                    pa.array(ids[part], pa.int64()), pa.array(sign * dist[part], pa.float64()), pa.array(token[part], pa.int32()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "store", "rank", "entry_id", "dist", "token"])
+
+
+def _alike(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of neighbouring rows that agree in cell, kind and store."""
+    stores = batch.column("store").dictionary_encode().indices.fill_null(-1)
+    marks = np.stack([np.asarray(x).astype(np.int64) for x in (batch.column("cell"), batch.column("_kind"), stores)])
+    cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(low, high - low)
+
+
 def _by_blocks(queries: DataFrame, keys: DataFrame, k: Amount, metric: str, codebooks=None) -> DataFrame:
-    """Grid of bounded blocks, for any number of queries and keys per ``cell``.
+    """Neighbours with their ranks, for any number of queries and of keys per ``cell``.
 
-    Each cell is cut into key blocks and query blocks by hash, as many as its
-    row counts ask for, so a cell with a third of all keys becomes many groups
-    of ordinary size. A group returns its k best per query only.
+    Queries are dealt over blocks by hash, as many as the neighbours of a block fit a task. A task has one block, and
+    the keys of each cell that its queries probe stream past it in order of cell and store. It holds the k best of its queries
+    over all cells, the vectors of one cell's queries and a few thousand keys, so a query returns its k best only,
+    however many cells or keys there are, and nothing is left to merge. Runs a job that counts the queries.
     """
-    key_counts = keys.groupBy("cell").agg(F.ceil(F.count("*") / KEY_BLOCK).cast("int").alias("_kb"))
-    query_counts = queries.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("_qb"))
-    # One row per cell, and cells are numbered by a centroid table of at most MAX_CENTROIDS rows.
-    grid = F.broadcast(key_counts.join(query_counts, "cell"))
-
-    def spread(df: DataFrame, ident: str, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64(ident), F.col(own)).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        joined = df.join(grid, "cell")
-        return joined.withColumn(f"{own}_no", mine).withColumn(f"{other}_no", copies).drop(own, other)
-
-    left = spread(keys.select("cell", "store", "entry_id", "key", "token"), "entry_id", "_kb", "_qb")
+    spark = keys.sparkSession
+    if not isinstance(k, int):
+        keys = keys.where(F.col("store").isin([store for store, n in k.items() if n > 0]))
+    size = queries.agg(F.approx_count_distinct("query_id").alias("queries"), F.approx_count_distinct("cell").alias("cells")).first()
+    most = max(1, 2 * k if isinstance(k, int) else sum(k.values()))
+    blocks = -(-max(1, size["queries"]) // max(1, min(TASK_QUERIES, TASK_ROWS // most)))
+    # Whole waves of tasks.
+    cores = spark.sparkContext.defaultParallelism
+    blocks = -(-blocks // cores) * cores
+    queries = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    # A row a cell, with the blocks that probe it.
+    wanted = queries.groupBy("cell").agg(F.collect_set("_block").alias("_blocks"))
+    wanted = F.broadcast(wanted) if size["cells"] * blocks <= BROADCAST_IDS else wanted
     known = ["limits"] if "limits" in queries.columns else []
-    right = spread(queries.select("cell", "query_id", "embedding", *known), "query_id", "_qb", "_kb")
-
-    def run(key_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
-        found = []
-        if key_rows.num_rows and query_rows.num_rows:
-            query_ids = np.asarray(query_rows.column("query_id").combine_chunks())
-            rows = matrix(query_rows.column("embedding"))
-            if metric == "pq":
-                rows = lookup_tables(rows, codebooks.value)
-            limits = query_rows.column("limits").combine_chunks() if known else None
-            tops: dict = {}
-            _search(tops, rows, limits, k, metric, key_rows.combine_chunks())
-            found = [_emit(query_ids, store, top) for store, top in tops.items()]
-        names = pa.schema(
-            [("query_id", pa.int64()), ("store", pa.string()), ("entry_id", pa.int64()), ("dist", pa.float64()), ("token", pa.int32())]
-        )
-        return pa.Table.from_batches(found, schema=names)
-
-    by = ["cell", "_kb_no", "_qb_no"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, _FOUND)
+    own = ["query_id", "embedding", *known]
+    left = keys.join(wanted, "cell").select(
+        F.explode("_blocks").alias("_block"), "cell", F.lit(1).alias("_kind"), "store", "entry_id", "key", "token",
+        *[F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in own],
+    )
+    right = queries.select(
+        "_block", "cell", F.lit(0).alias("_kind"),
+        *[F.lit(None).cast(keys.schema[c].dataType).alias(c) for c in ("store", "entry_id", "key", "token")],
+        *own,
+    )
+    rows = left.unionByName(right).repartitionById(blocks, "_block").drop("_block").sortWithinPartitions("cell", "_kind", "store")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _Block(k, metric, None if codebooks is None else codebooks.value)
+        for batch in batches:
+            if batch.num_rows:
+                for part in _alike(batch):
+                    block.add(part)
+        yield from block.found()
+
+    return rows.mapInArrow(run, _RANKED)
+
+
+def _many(queries: DataFrame, block: int) -> bool:
+    return queries.count() > ROUNDS * block
+
+
+def _whole(queries: DataFrame, keys: DataFrame, k: Amount, metric: str) -> DataFrame:
+    """Many queries against all keys."""
+    keys = keys.select("store", "entry_id", "key", "token", F.lit(0).alias("cell"))
+    return _by_blocks(queries.withColumn("cell", F.lit(0)), keys, k, metric)
 
 
 def _pass(queries: DataFrame, keys: DataFrame, k: Amount, block: int, metric: str) -> DataFrame:
@@ -161,6 +299,8 @@ def _pass(queries: DataFrame, keys: DataFrame, k: Amount, block: int, metric: st
         return keys.sparkSession.createDataFrame([], _FOUND)
     if probe.num_rows <= block:
         return _by_broadcast(probe, keys, k, metric)
+    if _many(queries, block):
+        return _whole(queries, keys, k, metric).drop("rank")
     return _by_rounds(queries, keys, k, block, metric)
 
 
@@ -190,11 +330,14 @@ def _exact(queries: DataFrame, keys: DataFrame, k: Amount, block: int, metric: s
     that the k-th neighbour has so far, which keeps all of the true k best. So a
     query returns about GROWTH * k rows a pass instead of k for each block of keys,
     and the passes grow with the logarithm of the keys. Up to FIRST_KEYS keys there
-    is one pass and nothing is written.
+    is one pass and nothing is written. More than ROUNDS blocks of queries are dealt over
+    the tasks instead, and all keys stream past each task once (``_by_blocks``).
     """
     if "store" not in keys.columns:
         keys = keys.withColumn("store", F.lit("all"))
     queries = queries.select("query_id", "embedding")
+    if _many(queries, block):
+        return _whole(queries, keys, k, metric)
     total, seen = keys.count(), FIRST_KEYS
     if total <= seen:
         return _best(_pass(queries, keys, k, block, metric), k, metric)
@@ -226,8 +369,9 @@ def knn_exact(queries: DataFrame, keys: DataFrame, k: Amount = 1024, block: int
     """The k nearest keys per query and store by squared L2; ties by entry id.
 
     The query side is counted (up to ``block``). A small one is sent to the key
-    partitions, a larger one in blocks, one after another, each a job; the keys are
-    not shuffled. Beyond a million keys the search goes in passes (``_exact``), each a job.
+    partitions, a larger one in up to ``ROUNDS`` blocks, one after another, each a job; the keys are
+    not shuffled. Beyond a million keys the search goes in passes (``_exact``), each a job. Of still more
+    queries each task takes a block, past which the keys stream.
     """
     return _exact(queries, keys, k, block, "l2")
 
@@ -263,43 +407,88 @@ def two_store_retrieve(
     return knn_exact(queries, keys, {stores[0]: k, stores[1]: k if other_k is None else other_k})
 
 
-# Wanted ids that are broadcast to the keys, and neighbours measured together.
+# Wanted ids that are broadcast to the keys, and neighbours measured by one task: so many keep all tasks busy, and so many fit.
 BROADCAST_IDS = 1_000_000
-PAIRS = 1 << 15
+FEW_PAIRS = 1 << 15
+PAIRS = 1 << 21
+
+
+class _Pairs:
+    """Neighbours of a block of queries in order of store and entry, to be met by their keys."""
+
+    def __init__(self, queries: pa.Table, pairs: pa.Table, by_store: bool):
+        ids = np.asarray(queries.column("query_id").combine_chunks())
+        order = np.argsort(ids, kind="stable")
+        self.vectors = matrix(queries.column("embedding"))[order]
+        pairs = pairs.filter(pc.is_in(pairs.column("query_id"), pa.array(ids[order]))).combine_chunks()
+        entry = np.asarray(pairs.column("entry_id").combine_chunks())
+        store = pairs.column("store").combine_chunks().dictionary_encode() if by_store else None
+        code = np.zeros(len(entry), np.int64) if store is None else np.asarray(store.indices.fill_null(-1))
+        self.stores = None if store is None else store.dictionary.to_pylist()
+        place = np.lexsort((entry, code))
+        self.pairs, self.entry, self.code = pairs.take(pa.array(place)), entry[place], code[place]
+        self.owner = np.searchsorted(ids[order], np.asarray(pairs.column("query_id").combine_chunks()))[place]
+
+    def meet(self, keys: pa.Table, names: list[str]) -> Iterator[pa.Table]:
+        vectors, ids = matrix(keys.column("key")), np.asarray(keys.column("entry_id").combine_chunks())
+        named = None if self.stores is None else np.array(keys.column("store").to_pylist(), dtype=object)
+        for number, store in enumerate([None] if self.stores is None else self.stores):
+            own = np.arange(len(ids)) if self.stores is None else np.flatnonzero(named == store)
+            start, stop = np.searchsorted(self.code, [number, number + 1])
+            low, high = (np.searchsorted(self.entry[start:stop], ids[own], side=side) + start for side in ("left", "right"))
+            n = high - low
+            pair = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+            if len(pair):
+                dist = exact_distances(self.vectors, vectors, self.owner[pair], np.repeat(own, n), "l2")
+                yield self.pairs.take(pa.array(pair)).append_column("dist", pa.array(dist)).select(names)
 
 
 def recompute_dists(neighbours: DataFrame, queries: DataFrame, keys: DataFrame) -> DataFrame:
     """Exact distances for retrieved ids; their order stays as it was.
 
-    Only keys that are someone's neighbour move (up to ``BROADCAST_IDS`` of them are
-    picked where they lie), and a query's vector goes once to the block of queries that it
-    is measured in, not once a neighbour. ``neighbours`` is read twice. Runs a job.
+    Only keys that are someone's neighbour move: a key goes once to each block of queries that has it among
+    its neighbours, not once a neighbour, and a query's vector to its own block. A task holds the neighbours of
+    its block and the keys stream past. ``neighbours`` is read three times. Runs a job.
     """
-    by = ["store", "entry_id"] if "store" in keys.columns else ["entry_id"]
-    wanted = neighbours.select(*by).distinct()
-    counts = neighbours.agg(F.count("*").alias("pairs"), F.count_distinct(*by).alias("ids")).first()
-    wanted = F.broadcast(wanted) if counts["ids"] <= BROADCAST_IDS else wanted
-    blocks = max(1, -(-counts["pairs"] // PAIRS))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_block")
-    own = keys.select(*by, "key").join(wanted, by, "left_semi")
-    left = neighbours.select("query_id", "store", "rank", "entry_id", "token").join(own, by)
-    right = queries.select("query_id", "embedding").join(neighbours.select("query_id").distinct(), "query_id", "left_semi")
+    spark = neighbours.sparkSession
+    by_store = "store" in keys.columns
+    by = ["store", "entry_id"] if by_store else ["entry_id"]
     names = ["query_id", "store", "rank", "entry_id", "dist", "token"]
+    neighbours = neighbours.select("query_id", "store", "rank", "entry_id", "token").where("query_id IS NOT NULL AND entry_id IS NOT NULL")
+    pairs, cores = neighbours.count(), spark.sparkContext.defaultParallelism
+    blocks = -(-pairs // PAIRS) if pairs > PAIRS * cores else max(1, min(cores, -(-pairs // min(FEW_PAIRS, PAIRS))))
+    blocks = -(-blocks // cores) * cores if blocks > cores else blocks
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    # At most a number a block in each row.
+    wanted = neighbours.groupBy(*by).agg(F.collect_set(block).alias("_blocks"))
+    wanted = F.broadcast(wanted) if pairs <= BROADCAST_IDS else wanted
+    asked = queries.select("query_id", "embedding").join(neighbours.select("query_id").distinct(), "query_id", "left_semi")
+    own = keys.select(*by, "key").join(wanted, by).select(F.explode("_blocks").alias("_block"), F.lit(2).alias("_kind"), *by, "key")
+    rows = (
+        asked.select(block.alias("_block"), F.lit(0).alias("_kind"), "*")
+        .unionByName(neighbours.select(block.alias("_block"), F.lit(1).alias("_kind"), "*"), allowMissingColumns=True)
+        .unionByName(own, allowMissingColumns=True)
+        .repartitionById(blocks, "_block")
+        .drop("_block")
+        .sortWithinPartitions("_kind")
+    )
 
-    def run(pairs: pa.Table, rows: pa.Table) -> pa.Table:
-        pairs, rows = pairs.combine_chunks(), rows.combine_chunks()
-        dist = np.empty(0)
-        ids = np.asarray(rows.column("query_id")) if rows.num_rows else np.empty(0, np.int64)
-        pairs = pairs.filter(pa.array(np.isin(np.asarray(pairs.column("query_id")), ids)))
-        if pairs.num_rows:
-            order = np.argsort(ids)
-            place = order[np.searchsorted(ids[order], np.asarray(pairs.column("query_id")))]
-            gaps = matrix(pairs.column("key")) - matrix(rows.column("embedding"))[place]
-            dist = (gaps * gaps).sum(1)
-        return pairs.append_column("dist", pa.array(dist)).select(names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[pa.RecordBatch]] = [[], []]
+        met = None
+        for batch in batches:
+            cuts = np.searchsorted(np.asarray(batch.column("_kind")), [0, 1, 2, 3])
+            for kind in (0, 1):
+                if cuts[kind + 1] > cuts[kind]:
+                    held[kind].append(batch.slice(cuts[kind], cuts[kind + 1] - cuts[kind]))
+            if cuts[3] > cuts[2] and all(held):
+                if met is None:
+                    met = _Pairs(*(pa.Table.from_batches(x) for x in held), by_store)
+                part = pa.Table.from_batches([batch.slice(cuts[2], cuts[3] - cuts[2])])
+                for found in met.meet(part, names):
+                    yield from found.to_batches()
 
-    kinds = "query_id bigint, store string, rank int, entry_id bigint, dist double, token int"
-    return left.select("*", block).groupBy("_block").cogroup(right.select("*", block).groupBy("_block")).applyInArrow(run, kinds)
+    return rows.mapInArrow(run, _RANKED)
 
 
 # Entries of one row of a packed token stream.
@@ -451,7 +640,7 @@ def ivf_search(
     if "store" not in keys.columns:
         keys = keys.withColumn("store", F.lit("all"))
     probes = probe_cells(queries, centroids, nprobe) if probes is None else probes
-    return _best(_by_blocks(probes, keys, k, "l2"), k, "l2")
+    return _by_blocks(probes, keys, k, "l2")
 
 
 # --- product quantisation ----------------------------------------------------
@@ -584,15 +773,15 @@ def pq_search(
 ) -> DataFrame:
     """Approximate distances from the codes, within the probed cells.
 
-    ``codes`` has ``cell, store, entry_id, codes, token``. Each block looks up
-    its queries' distances to the codewords; keys are not read.
+    ``codes`` has ``cell, store, entry_id, codes, token``. Distances are taken to the
+    codewords that the codes stand for; keys are not read.
     """
     if "store" not in codes.columns:
         codes = codes.withColumn("store", F.lit("all"))
     shared = _codebook_array(codebooks)
     probes = probe_cells(queries, centroids, nprobe)
     coded = codes.select("cell", "store", "entry_id", F.col("codes").alias("key"), "token")
-    return _best(_by_blocks(probes, coded, k, "pq", shared), k, "pq")
+    return _by_blocks(probes, coded, k, "pq", shared)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:

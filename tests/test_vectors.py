@@ -306,3 +306,14 @@ def test_contexts_are_slices_of_blocks(spark, pack):
     for given in (store, materialize(vectors.pack_tokens(store, pack), "packed")):
         got = {r["entry_id"]: r["context"] for r in vectors.neighbour_context(df, given, pack=pack).collect()}
         assert got == {i: [tokens[j] for j in range(i - 30, i) if j in tokens] or None if i >= 30 else None for i in tokens}
+
+
+@pytest.mark.parametrize("search", [vectors.knn_exact, vectors.knn_dot])
+def test_many_queries_are_dealt_over_tasks(tables, monkeypatch, search):
+    _, _, q, k = tables
+    amount = {"hot": 9, "cold": 4}
+    direct = sorted(search(q, k, amount).collect())
+    monkeypatch.setattr(vectors, "KEY_BLOCK", 17)
+    monkeypatch.setattr(vectors, "TASK_QUERIES", 3)
+    monkeypatch.setattr(vectors, "_by_rounds", lambda *_: pytest.fail("a job for each block of queries"))
+    assert sorted(search(q, k, amount, block=5).collect()) == direct
