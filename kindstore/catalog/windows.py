@@ -316,12 +316,12 @@ def window_perplexity(t):
     model = BigramModel(t.documents, vocab=vocabulary(t))
     words = model.tokenize(t.documents)
     found = windows.window_spans(words, BLOCK, STRIDE, BATCH)
-    return rounded(corpus_perplexity(windows.window_losses(found, model.over_windows())))
+    return rounded(corpus_perplexity(model.window_losses(found)))
 
 
 @query("window_losses", f"SELECT batch_id, {r6('-sum(logp)', 'nll')}, count(*) AS n_scored FROM stream_logprobs GROUP BY batch_id")
 def window_losses(t):
     model = BigramModel(t.documents, vocab=vocabulary(t))
     words = model.tokenize(t.documents)
-    losses = windows.window_losses(windows.sliding_windows(words, BLOCK, STRIDE, BATCH), model.over_windows())
+    losses = model.window_losses(windows.sliding_windows(words, BLOCK, STRIDE, BATCH))
     return rounded(losses.groupBy("batch_id").agg(F.sum("nll").alias("nll"), F.sum("n_scored").alias("n_scored")))

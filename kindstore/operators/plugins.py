@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kindstore.functions.scalars import words
 from kindstore.operators.skew import is_small, lookup_join
-from kindstore.operators.windows import build_vocab, tokenize, tokenize_with, vocabulary_tokenizer
+from kindstore.operators.windows import build_vocab, predicted_places, tokenize, tokenize_with, vocabulary_tokenizer, window_losses
 from kindstore.schemas import SCORES
 from kindstore.session import materialize
 
@@ -166,6 +166,28 @@ class BigramModel:
         shared = self.scorer()
         return lambda: shared.value.of_lists
 
+    def window_losses(self, spans: DataFrame) -> DataFrame:
+        """``windows.window_losses`` by this model: broadcast if it is small enough, else joined token by token."""
+        if self.is_small():
+            return window_losses(spans, self.over_windows())
+        begin, n = predicted_places(spans)
+        # A window without a predicted token has a row too.
+        places = F.when(n > 0, F.sequence(begin, begin + n - 1))
+        rows = spans.select("batch_id", "window_idx", "input_ids", F.explode_outer(places).alias("_at"))
+        placed = rows.select("batch_id", "window_idx", F.get("input_ids", F.col("_at") - 1).alias("prev"), F.get("input_ids", "_at").alias("token"))
+        logp = self.joined_logprobs(placed).groupBy("batch_id", "window_idx")
+        return logp.agg((-F.coalesce(F.sum("logp"), F.lit(0.0))).alias("nll"), F.count("logp").alias("n_scored"))
+
+    def joined_logprobs(self, placed: DataFrame) -> DataFrame:
+        """``placed`` (``prev``, ``token`` and other columns) with the ``logp`` of each token, by joins; NULL without ``prev``."""
+        prev, token = F.col("prev"), F.col("token")
+        pair = F.when((prev >= 0) & (token >= 0), F.shiftleft(prev.cast("bigint"), _SHIFT).bitwiseOR(token.cast("bigint")))
+        before = self.pairs.groupBy(F.shiftright("pair", _SHIFT).cast("int").alias("prev")).agg(F.sum("n").alias("n_prev"))
+        known = lookup_join(placed.withColumn("pair", pair), self.pairs, ["pair"], how="left")
+        known = lookup_join(known, materialize(before, "unigrams"), ["prev"], how="left")
+        logp = F.when(prev.isNotNull(), F.ln((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("n_prev", F.lit(0)) + self.size)))
+        return known.select(*placed.columns, logp.alias("logp"))
+
 
 def _scored_tokens(texts: DataFrame, model: BigramModel, keys: list[str]) -> DataFrame:
     """``keys, pos, token, logp`` by joins, for models of any size; the first token of a text has no ``logp``."""
@@ -174,13 +196,8 @@ def _scored_tokens(texts: DataFrame, model: BigramModel, keys: list[str]) -> Dat
     tokens = model.tokenize(texts.select(ident.alias("_key"), "text"), "_key")
     placed = tokens.select("_key", "input_ids", F.posexplode("input_ids").alias("pos", "token"))
     prev = F.when(F.col("pos") > 0, F.get("input_ids", F.col("pos") - 1))
-    pair = F.when((prev >= 0) & (F.col("token") >= 0), F.shiftleft(prev.cast("bigint"), _SHIFT).bitwiseOR(F.col("token").cast("bigint")))
-    placed = placed.select("_key", "pos", "token", prev.alias("prev"), pair.alias("pair"))
-    before = model.pairs.groupBy(F.shiftright("pair", _SHIFT).cast("int").alias("prev")).agg(F.sum("n").alias("n_prev"))
-    known = lookup_join(placed, model.pairs, ["pair"], how="left")
-    known = lookup_join(known, materialize(before, "unigrams"), ["prev"], how="left")
-    logp = F.when(F.col("prev").isNotNull(), F.ln((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("n_prev", F.lit(0)) + model.size)))
-    return known.select("_key.*", "pos", "token", logp.alias("logp"))
+    placed = placed.select("_key", "pos", "token", prev.alias("prev"))
+    return model.joined_logprobs(placed).select("_key.*", "pos", "token", "logp")
 
 
 def text_losses(texts: DataFrame, corpus: DataFrame | BigramModel, keys: list[str]) -> DataFrame:

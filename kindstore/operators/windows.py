@@ -249,7 +249,7 @@ def token_counts(windows: DataFrame, by: str | None = None) -> DataFrame:
     return grouped.agg(F.sum(n).cast("bigint").alias("n_tokens"), F.count("*").alias("n_windows"))
 
 
-def _predicted(windows: DataFrame) -> tuple[Column, Column]:
+def predicted_places(windows: DataFrame) -> tuple[Column, Column]:
     """First predicted place and number of predicted tokens of each window; a window's first token has no context."""
     if "first" in windows.columns:
         begin = F.greatest(F.col("first"), F.lit(1))
@@ -268,7 +268,7 @@ def number_windows(windows: DataFrame) -> DataFrame:
     offsets within a batch, plus the offset of the batch. ``windows`` should be a
     written table, as it is read twice.
     """
-    begin, n = _predicted(windows)
+    begin, n = predicted_places(windows)
     counted = windows.select("batch_id", "window_idx", n.cast("bigint").alias("_n"))
     totals = counted.groupBy("batch_id").agg(F.sum("_n").alias("_n"))
     starts = exclusive_prefix(totals, "batch_id", "_n", "_batch_start").select("batch_id", "_batch_start")
@@ -285,7 +285,7 @@ def number_windows(windows: DataFrame) -> DataFrame:
 
 def next_token_pairs(windows: DataFrame, size: int | None = None) -> DataFrame:
     """(context position, next token) rows with gap-free ids; ``size`` keeps the first ones."""
-    begin, n = _predicted(windows)
+    begin, n = predicted_places(windows)
     out = (
         number_windows(windows)
         .select("batch_id", "window_idx", "first_entry", begin.alias("_begin"), F.posexplode(F.slice("input_ids", begin + 1, n)).alias("_k", "token"))
@@ -308,7 +308,7 @@ def window_losses(windows: DataFrame, model: Callable[[], Callable[[pa.Array], n
     one after another, NaN where it gives none. The context that windows repeat is masked, so each token
     of a batch counts once. Takes ``window_spans`` or ``sliding_windows``.
     """
-    begin, n = _predicted(windows)
+    begin, n = predicted_places(windows)
     rows = windows.select("batch_id", "window_idx", begin.alias("_begin"), n.cast("int").alias("_n"), "input_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

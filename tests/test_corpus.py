@@ -408,3 +408,14 @@ def test_intermediates_can_be_removed(spark):
         assert kept.count() == 5 and session.exists(spark, f"{root}/own")
         session.remove_work(spark)
         assert not session.exists(spark, f"{root}/own")
+
+
+def test_window_losses_of_a_model_too_large_to_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 7}" for j in range(i))) for i in range(1, 30)], "doc_id bigint, text string")
+    model = plugins.BigramModel(df)
+    spans = materialize(windows.window_spans(model.tokenize(df), 8, 4, 3), "windows")
+    small = sorted(model.window_losses(spans).collect())
+    monkeypatch.setattr(plugins, "BROADCAST_BIGRAMS", 0)
+    large = sorted(model.window_losses(spans).collect())
+    assert [r[:2] + r[3:] for r in large] == [r[:2] + r[3:] for r in small]
+    assert [r["nll"] for r in large] == pytest.approx([r["nll"] for r in small])
