@@ -20,6 +20,7 @@ PER_PROMPT = 25
 VOCABULARY = 10
 STAGES = 5
 WIDE_VOCABULARY = 50_000
+WIDE_PROMPTS = 16  # of one task
 
 
 class Tables:
@@ -165,11 +166,11 @@ class Tables:
     @property
     def wide_logits(self) -> DataFrame:
         """Logits over 50,000 tokens for every prompt, most of them small."""
-        rows = (
-            self("documents")
-            .select(whole_div(F.col("doc_id"), PER_PROMPT).alias("query_id"))
-            .distinct()
-            .select("query_id", F.explode(F.sequence(F.lit(0), F.lit(WIDE_VOCABULARY - 1))).alias("token"))
+        idx = self("documents").select(whole_div(F.col("doc_id"), PER_PROMPT).alias("query_id")).distinct()
+        # A table of ids looks small and would be read by one task: deal it out for what it grows to.
+        parts = max(self.spark.sparkContext.defaultParallelism, -(-idx.count() // WIDE_PROMPTS))
+        rows = idx.repartition(parts, "query_id").select(
+            "query_id", F.explode(F.sequence(F.lit(0), F.lit(WIDE_VOCABULARY - 1))).alias("token")
         )
         token = F.col("token").cast("bigint")
         draw = (F.col("query_id") * 7919 + token * 104729 + (token * token) % 65537) % 65536

@@ -155,3 +155,10 @@ def test_continual_run_goes_on_without_old_keys(spark, monkeypatch):
     every = two_store_retrieve(queries, stored, 5, 7)
     order = ["query_id", "store", "rank", "entry_id"]
     assert sorted(near.select(order).collect()) == sorted(every.select(order).collect())
+
+
+def test_wide_logits_are_dealt_over_all_tasks(spark):
+    from kindstore.catalog.fixtures import Tables
+
+    wide = Tables(spark, "/root/testdata/sf0.001").wide_logits
+    assert wide.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
