@@ -154,17 +154,18 @@ class BigramModel:
         return self.tokenizer is not None and self.pairs.count() <= BROADCAST_BIGRAMS
 
     def scorer(self):
-        """A broadcast ``BigramScorer``, for models small enough."""
+        """Makes the ``BigramScorer`` in a task, for models small enough: only arrays are broadcast, as workers may not have this package."""
         table = self.pairs.toArrow()
         arrays = (np.asarray(table.column(c)).astype(np.int64) for c in ("pair", "n"))
-        return self.pairs.sparkSession.sparkContext.broadcast(BigramScorer(*arrays, self.size))
+        shared = self.pairs.sparkSession.sparkContext.broadcast((*arrays, self.size))
+        return lambda: BigramScorer(*shared.value)
 
     def over_windows(self):
         """The model as ``windows.window_losses`` takes it."""
         if not self.is_small():
             raise ValueError("the model is too large to broadcast")
-        shared = self.scorer()
-        return lambda: shared.value.of_lists
+        scorer = self.scorer()
+        return lambda: scorer().of_lists
 
     def window_losses(self, spans: DataFrame) -> DataFrame:
         """``windows.window_losses`` by this model: broadcast if it is small enough, else joined token by token."""
@@ -211,12 +212,12 @@ def text_losses(texts: DataFrame, corpus: DataFrame | BigramModel, keys: list[st
         return _scored_tokens(texts, model, keys).groupBy(*keys).agg(
             (-F.sum("logp")).alias("nll"), F.count("*").alias("n"), F.count("logp").alias("n_scored")
         )
-    shared, make = model.scorer(), model.tokenizer
+    scorer, make = model.scorer(), model.tokenizer
     rows = texts.where(F.col("text").isNotNull()).select(*keys, "text")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, score = make(), shared.value
+        encode, score = make(), scorer()
         for batch in batches:
             if not batch.num_rows:
                 continue

@@ -419,3 +419,11 @@ def test_window_losses_of_a_model_too_large_to_broadcast(spark, monkeypatch):
     large = sorted(model.window_losses(spans).collect())
     assert [r[:2] + r[3:] for r in large] == [r[:2] + r[3:] for r in small]
     assert [r["nll"] for r in large] == pytest.approx([r["nll"] for r in small])
+
+
+def test_a_broadcast_model_needs_no_package_in_its_workers(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b a c"), (2, "b a")], "doc_id bigint, text string")
+    model, sent = plugins.BigramModel(df), []
+    monkeypatch.setattr(plugins, "BigramScorer", lambda *parts: sent.append(parts))
+    model.scorer()
+    assert not sent  # made in a task, from arrays
