@@ -93,19 +93,40 @@ def ngrams(texts: DataFrame, keys: list[str], orders: tuple[int, ...]) -> DataFr
     return placed.select(*keys, F.inline(F.array(*[gram(n) for n in orders]))).where("gram is not null")
 
 
+# Words whose grams one task counts, and the most of a prompt that one task counts alone.
+TASK_WORDS = 1 << 19
+
+
+def _gram_counts(generations: DataFrame, orders: tuple[int, ...]) -> DataFrame:
+    grams = ngrams(generations, ["prompt_idx"], tuple(sorted({1, *orders})))
+    return grams.groupBy("prompt_idx", "n", "gram").agg(F.count("*").alias("c"))
+
+
 def distinctness_by_prompt(generations: DataFrame, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Distinct n-grams over all words of a prompt's generations.
 
-    Grams are de-duplicated by a grouped count that combines before the
-    shuffle and spreads one prompt over all tasks. The 1-gram counts give the
-    number of words, so one pass over the text is enough.
+    Texts are dealt over tasks by prompt, so many prompts a task that their grams fit it, and grams are
+    counted where the texts are: a text moves once, and no gram does. Only the grams of a prompt with
+    more than ``TASK_WORDS`` words are dealt over all tasks. The 1-gram counts give the
+    number of words. Runs a job that counts the words of each prompt.
     """
-    grams = ngrams(generations, ["prompt_idx"], tuple(sorted({1, *orders})))
-    counted = grams.groupBy("prompt_idx", "n", "gram").agg(F.count("*").alias("c"))
+    size = F.coalesce(F.size(words(F.col("text"))), F.lit(0)).cast("bigint")
+    sizes = materialize(generations.groupBy("prompt_idx").agg(F.sum(size).alias("_words")), "prompt-words")
+    total = sizes.agg(F.coalesce(F.sum("_words"), F.lit(0))).first()[0]
+    large = sizes.where(F.col("_words") > TASK_WORDS).select(F.col("prompt_idx").alias("_large"))
+    same = F.col("prompt_idx").eqNullSafe(F.col("_large"))
+    crowded = not large.isEmpty()
+    # There are at most total / TASK_WORDS large prompts.
+    rest = generations.join(F.broadcast(large), same, "left_anti") if crowded else generations
+    tasks = max(generations.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_WORDS))
+    counted = _gram_counts(rest.select("prompt_idx", "text").repartition(tasks, "prompt_idx"), orders)
     total = F.sum(F.when(F.col("n") == 1, F.col("c")))
-    return counted.groupBy("prompt_idx").agg(
-        *[ratio(F.count_if(F.col("n") == n), total).alias(f"dist{n}") for n in orders]
-    )
+    shares = [ratio(F.count_if(F.col("n") == n), total).alias(f"dist{n}") for n in orders]
+    out = counted.groupBy("prompt_idx").agg(*shares)
+    if not crowded:
+        return out
+    hot = _gram_counts(generations.join(F.broadcast(large), same, "left_semi"), orders)
+    return out.unionByName(hot.groupBy("prompt_idx").agg(*shares))
 
 
 def distinctness(generations: DataFrame) -> DataFrame:

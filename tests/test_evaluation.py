@@ -1,6 +1,7 @@
 """Hand-worked rows for metrics and collating."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +160,25 @@ def test_folder_parameters(spark):
     df = spark.createDataFrame([("toxic=1_nontoxic=None",), ("lambda_2.0",), ("both",), ("a=1_a=2",)], "f string")
     got = [r[0] for r in df.select(folder_parameters(F.col("f"))).collect()]
     assert got == [{"toxic": "1", "nontoxic": "None"}, {"lambda": "2.0"}, {}, {"a": "2"}]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grams_are_counted_where_their_texts_are(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i % 4 or None, " ".join(rng.choice("abcd") for _ in range(rng.randrange(1, 60)))) for i in range(40)] + [(9, None)]
+    df = spark.createDataFrame(rows, "prompt_idx bigint, text string").repartition(3)
+    want = {}
+    for key in {k for k, t in rows if t is not None}:
+        lists = [t.split(" ") for k, t in rows if k == key]
+        total = sum(map(len, lists))
+        want[key] = [len({tuple(w[i : i + n]) for w in lists for i in range(len(w) - n + 1)}) / total for n in (1, 2, 3)]
+    got = metrics.distinctness_by_prompt(df)
+    # No gram is dealt out by its text.
+    assert "gram" not in "".join(line for line in _plan(got).split("\n") if "Exchange" in line)
+    assert {r[0]: list(r)[1:] for r in got.collect()} == want
+    # Large prompts, one of them without an id.
+    monkeypatch.setattr(metrics, "TASK_WORDS", 250)
+    assert {r[0]: list(r)[1:] for r in metrics.distinctness_by_prompt(df).collect()} == want
