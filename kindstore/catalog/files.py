@@ -17,7 +17,7 @@ from kindstore.operators.results import unpivot_metrics
 from kindstore.operators.texts import unpack_scores
 from kindstore.plans.evaluation import evaluate_toxicity
 from kindstore.schemas import ATTRIBUTES, DOMAINS
-from kindstore.session import work_folder
+from kindstore.session import file_system, work_folder
 from kindstore.sources import datastore, readers, results, writers
 from kindstore.streaming.continual import continual_ingest, score_stream, stream_files
 
@@ -321,12 +321,20 @@ def _score_texts(t):
     return rounded(unpack_scores(scored).select("request_id", "toxicity"))
 
 
+# Texts of one micro-batch.
+ARRIVAL_BYTES = 1 << 30
+
+
 @query("score_stream", SCORED)
 def _score_stream(t):
     arrivals, out, checkpoint = (work_folder(t.spark, n) for n in ("texts", "responses", "checkpoint"))
     texts = t.generations.select("request_id", "text")
     for _ in range(2):  # every text arrives twice and is scored once
-        texts.coalesce(2).write.mode("append").json(arrivals)
-    stream = stream_files(t.spark, arrivals, "request_id string, text string")
+        texts.write.mode("append").json(arrivals)
+    # Four micro-batches at least, and as many more as keep each of them bounded.
+    place, system = file_system(t.spark, arrivals)
+    held = system.getContentSummary(place)
+    files = max(1, held.getFileCount() * min(ARRIVAL_BYTES, held.getLength() // 4) // max(1, held.getLength()))
+    stream = stream_files(t.spark, arrivals, "request_id string, text string", files)
     score_stream(stream, digest_scorer, out, checkpoint, rate=500, partitions=4, interval=0.0).awaitTermination()
     return rounded(unpack_scores(readers.read_scores(t.spark, out)).select("request_id", "toxicity"))
