@@ -7,14 +7,16 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from kindstore.catalog.registry import part, query, r6, rounded
-from kindstore.functions.scalars import hash24
+from kindstore.functions.scalars import hash24, whole_div
 from kindstore.operators import windows
 from kindstore.operators.metrics import corpus_perplexity
 from kindstore.operators.plugins import BigramModel
-from kindstore.operators.vectors import neighbour_context
+from kindstore.operators.vectors import PACK, neighbour_context, pack_tokens
 from kindstore.session import materialize
 
 BLOCK, STRIDE, BATCH = 1024, 512, 100
+TASK_WINDOWS = 1024
+DIM = 16  # of the default encoder
 
 part(
     "word_places",
@@ -126,7 +128,10 @@ SELECT batch_id, window_idx, count(*) AS n, min(entry_id) AS first_entry, max(en
 FROM pairs GROUP BY batch_id, window_idx""",
 )
 def next_token_pairs(t):
-    pairs = windows.next_token_pairs(spans(t))
+    found = spans(t)
+    # Windows are dealt out before their pairs are made, so that pairs need not move to be grouped by window.
+    tasks = max(t.spark.sparkContext.defaultParallelism, -(-found.count() // TASK_WINDOWS))
+    pairs = windows.next_token_pairs(found.repartition(tasks, "batch_id", "window_idx"))
     line = F.concat_ws(":", "entry_id", "pos", "token")
     # A window has at most BLOCK pairs, so the digest list is short.
     return pairs.groupBy("batch_id", "window_idx").agg(
@@ -191,9 +196,9 @@ JOIN (SELECT token, count(DISTINCT entry_id) AS n, sum(value) AS weight, sum(val
 )
 def build_datastore(t):
     store = windows.build_datastore(t.documents, block=BLOCK, stride=STRIDE, batch_size=BATCH)
-    key = F.col("key").cast("array<double>")
-    weight = F.aggregate(key, F.lit(0.0), lambda a, x: a + x)
-    place = F.aggregate(F.transform(key, lambda x, i: x * x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    key = [F.get("key", F.lit(i)).cast("double") for i in range(DIM)]
+    weight = sum(key, F.lit(0.0))
+    place = sum((x * x * (i + 1) for i, x in enumerate(key)), F.lit(0.0))
     return store.groupBy("token").agg(
         F.count("*").alias("n"),
         F.min("entry_id").alias("first_entry"),
@@ -234,17 +239,20 @@ def _neighbour_context(t):
     pairs = windows.next_token_pairs(spans(t))
     store = materialize(pairs.select(F.lit("all").alias("store"), "entry_id", "token"), "tokens")
     size = store.agg(F.count("*").alias("n")).scalar()
-
+    packed = materialize(pack_tokens(store), "packed")
 
     draw = hash24(F.lit("n:"), F.col("query_id"), F.lit(":"), F.col("rank"))
     found = (
         t("documents")
         .select(F.col("doc_id").alias("query_id"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("rank"))
         .withColumn("entry_id", (F.col("query_id") * 7919 + F.col("rank") * 104729 + draw) % size)
-        .join(store, "entry_id")
-        .select("query_id", "store", "rank", "entry_id", "token")
+        .where("entry_id >= 0")
+        .withColumn("block", whole_div(F.col("entry_id"), PACK))
+        .join(packed.select("store", "block", "tokens"), "block")
+        # Ids have no gaps, so they are places.
+        .select("query_id", "store", "rank", "entry_id", F.get("tokens", (F.col("entry_id") % PACK).cast("int")).alias("token"))
     )
-    return neighbour_context(found, store).select(
+    return neighbour_context(found, packed).select(
         "query_id", "rank", "entry_id", "next_token", F.array_join("context", " ").alias("context")
     )
 

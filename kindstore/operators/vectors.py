@@ -445,19 +445,21 @@ def recompute_dists(neighbours: DataFrame, queries: DataFrame, keys: DataFrame)
     return left.select("*", block).groupBy("_block").cogroup(right.select("*", block).groupBy("_block")).applyInArrow(run, kinds)
 
 
-# Entries of one row of a packed token stream.
+# Entries of one row of a packed token stream, and rows that one task packs (fewer than Spark aggregates in memory).
 PACK = 4096
+TASK_PACKS = 96
 
 
 def pack_tokens(store: DataFrame, pack: int = PACK) -> DataFrame:
     """The token stream of each store in blocks: ``store, block, ids, tokens``, in order of the entry id.
 
     A block has the entries ``block * pack`` up to the next one's. Written once, it serves any
-    number of ``neighbour_context`` calls.
+    number of ``neighbour_context`` calls. ``store`` is counted: each task packs a few blocks.
     """
     rows = store.select("store", "entry_id", "token", whole_div(F.col("entry_id"), pack).alias("block"))
+    tasks = max(store.sparkSession.sparkContext.defaultParallelism, -(-store.count() // (TASK_PACKS * pack)))
     entries = F.sort_array(F.collect_list(F.struct("entry_id", "token")))  # at most ``pack`` of them
-    packed = rows.groupBy("store", "block").agg(entries.alias("_e"))
+    packed = rows.repartition(tasks, "store", "block").groupBy("store", "block").agg(entries.alias("_e"))
     return packed.select(
         "store",
         "block",
@@ -487,16 +489,20 @@ def neighbour_context(neighbours: DataFrame, store: DataFrame, tokens: int = 30,
         high.alias("_high"),
         F.explode(F.array_distinct(F.array(whole_div(low, pack), whole_div(high, pack)))).alias("block"),
     )
-    begin, end = F.greatest("_low", F.get("ids", F.lit(0))), F.least("_high", F.element_at("ids", -1))
-    # Ids without gaps are places; with gaps the block is searched.
-    gapless = F.element_at("ids", -1) - F.get("ids", F.lit(0)) + 1 == F.size("ids")
-    sliced = F.slice("tokens", (begin - F.get("ids", F.lit(0)) + 1).cast("int"), F.greatest(end - begin + 1, F.lit(0)).cast("int"))
+    # Ids without gaps are places and stay behind; with gaps the block is searched.
+    least, most = F.get("ids", F.lit(0)), F.element_at("ids", -1)
+    blocks = packed.select(
+        "store", "block", least.alias("_least"), most.alias("_most"), "tokens", F.when(most - least + 1 != F.size("ids"), F.col("ids")).alias("ids")
+    )
+    begin, end = F.greatest("_low", "_least"), F.least("_high", "_most")
+    gapless = F.col("ids").isNull()
+    sliced = F.slice("tokens", (begin - F.col("_least") + 1).cast("int"), F.greatest(end - begin + 1, F.lit(0)).cast("int"))
     searched = F.transform(
         F.filter(F.arrays_zip("ids", "tokens"), lambda e: (e["ids"] >= F.col("_low")) & (e["ids"] <= F.col("_high"))),
         lambda e: e["tokens"],
     )
     piece = F.when(gapless & (end < begin), F.array().cast("array<int>")).when(gapless, sliced).otherwise(searched)
-    pieces = wanted.join(packed, ["store", "block"]).select("query_id", "store", "rank", "block", piece.alias("_piece"))
+    pieces = wanted.join(blocks, ["store", "block"]).select("query_id", "store", "rank", "block", piece.alias("_piece"))
     contexts = (
         pieces.groupBy("query_id", "store", "rank")
         .agg(F.sort_array(F.collect_list(F.struct("block", "_piece"))).alias("_c"))
