@@ -9,10 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindstore.functions.scalars import strip_whitespace, whole_div, words
 from kindstore.operators.prefix import exclusive_prefix, running_sum
-from kindstore.operators.skew import is_small, lookup_join
+from kindstore.operators.skew import SMALL_ROWS, is_small, lookup_join
 from kindstore.session import materialize
 
 MASK = -100  # Fixed value: label of a token that is not predicted.
@@ -98,41 +99,92 @@ def _broadcast_tokenizer(vocab: DataFrame, unknown: int) -> Tokenizer:
         writer.write_table(table)
     shared = vocab.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
-    def tokenizer() -> Callable[[pa.Array], pa.Array]:
-        known = pa.ipc.open_stream(shared.value).read_all()
-        tokens = dict(zip(known.column("word").to_pylist(), known.column("token").to_pylist(), strict=True))
+    return lambda: _encoder(pa.ipc.open_stream(shared.value).read_all(), unknown)
 
-        def encode(texts: pa.Array) -> pa.Array:
-            lists = pc.split_pattern(texts, " ")
-            placed = lists.flatten().dictionary_encode()
-            ids = np.fromiter((tokens.get(w, unknown) for w in placed.dictionary.to_pylist()), np.int32, len(placed.dictionary))
-            return pa.ListArray.from_arrays(lists.offsets, pa.array(ids[np.asarray(placed.indices)], pa.int32()))
 
-        return encode
+def _encoder(known: pa.Table, unknown: int) -> Callable[[pa.Array], pa.Array]:
+    """Texts to lists of ids of their words, each different word of a batch looked up once."""
+    tokens = dict(zip(known.column("word").to_pylist(), known.column("token").to_pylist(), strict=True))
 
-    return tokenizer
+    def encode(texts: pa.Array) -> pa.Array:
+        lists = pc.split_pattern(texts, " ")
+        placed = lists.flatten().dictionary_encode()
+        ids = np.fromiter((tokens.get(w, unknown) for w in placed.dictionary.to_pylist()), np.int32, len(placed.dictionary))
+        return pa.ListArray.from_arrays(lists.offsets, pa.array(ids[np.asarray(placed.indices)], pa.int32()))
+
+    return encode
+
+
+# Characters of texts that are looked up together in a vocabulary too large to broadcast.
+CHUNK_CHARS = 1 << 22
+
+
+def _tokenize_by_chunks(texts: DataFrame, vocab: DataFrame, ident: str, column: str, unknown: int) -> DataFrame:
+    """``ident, input_ids`` with a vocabulary of any size; NULL texts are left out.
+
+    Texts are dealt over chunks of about ``CHUNK_CHARS`` characters. Only the different words of a chunk are joined
+    with the vocabulary, so a word meets it once a chunk at most, however often it is used; a chunk's
+    texts then get the ids of its own words. Runs a job that counts characters.
+    """
+    rows = texts.where(F.col(column).isNotNull()).select(F.col(ident), F.col(column).alias("_text"))
+    chars = rows.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()[0]
+    chunks = max(1, -(-chars // CHUNK_CHARS))
+    chunk = F.pmod(F.xxhash64(ident, "_text"), F.lit(chunks)).cast("int")
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, chunks)
+    dealt = rows.withColumn("_chunk", chunk).repartition(tasks, "_chunk")
+    used = dealt.select("_chunk", F.explode(words(F.col("_text"))).alias("word")).distinct()
+    known = used.join(vocab.select("word", "token"), "word").select(F.col("_chunk").alias("_of"), "word", "token")
+
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        encode = _encoder(known, unknown)
+        ids = [encode(part).cast(pa.list_(pa.int32())) for part in texts.column("_text").chunks]
+        return pa.table([texts.column(ident), pa.chunked_array(ids, pa.list_(pa.int32()))], names=[ident, "input_ids"])
+
+    schema = T.StructType([rows.schema[ident], T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
+    return dealt.groupBy("_chunk").cogroup(known.groupBy("_of")).applyInArrow(run, schema)
 
 
 def tokenize(texts: DataFrame, vocab: DataFrame, ident: str = "doc_id", column: str = "text", unknown: int = -1) -> DataFrame:
     """``ident, input_ids`` with a (written) word vocabulary; unseen words get ``unknown``.
 
     A vocabulary small enough to broadcast is looked up where the texts lie, without a
-    shuffle; of a larger one, words and vocabulary are joined.
+    shuffle; with a larger one, the different words of a chunk of texts are joined.
     """
     if is_small(vocab.select("word", "token")):
         return tokenize_with(texts, _broadcast_tokenizer(vocab, unknown), ident, column)
-    split = texts.select(ident, words(F.col(column)).alias("_words"))
-    return _to_tokens(split, vocab, [ident], unknown)
+    return _tokenize_by_chunks(texts, vocab, ident, column, unknown)
+
+
+# Tokens of a row that carries neighbouring windows to one task, and the rows of a task (fewer than Spark aggregates in memory).
+RUN_TOKENS = 1 << 15
+TASK_RUNS = 96
+
 
+def _written(tokens: DataFrame, ident: str) -> DataFrame:
+    """The tokens and their numbers, written: ``_ident, input_ids, _n``."""
+    count = F.size("input_ids").cast("bigint").alias("_n")
+    return materialize(tokens.select(F.col(ident).alias("_ident"), "input_ids", count), "tokens")
 
-def _pieces(df: DataFrame, low: Column, high: Column, begin: Column, end: Column, unit: str) -> DataFrame:
-    """Cut each text's tokens into the parts that fall into units low..high."""
-    cut = df.withColumn(unit, F.explode(F.sequence(low, high)))
+
+def _runs(tokens: DataFrame, placed: DataFrame, low: Column, last: Column, begin: Column, end: Column, by: list[str]) -> DataFrame:
+    """``by``, ``_tokens``, ``_all``: the joined tokens from ``begin`` to ``end`` of each of the runs low..last that a text reaches.
+
+    ``tokens`` are written. Few offsets are sent to them, of more the tokens stream past a table of offsets, unsorted.
+    """
+    held = tokens.agg(F.count("*").alias("rows"), F.coalesce(F.sum("_n"), F.lit(0)).alias("tokens")).first()
+    placed = F.broadcast(placed) if held["rows"] <= SMALL_ROWS else placed.hint("shuffle_hash")
+    cut = tokens.drop("_n").join(placed, "_ident").withColumn("_run", F.explode(F.sequence(low, last)))
     start, stop = F.greatest(begin, F.col("_from")), F.least(end, F.col("_to"))
-    return cut.withColumn("_start", start).withColumn(
-        "_piece",
-        F.slice("input_ids", (F.col("_start") - F.col("_from") + 1).cast("int"), (stop - F.col("_start")).cast("int")),
+    pieces = cut.withColumn("_start", start).select(
+        *by,
+        "_all",
+        "_start",
+        F.slice("input_ids", (F.col("_start") - F.col("_from") + 1).cast("int"), (stop - F.col("_start")).cast("int")).alias("_piece"),
     )
+    tasks = max(tokens.sparkSession.sparkContext.defaultParallelism, -(-held["tokens"] // (RUN_TOKENS * TASK_RUNS)))
+    parts = F.sort_array(F.collect_list(F.struct("_start", "_piece"))).alias("_parts")
+    whole = pieces.repartition(tasks, *by).groupBy(*by).agg(parts, F.max("_all").alias("_all"))
+    return whole.select(*by, F.flatten(F.transform("_parts", lambda p: p["_piece"])).alias("_tokens"), "_all")
 
 
 def window_spans(
@@ -141,15 +193,17 @@ def window_spans(
     """Overlapping windows over the joined tokens of every ``batch_size`` texts, without padding.
 
     ``batch_id, window_idx, input_ids, first``: a window predicts its tokens from place
-    ``first`` on, those before it are repeated context. The tail beyond a multiple of
+    ``first`` on, those before it are repeated context. ``n_pairs`` of its tokens are predicted, and ``pairs_before``
+    of the windows before it in the batch. The tail beyond a multiple of
     ``block`` is dropped when a batch has at least one block. The tokens are written
-    once; offsets come from a table of ids and lengths, only per-text pieces are shuffled, and no row
-    ever holds more than one window.
+    once; offsets come from a table of ids and lengths. Pieces of texts are put together to
+    runs of windows of about ``RUN_TOKENS`` tokens, so a token moves once and not once a window, and
+    windows are cut from their run.
     """
     if stride > block:
         raise ValueError("stride must not exceed the block size")
-    tokens = materialize(tokens.select(F.col(ident).alias("_ident"), "input_ids"), "tokens")
-    sizes = tokens.select("_ident", F.size("input_ids").cast("bigint").alias("_n"), F.lit(1).alias("_one"))
+    tokens = _written(tokens, ident)
+    sizes = tokens.select("_ident", "_n", F.lit(1).alias("_one"))
     # Batches go by position, so ids may have gaps.
     places = exclusive_prefix(sizes, "_ident", ["_one", "_n"], ["_place", "_at"])
     whole = Window.partitionBy("batch_id")
@@ -162,21 +216,30 @@ def window_spans(
         .where("_to > _from")
         .select("_ident", "batch_id", "_from", "_to", "_all")
     )
-    placed = tokens.join(placed, "_ident")
-    i = F.col("window_idx") * stride
-    begin, end = F.greatest(i + (stride - block), F.lit(0)), F.least(i + stride, F.col("_all"))
+    some = max(1, RUN_TOKENS // stride)  # windows of a run
+
+    def window_begin(number: Column) -> Column:
+        return F.greatest(number * stride + (stride - block), F.lit(0))
+
     last = F.least(whole_div(F.col("_to") + (block - 1), stride) - 1, whole_div(F.col("_all") - 1, stride))
-    cut = _pieces(placed, whole_div(F.col("_from"), stride), last, begin, end, "window_idx")
-    repeated = (i - F.greatest(i + (stride - block), F.lit(0))).cast("int")
-    return (
-        cut.groupBy("batch_id", "window_idx")
-        .agg(F.sort_array(F.collect_list(F.struct("_start", "_piece"))).alias("_parts"))
-        .select(
-            "batch_id",
-            "window_idx",
-            F.flatten(F.transform("_parts", lambda p: p["_piece"])).alias("input_ids"),
-            repeated.alias("first"),
-        )
+    low, high = whole_div(whole_div(F.col("_from"), stride), some), whole_div(last, some)
+    head = F.col("_run") * some
+    end = F.least((head + some) * stride, F.col("_all"))
+    runs = _runs(tokens, placed, low, high, window_begin(head), end, ["batch_id", "_run"])
+    windows = runs.withColumn(
+        "window_idx", F.explode(F.sequence(head, F.least(head + (some - 1), whole_div(F.col("_all") - 1, stride))))
+    )
+    i = F.col("window_idx")
+    begin, end = window_begin(i), F.least(i * stride + stride, F.col("_all"))
+    # A batch has no context before its first token, and windows that do not overlap have none before each first one.
+    lost = i if block == stride else F.least(i, F.lit(1))
+    return windows.select(
+        "batch_id",
+        "window_idx",
+        F.slice("_tokens", (begin - window_begin(head) + 1).cast("int"), (end - begin).cast("int")).alias("input_ids"),
+        (i * stride - begin).cast("int").alias("first"),
+        (end - begin - F.greatest(i * stride - begin, F.lit(1))).cast("int").alias("n_pairs"),
+        (i * stride - lost).cast("bigint").alias("pairs_before"),
     )
 
 
@@ -209,19 +272,19 @@ def sliding_windows(
 
 def fixed_blocks(tokens: DataFrame, block: int, ident: str = "doc_id") -> DataFrame:
     """Non-overlapping blocks over the whole token stream; the short rest goes. The tokens are written once."""
-    tokens = materialize(tokens.select(ident, "input_ids"), "tokens")
-    sized = tokens.withColumn("_n", F.size("input_ids").cast("bigint"))
-    starts = exclusive_prefix(sized.select(ident, "_n"), ident, "_n", "_from").select(ident, "_from")
-    placed = tokens.join(starts, ident).withColumn("_to", F.col("_from") + F.size("input_ids")).where("_to > _from")
-    begin = F.col("block_idx") * block
-    cut = _pieces(
-        placed, whole_div(F.col("_from"), block), whole_div(F.col("_to") - 1, block), begin, begin + block, "block_idx"
-    )
-    return (
-        cut.groupBy("block_idx")
-        .agg(F.sort_array(F.collect_list(F.struct("_start", "_piece"))).alias("_parts"))
-        .select("block_idx", F.flatten(F.transform("_parts", lambda p: p["_piece"])).alias("input_ids"))
-        .where(F.size("input_ids") == block)
+    tokens = _written(tokens, ident)
+    starts = exclusive_prefix(tokens.select("_ident", "_n"), "_ident", "_n", "_from")
+    placed = starts.withColumn("_to", F.col("_from") + F.col("_n")).where("_to > _from")
+    placed = placed.select("_ident", "_from", "_to", F.col("_to").alias("_all"))
+    some = max(1, RUN_TOKENS // block)  # blocks of a run
+    size = some * block
+    begin = F.col("_run") * size
+    runs = _runs(tokens, placed, whole_div(F.col("_from"), size), whole_div(F.col("_to") - 1, size), begin, begin + size, ["_run"])
+    # The last run may be short: whole blocks only.
+    whole = runs.withColumn("_whole", whole_div(F.size("_tokens"), block)).where("_whole > 0")
+    return whole.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_whole") - 1))).select(
+        (F.col("_run") * some + F.col("_i")).alias("block_idx"),
+        F.slice("_tokens", (F.col("_i") * block + 1).cast("int"), F.lit(block)).alias("input_ids"),
     )
 
 
@@ -230,10 +293,18 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
 def line_blocks(texts: DataFrame, vocab: DataFrame, block: int, ident: str = "doc_id", column: str = "text", unknown: int = -1) -> DataFrame:
-    """One block per line that is not blank, cut to the block size."""
+    """One block per line that is not blank, cut to the block size.
+
+    Lines are looked up like texts (see ``tokenize``). Runs a job that looks for repeated ids.
+    """
     lines = texts.select(ident, F.posexplode(F.split(column, LINE_END)).alias("line", "_text")).where(
         strip_whitespace(F.col("_text")) != ""
     )
+    # Texts that share an id share their lines too: their words are joined one by one.
+    if texts.groupBy(ident).count().where("count > 1").isEmpty():
+        cut = lines.select(F.struct(ident, "line").alias("_line"), F.substring_index("_text", " ", block).alias("_text"))
+        found = tokenize(cut, vocab, "_line", "_text", unknown)
+        return found.select(F.col("_line")[ident].alias(ident), F.col("_line")["line"].alias("line"), "input_ids")
     split = lines.select(ident, "line", F.slice(words(F.col("_text")), 1, block).alias("_words"))
     return _to_tokens(split, vocab, [ident, "line"], unknown)
 
@@ -265,10 +336,19 @@ def number_windows(windows: DataFrame) -> DataFrame:
     """Add the id of each window's first pair, ``first_entry``, and its pairs: (position, next token).
 
     Takes ``window_spans`` or ``sliding_windows``. Ids are gap-free in window order:
-    offsets within a batch, plus the offset of the batch. ``windows`` should be a
+    offsets within a batch, plus the offset of the batch. Spans know their own place in the batch and need
+    the offsets of the batches only, so they are numbered where they lie. ``windows`` should be a
     written table, as it is read twice.
     """
     begin, n = predicted_places(windows)
+    tokens = F.slice("input_ids", begin + 1, n)
+    pairs = F.transform(tokens, lambda token, i: F.struct((begin - 1 + i).alias("pos"), token.alias("token")))
+    if "pairs_before" in windows.columns:
+        totals = windows.groupBy("batch_id").agg(F.max(F.col("pairs_before") + F.col("n_pairs")).alias("_n"))
+        starts = exclusive_prefix(totals, "batch_id", "_n", "_batch_start").select("batch_id", "_batch_start")
+        starts = F.broadcast(starts) if is_small(starts) else starts
+        first = (F.col("_batch_start") + F.col("pairs_before")).alias("first_entry")
+        return windows.join(starts, "batch_id").select(*windows.columns, first).withColumn("pairs", pairs)
     counted = windows.select("batch_id", "window_idx", n.cast("bigint").alias("_n"))
     totals = counted.groupBy("batch_id").agg(F.sum("_n").alias("_n"))
     starts = exclusive_prefix(totals, "batch_id", "_n", "_batch_start").select("batch_id", "_batch_start")
@@ -278,8 +358,6 @@ def number_windows(windows: DataFrame) -> DataFrame:
         .join(starts, "batch_id")
         .select("batch_id", "window_idx", (F.col("_batch_start") + F.col("_before")).cast("bigint").alias("first_entry"))
     )
-    tokens = F.slice("input_ids", begin + 1, n)
-    pairs = F.transform(tokens, lambda token, i: F.struct((begin - 1 + i).alias("pos"), token.alias("token")))
     return windows.join(firsts, ["batch_id", "window_idx"]).withColumn("pairs", pairs)
 
 
@@ -335,25 +413,25 @@ WINDOWS_PER_CHUNK = 256
 
 def _hashed_context(part: pa.RecordBatch, dim: int, context: int) -> pa.RecordBatch:
     """Keys of all pairs of a few windows at once."""
-    windows, pairs = part.column("input_ids"), part.column("pairs")
+    windows = part.column("input_ids")
     flat = windows.flatten().to_numpy()
     width = np.asarray(pc.list_value_length(windows))
-    starts = np.concatenate([[0], np.cumsum(width)[:-1]])
-    n = np.asarray(pc.list_value_length(pairs))
+    starts = np.cumsum(width) - width
+    n = part.column("_pairs").to_numpy()
     row = np.repeat(np.arange(part.num_rows), n)
     place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    fields = pairs.flatten()
-    pos = fields.field("pos").to_numpy()
+    pos = part.column("_begin").to_numpy()[row] - 1 + place
+    at = starts[row] + pos
     key = np.zeros((len(row), dim), dtype=np.float32)
     for t in range(context):
         known = np.nonzero(pos >= t)[0]
-        tokens = flat[starts[row[known]] + pos[known] - t]
+        tokens = flat[at[known] - t]
         key[known, tokens % dim] += np.float32(2.0**-t)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(part.column("first_entry").to_numpy()[row] + place, pa.int64()),
             pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, dim), pa.int32()), pa.array(key.ravel())),
-            fields.field("token"),
+            pa.array(flat[at + 1], pa.int32()),
         ],
         names=["entry_id", "key", "token"],
     )
@@ -364,7 +442,7 @@ def context_keys(numbered: DataFrame, dim: int = 16, context: int = 4) -> DataFr
 
     The token t places back adds 2**-t to dimension ``token mod dim``. It takes
     numbered windows, one row each, and returns ``entry_id, key, token``; a real
-    encoder does the same with a model's hidden states.
+    encoder does the same with a model's hidden states. Pairs are taken from the windows' tokens by place.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,7 +451,9 @@ def context_keys(numbered: DataFrame, dim: int = 16, context: int = 4) -> DataFr
                 part = batch.slice(start, WINDOWS_PER_CHUNK)
                 yield _hashed_context(part, dim, context)
 
-    return numbered.select("first_entry", "input_ids", "pairs").mapInArrow(
+    begin, n = predicted_places(numbered)
+    places = [begin.cast("int").alias("_begin"), n.cast("int").alias("_pairs")]
+    return numbered.select("first_entry", "input_ids", *places).mapInArrow(
         run, "entry_id bigint, key array<float>, token int"
     )
 

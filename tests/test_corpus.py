@@ -427,3 +427,50 @@ def test_a_broadcast_model_needs_no_package_in_its_workers(spark, monkeypatch):
     monkeypatch.setattr(plugins, "BigramScorer", lambda *parts: sent.append(parts))
     model.scorer()
     assert not sent  # made in a task, from arrays
+
+
+def _exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line]
+
+
+@pytest.mark.parametrize("block,stride", [(8, 3), (8, 8)])
+def test_windows_of_several_runs(spark, monkeypatch, block, stride):
+    """Windows cut from runs, with offsets sent to the tokens or tokens sent to the offsets."""
+    rng = random.Random(block)
+    lists = [[rng.randrange(50) for _ in range(n)] for n in (30, 1, 0, 70, 19, 3, 3, 2, 200)]
+    df = spark.createDataFrame(list(enumerate(lists)), "doc_id bigint, input_ids array<int>").repartition(3)
+    batches = [lists[i : i + 4] for i in range(0, len(lists), 4)]
+    wide = [w for b in batches for w in expected_windows([x for row in b for x in row], block, stride)]
+    stream = [x for row in lists for x in row]
+    for run in (16, 1 << 15):
+        monkeypatch.setattr(windows, "RUN_TOKENS", run)
+        monkeypatch.setattr(windows, "SMALL_ROWS", 0 if run == 16 else 100)
+        got = windows.sliding_windows(df, block, stride, 4).orderBy("batch_id", "window_idx").collect()
+        assert [(list(r["input_ids"]), list(r["labels"])) for r in got] == wide
+        spans = materialize(windows.window_spans(df, block, stride, 4), "windows")
+        pairs = windows.next_token_pairs(spans)
+        padded = windows.next_token_pairs(windows.sliding_windows(df, block, stride, 4))
+        assert sorted(pairs.collect()) == sorted(padded.collect())
+        # Spans know their place: no window moves for its ids.
+        assert not any("window_idx" in line for line in _exchanges(pairs))
+        blocks = windows.fixed_blocks(df, block).orderBy("block_idx").collect()
+        assert [list(r["input_ids"]) for r in blocks] == [stream[s : s + block] for s in range(0, len(stream) - block + 1, block)]
+        assert [r["block_idx"] for r in blocks] == list(range(len(stream) // block))
+
+
+def test_lines_are_looked_up_where_they_lie(spark, monkeypatch):
+    texts = spark.createDataFrame([(0, "a b a c\n \n\nb  zz a"), (1, "c"), (2, None), (3, "")], "doc_id bigint, text string")
+    vocab = materialize(windows.build_vocab(texts), "vocab")
+    ids = {r["word"]: r["token"] for r in vocab.collect()}
+    got = windows.line_blocks(texts, vocab, 3)
+    assert not _exchanges(got)
+    rows = sorted((r["doc_id"], r["line"], list(r["input_ids"])) for r in got.collect())
+    unknown = lambda words: [ids.get(w, -1) for w in words]
+    assert rows == [(0, 0, unknown(["a", "b", "a"])), (0, 3, unknown(["b", "", "zz"])), (1, 0, unknown(["c"]))]
+    # Texts that share an id.
+    again = windows.line_blocks(texts.where("doc_id = 0").unionByName(texts), vocab, 3)
+    assert [len(r["input_ids"]) for r in again.orderBy("doc_id", "line").collect()] == [6, 6, 1]
+    monkeypatch.setattr(windows, "is_small", lambda _: False)
+    monkeypatch.setattr(windows, "CHUNK_CHARS", 7)
+    joined = windows.line_blocks(texts, vocab, 3)
+    assert joined.columns == got.columns and joined.dtypes == got.dtypes and sorted((r["doc_id"], r["line"], list(r["input_ids"])) for r in joined.collect()) == rows
