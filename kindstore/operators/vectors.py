@@ -22,9 +22,10 @@ QUERY_BLOCK = 4096
 KEY_BLOCK = 1 << 14
 # Blocks of queries that are sent to the keys one after another; more queries are dealt over tasks and keys stream past them.
 ROUNDS = 4
-# Queries of one task, and the neighbours that it holds.
-TASK_QUERIES = 1 << 14
-TASK_ROWS = 1 << 22
+# Queries of one task, and the neighbours that it holds: all lists, and about three times those of the store that is being merged.
+# Keys are shuffled once a block, so a block is as large as memory allows.
+TASK_QUERIES = 1 << 16
+TASK_ROWS = 10 << 20
 # Keys of the first pass of an exact search, and how many times more the passes have seen after each further one.
 FIRST_KEYS = 1 << 20
 GROWTH = 16
@@ -248,7 +249,7 @@ def _by_blocks(queries: DataFrame, keys: DataFrame, k: Amount, metric: str, code
     if not isinstance(k, int):
         keys = keys.where(F.col("store").isin([store for store, n in k.items() if n > 0]))
     size = queries.agg(F.approx_count_distinct("query_id").alias("queries"), F.approx_count_distinct("cell").alias("cells")).first()
-    most = max(1, 2 * k if isinstance(k, int) else sum(k.values()))
+    most = max(1, 5 * k if isinstance(k, int) else sum(k.values()) + 3 * max(k.values(), default=0))
     blocks = -(-max(1, size["queries"]) // max(1, min(TASK_QUERIES, TASK_ROWS // most)))
     # Whole waves of tasks.
     cores = spark.sparkContext.defaultParallelism

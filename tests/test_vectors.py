@@ -317,3 +317,12 @@ def test_many_queries_are_dealt_over_tasks(tables, monkeypatch, search):
     monkeypatch.setattr(vectors, "TASK_QUERIES", 3)
     monkeypatch.setattr(vectors, "_by_rounds", lambda *_: pytest.fail("a job for each block of queries"))
     assert sorted(search(q, k, amount, block=5).collect()) == direct
+
+
+def test_keys_are_shuffled_to_few_blocks(spark):
+    """Lists are short: 200,000 queries are four blocks, so no task more than a wave gets the keys."""
+    q = spark.range(200_000).select(F.col("id").alias("query_id"), F.array(F.col("id").cast("float")).alias("embedding"), F.lit(0).alias("cell"))
+    k = spark.range(3).select(F.lit("s").alias("store"), F.col("id").alias("entry_id"), F.array(F.lit(0.0)).alias("key"), F.lit(1).alias("token"), F.lit(0).alias("cell"))
+    cores = spark.sparkContext.defaultParallelism
+    for amount in (16, {f"s@{i}": 8 for i in range(10)}):
+        assert vectors._by_blocks(q, k, amount, "l2").rdd.getNumPartitions() == -(-4 // cores) * cores
