@@ -391,7 +391,8 @@ def update_neighbours(
     """
     if best is None:
         return knn_exact(queries, added, k, block)
-    limited = queries.select("query_id", "embedding").join(_reach(best, k, "l2"), "query_id", "left")
+    # Counted, dealt and searched: joined with the limits once.
+    limited = materialize(queries.select("query_id", "embedding").join(_reach(best, k, "l2"), "query_id", "left"), "limited-queries")
     found = _pass(limited, added, k, block, "l2")
     return _best(found.unionByName(best.drop("rank")), k, "l2")
 

@@ -67,7 +67,7 @@ def continual_run(
             for store in stores:
                 append_datastore(rows.where(F.col("store") == store), f"{path}/datastore", store, stage, stage, order)
         near = stage_neighbours(queries, path, stage, limits)
-        dist = knn_distribution(near, temperature)
+        dist = materialize(knn_distribution(near, temperature), "distributions")  # read twice a store
         subtracted, added = (dist.where(F.col("store") == store) for store in stores)
         mixed = ensemble(base, subtracted, added, alpha)
         sample_tokens(mixed, draws, p, seed).write.mode("overwrite").parquet(samples)

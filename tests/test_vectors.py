@@ -326,3 +326,12 @@ def test_keys_are_shuffled_to_few_blocks(spark):
     cores = spark.sparkContext.defaultParallelism
     for amount in (16, {f"s@{i}": 8 for i in range(10)}):
         assert vectors._by_blocks(q, k, amount, "l2").rdd.getNumPartitions() == -(-4 // cores) * cores
+
+
+def test_limits_are_joined_once(tables):
+    """An update of many queries counts, deals and searches a written table."""
+    _, _, q, k = tables
+    best = materialize(vectors.knn_exact(q, k.where("entry_id < 150"), 4), "nearest")
+    grown = vectors.update_neighbours(q, best, k.where("entry_id >= 150"), 4, block=1)
+    assert "LeftOuter" not in grown._jdf.queryExecution().optimizedPlan().toString()
+    assert found(grown) == found(vectors.knn_exact(q, k, 4))
