@@ -43,17 +43,20 @@ def nucleus_filter(df: DataFrame, p: float = 0.9, mark: bool = False) -> DataFra
     return ranked.where(kept).drop("_before")
 
 
-def knn_distribution(neighbours: DataFrame, temperature: float | Column = 100.0) -> DataFrame:
-    """softmax(-dist / T) over a query's neighbours, summed by token; T may be a column."""
-    group = Window.partitionBy("query_id", "store")
+def knn_distribution(neighbours: DataFrame, temperature: float | Column = 100.0, by: tuple[str, ...] = ("query_id", "store")) -> DataFrame:
+    """softmax(-dist / T) over a query's neighbours, summed by token; T may be a column.
+
+    ``by`` may name further columns that part a query's lists, such as a setting.
+    """
+    group = Window.partitionBy(*by)
     nearest = F.min("dist").over(group)
     weight = neighbours.withColumn("_w", F.exp((nearest - F.col("dist")) / temperature))
     share = weight.withColumn("_p", F.col("_w") / F.sum("_w").over(group))
     return (
-        share.groupBy("query_id", "store", "token")
+        share.groupBy(*by, "token")
         .agg(F.sum("_p").alias("_p"))
         .where("_p > 0")
-        .select("query_id", "store", "token", F.ln("_p").alias("logp"))
+        .select(*by, "token", F.ln("_p").alias("logp"))
     )
 
 

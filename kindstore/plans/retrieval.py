@@ -172,21 +172,28 @@ def _mixtures_of_parts(
     label = F.concat_ws("@", "store", F.col("part").cast("string"))
     parted = keys.where(F.col("store").isin(*limits)).withColumn("store", label)
     wanted = {f"{store}@{i}": n for store, n in limits.items() for i in range(max(reach[store]) + 1)}
-    near = materialize(knn_exact(queries, parted, wanted), "neighbours")
     part = F.split_part("store", F.lit("@"), F.lit(2)).cast("int")
     kind = F.split_part("store", F.lit("@"), F.lit(1))
-    ends = F.when(kind == first, F.array(*map(F.lit, reach[first]))).otherwise(F.array(*map(F.lit, reach[second])))
-    near = near.select("query_id", "entry_id", "dist", "token", kind.alias("store"), part.alias("part"), F.posexplode(ends).alias("setting", "_end"))
-    nearest = Window.partitionBy("query_id", "store", "setting").orderBy("dist", "entry_id")
+    near = knn_exact(queries, parted, wanted).select("query_id", kind.alias("store"), part.alias("part"), "entry_id", "dist", "token")
+    # A query's neighbours are put in order once: among them, a row's rank in a setting is the rows so far that the setting reaches.
+    upto = Window.partitionBy("query_id", "store").orderBy("dist", "entry_id").rowsBetween(Window.unboundedPreceding, 0)
     limit = F.when(F.col("store") == first, limits[first]).otherwise(limits[second])
-    best = near.where("part <= _end").withColumn("_rank", F.row_number().over(nearest)).where(F.col("_rank") <= limit)
+    settings = range(len(reach[first]))
+    within = [F.col("part") <= F.when(F.col("store") == first, reach[first][i]).otherwise(reach[second][i]) for i in settings]
+    ranks = {f"_rank{i}": F.sum(within[i].cast("int")).over(upto) for i in settings}
+    held = F.array(*[F.when(within[i] & (F.col(f"_rank{i}") <= limit), i) for i in settings])
+    best = near.select("*", *[rank.alias(name) for name, rank in ranks.items()]).select(
+        "query_id", "store", "dist", "token", F.explode(F.array_compact(held)).alias("setting")
+    )
 
     key = F.struct("setting", F.col("query_id").alias("q")).alias("query_id")
-    dist = knn_distribution(best.select(key, "store", "dist", "token"), temperature)
-    base = nucleus_filter(log_softmax(lm), p)
+    # Both are read several times by the ensemble.
+    dist = materialize(knn_distribution(best, temperature, ("query_id", "store", "setting")), "distributions")
+    dist = dist.select(key, "store", "token", "logp")
+    base = materialize(nucleus_filter(log_softmax(lm), p), "kept-tokens")
     if "batch_id" not in base.columns:
         base = base.withColumn("batch_id", F.lit(0).cast("bigint"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(len(reach[first]) - 1))).alias("setting")
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(settings) - 1))).alias("setting")
     base = base.select("*", every).select(key, F.struct("setting", "batch_id").alias("batch_id"), "token", "logp")
     mixed = ensemble(base, dist.where(F.col("store") == first), dist.where(F.col("store") == second), alpha)
     return mixed.select("query_id.setting", F.col("query_id.q").alias("query_id"), "token", "logp")

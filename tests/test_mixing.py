@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kindstore.operators import mixing
 from kindstore.operators.results import sweep_grid
 from kindstore.operators.vectors import two_store_retrieve
-from kindstore.plans import continual
+from kindstore.plans import continual, retrieval
 from kindstore.session import materialize, work_folder
 from kindstore.sources.datastore import read_datastore
 
@@ -162,3 +162,20 @@ def test_wide_logits_are_dealt_over_all_tasks(spark):
 
     wide = Tables(spark, "/root/testdata/sf0.001").wide_logits
     assert wide.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_mixtures_of_stages_rank_neighbours_once(spark):
+    rng = np.random.default_rng(3)
+    vecs = rng.integers(0, 3, (120, 2)).astype(float)  # many ties
+    rows = [("toxic" if i % 3 else "nontoxic", i % 4, i, v.tolist(), int(i % 5)) for i, v in enumerate(vecs)]
+    keys = spark.createDataFrame(rows, "store string, stage int, entry_id bigint, key array<double>, token int")
+    queries = spark.createDataFrame([(i, [i * 0.3, 1.0]) for i in range(7)], "query_id bigint, embedding array<double>")
+    lm = spark.createDataFrame([(i, i // 4, t, float(rng.normal())) for i in range(7) for t in range(5)], "query_id bigint, batch_id bigint, token int, logp double")
+    staged = retrieval.continual_mixtures(queries, lm, keys, range(4), 3, 5, 1.0)
+    # Lists are ranked before they are written; the ensemble, which reads them four times, sees distributions.
+    assert "dist#" not in staged._jdf.queryExecution().optimizedPlan().toString()
+    rows = {(r["stage"], r["query_id"], r["token"]): r["logp"] for r in staged.collect()}
+    for stage in range(4):
+        alone = retrieval.retrieve_and_ensemble(queries, lm, keys.where(F.col("stage") <= stage), 3, 5, 1.0)
+        want = {(stage, r["query_id"], r["token"]): r["logp"] for r in alone.collect()}
+        assert {x: y for x, y in rows.items() if x[0] == stage} == pytest.approx(want)
