@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindstore.functions.scalars import words
+from kindstore.operators import lookups
 from kindstore.operators.skew import is_small, lookup_join
 from kindstore.operators.windows import build_vocab, predicted_places, tokenize, tokenize_with, vocabulary_tokenizer, window_losses
 from kindstore.schemas import SCORES
@@ -86,6 +87,12 @@ def encode(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
 # Different bigrams of a model that is broadcast: two 64-bit numbers each.
 BROADCAST_BIGRAMS = 4_000_000
 _SHIFT = 32
+# Marks the count of a word as the first of a pair.
+_ALONE = 1 << 62
+# Tokens counted together in a task, tokens whose bigrams are looked up together in a model too large to broadcast, and tokens counted in a bucket.
+COUNT_TOKENS = 1 << 22
+CHUNK_TOKENS = 1 << 21
+BUCKET_TOKENS = 1 << 21
 
 
 class BigramScorer:
@@ -119,7 +126,8 @@ class BigramScorer:
 class BigramModel:
     """Counts of a corpus by word ids: ``vocab`` (word, n, token) and ``pairs`` (pair, n), both written tables.
 
-    A pair is the id of the word before, shifted by 32 bits, and the id of the word.
+    A pair is the id of the word before, shifted by 32 bits, and the id of the word. ``counts`` has them, and the words with another
+    behind them as ids with bit 62 set.
     """
 
     def __init__(self, corpus: DataFrame, column: str = "text", vocab: DataFrame | None = None):
@@ -128,21 +136,8 @@ class BigramModel:
         # One broadcast of the vocabulary serves the corpus and all texts scored later.
         self.tokenizer = vocabulary_tokenizer(self.vocab) if is_small(self.vocab.select("word", "token")) else None
         texts = corpus.select(F.monotonically_increasing_id().alias("_row"), F.col(column).alias("text"))
-        tokens = self.tokenize(texts, "_row")
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lists = batch.column(0)
-                ids, offsets = np.asarray(lists.flatten()).astype(np.int64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
-                inside = np.ones(max(len(ids) - 1, 0), bool)
-                edges = offsets[1:-1]
-                inside[edges[(edges > 0) & (edges < len(ids))] - 1] = False
-                pair, n = np.unique((ids[:-1] << _SHIFT | ids[1:])[inside], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
-
-        # Counted in each batch first, so a frequent pair is a row a batch.
-        counted = tokens.select("input_ids").mapInArrow(count, "pair bigint, n bigint")
-        self.pairs = materialize(counted.groupBy("pair").agg(F.sum("n").alias("n")), "bigrams")
+        self.counts = materialize(_counts(self.tokenize(texts, "_row"), self.vocab), "bigrams")
+        self.pairs = self.counts.where(F.col("pair") < _ALONE)
 
     def tokenize(self, texts: DataFrame, ident: str = "doc_id") -> DataFrame:
         """``ident, input_ids`` of texts by the model's vocabulary."""
@@ -168,50 +163,153 @@ class BigramModel:
         return lambda: scorer().of_lists
 
     def window_losses(self, spans: DataFrame) -> DataFrame:
-        """``windows.window_losses`` by this model: broadcast if it is small enough, else joined token by token."""
+        """``windows.window_losses`` by this model: broadcast if it is small enough, else looked up by chunks of windows."""
         if self.is_small():
             return window_losses(spans, self.over_windows())
         begin, n = predicted_places(spans)
-        # A window without a predicted token has a row too.
-        places = F.when(n > 0, F.sequence(begin, begin + n - 1))
-        rows = spans.select("batch_id", "window_idx", "input_ids", F.explode_outer(places).alias("_at"))
-        placed = rows.select("batch_id", "window_idx", F.get("input_ids", F.col("_at") - 1).alias("prev"), F.get("input_ids", "_at").alias("token"))
-        logp = self.joined_logprobs(placed).groupBy("batch_id", "window_idx")
-        return logp.agg((-F.coalesce(F.sum("logp"), F.lit(0.0))).alias("nll"), F.count("logp").alias("n_scored"))
-
-    def joined_logprobs(self, placed: DataFrame) -> DataFrame:
-        """``placed`` (``prev``, ``token`` and other columns) with the ``logp`` of each token, by joins; NULL without ``prev``."""
-        prev, token = F.col("prev"), F.col("token")
-        pair = F.when((prev >= 0) & (token >= 0), F.shiftleft(prev.cast("bigint"), _SHIFT).bitwiseOR(token.cast("bigint")))
-        before = self.pairs.groupBy(F.shiftright("pair", _SHIFT).cast("int").alias("prev")).agg(F.sum("n").alias("n_prev"))
-        known = lookup_join(placed.withColumn("pair", pair), self.pairs, ["pair"], how="left")
-        known = lookup_join(known, materialize(before, "unigrams"), ["prev"], how="left")
-        logp = F.when(prev.isNotNull(), F.ln((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("n_prev", F.lit(0)) + self.size)))
-        return known.select(*placed.columns, logp.alias("logp"))
+        # The predicted tokens and the one before them. A window without a predicted token has a row too.
+        seen = F.slice("input_ids", begin, F.when(n > 0, n + 1).otherwise(0))
+        losses = self._scored(spans.select(F.struct("batch_id", "window_idx").alias("_key"), seen.alias("input_ids")), "nll double, n bigint, n_scored bigint")
+        return losses.select("_key.*", F.coalesce("nll", F.lit(0.0)).alias("nll"), "n_scored")
+
+    def _scored(self, lists: DataFrame, out: str) -> DataFrame:
+        """``_key`` and sums or ``input_ids, logp`` of lists of ids (``_key, input_ids``), for a model of any size.
+
+        The lists are written and dealt over chunks of about ``CHUNK_TOKENS`` tokens by their place, once. A chunk looks up each of its different
+        bigrams and words once (``lookups``), then each list is scored where it lies. Runs a job that counts tokens.
+        """
+        spot = F.monotonically_increasing_id().alias("_spot")
+        written = materialize(lists.select("_key", "input_ids", spot), "lists")
+        tokens = written.agg(F.coalesce(F.sum(F.size("input_ids").cast("bigint")), F.lit(0))).first()[0]
+        chunks = max(1, -(-tokens // CHUNK_TOKENS))
+        buckets = max(1, -(-self.counts.count() // lookups.BUCKET_ROWS))
+        tasks = max(lists.sparkSession.sparkContext.defaultParallelism, chunks)
+        chunk = F.pmod(F.xxhash64("_spot"), F.lit(chunks)).cast("int")
+        dealt = written.select("_key", "input_ids", chunk.alias("_chunk")).repartition(tasks, "_chunk")
+        kind, size = lookups.Numbers, self.size
+
+        def ask(key: tuple, rows: pa.Table) -> pa.Table:
+            pairs, before, _ = _pairs_of(rows.column("input_ids").combine_chunks())
+            return lookups.asked_rows(key[0].as_py(), np.unique(np.concatenate([pairs[pairs >= 0], before[before >= 0]])), kind, buckets)
+
+        def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+            lists = rows.column("input_ids").combine_chunks()
+            pairs, before, inside = _pairs_of(lists)
+            keys = np.unique(np.concatenate([pairs[pairs >= 0], before[before >= 0]]))
+            # Words and pairs that were not asked for are unknown: they have no count.
+            counts = np.append(lookups.answers(found, keys, kind, buckets), 0)
+            n, n_prev = (counts[np.where(x >= 0, np.searchsorted(keys, x), len(keys))] for x in (pairs, before))
+            logp = np.full(len(inside), np.nan)
+            logp[inside] = np.log((n + 1.0) / (n_prev + size))
+            if "logp" in out:
+                scores = pa.ListArray.from_arrays(_offsets(lists), pa.array(logp, mask=np.isnan(logp)))
+                return pa.table([rows.column("_key"), lists, scores], names=["_key", "input_ids", "logp"])
+            return pa.table([rows.column("_key"), *_sums(lists, logp)], names=["_key", "nll", "n", "n_scored"])
+
+        asked = dealt.groupBy("_chunk").applyInArrow(ask, lookups.ASKED)
+        found = lookups.look_up(asked, lookups.pack_table(self.counts, kind, buckets), kind, buckets, 0)
+        return dealt.groupBy("_chunk").cogroup(found.groupBy("_of")).applyInArrow(run, f"_key {written.schema['_key'].dataType.simpleString()}, {out}")
+
+
+def _offsets(lists: pa.Array) -> pa.Array:
+    return pa.array(np.asarray(lists.offsets) - lists.offsets[0].as_py(), pa.int32())
+
+
+def _pairs_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each id of lists that has one before it, the pair and the marked id before, -1 if unknown; and which ids these are."""
+    ids, offsets = np.asarray(lists.flatten()).astype(np.int64), np.asarray(_offsets(lists))
+    inside = np.ones(len(ids), bool)
+    inside[offsets[:-1][np.diff(offsets) > 0]] = False
+    at = np.flatnonzero(inside)
+    prev, word = ids[at - 1], ids[at]
+    pairs = np.where((prev >= 0) & (word >= 0), prev << _SHIFT | word, -1)
+    return pairs, np.where(prev >= 0, prev | _ALONE, -1), inside
+
+
+def _sums(lists: pa.Array, logp: np.ndarray) -> list[pa.Array]:
+    """Loss (NULL without a scored token), tokens and scored tokens of each list."""
+    n = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+    row, scored = np.repeat(np.arange(len(n)), n), ~np.isnan(logp)
+    nll, count = np.bincount(row[scored], -logp[scored], len(n)), np.bincount(row[scored], minlength=len(n))
+    return [pa.array(nll, mask=count == 0), pa.array(n), pa.array(count)]
+
+
+def _counts(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``pair, n`` of lists of ids: each pair, and each word with one behind it.
+
+    Counted in each task first, then by buckets that pairs are packed for, so a pair moves as a few bytes once a few million tokens.
+    """
+    buckets = max(1, -(-(vocab.agg(F.sum("n")).first()[0] or 0) // BUCKET_TOKENS))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            pairs, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            order, parts = lookups.by_bucket(lookups.Numbers.bucket(pairs, buckets))
+            rows = [(b, lookups.Numbers.pack(pairs[order[p]]), lookups.packed(n[order[p]])) for b, p in parts]
+            kinds = (pa.int32(), pa.binary(), pa.binary())
+            columns = [*zip(*rows, strict=True)] or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["_bucket", "_keys", "_values"])
+
+        for batch in batches:
+            pairs, before, _ = _pairs_of(batch.column(0))
+            held += [pairs[pairs >= 0], before[pairs >= 0]]
+            size += len(pairs)
+            if size >= COUNT_TOKENS:
+                yield packed()
+                size = 0
+        if held:
+            yield packed()
+
+    def add(rows: pa.Table) -> pa.Table:
+        keys = np.concatenate([lookups.Numbers.unpack(x) for x in rows.column("_keys").to_pylist()])
+        n = np.concatenate([lookups.unpacked(x) for x in rows.column("_values").to_pylist()])
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return pa.table([pa.array(keys[heads]), pa.array(np.add.reduceat(n, heads))], names=["pair", "n"])
+
+    partial = tokens.select("input_ids").mapInArrow(count, lookups.TABLE)
+    return partial.repartition(buckets, "_bucket").groupBy("_bucket").applyInArrow(add, "pair bigint, n bigint")
 
 
 def _scored_tokens(texts: DataFrame, model: BigramModel, keys: list[str]) -> DataFrame:
-    """``keys, pos, token, logp`` by joins, for models of any size; the first token of a text has no ``logp``."""
-    # Texts are told apart by their keys; NULL keys too.
-    ident = F.struct(*keys)
-    tokens = model.tokenize(texts.select(ident.alias("_key"), "text"), "_key")
-    placed = tokens.select("_key", "input_ids", F.posexplode("input_ids").alias("pos", "token"))
-    prev = F.when(F.col("pos") > 0, F.get("input_ids", F.col("pos") - 1))
-    placed = placed.select("_key", "pos", "token", prev.alias("prev"))
-    return model.joined_logprobs(placed).select("_key.*", "pos", "token", "logp")
+    """``keys, pos, token, logp`` for models of any size; the first token of a text has no ``logp``."""
+    tokens = _keyed(texts, model, keys)
+    if model.is_small():
+        scorer, kind = model.scorer(), tokens.schema["_key"].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            score = scorer()
+            for batch in batches:
+                lists = batch.column("input_ids")
+                logp = score.of_lists(lists)
+                scores = pa.ListArray.from_arrays(_offsets(lists), pa.array(logp, mask=np.isnan(logp)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=["_key", "input_ids", "logp"])
+
+        scored = tokens.mapInArrow(run, f"_key {kind}, input_ids array<int>, logp array<double>")
+    else:
+        scored = model._scored(tokens, "input_ids array<int>, logp array<double>")
+    placed = scored.select("_key", F.posexplode(F.arrays_zip("input_ids", "logp")).alias("pos", "_t"))
+    return placed.select("_key.*", "pos", F.col("_t.input_ids").alias("token"), F.col("_t.logp").alias("logp"))
+
+
+def _keyed(texts: DataFrame, model: BigramModel, keys: list[str]) -> DataFrame:
+    """``_key, input_ids``: texts are told apart by their keys; NULL keys too."""
+    return model.tokenize(texts.select(F.struct(*keys).alias("_key"), "text"), "_key").select("_key", "input_ids")
 
 
 def text_losses(texts: DataFrame, corpus: DataFrame | BigramModel, keys: list[str]) -> DataFrame:
     """``keys, nll, n, n_scored``: loss, tokens and scored tokens of each text under the bigram model of a corpus.
 
     ``texts`` has ``keys`` and ``text``. A model small enough is broadcast and texts are
-    scored where they lie; a larger one is joined.
+    scored where they lie; of a larger one, the different bigrams of a chunk of texts are looked up.
     """
     model = corpus if isinstance(corpus, BigramModel) else BigramModel(corpus)
     if not model.is_small():
-        return _scored_tokens(texts, model, keys).groupBy(*keys).agg(
-            (-F.sum("logp")).alias("nll"), F.count("*").alias("n"), F.count("logp").alias("n_scored")
-        )
+        return model._scored(_keyed(texts, model, keys), "nll double, n bigint, n_scored bigint").select("_key.*", "nll", "n", "n_scored")
     scorer, make = model.scorer(), model.tokenizer
     rows = texts.where(F.col("text").isNotNull()).select(*keys, "text")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
@@ -222,12 +320,7 @@ def text_losses(texts: DataFrame, corpus: DataFrame | BigramModel, keys: list[st
             if not batch.num_rows:
                 continue
             lists = encode(batch.column("text"))
-            n = np.asarray(pc.list_value_length(lists)).astype(np.int64)
-            logp = score.of_lists(lists)
-            row, scored = np.repeat(np.arange(len(n)), n), ~np.isnan(logp)
-            nll, count = np.bincount(row[scored], -logp[scored], len(n)), np.bincount(row[scored], minlength=len(n))
-            # Without a scored token there is no loss.
-            columns = [pa.array(nll, mask=count == 0), pa.array(n), pa.array(count)]
+            columns = _sums(lists, score.of_lists(lists))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*keys, "nll", "n", "n_scored"])
 
     return rows.mapInArrow(run, f"{kinds}, nll double, n bigint, n_scored bigint")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindstore.functions.scalars import strip_whitespace, whole_div, words
+from kindstore.operators import lookups
 from kindstore.operators.prefix import exclusive_prefix, running_sum
 from kindstore.operators.skew import SMALL_ROWS, is_small, lookup_join
 from kindstore.session import materialize
@@ -116,32 +117,47 @@ def _encoder(known: pa.Table, unknown: int) -> Callable[[pa.Array], pa.Array]:
 
 
 # Characters of texts that are looked up together in a vocabulary too large to broadcast.
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 24
 
 
 def _tokenize_by_chunks(texts: DataFrame, vocab: DataFrame, ident: str, column: str, unknown: int) -> DataFrame:
     """``ident, input_ids`` with a vocabulary of any size; NULL texts are left out.
 
-    Texts are dealt over chunks of about ``CHUNK_CHARS`` characters. Only the different words of a chunk are joined
-    with the vocabulary, so a word meets it once a chunk at most, however often it is used; a chunk's
-    texts then get the ids of its own words. Runs a job that counts characters.
+    Texts are dealt over chunks of about ``CHUNK_CHARS`` characters, once. Only the different words of a chunk are looked up in
+    the vocabulary, packed by buckets of words (``lookups``), so a word meets it once a chunk at most, however often it is used;
+    a chunk's texts then get the ids of its own words. Runs a job that counts characters and words.
     """
     rows = texts.where(F.col(column).isNotNull()).select(F.col(ident), F.col(column).alias("_text"))
     chars = rows.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()[0]
     chunks = max(1, -(-chars // CHUNK_CHARS))
+    # As many words of the vocabulary in a bucket as of all chunks.
+    buckets = max(1, -(-vocab.count() // lookups.BUCKET_ROWS), -(-chunks // 8))
     chunk = F.pmod(F.xxhash64(ident, "_text"), F.lit(chunks)).cast("int")
     tasks = max(texts.sparkSession.sparkContext.defaultParallelism, chunks)
     dealt = rows.withColumn("_chunk", chunk).repartition(tasks, "_chunk")
-    used = dealt.select("_chunk", F.explode(words(F.col("_text"))).alias("word")).distinct()
-    known = used.join(vocab.select("word", "token"), "word").select(F.col("_chunk").alias("_of"), "word", "token")
-
-    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        encode = _encoder(known, unknown)
-        ids = [encode(part).cast(pa.list_(pa.int32())) for part in texts.column("_text").chunks]
-        return pa.table([texts.column(ident), pa.chunked_array(ids, pa.list_(pa.int32()))], names=[ident, "input_ids"])
 
+    def split(texts: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """The words of texts as lists, as places in the different ones, and these in order."""
+        lists = pc.split_pattern(texts.column("_text").combine_chunks(), " ")
+        placed = lists.flatten().dictionary_encode()
+        return lists, placed, np.asarray(pc.sort_indices(placed.dictionary))
+
+    def ask(key: tuple, texts: pa.Table) -> pa.Table:
+        _, placed, rise = split(texts)
+        return lookups.asked_rows(key[0].as_py(), placed.dictionary.to_numpy(zero_copy_only=False)[rise], lookups.Words, buckets)
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        lists, placed, rise = split(texts)
+        ids = np.empty(len(rise), np.int32)
+        ids[rise] = lookups.answers(found, placed.dictionary.to_numpy(zero_copy_only=False)[rise], lookups.Words, buckets)
+        tokens = pa.ListArray.from_arrays(lists.offsets, pa.array(ids[np.asarray(placed.indices)], pa.int32()))
+        return pa.table([texts.column(ident), tokens], names=[ident, "input_ids"])
+
+    known = lookups.pack_table(vocab.select("word", "token").dropna(), lookups.Words, buckets)
+    asked = dealt.groupBy("_chunk").applyInArrow(ask, lookups.ASKED)
+    found = lookups.look_up(asked, known, lookups.Words, buckets, unknown)
     schema = T.StructType([rows.schema[ident], T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
-    return dealt.groupBy("_chunk").cogroup(known.groupBy("_of")).applyInArrow(run, schema)
+    return dealt.groupBy("_chunk").cogroup(found.groupBy("_of")).applyInArrow(run, schema)
 
 
 def tokenize(texts: DataFrame, vocab: DataFrame, ident: str = "doc_id", column: str = "text", unknown: int = -1) -> DataFrame:

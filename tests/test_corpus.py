@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 from unittest import mock
 
@@ -474,3 +475,48 @@ def test_lines_are_looked_up_where_they_lie(spark, monkeypatch):
     monkeypatch.setattr(windows, "CHUNK_CHARS", 7)
     joined = windows.line_blocks(texts, vocab, 3)
     assert joined.columns == got.columns and joined.dtypes == got.dtypes and sorted((r["doc_id"], r["line"], list(r["input_ids"])) for r in joined.collect()) == rows
+
+
+def test_a_written_table_frees_its_shuffles(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before = shuffles()
+    rows = spark.range(1000).repartition(5, "id")
+    kept = materialize(rows, "numbers")
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before and kept.count() == 1000
+    assert spark.conf.get(session.FREE_SHUFFLES, "false") == "false" and materialize(rows, "again").count() == 1000
+
+
+def test_a_large_model_looks_up_each_bigram_once_a_chunk(spark, monkeypatch):
+    """Texts of several chunks, words and bigrams of several buckets; no row a token moves."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["a", "b", "", "\n", "ä", "cd"]) for _ in range(rng.randrange(40))) for _ in range(60)]
+    asked = [*texts[:30], "zz a", "", "zz", "a zz b", "a " * 200]
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id bigint, text string").repartition(3)
+    other = spark.createDataFrame([(i % 7 if i % 5 else None, i, t) for i, t in enumerate(asked)] + [(1, 99, None)], "k bigint, i bigint, text string")
+    near = plugins.text_losses(other, plugins.BigramModel(df), ["k", "i"]).collect()
+    monkeypatch.setattr(windows, "is_small", lambda *_: False)
+    monkeypatch.setattr(plugins, "is_small", lambda *_: False)
+    monkeypatch.setattr(windows, "CHUNK_CHARS", 300)
+    monkeypatch.setattr(plugins, "CHUNK_TOKENS", 50)
+    monkeypatch.setattr(plugins, "COUNT_TOKENS", 100)
+    monkeypatch.setattr(plugins, "BUCKET_TOKENS", 100)
+    monkeypatch.setattr(plugins.lookups, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(plugins.lookups, "PACKED_ROWS", 5)
+    model = plugins.BigramModel(df)
+    assert not model.is_small()
+    losses = plugins.text_losses(other, model, ["k", "i"])
+    assert "Generate" not in losses._jdf.queryExecution().executedPlan().toString()
+    want, far = {r["i"]: r for r in near}, {r["i"]: r for r in losses.collect()}
+    assert far.keys() == want.keys() == set(range(len(asked)))
+    for i, t in enumerate(asked):
+        hand = _bigram_by_hand(texts, t)
+        assert far[i]["k"] == want[i]["k"] and far[i]["n"] == want[i]["n"] and far[i]["n_scored"] == len(hand)
+        assert far[i]["nll"] == want[i]["nll"] if not hand else far[i]["nll"] == pytest.approx(-sum(hand))
+    rows = plugins.ngram_logprobs(other, model, ["k", "i"]).where("i = 34").orderBy("pos").collect()
+    assert rows[0]["logp"] is None and [r["logp"] for r in rows[1:]] == pytest.approx(_bigram_by_hand(texts, asked[34]))
+    ids = {r["word"]: r["token"] for r in model.vocab.collect()}
+    assert [r["token"] for r in rows] == [ids.get(w, -1) for w in asked[34].split(" ")]
