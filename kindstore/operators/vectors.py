@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,9 @@ FIRST_KEYS = 1 << 20
 GROWTH = 16
 # Rows of a stream of keys that are searched together.
 STREAM_ROWS = 1 << 15
+# Bytes of a table of vectors that is broadcast, as every worker holds it, and bytes up to which keys are shuffled to blocks instead.
+SHARED_BYTES = 1 << 28
+COPIED_BYTES = 1 << 26
 MAX_CENTROIDS = 65536
 _FOUND = "query_id bigint, store string, entry_id bigint, dist double, token int"
 _RANKED = "query_id bigint, store string, rank int, entry_id bigint, dist double, token int"
@@ -237,13 +241,51 @@ def _alike(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(low, high - low)
 
 
+def _shared(rows: DataFrame, vector: str, order: list[str], copies: int | None = None):
+    """A table of vectors as a broadcast Arrow stream of one batch, in the order of some columns; None if it is too large.
+
+    None also if so many ``copies`` of it are few bytes. Runs a job that measures it, and one that fetches it.
+    """
+    kind = rows.schema[vector].dataType
+    if kind.typeName() == "array":
+        size, width = F.size(vector), 8 if kind.elementType.typeName() in ("double", "long") else 4
+    else:
+        size, width = F.length(vector), 1
+    held = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(size.cast("bigint")), F.lit(0)).alias("numbers")).first()
+    total = held["numbers"] * width + held["rows"] * 8 * len(rows.columns)
+    if total > SHARED_BYTES or copies is not None and copies * total <= COPIED_BYTES:
+        return None
+    table = rows.toArrow()
+    table = table.sort_by([(c, "ascending") for c in order]).combine_chunks()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return rows.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+def _read_shared(shared) -> pa.RecordBatch | None:
+    """The one batch of a broadcast table; None if it has no row."""
+    batches = [b for b in pa.ipc.open_stream(shared.value) if b.num_rows]
+    return batches[0] if batches else None
+
+
+def _keys_of_cells(shared) -> dict[int, list[pa.RecordBatch]]:
+    """Slices of the broadcast keys of each cell, by store."""
+    keys, cells = _read_shared(shared), {}
+    for part in _alike(keys) if keys is not None else ():
+        rows = cells.setdefault(part.column("cell")[0].as_py(), [])
+        rows.extend(part.slice(s, KEY_BLOCK) for s in range(0, part.num_rows, KEY_BLOCK))
+    return cells
+
+
 def _by_blocks(queries: DataFrame, keys: DataFrame, k: Amount, metric: str, codebooks=None) -> DataFrame:
     """Neighbours with their ranks, for any number of queries and of keys per ``cell``.
 
     Queries are dealt over blocks by hash, as many as the neighbours of a block fit a task. A task has one block, and
     the keys of each cell that its queries probe stream past it in order of cell and store. It holds the k best of its queries
     over all cells, the vectors of one cell's queries and a few thousand keys, so a query returns its k best only,
-    however many cells or keys there are, and nothing is left to merge. Runs a job that counts the queries.
+    however many cells or keys there are, and nothing is left to merge. Keys of up to ``SHARED_BYTES`` are broadcast and stream
+    past a block from there; more, or very few, are shuffled to each block that probes their cell. Runs jobs that count the queries and measure the keys.
     """
     spark = keys.sparkSession
     if not isinstance(k, int):
@@ -255,11 +297,32 @@ def _by_blocks(queries: DataFrame, keys: DataFrame, k: Amount, metric: str, code
     cores = spark.sparkContext.defaultParallelism
     blocks = -(-blocks // cores) * cores
     queries = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    known = ["limits"] if "limits" in queries.columns else []
+    own = ["query_id", "embedding", *known]
+    shared = _shared(keys.select("cell", F.lit(1).alias("_kind"), "store", "entry_id", "key", "token"), "key", ["cell", "store"], blocks)
+    if shared is not None:
+        asked = queries.select("_block", "cell", F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("store"), *own)
+        asked = asked.repartitionById(blocks, "_block").drop("_block").sortWithinPartitions("cell")
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, cells, cell = _Block(k, metric, None if codebooks is None else codebooks.value), None, None
+            for part in (p for batch in batches if batch.num_rows for p in _alike(batch)):
+                if cells is None:
+                    cells = _keys_of_cells(shared)
+                now = part.column("cell")[0].as_py()
+                if now != cell:
+                    for rows in cells.get(cell, ()):
+                        block.add(rows)
+                cell = now
+                block.add(part)
+            for rows in cells.get(cell, ()) if cells else ():
+                block.add(rows)
+            yield from block.found()
+
+        return asked.mapInArrow(near, _RANKED)
     # A row a cell, with the blocks that probe it.
     wanted = queries.groupBy("cell").agg(F.collect_set("_block").alias("_blocks"))
     wanted = F.broadcast(wanted) if size["cells"] * blocks <= BROADCAST_IDS else wanted
-    known = ["limits"] if "limits" in queries.columns else []
-    own = ["query_id", "embedding", *known]
     left = keys.join(wanted, "cell").select(
         F.explode("_blocks").alias("_block"), "cell", F.lit(1).alias("_kind"), "store", "entry_id", "key", "token",
         *[F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in own],
@@ -413,14 +476,57 @@ BROADCAST_IDS = 1_000_000
 PAIRS = 1 << 15
 
 
+def _measured(neighbours: DataFrame, held, asked) -> DataFrame:
+    """Neighbours with distances to broadcast keys (in order of store and id) and queries (in order of id)."""
+    names = ["query_id", "store", "rank", "entry_id", "dist", "token"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, queries = _read_shared(held), _read_shared(asked)
+        if keys is None or queries is None:
+            return
+        ids, known = np.asarray(keys.column("entry_id")), np.asarray(queries.column("query_id"))
+        by_store = "store" in keys.schema.names
+        stores = keys.column("store").dictionary_encode() if by_store else None
+        bounds = np.searchsorted(np.asarray(stores.indices), np.arange(len(stores.dictionary) + 1)) if by_store else [0, len(ids)]
+        number_of = {store: i for i, store in enumerate(stores.dictionary.to_pylist())} if by_store else {}
+        for batch in batches:
+            batch = batch.filter(pc.and_(batch.column("query_id").is_valid(), batch.column("entry_id").is_valid()))
+            if not batch.num_rows:
+                continue
+            wanted, query = np.asarray(batch.column("entry_id")), np.asarray(batch.column("query_id"))
+            own = np.array([number_of.get(s, -1) for s in batch.column("store").to_pylist()]) if by_store else np.zeros(len(wanted), int)
+            low, high = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+            for number in range(len(bounds) - 1):
+                rows, of = own == number, ids[bounds[number] : bounds[number + 1]]
+                low[rows] = bounds[number] + np.searchsorted(of, wanted[rows])
+                high[rows] = bounds[number] + np.searchsorted(of, wanted[rows], "right")
+            place = np.minimum(np.searchsorted(known, query), len(known) - 1)
+            # As in a join, a neighbour has a row for each key with its id.
+            times = np.where(known[place] == query, high - low, 0)
+            row = np.repeat(np.arange(len(times)), times)
+            at = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            for s in range(0, len(row), PAIRS):
+                some = row[s : s + PAIRS]
+                gaps = matrix(keys.column("key").take(pa.array(at[s : s + PAIRS]))) - matrix(queries.column("embedding").take(pa.array(place[some])))
+                found = batch.take(pa.array(some)).append_column("dist", pa.array((gaps * gaps).sum(1)))
+                yield found.select(names)
+
+    return neighbours.select("query_id", "store", "rank", "entry_id", "token").mapInArrow(run, _RANKED)
+
+
 def recompute_dists(neighbours: DataFrame, queries: DataFrame, keys: DataFrame) -> DataFrame:
     """Exact distances for retrieved ids; their order stays as it was.
 
-    Only keys that are someone's neighbour move (up to ``BROADCAST_IDS`` of them are
+    Keys and queries of up to ``SHARED_BYTES`` each are broadcast, and neighbours are measured where they lie. Of larger tables,
+    only keys that are someone's neighbour move (up to ``BROADCAST_IDS`` of them are
     picked where they lie), and a query's vector goes once to the block of queries that it
-    is measured in, not once a neighbour. ``neighbours`` is read twice. Runs a job.
+    is measured in, not once a neighbour; ``neighbours`` is then read twice. Runs a job.
     """
     by = ["store", "entry_id"] if "store" in keys.columns else ["entry_id"]
+    held = _shared(keys.select(*by, "key").dropna(subset=by), "key", by)
+    asked = None if held is None else _shared(queries.select("query_id", "embedding").dropna(subset=["query_id"]), "embedding", ["query_id"])
+    if asked is not None:
+        return _measured(neighbours, held, asked)
     wanted = neighbours.select(*by).distinct()
     counts = neighbours.agg(F.count("*").alias("pairs"), F.count_distinct(*by).alias("ids")).first()
     wanted = F.broadcast(wanted) if counts["ids"] <= BROADCAST_IDS else wanted

@@ -335,3 +335,41 @@ def test_limits_are_joined_once(tables):
     grown = vectors.update_neighbours(q, best, k.where("entry_id >= 150"), 4, block=1)
     assert "LeftOuter" not in grown._jdf.queryExecution().optimizedPlan().toString()
     assert found(grown) == found(vectors.knn_exact(q, k, 4))
+
+
+@pytest.mark.parametrize("codes", [False, True])
+def test_keys_of_blocks_are_broadcast(tables, monkeypatch, codes):
+    """Keys that a worker can hold are not shuffled once a block; larger ones are, with the same result."""
+    _, _, q, k = tables
+    centroids = vectors.ivf_train(k, 4, method="sample")
+    assigned = vectors.ivf_assign(k.unionByName(k.where("entry_id < 20")), centroids)
+    books = vectors.pq_train(k, 2, 9, seed=3)
+    coded = vectors.pq_encode(assigned, books)
+    monkeypatch.setattr(vectors, "KEY_BLOCK", 17)
+    monkeypatch.setattr(vectors, "TASK_QUERIES", 3)
+    for amount in (7, {"hot": 9, "cold": 4}):
+        got = []
+        for most in (0, 1 << 28):
+            monkeypatch.setattr(vectors, "SHARED_BYTES", most)
+            monkeypatch.setattr(vectors, "COPIED_BYTES", 0)
+            some = vectors.pq_search(q, coded, books, centroids, amount, 3) if codes else vectors.ivf_search(q, assigned, centroids, amount, 3)
+            # Keys go to the blocks that probe them, or stay out of the plan.
+            assert ("_blocks" in some._jdf.queryExecution().executedPlan().toString()) == (most == 0)
+            got.append(found(some))
+        assert got[0] == got[1] and len(got[0]) > 100
+
+
+def test_exact_distances_without_a_shuffle(tables, monkeypatch):
+    """Neighbours are measured where they lie; repeated, missing and unknown ids as in a join."""
+    _, _, q, k = tables
+    near = vectors.knn_exact(q, k, 3).withColumn("dist", F.lit(-1.0))
+    odd = near.withColumn("entry_id", F.when(F.col("rank") == 2, None).when(F.col("rank") == 3, -5).otherwise(F.col("entry_id")))
+    near = materialize(near.unionByName(odd).unionByName(near.limit(5).withColumn("query_id", F.lit(-1).cast("bigint"))), "near")
+    for keys in (k.unionByName(k.where("entry_id % 2 = 0")), k.drop("store")):
+        got = []
+        for most in (0, 1 << 28):
+            monkeypatch.setattr(vectors, "SHARED_BYTES", most)
+            some = vectors.recompute_dists(near, q, keys)
+            assert ("Exchange" in some._jdf.queryExecution().executedPlan().toString()) == (most == 0)
+            got.append(sorted(map(tuple, some.collect())))
+        assert got[0] == got[1] and len(got[0]) > 300
