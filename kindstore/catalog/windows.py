@@ -237,9 +237,8 @@ FROM some_neighbours n JOIN pairs p USING (entry_id)""",
 )
 def _neighbour_context(t):
     pairs = windows.next_token_pairs(spans(t))
-    store = materialize(pairs.select(F.lit("all").alias("store"), "entry_id", "token"), "tokens")
-    size = store.agg(F.count("*").alias("n")).scalar()
-    packed = materialize(pack_tokens(store), "packed")
+    packed = materialize(pack_tokens(pairs.select(F.lit("all").alias("store"), "entry_id", "token")), "packed")
+    size = packed.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n")).scalar()
 
     draw = hash24(F.lit("n:"), F.col("query_id"), F.lit(":"), F.col("rank"))
     found = (

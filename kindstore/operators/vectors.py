@@ -562,13 +562,25 @@ def pack_tokens(store: DataFrame, pack: int = PACK) -> DataFrame:
     """The token stream of each store in blocks: ``store, block, ids, tokens``, in order of the entry id.
 
     A block has the entries ``block * pack`` up to the next one's. Written once, it serves any
-    number of ``neighbour_context`` calls. ``store`` is counted: each task packs a few blocks.
+    number of ``neighbour_context`` calls. ``store`` is counted: each task packs a few blocks. Entries are put
+    together where they lie, so neighbouring ones move as a list of tokens and their first id.
     """
     rows = store.select("store", "entry_id", "token", whole_div(F.col("entry_id"), pack).alias("block"))
     tasks = max(store.sparkSession.sparkContext.defaultParallelism, -(-store.count() // (TASK_PACKS * pack)))
-    entries = F.sort_array(F.collect_list(F.struct("entry_id", "token")))  # at most ``pack`` of them
-    packed = rows.repartition(tasks, "store", "block").groupBy("store", "block").agg(entries.alias("_e"))
-    return packed.select(
+    pieces = rows.select("store", "block", "entry_id", "token").mapInArrow(_pieces, _PIECES).repartition(tasks, "store", "block")
+    parts = F.sort_array(F.collect_list(F.struct("first", "ids", "tokens"))).alias("_p")  # at most ``pack`` entries
+    packed = pieces.groupBy("store", "block").agg(parts)
+    # Pieces without gaps that follow one another are in order as they are.
+    gapless = F.forall("_p", lambda p: p["ids"].isNull() & p["first"].isNotNull())
+    after = F.forall(
+        F.sequence(F.lit(1), F.size("_p") - 1),
+        lambda i: F.get("_p", i)["first"] >= F.get("_p", i - 1)["first"] + F.size(F.get("_p", i - 1)["tokens"]),
+    )
+    in_order = gapless & ((F.size("_p") == 1) | after)
+    own = F.transform("_p", lambda p: F.coalesce(p["ids"], F.sequence(p["first"], p["first"] + F.size(p["tokens"]) - 1), F.transform(p["tokens"], lambda _: F.lit(None).cast("bigint"))))
+    entries = F.arrays_zip(F.flatten(own).alias("entry_id"), F.flatten(F.transform("_p", lambda p: p["tokens"])).alias("token"))
+    entries = packed.withColumn("_ok", in_order).select("store", "block", F.when(F.col("_ok"), entries).otherwise(F.sort_array(entries)).alias("_e"))
+    return entries.select(
         "store",
         "block",
         F.transform("_e", lambda e: e["entry_id"]).alias("ids"),
@@ -576,6 +588,32 @@ def pack_tokens(store: DataFrame, pack: int = PACK) -> DataFrame:
     )
 
 
+_PIECES = "store string, block bigint, first bigint, ids array<bigint>, tokens array<int>"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of a batch as a list for each store and block; ``ids`` only where they have gaps."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch]).sort_by([(c, "ascending") for c in ("store", "entry_id")]).combine_chunks()
+        stores = np.asarray(rows.column("store").combine_chunks().dictionary_encode().indices.fill_null(-1))
+        blocks, ids = rows.column("block").combine_chunks(), rows.column("entry_id").combine_chunks()
+        known = np.asarray(ids.is_valid())
+        block, number = np.asarray(blocks.fill_null(0)), np.asarray(ids.fill_null(0))
+        new = np.r_[True, (stores[1:] != stores[:-1]) | (block[1:] != block[:-1]) | (known[1:] != known[:-1])]
+        heads = np.flatnonzero(new)
+        ends = np.r_[heads[1:], len(number)]
+        steps = np.r_[0, np.cumsum(np.diff(number) != 1)]
+        gaps = (steps[ends - 1] != steps[heads]) & known[heads]
+        first = blocks.take(pa.array(heads)), ids.take(pa.array(heads))
+        offsets = pa.array(np.r_[heads, len(number)], pa.int32())
+        lists = pa.ListArray.from_arrays(offsets, ids, mask=pa.array(~gaps))
+        tokens = pa.ListArray.from_arrays(offsets, rows.column("token").combine_chunks())
+        names = ["store", "block", "first", "ids", "tokens"]
+        yield pa.RecordBatch.from_arrays([rows.column("store").combine_chunks().take(pa.array(heads)), *first, lists, tokens], names=names)
+
+
 def neighbour_context(neighbours: DataFrame, store: DataFrame, tokens: int = 30, top: int = 3, pack: int = PACK) -> DataFrame:
     """The tokens before each of the first neighbours, and its next token.
 

@@ -373,3 +373,20 @@ def test_exact_distances_without_a_shuffle(tables, monkeypatch):
             assert ("Exchange" in some._jdf.queryExecution().executedPlan().toString()) == (most == 0)
             got.append(sorted(map(tuple, some.collect())))
         assert got[0] == got[1] and len(got[0]) > 300
+
+
+def test_packed_tokens_move_as_lists(spark):
+    """Entries in any order, with gaps, repeated ids and nulls; neighbouring ones are put together before they move."""
+    rng = np.random.default_rng(5)
+    rows = [("a", int(i), int(i) % 9) for i in rng.permutation(300)] + [("b", int(i), 1) for i in range(7, 200, 3)] + [("b", 10, 0), (None, 4, 4), ("a", None, 3), ("b", 11, None)]
+    store = spark.createDataFrame(rows, "store string, entry_id bigint, token int").repartition(3)
+    got = {(r["store"], r["block"]): (r["ids"], r["tokens"]) for r in vectors.pack_tokens(store, 64).collect()}
+    want = {}
+    for s, i, t in sorted(rows, key=lambda r: (r[0] or "", -1 if r[1] is None else r[1], -1 if r[2] is None else r[2])):
+        ids, tokens = want.setdefault((s, None if i is None else i // 64), ([], []))
+        ids.append(i)
+        tokens.append(t)
+    assert got == want
+    whole = spark.range(20_000).select(F.lit("s").alias("store"), F.col("id").alias("entry_id"), F.lit(1).alias("token")).coalesce(1)
+    pieces = whole.withColumn("block", F.expr("entry_id div 4096")).select("store", "block", "entry_id", "token").mapInArrow(vectors._pieces, vectors._PIECES).collect()
+    assert len(pieces) < 12 and all(p["ids"] is None for p in pieces) and sum(len(p["tokens"]) for p in pieces) == 20_000
