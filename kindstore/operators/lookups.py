@@ -91,8 +91,8 @@ def by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, slice
     """The order of rows by bucket, else as they come, and the slice of each bucket in it."""
     order = np.argsort(bucket, kind="stable")
     numbers, starts = np.unique(bucket[order], return_index=True)
-    ends = [*starts[1:].tolist(), len(bucket)]
-    return order, ((int(b), slice(s, e)) for b, s, e in zip(numbers, starts.tolist(), ends, strict=True))
+    ends = np.append(starts[1:], len(bucket))[: len(starts)]
+    return order, ((int(b), slice(s, e)) for b, s, e in zip(numbers, starts.tolist(), ends.tolist(), strict=True))
 
 
 def asked_rows(of: int, keys: np.ndarray, kind, buckets: int) -> pa.Table:

@@ -170,7 +170,8 @@ class BigramModel:
         # The predicted tokens and the one before them. A window without a predicted token has a row too.
         seen = F.slice("input_ids", begin, F.when(n > 0, n + 1).otherwise(0))
         losses = self._scored(spans.select(F.struct("batch_id", "window_idx").alias("_key"), seen.alias("input_ids")), "nll double, n bigint, n_scored bigint")
-        return losses.select("_key.*", F.coalesce("nll", F.lit(0.0)).alias("nll"), "n_scored")
+        losses = losses.select("_key.*", F.coalesce("nll", F.lit(0.0)).alias("nll"), "n_scored")
+        return losses.groupBy("batch_id", "window_idx").agg(F.sum("nll").alias("nll"), F.sum("n_scored").alias("n_scored"))
 
     def _scored(self, lists: DataFrame, out: str) -> DataFrame:
         """``_key`` and sums or ``input_ids, logp`` of lists of ids (``_key, input_ids``), for a model of any size.
@@ -309,7 +310,9 @@ def text_losses(texts: DataFrame, corpus: DataFrame | BigramModel, keys: list[st
     """
     model = corpus if isinstance(corpus, BigramModel) else BigramModel(corpus)
     if not model.is_small():
-        return model._scored(_keyed(texts, model, keys), "nll double, n bigint, n_scored bigint").select("_key.*", "nll", "n", "n_scored")
+        losses = model._scored(_keyed(texts, model, keys), "nll double, n bigint, n_scored bigint").select("_key.*", "nll", "n", "n_scored")
+        # Texts that share their keys are one.
+        return losses.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("nll", "n", "n_scored")])
     scorer, make = model.scorer(), model.tokenizer
     rows = texts.where(F.col("text").isNotNull()).select(*keys, "text")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")

@@ -520,3 +520,10 @@ def test_a_large_model_looks_up_each_bigram_once_a_chunk(spark, monkeypatch):
     assert rows[0]["logp"] is None and [r["logp"] for r in rows[1:]] == pytest.approx(_bigram_by_hand(texts, asked[34]))
     ids = {r["word"]: r["token"] for r in model.vocab.collect()}
     assert [r["token"] for r in rows] == [ids.get(w, -1) for w in asked[34].split(" ")]
+    one = other.where("i = 30")
+    assert [(r["nll"], r["n"], r["n_scored"]) for r in plugins.text_losses(one.unionByName(one), model, ["k", "i"]).collect()] == [(pytest.approx(2 * far[30]["nll"]), 4, 2)]
+    alone = plugins.text_losses(other.where("i = 32"), model, ["k", "i"]).collect()  # a chunk that asks for nothing
+    assert [(r["nll"], r["n"], r["n_scored"]) for r in alone] == [(None, 1, 0)]
+    assert plugins.text_losses(other.where("i = -1"), model, ["k", "i"]).collect() == []
+    nothing = plugins.BigramModel(df.where("doc_id < 0"))
+    assert nothing.size == 0 and nothing.pairs.count() == 0
