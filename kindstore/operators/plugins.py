@@ -231,7 +231,8 @@ def _sums(lists: pa.Array, logp: np.ndarray) -> list[pa.Array]:
     """Loss (NULL without a scored token), tokens and scored tokens of each list."""
     n = np.asarray(pc.list_value_length(lists)).astype(np.int64)
     row, scored = np.repeat(np.arange(len(n)), n), ~np.isnan(logp)
-    nll, count = np.bincount(row[scored], -logp[scored], len(n)), np.bincount(row[scored], minlength=len(n))
+    # Numpy gives whole numbers where there is nothing to add.
+    nll, count = np.bincount(row[scored], -logp[scored], len(n)).astype(float), np.bincount(row[scored], minlength=len(n))
     return [pa.array(nll, mask=count == 0), pa.array(n), pa.array(count)]
 
 

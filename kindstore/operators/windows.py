@@ -417,7 +417,7 @@ def window_losses(windows: DataFrame, model: Callable[[], Callable[[pa.Array], n
             low, high = (np.asarray(batch.column(c)) for c in ("_begin", "_n"))
             counts = (place >= np.repeat(low, size)) & (place < np.repeat(low + high, size)) & ~np.isnan(logp)
             row = np.repeat(np.arange(len(size)), size)[counts]
-            nll = np.bincount(row, -logp[counts], len(size))
+            nll = np.bincount(row, -logp[counts], len(size)).astype(float)
             found = [pa.array(nll), pa.array(np.bincount(row, minlength=len(size)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *found], ["batch_id", "window_idx", "nll", "n_scored"])
 
